@@ -23,8 +23,9 @@ def linear(col: str | Column, q: float) -> Column:
 
 
 def nearest(df: DataFrame, keys: Sequence[str], value: str,
-            qs: dict[str, float]) -> DataFrame:
-    """One row per group with one column per named quantile."""
+            qs: dict[str, float], mean: str | None = None) -> DataFrame:
+    """One row per group with one column per named quantile (and the mean
+    under the name ``mean`` when given)."""
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys).orderBy(value)
@@ -38,4 +39,16 @@ def nearest(df: DataFrame, keys: Sequence[str], value: str,
         r = F.floor((F.col("_n") - 1) * F.lit(q) + F.lit(0.5))
         hit = (F.col("_lo") <= r) & (r < F.col("_hi"))
         aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
+    if mean:
+        aggs.append((F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias(mean))
     return ranked.groupBy(*keys).agg(*aggs)
+
+
+def quartiles(df: DataFrame, keys: Sequence[str], value: str, prefix: str,
+              interpolation: str = "nearest") -> DataFrame:
+    """``{prefix}25/50/75`` and ``{prefix}_mean`` per group."""
+    qs = {f"{prefix}25": 0.25, f"{prefix}50": 0.5, f"{prefix}75": 0.75}
+    if interpolation == "nearest":
+        return nearest(df, keys, value, qs, mean=f"{prefix}_mean")
+    return df.groupBy(*keys).agg(*[linear(value, q).alias(n) for n, q in qs.items()],
+                                 F.avg(value).alias(f"{prefix}_mean"))
