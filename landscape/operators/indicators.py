@@ -139,15 +139,11 @@ def disruption_table(dis_docs: DataFrame, topic_names: DataFrame, top_entities:
     return rows
 
 
-def novelty_long(doc_novelty_by_level: dict[int, DataFrame]) -> DataFrame:
-    """Distinct (work, topic) per level 1-3 with novelty, year and topic doc counts."""
-    parts = [dn.select("work_id", "year", "novelty", F.explode("topics").alias("topic"),
-                       F.lit(lvl).alias("level"))
-             for lvl, dn in doc_novelty_by_level.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.dropDuplicates(["level", "work_id", "topic"])
+def novelty_long(doc_novelty: DataFrame) -> DataFrame:
+    """Distinct (level, work, topic) with novelty, year and the topic's doc count,
+    from document novelty computed with ``level`` as a key."""
+    out = (doc_novelty.select("level", "work_id", "year", "novelty", F.explode("topics").alias("topic"))
+           .dropDuplicates(["level", "work_id", "topic"]))
     counts = out.groupBy("level", "topic").agg(F.count("*").alias("doc_counts"))
     return out.join(counts, ["level", "topic"])
 

@@ -18,27 +18,35 @@ to broadcast it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import linear
 
 
-def novelty_input(doc_topics: DataFrame, docs: DataFrame, level: int = 3,
+def novelty_input(doc_topics: DataFrame, docs: DataFrame, level: int | Sequence[int] = 3,
                   source: str = "openalex", id_column: str = "work_id") -> DataFrame:
     """(id, year, n_topics, topics) for documents with two or more distinct topics.
 
     ``topics`` is the sorted array of distinct topics. Documents without a
-    year are dropped.
+    year are dropped. Given several levels, ``level`` becomes a key column
+    and every downstream operator is called with ``by=["level"]``: all levels
+    are computed in one pass instead of one job per level.
     """
-    per_doc = (doc_topics.where((F.col("level") == level) & (F.col("source") == source))
-               .groupBy("doc_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    many = not isinstance(level, int)
+    lv = F.col("level").isin(list(level)) if many else (F.col("level") == level)
+    keys = ["level", "doc_id"] if many else ["doc_id"]
+    per_doc = (doc_topics.where(lv & (F.col("source") == source))
+               .groupBy(*keys).agg(F.array_sort(F.collect_set("topic")).alias("topics"))
                .withColumn("n_topics", F.size("topics"))
                .where(F.col("n_topics") >= 2))
     years = docs.where(F.col("source") == source).select("doc_id", "year").dropDuplicates(["doc_id"])
     return (per_doc.join(years, "doc_id", "left")
             .where(F.col("year").isNotNull())
-            .select(F.col("doc_id").alias(id_column), F.col("year").cast("int").alias("year"),
+            .select(*(["level"] if many else []), F.col("doc_id").alias(id_column),
+                    F.col("year").cast("int").alias("year"),
                     F.col("n_topics").cast("int").alias("n_topics"), "topics"))
 
 
@@ -51,60 +59,63 @@ def _pairs_of(topics: Column) -> Column:
                                                  y.alias("topic_2")))))
 
 
-def document_topic_pairs(novelty_in: DataFrame, id_column: str = "work_id") -> DataFrame:
-    return (novelty_in.select(id_column, "year", F.inline(_pairs_of(F.col("topics"))))
+def document_topic_pairs(novelty_in: DataFrame, id_column: str = "work_id", by: Sequence[str] = ()) -> DataFrame:
+    return (novelty_in.select(*by, id_column, "year", F.inline(_pairs_of(F.col("topics"))))
             .withColumn("topic_pair", F.concat_ws("_x_", "topic_1", "topic_2")))
 
 
-def topic_pair_counts(pairs: DataFrame) -> DataFrame:
+def topic_pair_counts(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """N_ij(t): documents containing the pair, per year."""
-    return (pairs.groupBy("topic_1", "topic_2", "year").agg(F.count("*").alias("counts"))
+    return (pairs.groupBy(*by, "topic_1", "topic_2", "year").agg(F.count("*").alias("counts"))
             .withColumn("topic_pair", F.concat_ws("_x_", "topic_1", "topic_2")))
 
 
-def topic_pair_membership(novelty_in: DataFrame) -> DataFrame:
+def topic_pair_membership(novelty_in: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """N_i(t): sum of the pair counts of all pairs containing topic i in year t."""
-    return (novelty_in.select("year", (F.col("n_topics") - 1).alias("_k"), F.explode("topics").alias("topic"))
-            .groupBy("topic", "year").agg(F.sum("_k").alias("counts")))
+    return (novelty_in.select(*by, "year", (F.col("n_topics") - 1).alias("_k"), F.explode("topics").alias("topic"))
+            .groupBy(*by, "topic", "year").agg(F.sum("_k").alias("counts")))
 
 
-def yearly_pair_totals(novelty_in: DataFrame) -> DataFrame:
+def yearly_pair_totals(novelty_in: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """N_t: all pair counts of the year = sum over documents of n(n-1)/2."""
     n = F.col("n_topics").cast("bigint")
-    return novelty_in.groupBy("year").agg(F.sum(n * (n - 1) / 2).cast("bigint").alias("N_t"))
+    return novelty_in.groupBy(*by, "year").agg(F.sum(n * (n - 1) / 2).cast("bigint").alias("N_t"))
 
 
-def topic_pair_commonness(novelty_in: DataFrame, id_column: str = "work_id") -> DataFrame:
+def topic_pair_commonness(novelty_in: DataFrame, id_column: str = "work_id", by: Sequence[str] = ()) -> DataFrame:
     """One row per (pair, year): N_ij_t * N_t / (N_i_t * N_j_t)."""
-    counts = topic_pair_counts(document_topic_pairs(novelty_in, id_column))
-    member = topic_pair_membership(novelty_in)
-    n_i = member.select(F.col("topic").alias("topic_1"), "year", F.col("counts").alias("N_i_t"))
-    n_j = member.select(F.col("topic").alias("topic_2"), "year", F.col("counts").alias("N_j_t"))
+    by = list(by)
+    counts = topic_pair_counts(document_topic_pairs(novelty_in, id_column, by), by)
+    member = topic_pair_membership(novelty_in, by)
+    n_i = member.select(*by, F.col("topic").alias("topic_1"), "year", F.col("counts").alias("N_i_t"))
+    n_j = member.select(*by, F.col("topic").alias("topic_2"), "year", F.col("counts").alias("N_j_t"))
     return (counts.withColumnRenamed("counts", "N_ij_t")
-            .join(n_i, ["topic_1", "year"])
-            .join(n_j, ["topic_2", "year"])
-            .join(yearly_pair_totals(novelty_in), "year")
+            .join(n_i, by + ["topic_1", "year"])
+            .join(n_j, by + ["topic_2", "year"])
+            .join(yearly_pair_totals(novelty_in, by), by + ["year"])
             .withColumn("commonness",
                         F.col("N_ij_t") * F.col("N_t") / (F.col("N_i_t") * F.col("N_j_t")))
-            .select("topic_1", "topic_2", "topic_pair", "year", "N_ij_t", "N_i_t", "N_j_t", "N_t",
+            .select(*by, "topic_1", "topic_2", "topic_pair", "year", "N_ij_t", "N_i_t", "N_j_t", "N_t",
                     "commonness"))
 
 
 def document_novelty(novelty_in: DataFrame, id_column: str = "work_id",
-                     percentile: float = 10.0, commonness: DataFrame | None = None) -> DataFrame:
+                     percentile: float = 10.0, commonness: DataFrame | None = None,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Per document: the given linear percentile of its pairs' commonness and
     novelty = -ln(commonness), with n_topics and topics."""
+    by = list(by)
     if commonness is None:
-        commonness = topic_pair_commonness(novelty_in, id_column)
-    pairs = novelty_in.select(id_column, "year", "n_topics", "topics",
+        commonness = topic_pair_commonness(novelty_in, id_column, by)
+    pairs = novelty_in.select(*by, id_column, "year", "n_topics", "topics",
                               F.inline(_pairs_of(F.col("topics"))))
-    c = commonness.select("topic_1", "topic_2", "year", "commonness")
-    return (pairs.join(c, ["topic_1", "topic_2", "year"])
-            .groupBy(id_column, "year")
+    c = commonness.select(*by, "topic_1", "topic_2", "year", "commonness")
+    return (pairs.join(c, by + ["topic_1", "topic_2", "year"])
+            .groupBy(*by, id_column, "year")
             .agg(linear("commonness", percentile / 100.0).alias("commonness"),
                  F.first("n_topics").alias("n_topics"), F.first("topics").alias("topics"))
             .withColumn("novelty", -F.log(F.col("commonness")))
-            .select(id_column, "year", "commonness", "novelty", "n_topics", "topics"))
+            .select(*by, id_column, "year", "commonness", "novelty", "n_topics", "topics"))
 
 
 def topic_document_novelty(doc_novelty: DataFrame, id_column: str = "work_id",

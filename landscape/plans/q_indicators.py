@@ -16,25 +16,29 @@ from .views_sql import with_views
 QUART = ["25", "50", "75", "_mean"]
 
 
-def _topics(spark, sf):
-    t = tables(spark, sf)
-    return E.tag_documents(t.doc_entities, t.taxonomy)
+from .q_novelty import _topics  # noqa: E402,F401
 
 
 def _doc_novelty(spark, sf, level=3):
     t = tables(spark, sf)
-    return N.document_novelty(N.novelty_input(_topics(spark, sf), t.docs, level))
+
+    def build():
+        return N.document_novelty(N.novelty_input(_topics(spark, sf), t.docs, level))
+    return t.stage(f"doc_novelty_{level}", build)
 
 
 def _top_entities(spark, sf, n=5):
-    """(topic, entities): top-n entity names of topics at levels 1-3."""
+    """(topic, entities): top-n entity names of topics at levels 1-3 (staged)."""
     t = tables(spark, sf)
-    je = NM.journal_entities(t.works, E.entities_kept(t.doc_entities))
-    parts = [NM.topic_entity_names(NM.level_entity_counts(je, t.taxonomy, lvl), n) for lvl in (1, 2, 3)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("names", "entities")
+
+    def build():
+        je = NM.journal_entities(t.works, E.entities_kept(t.doc_entities))
+        parts = [NM.topic_entity_names(NM.level_entity_counts(je, t.taxonomy, lvl), n) for lvl in (1, 2, 3)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.withColumnRenamed("names", "entities")
+    return t.stage(f"top_entities_{n}", build)
 
 
 # -- shared oracle CTEs ----------------------------------------------------
@@ -93,7 +97,7 @@ def q_count_documents(spark, sf):
     return I.count_documents(d.join(t.docs.select(F.col("doc_id").alias("id"), "year"), "id", "left"))
 
 
-@query("volume_table", oracle=with_views(f"""
+VOLUME_SQL = f"""
 SELECT x.topic, x.year, x.publication_count, x.patent_count, x.domain, x.area, x.total_docs,
   domain_name, area_name, topic_name
 FROM (SELECT coalesce(w.topic, p.topic) AS topic, coalesce(w.year, p.year) AS year,
@@ -102,11 +106,15 @@ FROM (SELECT coalesce(w.topic, p.topic) AS topic, coalesce(w.year, p.year) AS ye
         split_part(coalesce(w.topic, p.topic), '_', 1) || '_' || split_part(coalesce(w.topic, p.topic), '_', 2) AS area,
         coalesce(w.c, 0) + coalesce(p.c, 0) AS total_docs
       FROM wc w FULL OUTER JOIN pc p ON w.topic = p.topic AND w.year IS NOT DISTINCT FROM p.year) x
-{_names3()}""", "doc_topics", "docs", "topic_names", extra={
+{_names3()}"""
+VOLUME_CTES = {
     "wc": """SELECT t.topic, d.year, count(*) AS c FROM doc_topics t LEFT JOIN docs d ON t.doc_id = d.doc_id
              WHERE t.level = 3 AND t.source = 'openalex' GROUP BY t.topic, d.year""",
     "pc": """SELECT t.topic, d.year, count(*) AS c FROM doc_topics t LEFT JOIN docs d ON t.doc_id = d.doc_id
-             WHERE t.level = 3 AND t.source = 'patents' GROUP BY t.topic, d.year"""}))
+             WHERE t.level = 3 AND t.source = 'patents' GROUP BY t.topic, d.year"""}
+
+
+@query("volume_table", oracle=with_views(VOLUME_SQL, "doc_topics", "docs", "topic_names", extra=VOLUME_CTES))
 def q_volume_table(spark, sf):
     t = tables(spark, sf)
     return I.volume_table(_topics(spark, sf), t.docs, t.topic_names)
@@ -186,7 +194,7 @@ def q_level_doc_counts(spark, sf):
 _DT_FLOATS = tuple(f"{lv}_cd_score{s}" for lv in ("topic", "area", "domain") for s in QUART)
 
 
-@query("disruption_table", oracle=_dis_oracle(f"""
+DIS_TABLE_SQL = f"""
 SELECT r.domain, r.area, r.topic, r.year,
   {', '.join(f'round(q_{lv}.{lv}_cd_score{s}, 6) AS {lv}_cd_score{s}' for lv in ('topic', 'area', 'domain') for s in QUART)},
   nt.name AS topic_name, na.name AS area_name, nd.name AS domain_name,
@@ -199,7 +207,10 @@ LEFT JOIN q_domain ON q_domain.year = r.year AND q_domain.domain = r.domain
 LEFT JOIN names nt ON nt.topic = r.topic LEFT JOIN names na ON na.topic = r.area LEFT JOIN names nd ON nd.topic = r.domain
 LEFT JOIN topent et ON et.topic = r.topic LEFT JOIN topent ea ON ea.topic = r.area LEFT JOIN topent ed ON ed.topic = r.domain
 LEFT JOIN c_topic ON c_topic.topic = r.topic LEFT JOIN c_area ON c_area.area = r.area
-LEFT JOIN c_domain ON c_domain.domain = r.domain""", "topic_names", "doc_entities", "taxonomy",
+LEFT JOIN c_domain ON c_domain.domain = r.domain"""
+
+
+@query("disruption_table", oracle=_dis_oracle(DIS_TABLE_SQL, "topic_names", "doc_entities", "taxonomy",
     extra={**TOPENT, "names": NAMES}))
 def q_disruption_table(spark, sf):
     t = tables(spark, sf)
@@ -209,7 +220,13 @@ def q_disruption_table(spark, sf):
 
 # -- novelty tables ----------------------------------------------------------
 def _nov_long(spark, sf):
-    return I.novelty_long({lvl: _doc_novelty(spark, sf, lvl) for lvl in (1, 2, 3)})
+    """Novelty of levels 1-3 in one pass (level is a key), staged."""
+    t = tables(spark, sf)
+
+    def build():
+        nin = N.novelty_input(_topics(spark, sf), t.docs, (1, 2, 3))
+        return I.novelty_long(N.document_novelty(nin, by=["level"]))
+    return t.stage("novelty_long", build)
 
 
 _NL = {}
@@ -252,7 +269,7 @@ _NT = {"nq": nearest_quartiles("nl", ["level", "topic", "year"], "novelty", "nov
 _NT_COLS = [f"novelty{s}" for s in QUART]
 
 
-@query("novelty_trends", oracle=_nl_oracle(f"""
+NOV_TRENDS_SQL = f"""
 SELECT x.topic, x.year, {', '.join(f'round(x.{c}, 6) AS topic_{c}' for c in _NT_COLS)}, x.doc_counts AS topic_doc_counts,
   x.domain, x.area,
   {', '.join(f'round(a.{c}, 6) AS area_{c}' for c in _NT_COLS)}, a.doc_counts AS area_doc_counts,
@@ -263,7 +280,10 @@ FROM (SELECT *, {EXP} FROM nqc WHERE level = 3) x
 LEFT JOIN (SELECT * FROM nqc WHERE level = 2) a ON a.topic = x.area AND a.year = x.year
 LEFT JOIN (SELECT * FROM nqc WHERE level = 1) d ON d.topic = x.domain AND d.year = x.year
 LEFT JOIN names nt ON nt.topic = x.topic LEFT JOIN names na ON na.topic = x.area LEFT JOIN names nd ON nd.topic = x.domain
-LEFT JOIN topent et ON et.topic = x.topic LEFT JOIN topent ea ON ea.topic = x.area LEFT JOIN topent ed ON ed.topic = x.domain""",
+LEFT JOIN topent et ON et.topic = x.topic LEFT JOIN topent ea ON ea.topic = x.area LEFT JOIN topent ed ON ed.topic = x.domain"""
+
+
+@query("novelty_trends", oracle=_nl_oracle(NOV_TRENDS_SQL,
     "topic_names", "doc_entities", "taxonomy", "works", extra={**_NT, **TOPENT, "names": NAMES}))
 def q_novelty_trends(spark, sf):
     t = tables(spark, sf)

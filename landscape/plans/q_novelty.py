@@ -19,9 +19,15 @@ TOPIC_LEVEL = 1
 YEAR = 1997
 
 
+def _topics(spark, sf):
+    """Document -> topic tags of all levels, staged once per session."""
+    t = tables(spark, sf)
+    return t.stage("doc_topics", lambda: E.tag_documents(t.doc_entities, t.taxonomy), ("level", "source"))
+
+
 def _novelty_in(spark, sf, level=LEVEL, source="openalex", id_column="work_id"):
     t = tables(spark, sf)
-    return N.novelty_input(E.tag_documents(t.doc_entities, t.taxonomy), t.docs, level, source, id_column)
+    return N.novelty_input(_topics(spark, sf), t.docs, level, source, id_column)
 
 
 def _oracle_ctes(level: int, source: str = "openalex", p: str = "") -> dict[str, str]:

@@ -30,3 +30,13 @@ WHERE rn <= {n} GROUP BY {key}"""
 def r6(cols: list[str], alias: str = "") -> str:
     a = f"{alias}." if alias else ""
     return ", ".join(f"round({a}{c}, 6) AS {c}" for c in cols)
+
+
+def mean6(value: str, weight: str | None = None, scale: int = 3) -> str:
+    """SQL twin of landscape.functions.exact.mean6."""
+    k = f"CAST(round({value} * {10 ** scale}) AS BIGINT)"
+    if weight is None:
+        s, n = f"sum({k})", f"count({k})"
+    else:
+        s, n = f"sum({k} * {weight})", f"sum(CASE WHEN {value} IS NOT NULL THEN {weight} END)"
+    return f"CAST(sign({s}) * floor((2 * abs({s}) * {10 ** (6 - scale)} + {n}) / (2 * {n})) / 1e6 AS DOUBLE)"

@@ -17,6 +17,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -37,6 +39,20 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stages: dict[str, DataFrame] = {}
+
+    def stage(self, name: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``build()`` once as parquet under the shared checkpoint folder
+        and read it back: later queries start from a short plan, and a lost
+        executor re-reads files instead of recomputing the lineage."""
+        if name not in self._stages:
+            path = scratch_path(self.spark, f"stage-{name}")
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
+            self._stages[name] = self.spark.read.parquet(path)
+        return self._stages[name]
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
