@@ -211,13 +211,43 @@ def novelty_growth(topic_nov: DataFrame, start_year: int, end_year: int,
 
 
 def novelty_quadrant(growth: DataFrame) -> DataFrame:
-    """Emerging / hot / stable uncommon / stable common by growth sign and the
-    median of avg_novelty."""
+    """Topics with growing novelty are "emerging" (average novelty below the
+    median over all topics) or "hot" (at or above it); declining ones are
+    "stable common" (below) or "stable uncommon" (at or above). ``abs_growth``
+    is the size of the growth or decline."""
     med = growth.agg(F.percentile("avg_novelty", F.lit(0.5)).alias("_med"))
     g, a = F.col("growth"), F.col("avg_novelty")
-    label = (F.when((g > 0) & (a >= F.col("_med")), "emerging")
+    high = a >= F.col("_med")
+    label = (F.when((g > 0) & ~high, "emerging")
              .when(g > 0, "hot")
-             .when(a >= F.col("_med"), "stable uncommon")
+             .when(high, "stable uncommon")
              .otherwise("stable common"))
-    return (growth.crossJoin(med)  # one-row side
+    return (growth.where(g != 0).crossJoin(med)  # one-row side
             .withColumn("abs_growth", F.abs(g)).withColumn("quadrant", label).drop("_med"))
+
+
+def novelty_zscore_wide(combined: DataFrame, year: int, measure: str = "topic_doc_novelty") -> DataFrame:
+    """Topic x source for one year, each source's column also as a z-score
+    over topics (sample standard deviation)."""
+    wide = (combined.where(F.col("year") == year)
+            .groupBy("topic").pivot("source", ["Research publications", "Patents"]).agg(F.first(measure))
+            .withColumnRenamed("Research publications", "OpenAlex"))
+    stats = wide.agg(F.avg("OpenAlex").alias("_mo"), F.stddev_samp("OpenAlex").alias("_so"),
+                     F.avg("Patents").alias("_mp"), F.stddev_samp("Patents").alias("_sp"))
+    return (wide.crossJoin(stats)  # one-row side
+            .withColumn("openalex_zscore", (F.col("OpenAlex") - F.col("_mo")) / F.col("_so"))
+            .withColumn("patents_zscore", (F.col("Patents") - F.col("_mp")) / F.col("_sp"))
+            .drop("_mo", "_so", "_mp", "_sp"))
+
+
+def top_growth_topics(growth: DataFrame, top_n: int = 25, rising: bool = True) -> DataFrame:
+    order = F.col("growth").desc() if rising else F.col("growth").asc()
+    return growth.where(F.col("growth").isNotNull()).orderBy(order, "topic").limit(top_n)
+
+
+def novelty_vs_popularity(topic_nov: DataFrame, year: int, min_docs: int = 50) -> DataFrame:
+    return topic_nov.where((F.col("year") == year) & (F.col("doc_counts") >= min_docs))
+
+
+def novelty_timeseries(topic_nov: DataFrame, topics: DataFrame) -> DataFrame:
+    return topic_nov.join(topics.select("topic"), "topic", "left_semi")

@@ -8,7 +8,7 @@ from ..operators import ingest as IG
 from ..session import scratch_path
 from ..sources import nested
 from .q_novelty import _topics
-from .registry import joined, query, tables
+from .registry import joined, query, r6, tables
 from .views_sql import with_views
 
 WL = """SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, s.s_name, n.n_name
@@ -198,7 +198,7 @@ def q_union_yearly_cd_scores(spark, sf):
     path = scratch_path(spark, "cd_scores_by_year")
     IG.write_by_year(tables(spark, sf).cd_scores, path)
     back = spark.read.parquet(path)  # year comes back as the partition column
-    return back.select("work_id", F.round("cd_score", 6).alias("cd_score"), F.col("year").cast("int").alias("year"))
+    return back.select("work_id", r6("cd_score").alias("cd_score"), F.col("year").cast("int").alias("year"))
 
 
 @query("read_works_json")

@@ -226,3 +226,93 @@ def q_combine_novelty_sources(spark, sf):
         _novelty_in(spark, sf, source="patents", id_column="publication_number"), "publication_number"),
         "publication_number")
     return finish(N.combine_novelty_sources(w, p), floats=("topic_doc_novelty",))
+
+
+# -- novelty charts -------------------------------------------------------------------
+START, END = 1996, 1998
+
+
+def _tdn(spark, sf, source="openalex"):
+    idc = "work_id" if source == "openalex" else "publication_number"
+    nin = _novelty_in(spark, sf, source=source, id_column=idc)
+    return N.topic_document_novelty(N.document_novelty(nin, idc), idc)
+
+
+def _growth(spark, sf):
+    t = tables(spark, sf)
+    names = t.topic_names.where(F.col("level") == LEVEL).select("topic", F.col("name").alias("topic_name"))
+    return N.novelty_growth(_tdn(spark, sf), START, END).join(names, "topic", "left")
+
+
+_GROWTH_CTE = f"""
+SELECT g.topic, g.avg_novelty, g.growth, g.doc_counts, n.name AS topic_name FROM (
+  SELECT topic, avg(CASE WHEN year BETWEEN {START} AND {END} THEN topic_doc_novelty END) AS avg_novelty,
+    (avg(CASE WHEN year BETWEEN {END - 2} AND {END - 1} THEN topic_doc_novelty END)
+     - avg(CASE WHEN year BETWEEN {START - 2} AND {START - 1} THEN topic_doc_novelty END))
+     / avg(CASE WHEN year BETWEEN {START - 2} AND {START - 1} THEN topic_doc_novelty END) AS growth,
+    sum(CASE WHEN year BETWEEN {START} AND {END} THEN doc_counts END) AS doc_counts
+  FROM tdn GROUP BY topic) g
+LEFT JOIN (SELECT topic, name FROM topic_names WHERE level = {LEVEL}) n ON g.topic = n.topic"""
+
+
+def _o_growth(body: str) -> str:
+    ctes = _oracle_ctes(LEVEL)
+    ctes["gr"] = _GROWTH_CTE
+    return with_views(body, "doc_topics", "docs", "topic_names", extra=ctes)
+
+
+_GR_FLOATS = ("avg_novelty", "growth")
+
+
+@query("novelty_growth", oracle=_o_growth("""
+SELECT topic, round(avg_novelty, 6) AS avg_novelty, round(growth, 6) AS growth, CAST(doc_counts AS BIGINT) AS doc_counts,
+  topic_name FROM gr"""))
+def q_novelty_growth(spark, sf):
+    return finish(_growth(spark, sf), floats=_GR_FLOATS)
+
+
+@query("top_growth_topics", oracle=_o_growth("""
+SELECT topic, round(avg_novelty, 6) AS avg_novelty, round(growth, 6) AS growth, CAST(doc_counts AS BIGINT) AS doc_counts,
+  topic_name FROM gr WHERE growth IS NOT NULL ORDER BY round(growth, 6) DESC, topic LIMIT 5"""))
+def q_top_growth_topics(spark, sf):
+    return N.top_growth_topics(finish(_growth(spark, sf), floats=_GR_FLOATS), 5)
+
+
+@query("novelty_quadrant", oracle=_o_growth("""
+SELECT topic, round(avg_novelty, 6) AS avg_novelty, round(growth, 6) AS growth, CAST(doc_counts AS BIGINT) AS doc_counts,
+  topic_name, round(abs(growth), 6) AS abs_growth,
+  CASE WHEN growth > 0 AND avg_novelty < m THEN 'emerging' WHEN growth > 0 THEN 'hot'
+       WHEN avg_novelty >= m THEN 'stable uncommon' ELSE 'stable common' END AS quadrant
+FROM gr CROSS JOIN (SELECT quantile_cont(avg_novelty, 0.5) AS m FROM gr) x WHERE growth <> 0"""))
+def q_novelty_quadrant(spark, sf):
+    return finish(N.novelty_quadrant(_growth(spark, sf)), floats=_GR_FLOATS + ("abs_growth",))
+
+
+@query("novelty_vs_popularity", oracle=_o("""
+SELECT topic, year, round(topic_doc_novelty, 6) AS topic_doc_novelty, doc_counts FROM tdn
+WHERE year = 1996 AND doc_counts >= 50"""))
+def q_novelty_vs_popularity(spark, sf):
+    return finish(N.novelty_vs_popularity(_tdn(spark, sf), 1996, 50), floats=("topic_doc_novelty",))
+
+
+@query("novelty_timeseries", oracle=_o("""
+SELECT topic, year, round(topic_doc_novelty, 6) AS topic_doc_novelty, doc_counts FROM tdn
+WHERE topic IN ('0_1_2', '2_2_0', '3_0_1')"""))
+def q_novelty_timeseries(spark, sf):
+    sel = spark.createDataFrame([("0_1_2",), ("2_2_0",), ("3_0_1",)], "topic string")
+    return finish(N.novelty_timeseries(_tdn(spark, sf), sel), floats=("topic_doc_novelty",))
+
+
+@query("novelty_zscore_wide", oracle=with_views("""
+SELECT w.topic, round(w.OpenAlex, 6) AS OpenAlex, round(w.Patents, 6) AS Patents,
+  round((w.OpenAlex - s.mo) / s.so, 6) AS openalex_zscore, round((w.Patents - s.mp) / s.sp, 6) AS patents_zscore
+FROM wide w CROSS JOIN (SELECT avg(OpenAlex) AS mo, stddev_samp(OpenAlex) AS so, avg(Patents) AS mp,
+                               stddev_samp(Patents) AS sp FROM wide) s""", "doc_topics", "docs", extra={
+    **_oracle_ctes(LEVEL, "openalex", "w_"), **_oracle_ctes(LEVEL, "patents", "p_"),
+    "wide": """SELECT coalesce(a.topic, b.topic) AS topic, a.topic_doc_novelty AS OpenAlex, b.topic_doc_novelty AS Patents
+      FROM (SELECT * FROM w_tdn WHERE year = 1996) a FULL OUTER JOIN (SELECT * FROM p_tdn WHERE year = 1996) b
+      ON a.topic = b.topic"""}))
+def q_novelty_zscore_wide(spark, sf):
+    comb = N.combine_novelty_sources(_tdn(spark, sf), _tdn(spark, sf, "patents"))
+    return finish(N.novelty_zscore_wide(comb, 1996),
+                  floats=("OpenAlex", "Patents", "openalex_zscore", "patents_zscore"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import validation as V
-from .registry import finish, query, tables
+from .registry import finish, query, r6, tables
 from .views_sql import with_views
 
 UNP = " UNION ALL ".join(f"SELECT entity, {i} AS level, Level_{i} AS topic FROM taxonomy" for i in range(1, 6))
@@ -105,7 +105,7 @@ CD = {"cdx": """SELECT u.level, u.topic, u.entity, e.dim, e.x FROM unp u JOIN (
 def q_centroid_distances(spark, sf):
     t = tables(spark, sf)
     d = V.centroid_distances(t.taxonomy, t.entity_embeddings)
-    return d.withColumn("distance", F.round("distance", 4))
+    return d.withColumn("distance", r6("distance", 4))
 
 
 @query("distance_timeseries", oracle=_o("""
@@ -116,7 +116,7 @@ def q_distance_timeseries(spark, sf):
     t = tables(spark, sf)
     out = V.distance_timeseries(V.centroid_distances(t.taxonomy, t.entity_embeddings))
     for c in ("mean", "std", "upper", "lower"):
-        out = out.withColumn(c, F.round(c, 4))
+        out = out.withColumn(c, r6(c, 4))
     return out
 
 

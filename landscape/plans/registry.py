@@ -66,8 +66,13 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _TABLES[key]
 
 
-def r6(c: str | Column) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+def r6(c: str | Column, digits: int = 6) -> Column:
+    """Round for output as round(x * 10^d) / 10^d in double arithmetic (the
+    way DuckDB rounds doubles), so exact binary ties come out the same in both
+    engines."""
+    col = F.col(c) if isinstance(c, str) else c
+    m = float(10 ** digits)
+    return F.round(col * F.lit(m), 0) / F.lit(m)
 
 
 def joined(c: str | Column) -> Column:
