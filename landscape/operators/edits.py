@@ -66,3 +66,101 @@ def tax_finalise(edited: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFr
     alive = tax.select(F.inline(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"Level_{i}").alias("topic"))
                                          for i in range(1, 6)]))).distinct()
     return tax, names.join(alive, ["level", "topic"], "left_semi")
+
+
+# Continent tags of the country branch and their Level_2 ids
+# (any other continent goes to 25_7).
+CONTINENTS = [
+    "Africa",
+    "Asia and Middle East",
+    "Europe",
+    "North America, Central America, and Caribbean",
+    "South America",
+    "Oceania",
+    "Antarctica",
+]
+COUNTRY_ROOT = "25"
+
+
+def country_tags(tags: DataFrame, entity_reassign: DataFrame, country_remove: DataFrame,
+                 country_reassign: DataFrame, continents: DataFrame) -> DataFrame:
+    """(country, entity, continent) from long (country, entity) tags: entities
+    remapped, removed countries dropped, countries relabelled, continent mapped."""
+    t = (tags.join(F.broadcast(entity_reassign), "entity", "left")
+         .select("country", F.coalesce("new_entity", "entity").alias("entity"))
+         .join(F.broadcast(country_remove), "country", "left_anti")
+         .join(F.broadcast(country_reassign), "country", "left")
+         .select(F.coalesce("new_country", "country").alias("country"), "entity"))
+    return t.join(F.broadcast(continents), "country", "left").distinct()
+
+
+def tax_add_country_branch(tags: DataFrame) -> DataFrame:
+    """Country branch rows: Level_1 = 25, Level_2 by continent (25_0..25_6,
+    else 25_7), Level_3 = the country's index inside its continent (by name),
+    Level_4 = Level_5 = Level_3; an entity tagged with several countries keeps
+    the first by name."""
+    from pyspark.sql import Window
+    l2 = F.lit(f"{COUNTRY_ROOT}_7")
+    for i, c in reversed(list(enumerate(CONTINENTS))):
+        l2 = F.when(F.col("continent") == c, F.lit(f"{COUNTRY_ROOT}_{i}")).otherwise(l2)
+    t = tags.withColumn("Level_2", l2)
+    # countries are few (one row per country): rank them inside their continent
+    idx = (t.select("Level_2", "country").distinct()
+           .withColumn("_i", F.dense_rank().over(Window.partitionBy("Level_2").orderBy("country")) - 1))
+    t = t.join(idx, ["Level_2", "country"])
+    first = Window.partitionBy("entity").orderBy("country")
+    t = t.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
+    l3 = F.concat(F.col("Level_2"), F.lit("_"), F.col("_i").cast("string"))
+    return t.select("entity", F.lit(COUNTRY_ROOT).alias("Level_1"), "Level_2", l3.alias("Level_3"),
+                    l3.alias("Level_4"), l3.alias("Level_5"))
+
+
+def _last_segment_max(taxonomy: DataFrame, parent_col: str, child_col: str) -> DataFrame:
+    return (taxonomy.select(F.col(parent_col).alias("parent"), F.col(child_col).alias("_c")).distinct()
+            .groupBy("parent").agg(F.max(F.element_at(F.split("_c", "_"), -1).cast("int")).alias("_max")))
+
+
+def tax_merge_topics(taxonomy: DataFrame, merges: DataFrame) -> DataFrame:
+    """Move a domain under another domain (new area = max area + 1, topics
+    ``<area>_0``) or an area under another area (new topic = max topic + 1).
+    Merges into the same parent take consecutive ids in list order (``seq``)."""
+    from pyspark.sql import Window
+    is_dom = F.size(F.split("target", "_")) == 1
+    dom = merges.where(is_dom)
+    area = merges.where(~is_dom)
+    w = Window.partitionBy("target").orderBy("seq")
+    dmax = _last_segment_max(taxonomy, "Level_1", "Level_2").withColumnRenamed("parent", "target")
+    amax = _last_segment_max(taxonomy, "Level_2", "Level_3").withColumnRenamed("parent", "target")
+    dom = (F.broadcast(dom).join(dmax, "target", "left")
+           .withColumn("_new", F.concat("target", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string")))
+           .select(F.col("topic").alias("_dt"), F.col("target").alias("_dl1"), F.col("_new").alias("_dl2")))
+    area = (F.broadcast(area).join(amax, "target", "left")
+            .withColumn("_new", F.concat("target", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string")))
+            .select(F.col("topic").alias("_at"), F.col("target").alias("_al2"), F.col("_new").alias("_al3")))
+    j = (taxonomy.join(F.broadcast(dom), F.col("Level_1") == F.col("_dt"), "left")
+         .join(F.broadcast(area), F.col("Level_2") == F.col("_at"), "left"))
+    d, a = F.col("_dt").isNotNull(), F.col("_at").isNotNull()
+    d0 = F.concat(F.col("_dl2"), F.lit("_0"))
+    return j.select(
+        "entity",
+        F.when(d, F.col("_dl1")).when(a, F.substring_index("_al2", "_", 1)).otherwise(F.col("Level_1")).alias("Level_1"),
+        F.when(d, F.col("_dl2")).when(a, F.col("_al2")).otherwise(F.col("Level_2")).alias("Level_2"),
+        *[F.when(d, d0).when(a, F.col("_al3")).otherwise(F.col(f"Level_{i}")).alias(f"Level_{i}") for i in (3, 4, 5)])
+
+
+def tax_split_topics(taxonomy: DataFrame, splits: DataFrame) -> DataFrame:
+    """Give listed entity groups new areas inside the domain of ``topic``:
+    consecutive ids after the domain's largest area (``seq`` orders groups),
+    topics ``<area>_0``. ``splits``: (topic, seq, entity)."""
+    from pyspark.sql import Window
+    groups = splits.select("topic", "seq").distinct().withColumn("domain", F.substring_index("topic", "_", 1))
+    dmax = _last_segment_max(taxonomy, "Level_1", "Level_2").withColumnRenamed("parent", "domain")
+    w = Window.partitionBy("domain").orderBy("seq")
+    ids = (F.broadcast(groups).join(dmax, "domain", "left")
+           .withColumn("_a", F.concat("domain", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string"))))
+    ent = F.broadcast(splits.join(ids.select("topic", "seq", "_a"), ["topic", "seq"]).select("entity", "_a"))
+    j = taxonomy.join(ent, "entity", "left")
+    s = F.col("_a").isNotNull()
+    return j.select("entity", "Level_1", F.when(s, F.col("_a")).otherwise(F.col("Level_2")).alias("Level_2"),
+                    *[F.when(s, F.concat("_a", F.lit("_0"))).otherwise(F.col(f"Level_{i}")).alias(f"Level_{i}")
+                      for i in (3, 4, 5)])

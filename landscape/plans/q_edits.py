@@ -90,3 +90,95 @@ def q_tax_finalise(spark, sf):
     moved = ED.tax_move_areas(t.taxonomy.where(F.col("Level_1") == "3"), MOVE_DOMAINS).withColumn("seq", F.lit(1))
     tax, _names = ED.tax_finalise(base.unionByName(moved), t.topic_names)
     return tax
+
+
+# -- country branch, merges, splits ---------------------------------------------------
+# Fixed edit lists for the country branch (curated values).
+ENTITY_REASSIGN = [("e5", "e6")]
+COUNTRY_REMOVE = ["ALGERIA"]
+COUNTRY_REASSIGN = [("UNITED STATES", "UNITED STATES OF AMERICA")]
+REGION_CONTINENT = [("AFRICA", "Africa"), ("AMERICA", "North America, Central America, and Caribbean"),
+                    ("ASIA", "Asia and Middle East"), ("EUROPE", "Europe"), ("MIDDLE EAST", "Asia and Middle East")]
+MERGES = [("2", "1", 0), ("0_0", "0_1", 1), ("0_2", "0_1", 2)]
+SPLITS = [("3_1", 0, "e7"), ("3_1", 0, "e19"), ("3_1", 1, "e23")]
+
+TAGS_SQL = """SELECT DISTINCT w.venue_display_name AS country, e.entity FROM doc_entities e JOIN works w ON e.doc_id = w.work_id
+WHERE e.confidence = 100 AND w.venue_display_name IS NOT NULL"""
+CONT_SQL = f"""SELECT n.n_name AS country, c.continent FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+JOIN (VALUES {_vals(REGION_CONTINENT)}) c(region, continent) ON r.r_name = c.region"""
+CTAGS_SQL = f"""SELECT DISTINCT coalesce(cr.new_country, t.country) AS country, t.entity, ct.continent FROM (
+  SELECT t0.country, coalesce(er.new_entity, t0.entity) AS entity FROM tags t0
+  LEFT JOIN (VALUES {_vals(ENTITY_REASSIGN)}) er(entity, new_entity) ON t0.entity = er.entity) t
+LEFT JOIN (VALUES {_vals(COUNTRY_REASSIGN)}) cr(country, new_country) ON t.country = cr.country
+LEFT JOIN cont ct ON ct.country = coalesce(cr.new_country, t.country)
+WHERE t.country NOT IN ({', '.join(repr(c) for c in COUNTRY_REMOVE)})"""
+
+
+def _country_tags(spark, sf):
+    t = tables(spark, sf)
+    w = t.works.where(F.col("venue_display_name").isNotNull())
+    tags = (t.doc_entities.where(F.col("confidence") == 100)
+            .join(w.select(F.col("work_id").alias("doc_id"), F.col("venue_display_name").alias("country")), "doc_id")
+            .select("country", "entity").distinct())
+    cont = (t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey)
+            .join(F.broadcast(_lit(spark, REGION_CONTINENT, "r_name string, continent string")), "r_name")
+            .select(F.col("n_name").alias("country"), "continent"))
+    return ED.country_tags(tags, _lit(spark, ENTITY_REASSIGN, "entity string, new_entity string"),
+                           _lit(spark, [(c,) for c in COUNTRY_REMOVE], "country string"),
+                           _lit(spark, COUNTRY_REASSIGN, "country string, new_country string"), cont)
+
+
+@query("country_tags", oracle=with_views("SELECT country, entity, continent FROM ctags", "doc_entities", "works",
+                                         extra={"tags": TAGS_SQL, "cont": CONT_SQL, "ctags": CTAGS_SQL}))
+def q_country_tags(spark, sf):
+    return _country_tags(spark, sf)
+
+
+_L2 = "CASE " + " ".join(f"WHEN continent = '{c}' THEN '25_{i}'" for i, c in enumerate(ED.CONTINENTS)) + " ELSE '25_7' END"
+
+
+@query("tax_add_country_branch", oracle=with_views(f"""
+SELECT entity, '25' AS Level_1, Level_2, Level_2 || '_' || CAST(i AS STRING) AS Level_3,
+  Level_2 || '_' || CAST(i AS STRING) AS Level_4, Level_2 || '_' || CAST(i AS STRING) AS Level_5
+FROM (SELECT t.*, dense_rank() OVER (PARTITION BY Level_2 ORDER BY country) - 1 AS i,
+             row_number() OVER (PARTITION BY entity ORDER BY country) AS rn
+      FROM (SELECT *, {_L2} AS Level_2 FROM ctags) t) x WHERE rn = 1""", "doc_entities", "works",
+    extra={"tags": TAGS_SQL, "cont": CONT_SQL, "ctags": CTAGS_SQL}))
+def q_tax_add_country_branch(spark, sf):
+    return ED.tax_add_country_branch(_country_tags(spark, sf))
+
+
+@query("tax_merge_topics", oracle=with_views("""
+SELECT t.entity,
+  CASE WHEN d.topic IS NOT NULL THEN d.target WHEN a.topic IS NOT NULL THEN split_part(a.target, '_', 1) ELSE t.Level_1 END AS Level_1,
+  CASE WHEN d.topic IS NOT NULL THEN d.new WHEN a.topic IS NOT NULL THEN a.target ELSE t.Level_2 END AS Level_2,
+  CASE WHEN d.topic IS NOT NULL THEN d.new || '_0' WHEN a.topic IS NOT NULL THEN a.new ELSE t.Level_3 END AS Level_3,
+  CASE WHEN d.topic IS NOT NULL THEN d.new || '_0' WHEN a.topic IS NOT NULL THEN a.new ELSE t.Level_4 END AS Level_4,
+  CASE WHEN d.topic IS NOT NULL THEN d.new || '_0' WHEN a.topic IS NOT NULL THEN a.new ELSE t.Level_5 END AS Level_5
+FROM taxonomy t
+LEFT JOIN (SELECT m.topic, m.target, m.target || '_' || CAST(coalesce(x.mx, -1) + row_number() OVER (PARTITION BY m.target ORDER BY m.seq) AS STRING) AS new
+           FROM mg m LEFT JOIN (SELECT Level_1 AS p, max(CAST(split_part(Level_2, '_', -1) AS INT)) AS mx FROM taxonomy GROUP BY Level_1) x
+           ON x.p = m.target WHERE strpos(m.target, '_') = 0) d ON t.Level_1 = d.topic
+LEFT JOIN (SELECT m.topic, m.target, m.target || '_' || CAST(coalesce(x.mx, -1) + row_number() OVER (PARTITION BY m.target ORDER BY m.seq) AS STRING) AS new
+           FROM mg m LEFT JOIN (SELECT Level_2 AS p, max(CAST(split_part(Level_3, '_', -1) AS INT)) AS mx FROM taxonomy GROUP BY Level_2) x
+           ON x.p = m.target WHERE strpos(m.target, '_') > 0) a ON t.Level_2 = a.topic""", "taxonomy",
+    extra={"mg": f"SELECT * FROM (VALUES {_vals(MERGES)}) v(topic, target, seq)"}))
+def q_tax_merge_topics(spark, sf):
+    m = _lit(spark, MERGES, "topic string, target string, seq int")
+    return ED.tax_merge_topics(tables(spark, sf).taxonomy, m)
+
+
+@query("tax_split_topics", oracle=with_views("""
+SELECT t.entity, t.Level_1, coalesce(s.a, t.Level_2) AS Level_2, coalesce(s.a || '_0', t.Level_3) AS Level_3,
+  coalesce(s.a || '_0', t.Level_4) AS Level_4, coalesce(s.a || '_0', t.Level_5) AS Level_5
+FROM taxonomy t LEFT JOIN (
+  SELECT sp.entity, g.a FROM sp JOIN (
+    SELECT topic, seq, split_part(topic, '_', 1) || '_' || CAST(coalesce(x.mx, -1)
+      + row_number() OVER (PARTITION BY split_part(topic, '_', 1) ORDER BY seq) AS STRING) AS a
+    FROM (SELECT DISTINCT topic, seq FROM sp) q
+    LEFT JOIN (SELECT Level_1 AS p, max(CAST(split_part(Level_2, '_', -1) AS INT)) AS mx FROM taxonomy GROUP BY Level_1) x
+      ON x.p = split_part(q.topic, '_', 1)) g ON g.topic = sp.topic AND g.seq = sp.seq) s ON t.entity = s.entity""",
+    "taxonomy", extra={"sp": f"SELECT * FROM (VALUES {_vals(SPLITS)}) v(topic, seq, entity)"}))
+def q_tax_split_topics(spark, sf):
+    s = _lit(spark, SPLITS, "topic string, seq int, entity string")
+    return ED.tax_split_topics(tables(spark, sf).taxonomy, s)

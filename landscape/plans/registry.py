@@ -33,7 +33,7 @@ _REGISTRY: dict[str, Entry] = {}
 
 MODULES = [
     "entities", "novelty", "indicators", "dashboards", "naming", "graph",
-    "clusters", "edits", "validation", "journals", "rollups", "ingest",
+    "clusters", "edits", "validation", "journals", "rollups", "ingest", "simulations",
 ]
 
 
