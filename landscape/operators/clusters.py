@@ -127,3 +127,119 @@ def label_paths(labels: DataFrame, levels: Sequence[str]) -> DataFrame:
     return labels.select("entity", *[
         F.array_join(F.filter(F.slice(arr, 1, i + 1), lambda x: x.isNotNull() & (x != "")), "_").alias(c)
         for i, c in enumerate(levels)])
+
+
+# -- nested k-means: one joint Lloyd iteration for all parents --------------------------
+def _sqdist(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def kmeans_nested(points: DataFrame, k: int, iterations: int = 10, seed: int = 1,
+                  imbalanced: bool = False, min_size: int = 10) -> DataFrame:
+    """Cluster inside every parent at once: (entity, parent, cluster).
+
+    ``points``: (entity, parent, embedding). A parent with fewer than
+    ``min_size`` members, or with no more members than clusters, passes
+    through with an empty label. With ``imbalanced`` a parent gets
+    k_p = max(round(n_p / N * k), 2) clusters. Initial centroids are the k_p
+    members with the smallest seeded hash (a per-parent top-k that Spark
+    limits before the shuffle); each iteration assigns points to the nearest
+    centroid of their parent (a join on parent against the small centroid
+    table) and averages per dimension. Centroids are checkpointed per round.
+    """
+    pts = points.select("entity", "parent", F.col("embedding").cast("array<double>").alias("v"))
+    sizes = pts.groupBy("parent").agg(F.count("*").alias("n"))
+    total = pts.agg(F.count("*").alias("_total"))
+    if imbalanced:
+        kp = F.greatest(F.round(F.col("n") / F.col("_total") * k), F.lit(2)).cast("int")
+    else:
+        kp = F.lit(k)
+    sizes = sizes.crossJoin(total).withColumn("kp", kp)  # one-row side
+    active = sizes.where((F.col("n") >= min_size) & (F.col("kp") < F.col("n"))).select("parent", "kp")
+    ranked = (pts.join(active, "parent")
+              .withColumn("_r", F.row_number().over(Window.partitionBy("parent").orderBy(F.xxhash64("entity", F.lit(seed)), "entity"))))
+    cents = ranked.where(F.col("_r") <= F.col("kp")).select("parent", (F.col("_r") - 1).alias("cid"), F.col("v").alias("c"))
+    cents = cents.checkpoint()
+    members = pts.join(active.select("parent"), "parent")
+    for _ in range(iterations):
+        assign = (members.join(cents, "parent")
+                  .withColumn("d", _sqdist(F.col("v"), F.col("c")))
+                  .groupBy("entity", "parent").agg(F.min(F.struct("d", "cid")).alias("_m"))
+                  .select("entity", "parent", F.col("_m.cid").alias("cid")))
+        upd = (assign.join(members, ["entity", "parent"])
+               .select("parent", "cid", F.posexplode("v").alias("dim", "x"))
+               .groupBy("parent", "cid", "dim").agg(F.avg("x").alias("x"))
+               .groupBy("parent", "cid").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_c"))
+               .select("parent", "cid", F.transform("_c", lambda s: s["x"]).alias("c")))
+        # a centroid that lost all its points keeps its position
+        cents = (cents.join(upd.withColumnRenamed("c", "_new"), ["parent", "cid"], "left")
+                 .select("parent", "cid", F.coalesce("_new", "c").alias("c"))).checkpoint()
+    final = (members.join(cents, "parent").withColumn("d", _sqdist(F.col("v"), F.col("c")))
+             .groupBy("entity", "parent").agg(F.min(F.struct("d", "cid")).alias("_m"))
+             .select("entity", "parent", F.col("_m.cid").cast("string").alias("cluster")))
+    passing = pts.join(active.select("parent"), "parent", "left_anti").select("entity", "parent", F.lit("").alias("cluster"))
+    return final.unionByName(passing)
+
+
+def param_grid(params: dict[str, list]) -> list[dict]:
+    """Cartesian product of list-valued parameters (a handful of runs)."""
+    import itertools
+    keys = list(params)
+    return [dict(zip(keys, vals)) for vals in itertools.product(*[params[k] for k in keys])]
+
+
+def gmm_model_selection(embeddings: DataFrame, ks: Sequence[int], seed: int = 1) -> DataFrame:
+    """AIC / BIC of full-covariance Gaussian mixtures over component counts."""
+    v = vectors(embeddings)
+    n = v.count()
+    d = len(v.first()["features"])
+    rows = []
+    for k in ks:
+        ll = GaussianMixture(k=k, seed=seed, maxIter=50).fit(v).summary.logLikelihood
+        p = k * (d + d * (d + 1) / 2) + (k - 1)
+        rows.append((int(k), float(ll), float(2 * p - 2 * ll), float(p * __import__("math").log(n) - 2 * ll)))
+    return embeddings.sparkSession.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double")
+
+
+def embedding_sample(embeddings: DataFrame, pinned: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """Hash sample of the embeddings plus the pinned entities."""
+    from ..functions.sampling import unit_hash
+    sampled = embeddings.where(unit_hash("entity", seed) < fraction)
+    pins = embeddings.join(pinned.select("entity"), "entity", "left_semi")
+    return sampled.unionByName(pins).dropDuplicates(["entity"])
+
+
+def scaled_k(k: int, fraction: float) -> int:
+    return max(int(round(k * fraction)), 2)
+
+
+def embedding_noise(kept: DataFrame, discarded: DataFrame, fractions: Sequence[float], seed: int = 0) -> DataFrame:
+    """Per fraction: all kept embeddings plus that fraction of discarded
+    entities not already kept (one pass, fraction as a key)."""
+    from ..functions.sampling import unit_hash
+    spark = kept.sparkSession
+    fr = F.broadcast(spark.createDataFrame([(float(f),) for f in fractions], "fraction double"))  # literal
+    extra = discarded.join(kept.select("entity"), "entity", "left_anti")
+    noisy = extra.crossJoin(fr).where(unit_hash("entity", seed) < F.col("fraction"))
+    return kept.crossJoin(fr).unionByName(noisy)
+
+
+def normalise_centroid_ids(labels: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """Strip the "ce" prefix, renumber the children of every parent 0..n-1 in
+    integer order, give an only child an empty label and rebuild the paths.
+    A parent holds at most k children, so its window stays small."""
+    out = labels.select("entity", *[F.regexp_replace(c, "^ce", "").cast("int").alias(c) for c in levels])
+    for i, c in enumerate(levels):
+        parent = F.concat_ws("_", F.lit(""), *[F.col(x).cast("string") for x in levels[:i]])
+        out = out.withColumn("_par", parent)
+        kids = out.select("_par", c).distinct()
+        kids = (kids.withColumn("_r", F.dense_rank().over(Window.partitionBy("_par").orderBy(c)) - 1)
+                .withColumn("_k", F.count("*").over(Window.partitionBy("_par"))))
+        out = (out.join(kids, ["_par", c])
+               .withColumn(f"_n_{c}", F.when(F.col("_k") > 1, F.col("_r").cast("string")).otherwise(F.lit("")))
+               .drop("_r", "_k", "_par"))
+    cols = []
+    for i, c in enumerate(levels):
+        arr = F.array(*[F.col(f"_n_{x}") for x in levels[: i + 1]])
+        cols.append(F.array_join(F.filter(arr, lambda s: s != ""), "_").alias(c))
+    return out.select("entity", *cols)

@@ -75,3 +75,79 @@ def q_label_paths(spark, sf):
     raw = t.select("entity", F.get(parts, 0).alias("Level_1"), F.get(parts, 3).alias("Level_2"),
                    F.get(parts, 4).alias("Level_3"))
     return C.label_paths(raw, LV)
+
+
+def _points(spark, sf):
+    t = tables(spark, sf)
+    from pyspark.sql import functions as F
+    return t.entity_embeddings.join(t.taxonomy.select("entity", F.col("Level_1").alias("parent")), "entity")
+
+
+@query("kmeans_nested")
+def q_kmeans_nested(spark, sf):
+    return C.kmeans_nested(_points(spark, sf), 3, iterations=8)
+
+
+@query("kmeans_nested_imbalanced")
+def q_kmeans_nested_imbalanced(spark, sf):
+    return C.kmeans_nested(_points(spark, sf), 8, iterations=8, imbalanced=True)
+
+
+@query("param_grid")
+def q_param_grid(spark, sf):
+    from pyspark.sql import functions as F
+    out = None
+    for cfg in C.param_grid({"k": [4, 8], "seed": [1, 2]}):
+        run = C.kmeans_flat(_emb(spark, sf), cfg["k"], cfg["seed"]).withColumn(
+            "config", F.lit(f"k={cfg['k']},seed={cfg['seed']}"))
+        out = run if out is None else out.unionByName(run)
+    return out
+
+
+@query("gmm_model_selection")
+def q_gmm_model_selection(spark, sf):
+    return C.gmm_model_selection(C.pca_reduce(_emb(spark, sf)), [2, 3, 4])
+
+
+@query("embedding_sample")
+def q_embedding_sample(spark, sf):
+    t = tables(spark, sf)
+    return C.embedding_sample(_emb(spark, sf), t.entity_groups, 0.25, seed=5)
+
+
+@query("embedding_noise")
+def q_embedding_noise(spark, sf):
+    t = tables(spark, sf)
+    emb = _emb(spark, sf)
+    kept = emb.join(t.taxonomy.select("entity"), "entity", "left_semi")
+    dropped = emb.join(t.taxonomy.select("entity"), "entity", "left_anti")
+    return C.embedding_noise(kept, dropped, [round(10 ** (-1 + i / 9), 4) for i in range(10)])
+
+
+_CE = ", ".join(f"'ce' || CAST(CAST(split_part(Level_{i}, '_', -1) AS INT) * 7 + 3 AS STRING) AS Level_{i}" for i in (1, 2, 3))
+
+
+@query("normalise_centroid_ids", oracle=with_views("""
+SELECT r.entity,
+  coalesce(nullif(l1, ''), '') AS Level_1,
+  concat_ws('_', nullif(l1, ''), nullif(l2, '')) AS Level_2,
+  concat_ws('_', nullif(l1, ''), nullif(l2, ''), nullif(l3, '')) AS Level_3
+FROM (SELECT x.entity,
+        CASE WHEN k1.k > 1 THEN CAST(k1.r AS STRING) ELSE '' END AS l1,
+        CASE WHEN k2.k > 1 THEN CAST(k2.r AS STRING) ELSE '' END AS l2,
+        CASE WHEN k3.k > 1 THEN CAST(k3.r AS STRING) ELSE '' END AS l3
+      FROM raw x
+      JOIN (SELECT a, dense_rank() OVER (ORDER BY a) - 1 AS r, count(*) OVER () AS k FROM (SELECT DISTINCT a FROM raw) u) k1 ON k1.a = x.a
+      JOIN (SELECT a, b, dense_rank() OVER (PARTITION BY a ORDER BY b) - 1 AS r, count(*) OVER (PARTITION BY a) AS k
+            FROM (SELECT DISTINCT a, b FROM raw) u) k2 ON k2.a = x.a AND k2.b = x.b
+      JOIN (SELECT a, b, c, dense_rank() OVER (PARTITION BY a, b ORDER BY c) - 1 AS r, count(*) OVER (PARTITION BY a, b) AS k
+            FROM (SELECT DISTINCT a, b, c FROM raw) u) k3 ON k3.a = x.a AND k3.b = x.b AND k3.c = x.c) r""",
+    "taxonomy", extra={"raw": "SELECT entity, " + ", ".join(
+        f"CAST(split_part(Level_{i}, '_', -1) AS INT) * 7 + 3 AS {v}" for i, v in ((1, 'a'), (2, 'b'), (4, 'c')))
+        + " FROM taxonomy"}))
+def q_normalise_centroid_ids(spark, sf):
+    from pyspark.sql import functions as F
+    t = tables(spark, sf).taxonomy
+    raw = t.select("entity", *[F.concat(F.lit("ce"), (F.element_at(F.split(f"Level_{i}", "_"), -1).cast("int") * 7 + 3)
+                                        .cast("string")).alias(n) for i, n in ((1, "Level_1"), (2, "Level_2"), (4, "Level_3"))])
+    return C.normalise_centroid_ids(raw, LV)
