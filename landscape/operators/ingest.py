@@ -210,3 +210,39 @@ def citation_request_batches(works: DataFrame, citations: DataFrame, min_citatio
          .groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("ids"),
                                F.count("*").alias("n_ids")))
     return b.withColumn("chunk", F.floor(F.col("batch") / per_chunk).cast("bigint"))
+
+
+# Response pages of the citation API: {meta: {...}, results: [{id, referenced_works}]}
+PAGE_SCHEMA = T.StructType([
+    T.StructField("meta", T.StructType([T.StructField("count", T.LongType()), T.StructField("page", T.IntegerType())])),
+    T.StructField("results", T.ArrayType(T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("referenced_works", T.ArrayType(T.StringType()))]))),
+])
+
+
+def parse_forward_citations(pages: DataFrame, json_col: str = "json") -> DataFrame:
+    """(citing, cited) edges from response pages; a work listed on several
+    pages keeps the entry of the last page."""
+    p = pages.select(F.from_json(json_col, PAGE_SCHEMA).alias("p"))
+    r = p.select(F.col("p.meta.page").alias("page"), F.explode("p.results").alias("r"))
+    w = Window.partitionBy("id").orderBy(F.col("page").desc())
+    last = (r.select("page", F.col("r.id").alias("id"), F.col("r.referenced_works").alias("refs"))
+            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1))
+    return last.select(F.col("id").alias("citing"), F.explode("refs").alias("cited"))
+
+
+def patent_count_probe(patents: DataFrame, parties: DataFrame, texts: DataFrame, country: str = "GB") -> DataFrame:
+    """Distinct publications and families for inventor / assignee / either
+    country filters, with and without an English abstract (6 counts)."""
+    d = patents.join(parties, "publication_number").join(texts, "publication_number")
+    inv = F.array_contains("inventor_harmonized_country_codes", country)
+    asg = F.array_contains("assignee_harmonized_country_codes", country)
+    rows = None
+    for name, cond in (("inventor", inv), ("assignee", asg), ("inventor_or_assignee", inv | asg)):
+        for en in (False, True):
+            c = cond & F.col("abstract").isNotNull() if en else cond
+            part = d.agg(F.countDistinct(F.when(c, F.col("publication_number"))).alias("n_publications"),
+                         F.countDistinct(F.when(c, F.col("family_id"))).alias("n_families")) \
+                .select(F.lit(name).alias("variant"), F.lit(en).alias("english_only"), "n_publications", "n_families")
+            rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -390,3 +390,17 @@ SELECT org, count(*) AS n_docs FROM (SELECT DISTINCT id, org FROM orgrows) u GRO
 def q_collaboration_nodes(spark, sf):
     nodes, _edges = I.collaboration_network(_org_rows(spark, sf), top_n=50)
     return nodes
+
+
+@query("dashboard_sample")
+def q_dashboard_sample(spark, sf):
+    """A 10 % document sample kept consistent across the dashboard tables:
+    one seeded hash of the work id decides for names, novelty, disruption and
+    the entity index alike (here: the sampled novelty documents with names)."""
+    from ..functions.sampling import hash_sample
+    t = tables(spark, sf)
+    ids = hash_sample(t.works.select("work_id"), "work_id", 0.1, seed=7)
+    nov = I.novelty_documents(_nov_long(spark, sf)).join(ids, "work_id", "left_semi")
+    dis = _dis_docs(spark, sf).join(ids, "work_id", "left_semi").select("work_id", "cd_score")
+    names = t.works.select("work_id", "display_name").join(ids, "work_id", "left_semi")
+    return nov.join(names, "work_id", "left").join(dis.dropDuplicates(["work_id"]), "work_id", "left")

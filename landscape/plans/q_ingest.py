@@ -218,3 +218,64 @@ GROUP BY floor((rn - 1) / 50)""", "works", "citations"))
 def q_citation_request_batches(spark, sf):
     t = tables(spark, sf)
     return IG.citation_request_batches(t.works, t.citations, min_citations=60, with_references=True)
+
+
+def _pages(spark, sf):
+    """Response pages: works in id order, 50 per page, as JSON text."""
+    from ..functions.ordering import global_row_number
+    raw = _raw_works(spark, sf).select("id", F.coalesce("referenced_works", F.array().cast("array<string>")).alias("referenced_works"))
+    n = global_row_number(raw, ["id"]).withColumn("page", F.floor((F.col("rn") - 1) / 50).cast("int"))
+    pages = n.groupBy("page").agg(F.collect_list(F.struct("id", "referenced_works")).alias("results"),
+                                  F.count("*").alias("count"))
+    return pages.select(F.to_json(F.struct(F.struct("count", "page").alias("meta"), "results")).alias("json"))
+
+
+@query("parse_forward_citations", oracle=with_views(
+    "SELECT citing, cited FROM citations WHERE citing IN (SELECT work_id FROM works)", "citations", "works"))
+def q_parse_forward_citations(spark, sf):
+    return IG.parse_forward_citations(_pages(spark, sf))
+
+
+@query("patent_count_probe", oracle=f"""
+WITH pl AS ({PL}), base AS (
+  SELECT 'P' || CAST(o.o_orderkey AS STRING) AS pub, CAST(CAST(floor(o.o_orderkey / 3) AS BIGINT) AS STRING) AS fam,
+    o.o_orderkey % 4 <> 0 AS en,
+    EXISTS (SELECT 1 FROM pl WHERE pl.o_orderkey = o.o_orderkey AND pl.l_suppkey % 5 = 0 AND pl.cc = 'GB') AS inv,
+    EXISTS (SELECT 1 FROM pl WHERE pl.o_orderkey = o.o_orderkey AND pl.cc = 'GB') AS asg
+  FROM orders o WHERE o.o_orderstatus = 'F')
+SELECT v.variant, e.english_only,
+  count(DISTINCT CASE WHEN (CASE v.variant WHEN 'inventor' THEN inv WHEN 'assignee' THEN asg ELSE inv OR asg END)
+                       AND (en OR NOT e.english_only) THEN pub END) AS n_publications,
+  count(DISTINCT CASE WHEN (CASE v.variant WHEN 'inventor' THEN inv WHEN 'assignee' THEN asg ELSE inv OR asg END)
+                       AND (en OR NOT e.english_only) THEN fam END) AS n_families
+FROM base CROSS JOIN (VALUES ('inventor'), ('assignee'), ('inventor_or_assignee')) v(variant)
+CROSS JOIN (VALUES (false), (true)) e(english_only)
+GROUP BY v.variant, e.english_only""")
+def q_patent_count_probe(spark, sf):
+    raw = _raw_patents(spark, sf)
+    return IG.patent_count_probe(raw.select("publication_number", "family_id"), IG.unnest_parties(raw),
+                                 IG.english_text(raw))
+
+
+@query("write_by_year", oracle=with_views(
+    "SELECT work_id, display_name, cited_by_count, publication_year FROM works", "works"))
+def q_write_by_year(spark, sf):
+    path = scratch_path(spark, "works_by_year")
+    w = tables(spark, sf).works.select("work_id", "display_name", "cited_by_count",
+                                       F.col("publication_year").alias("year"))
+    IG.write_by_year(w, path)
+    back = spark.read.parquet(path)  # NULL years come back from the default partition
+    return back.select("work_id", "display_name", "cited_by_count", F.col("year").cast("int").alias("publication_year"))
+
+
+@query("validation_sample")
+def q_validation_sample(spark, sf):
+    """100 non-empty documents in seeded-hash order, their mentions and abstract."""
+    from ..functions.sampling import unit_hash
+    t = tables(spark, sf)
+    docs = (t.doc_entities.select("doc_id").distinct()
+            .orderBy(unit_hash("doc_id", 3), "doc_id").limit(100))
+    text = IG.english_text(_raw_patents(spark, sf)).select(F.col("publication_number").alias("doc_id"), "abstract")
+    return (t.doc_entities.join(docs, "doc_id", "left_semi")
+            .join(text, "doc_id", "left")
+            .select(F.col("doc_id").alias("id"), "entity", "confidence", "source", "abstract"))
