@@ -81,22 +81,27 @@ def cd_index(citations: DataFrame) -> DataFrame:
     (f itself excluded), n_i cite only f, n_j cite f and a reference, n_k
     cite only references. CD = (n_i - n_j) / (n_i + n_j + n_k).
 
-    The second set is a two-hop join on the reference; a heavily cited
-    reference is a hot key there, which AQE's skew-join handling splits.
+    Plan: rows "citer cites f" and "citer cites a reference of f" are unioned
+    with a flag each and reduced by one aggregation on (focal, citer) -- it
+    combines map-side, so the duplicates of the two-hop join collapse before
+    the shuffle and no outer join is needed. The two-hop join is keyed by the
+    reference; a heavily cited reference is a hot key there, which AQE's
+    skew-join handling splits.
     """
     edges = citations.select("citing", "cited").distinct()
     direct = edges.select(F.col("cited").alias("focal"), F.col("citing").alias("citer"),
-                          F.lit(True).alias("_a"))
+                          F.lit(1).alias("_a"), F.lit(0).alias("_b"))
     refs = edges.select(F.col("citing").alias("focal"), F.col("cited").alias("ref"))
     ref_citers = edges.select(F.col("cited").alias("ref"), F.col("citing").alias("citer"))
     via_refs = (refs.join(ref_citers, "ref").where(F.col("citer") != F.col("focal"))
-                .select("focal", "citer").distinct().withColumn("_b", F.lit(True)))
-    both = direct.join(via_refs, ["focal", "citer"], "full")
-    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    agg = both.groupBy("focal").agg(
-        F.count(F.when(a & ~b, 1)).alias("n_only_focal"),
-        F.count(F.when(a & b, 1)).alias("n_both"),
-        F.count(F.when(~a & b, 1)).alias("n_only_refs"))
+                .select("focal", "citer", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    flags = (direct.unionByName(via_refs).groupBy("focal", "citer")
+             .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")))
+    a, b = F.col("_a"), F.col("_b")
+    agg = flags.groupBy("focal").agg(
+        F.sum(a * (1 - b)).cast("bigint").alias("n_only_focal"),
+        F.sum(a * b).cast("bigint").alias("n_both"),
+        F.sum((1 - a) * b).cast("bigint").alias("n_only_refs"))
     total = F.col("n_only_focal") + F.col("n_both") + F.col("n_only_refs")
     return (agg.withColumn("cd_score", (F.col("n_only_focal") - F.col("n_both")) / total)
             .withColumnRenamed("focal", "work_id"))
