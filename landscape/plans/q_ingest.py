@@ -279,3 +279,14 @@ def q_validation_sample(spark, sf):
     return (t.doc_entities.join(docs, "doc_id", "left_semi")
             .join(text, "doc_id", "left")
             .select(F.col("doc_id").alias("id"), "entity", "confidence", "source", "abstract"))
+
+
+@query("invert_abstract", oracle="""
+SELECT doc_id, word, string_agg(CAST(pos AS STRING), ',' ORDER BY pos) AS positions FROM (
+  SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS pos
+  FROM documents) w
+GROUP BY doc_id, word""")
+def q_invert_abstract(spark, sf):
+    inv = IG.invert_abstract(tables(spark, sf).documents, "doc_id", "text")
+    return inv.select("doc_id", F.explode("abstract_inverted_index").alias("word", "p")).select(
+        "doc_id", "word", F.array_join("p", ",").alias("positions"))

@@ -213,3 +213,11 @@ def q_top_entities_table(spark, sf):
     t = tables(spark, sf)
     lec = NM.level_entity_counts(_je(spark, sf), t.taxonomy, 2)
     return NM.top_entities_table(NM.topic_entity_names(lec, 10), t.topic_names)
+
+
+@query("entity_journal_counts", oracle=_o("SELECT entity, journal, count, round(share, 6) AS share FROM jes"))
+def q_entity_journal_counts(spark, sf):
+    """Entity -> journal view of the same counts: absolute and as a share of
+    the journal's mentions."""
+    c = NM.journal_entity_counts(_je(spark, sf)).select("entity", "journal", "count", "share")
+    return finish(c, floats=("share",))
