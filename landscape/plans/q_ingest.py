@@ -90,13 +90,14 @@ def q_annotation_lookup(spark, sf):
 
 
 @query("patent_dates", oracle="""
-SELECT 'P' || CAST(o_orderkey AS STRING) AS publication_number, CAST(o_orderdate AS DATE) AS publication_date,
-  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) - 200 END AS filing_date,
-  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 100 END AS grant_date,
-  CAST(NULL AS DATE) AS priority_date
+SELECT 'P' || CAST(o_orderkey AS STRING) AS publication_number, CAST(CAST(o_orderdate AS DATE) AS STRING) AS publication_date,
+  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) - 200 AS STRING) END AS filing_date,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + 100 AS STRING) END AS grant_date,
+  CAST(NULL AS STRING) AS priority_date
 FROM orders WHERE o_orderstatus = 'F'""")
 def q_patent_dates(spark, sf):
-    return IG.patent_dates(_raw_patents(spark, sf))
+    d = IG.patent_dates(_raw_patents(spark, sf))  # dates, emitted as ISO strings
+    return d.select("publication_number", *[F.col(c).cast("string").alias(c) for c in d.columns[1:]])
 
 
 @query("english_text", oracle="""

@@ -56,11 +56,13 @@ def load_all() -> dict[str, Entry]:
     return dict(_REGISTRY)
 
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+_TABLES: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (id(spark), sf_dir.rstrip("/"))
+    # keyed by the running application (not id(spark), which Python may reuse
+    # for a new session after the old one is gone)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _TABLES:
         _TABLES[key] = Tables(spark, sf_dir)
     return _TABLES[key]
