@@ -26,8 +26,11 @@ def _topics(spark, sf):
 
 
 def _novelty_in(spark, sf, level=LEVEL, source="openalex", id_column="work_id"):
+    """Per-document distinct topics, staged: the novelty plan reads it in four
+    branches (pairs, pair activity, yearly totals, document pairs)."""
     t = tables(spark, sf)
-    return N.novelty_input(_topics(spark, sf), t.docs, level, source, id_column)
+    return t.stage(f"novelty_in_{level}_{source}_{id_column}",
+                   lambda: N.novelty_input(_topics(spark, sf), t.docs, level, source, id_column))
 
 
 def _oracle_ctes(level: int, source: str = "openalex", p: str = "") -> dict[str, str]:
