@@ -224,7 +224,8 @@ def _nov_long(spark, sf):
     t = tables(spark, sf)
 
     def build():
-        nin = N.novelty_input(_topics(spark, sf), t.docs, (1, 2, 3))
+        nin = t.stage("novelty_in_levels_1_3",
+                      lambda: N.novelty_input(_topics(spark, sf), t.docs, (1, 2, 3)))
         return I.novelty_long(N.document_novelty(nin, by=["level"]))
     return t.stage("novelty_long", build)
 
