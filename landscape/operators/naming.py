@@ -33,7 +33,10 @@ def level_entity_counts(je: DataFrame, taxonomy: DataFrame, level: int = 1) -> D
 def journal_entity_counts(je: DataFrame) -> DataFrame:
     """(journal, entity, count, share of the journal's mentions)."""
     c = je.groupBy("journal", "entity").agg(F.count("*").alias("count"))
-    return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("journal")))
+    # journal totals as a grouped table (one row per journal) joined back: a
+    # window over a hot journal would put all of its entities in one task
+    tot = c.groupBy("journal").agg(F.sum("count").alias("_tot"))
+    return c.join(tot, "journal").withColumn("share", F.col("count") / F.col("_tot")).drop("_tot")
 
 
 def cluster_entity_journal_counts(je: DataFrame, taxonomy: DataFrame, level: int = 1) -> DataFrame:
