@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairs import pairs_within
+from ..functions.pairs import DEFAULT_CHUNK, pairs_within
 from ..functions.quantiles import quartiles
 
 LEVEL_COLS = {1: "domain", 2: "area", 3: "topic"}
@@ -231,12 +231,13 @@ def org_topics(org_rows: DataFrame, by: str = "topic", org_col: str = "org") ->
 
 
 def collaboration_edges(org_rows: DataFrame, id_col: str = "id", org_col: str = "org",
-                        by: str | None = None) -> DataFrame:
+                        by: str | None = None, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Unordered organisation pairs with the number of documents they share
-    (per ``by`` group when given). Hot documents are split by salting."""
+    (per ``by`` group when given). Documents with more than ``chunk``
+    organisations are split by salting."""
     keys = [id_col] + ([by] if by else [])
     d = org_rows.select(*keys, org_col).distinct()
-    pairs = pairs_within(d, keys, org_col, "org_1", "org_2")
+    pairs = pairs_within(d, keys, org_col, "org_1", "org_2", chunk=chunk)
     return pairs.groupBy(*([by] if by else []), "org_1", "org_2").agg(F.count("*").alias("n_docs"))
 
 
