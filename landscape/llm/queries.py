@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 
 MAX_TOKENS = 1024
@@ -20,7 +21,37 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {MAX_TOKENS} AS over_limit")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: A-Z lowered, everything else as it is
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+inv AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k
+  FROM inv x JOIN inv y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 75 * (na + nb - k)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+comp AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(c, s.doc_id) AS component_id,
+  s.doc_id = coalesce(c, s.doc_id) AS kept
+FROM s LEFT JOIN comp ON comp.doc_id = s.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_near_dedup": op3_near_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op3_near_dedup": OP3_SQL,
 }
-ORACLES: dict[str, str] = {}
