@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import format_conversations, read_loss, read_turns, text_parts
 from .common import read
+from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 
@@ -48,10 +51,50 @@ FROM s LEFT JOIN comp ON comp.doc_id = s.doc_id
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+                      "FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    out = format_conversations(talk.unionByName(probe).withColumn("parts", text_parts(F.col("text"))))
+    turns = F.array_join(F.transform(read_turns(F.col("formatted")),
+                                     lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read_back = out.select("conv_id", "n_turns", turns.alias("turns"),
+                           read_loss(F.col("formatted"), F.col("loss")).alias("loss"),
+                           F.length("formatted").cast("long").alias("formatted_chars"))
+    return read_back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+                            F.length("loss").cast("long").alias("loss_chars"),
+                            F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP5_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length('<|turn|>' || role || chr(10) || regexp_replace(text,
+    '([<\\[])(\\\\*)(\\|[a-z_0-9:]*\\|>|/?s>|/?INST\\]|/?SYS>>)', '\\1\\2\\\\\\3', 'g') || '<|end|>' || chr(10)) AS n FROM t),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars FROM g
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_near_dedup": op3_near_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_chat_format": op5_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
 }
