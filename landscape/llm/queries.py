@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_loss, read_turns, text_parts
-from .common import read
+from .common import read, stage
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
+from .quality_rules import judge_quality, learn_rules, text_statistics
 from .token_counts import count_tokens
 
 MAX_TOKENS = 1024
@@ -88,11 +89,20 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stage(text_statistics(read(spark, sf_dir, "documents")), "statistics")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    rules = learn_rules(stats.join(labels, "doc_id"), "quality = 0")
+    return judge_quality(stats, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
