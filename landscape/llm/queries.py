@@ -6,15 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_loss, read_turns, text_parts
 from .common import read, stage
+from .language_id import identify_languages, learn_languages
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .quality_rules import judge_quality, learn_rules, text_statistics
 from .token_counts import count_tokens
+from .toxicity import learn_toxicity, score_toxicity
 
 MAX_TOKENS = 1024
 
@@ -97,12 +100,40 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _remainder(n: int) -> Column:
+    """Learning folds: crc32 of the document id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _remainder(4) == 2
+    model = learn_languages(docs.filter(~held_out))
+    return identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(5) == 0
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = learn_toxicity(docs.join(labels, "doc_id"))
+    scored = score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
