@@ -29,7 +29,8 @@ UNKNOWN = "und"
 class ConvParams:
     """``per_language`` texts, ``language_bytes`` bytes of text per language and
     ``languages`` (the most frequent ones) bound the training sample;
-    ``sample_windows`` windows are drawn from each text, anywhere in it."""
+    ``sample_windows`` windows are drawn from each text, anywhere in it. Training
+    runs ``epochs`` times over them, or more often up to ``least_steps`` batches."""
 
     window: int = 96
     widths: tuple[int, ...] = (2, 3, 4)
@@ -40,6 +41,7 @@ class ConvParams:
     languages: int = 64
     sample_windows: int = 6
     epochs: int = 8
+    least_steps: int = 800
     batch: int = 128
     rate: float = 0.01
     seed: int = 9
@@ -126,7 +128,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: ConvParams) ->
     m1 = {k: np.zeros_like(v) for k, v in w.items()}
     m2 = {k: np.zeros_like(v) for k, v in w.items()}
     t = 0
-    for _ in range(p.epochs):
+    for _ in range(max(p.epochs, -(-p.least_steps * p.batch // len(x)))):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), p.batch):
             bx, by = x[order[lo:lo + p.batch]], y[order[lo:lo + p.batch]]

@@ -7,13 +7,15 @@ check, exact check on whole sets, connected components.
 2. Documents with equal sets form a class; only its smallest id goes on, so a
    group of copies, however large, is one row from here.
 3. Buckets (equal band hashes) propose links in three rounds of growing
-   completeness: each document with the smallest id it meets in any bucket;
-   each member of a bucket with the bucket's smallest id; and every pair of a
-   bucket that still lies in two components, except pairs inside its largest
-   component. Members already connected are never paired again, so a bucket of
-   many near copies costs a few rows per member, and no pair that could join
-   two components is left out. There is no cap.
-4. A proposed pair must pass the bit sketch (a bound far below the threshold)
+   completeness: each document with the best-connected one it meets in any
+   bucket; each member of a bucket with the bucket's best-connected one; and
+   every pair of a bucket that still lies in two components, except pairs inside
+   its largest component. Members already connected are never paired again.
+4. In the last round, bitmaps of the shingle sets bound how much two documents
+   can share, so edited copies that resemble only their common origin, or texts
+   around a shared passage, are not paired with one another. No pair that could
+   join two components is left out, and there is no cap.
+5. A proposed pair must pass the bit sketch (a bound far below the threshold)
    and is then confirmed on the two whole shingle sets.
 """
 
@@ -40,7 +42,8 @@ class NearDupParams:
     ``bands`` x ``rows`` minima: a pair at similarity 0.75 misses all 32 bands
     of 4 with probability (1 - 0.75^4)^32 = 5e-6. ``sketch_bits``: of the bits
     of two sketches at similarity 0.75, 7/8 agree on average; fewer than 90 of
-    128 has probability below 1e-8.
+    128 has probability below 1e-8. ``map_bits``: size of the bitmaps of the
+    last round.
     """
 
     words: int = 5
@@ -48,6 +51,7 @@ class NearDupParams:
     bands: int = 32
     rows: int = 4
     sketch_bits: int = 90
+    map_bits: int = 2048
     seed: int = 7
 
 
@@ -202,21 +206,64 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed.filter("lo_ <> hi_").select("key"), "key", "left_semi")
 
 
+def _bitmaps(members: DataFrame, packed: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, level, bits): a bitmap of ``map_bits`` bits over the shingles of each
+    member whose hash has ``level`` zero bits at its end; level 0 takes them all
+    and is used up to a quarter of the bits, each further level halves them."""
+    words = p.map_bits // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, z = WordHasher(seed=p.seed), zstandard.ZstdDecompressor()
+        for batch in batches:
+            levels, maps = [], []
+            for blob in batch.column("z"):
+                data = np.frombuffer(z.decompress(blob.as_py()), np.uint8)
+                s = distinct_shingles(hasher, data, np.array([0, len(data)]), p.words)[0]
+                level = max(0, (4 * len(s) // p.map_bits).bit_length())
+                s = s[s & np.uint64((1 << level) - 1) == 0] >> np.uint64(32)
+                bit = (s % np.uint64(p.map_bits)).astype(np.int64)
+                on = np.zeros(p.map_bits, np.uint8)
+                on[bit] = 1
+                levels.append(level)
+                maps.append(np.packbits(on).view(np.int64))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * words, pa.int32()),
+                                            pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(levels, pa.int32()), bits],
+                                             names=["id", "level", "bits"])
+
+    nodes = members.select("id").distinct()
+    return packed.join(nodes, "id", "left_semi").mapInArrow(run, "id long, level int, bits array<long>")
+
+
+def _may_link(p: NearDupParams, a: str, b: str) -> str:
+    """SQL test on bitmaps that every linked pair of equal level passes: the
+    shingles of ``a`` missing from ``b`` are at most those that a link allows
+    (exactly at level 0; with six standard deviations of room above)."""
+    room = f"({a}.n - {p.share}D * ({a}.n + {b}.n) / {100 + p.share})"
+    seen = f"aggregate(zip_with({a}.bits, {b}.bits, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
+    scale = f"shiftleft(1L, {a}.level)"
+    return (f"({a}.level <> {b}.level OR {scale} * {seen} <= {room} + "
+            f"if({a}.level = 0, 0D, 6 * sqrt({room} * {scale})))")
+
+
 def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
     """(h1, h2, n, comp): the component of every class of equal sets."""
     reps = stage(sigs.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n")
                  .agg(F.min(F.struct("id", "s1", "s2", "bands")).alias("r"))
                  .select("h1", "h2", "n", "r.*"), "classes")
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).filter("c > 1")
-    met = stage(keyed.join(shared.select("key", "lead"), "key"), "buckets")
-    about = reps.select("id", "n", "s1", "s2")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = stage(keyed.join(shared, "key"), "buckets")
+    degree = met.groupBy("id").agg(F.sum("c").alias("deg"))  # how many others it meets, over all buckets
+    about = stage(reps.select("id", "n", "s1", "s2").join(degree, "id"), "nodes")
     members = stage(met.select("key", "id", F.col("id").alias("comp")).join(about, "id"), "members")
-    nodes = met.select("id").distinct()
-    packed = stage(_packed(docs.select("id", "text").join(nodes, "id", "left_semi")), "texts")
+    packed = stage(_packed(docs.select("id", "text").join(about.select("id"), "id", "left_semi")), "texts")
 
-    # round 1: the smallest id met in any bucket
-    first = met.filter("lead < id").groupBy("id").agg(F.min("lead").alias("lead"))
+    # round 1: the best-connected document met in any bucket
+    best = F.max(F.struct("deg", (-F.col("id")).alias("k"))).alias("lead")
+    lead = members.groupBy("key").agg(best)
+    first = (members.select("key", "id").join(lead, "key").groupBy("id").agg(F.max("lead").alias("lead"))
+             .select("id", (-F.col("lead.k")).alias("lead")).filter("id <> lead"))
     pairs = (first.join(about, "id").alias("x")
              .join(about.withColumnRenamed("id", "lead").alias("y"), "lead")
              .filter(_similar(p, "x", "y"))
@@ -229,15 +276,17 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
         if members.isEmpty():
             break
         if everything:  # round 3: all pairs between components, but none inside a bucket's largest
+            members = stage(members.join(_bitmaps(members, packed, p), "id"), "bitmaps")
             size = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
             main = size.groupBy("key").agg(F.max(F.struct("c", (-F.col("comp")).alias("k"))).alias("m")) \
                 .select("key", (-F.col("m.k")).alias("main"))
             x = members.join(main, "key").filter("comp <> main").alias("x")
             meet = F.expr("x.key = y.key AND x.comp <> y.comp AND (y.comp = x.main OR x.id < y.id) AND "
-                          + _similar(p, "x", "y"))
-        else:  # round 2: the smallest id of each bucket
-            lead = members.groupBy("key").agg(F.min(F.struct("id", "comp", "n", "s1", "s2")).alias("r"))
-            x = lead.select("key", "r.*").alias("x")
+                          + " AND ".join([_similar(p, "x", "y"), _may_link(p, "x", "y"), _may_link(p, "y", "x")]))
+        else:  # round 2: the best-connected document of each bucket
+            chief = members.groupBy("key").agg(F.max(F.struct(
+                "deg", (-F.col("id")).alias("k"), "id", "comp", "n", "s1", "s2")).alias("r"))
+            x = chief.select("key", "r.id", "r.comp", "r.n", "r.s1", "r.s2").alias("x")
             meet = F.expr("x.key = y.key AND x.comp <> y.comp AND " + _similar(p, "x", "y"))
         pairs = (x.join(members.alias("y"), meet)
                  .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
