@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_search import nearest_neighbours
 from .chat_format import format_conversations, read_loss, read_turns, text_parts
 from .common import read, stage
 from .language_id import identify_languages, learn_languages
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .piece_sampling import decode_pieces, sample_pieces
 from .quality_rules import judge_quality, learn_rules, text_statistics
 from .token_counts import count_tokens
 from .toxicity import learn_toxicity, score_toxicity
@@ -28,6 +30,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {MAX_TOKENS} AS over_limit")
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = sample_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = decode_pieces(pieces, model)
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+                       F.crc32(F.array_join("pieces", " ").cast("binary")).alias("pieces_crc32"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -92,6 +103,11 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(text_statistics(read(spark, sf_dir, "documents")), "statistics")
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -127,9 +143,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_near_dedup": op3_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
