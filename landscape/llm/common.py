@@ -139,12 +139,12 @@ class WordHasher:
         """(hash of every word in order, word offsets of the rows)."""
         n = len(offsets) - 1
         hashes, counts = [], np.zeros(n, np.int64)
-        for lo, hi in row_slices(offsets):
+        for lo, hi in row_slices(offsets, SLICE_BYTES):
             a, b = int(offsets[lo]), int(offsets[hi])
             inner = offsets[lo:hi] - a
             while True:
                 end = b
-                if b - a > 2 * SLICE_BYTES:  # a single long row: cut at a separator
+                if hi - lo == 1 and b - a > 2 * SLICE_BYTES:  # a long row: cut at a separator
                     end = a + SLICE_BYTES
                     while end < b:
                         gap = np.flatnonzero(~self.word[data[end:end + SLICE_BYTES]])
