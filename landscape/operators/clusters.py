@@ -7,15 +7,19 @@ fixed seeds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sampling import unit_hash
+
 
 def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("entity", array_to_vector("embedding").alias("features"))
@@ -65,21 +69,26 @@ def bisecting_hierarchy(embeddings: DataFrame, ks: Sequence[int], seed: int = 1)
     return out
 
 
-def pca_reduce(embeddings: DataFrame, min_variance: float = 0.5, max_k: int = 32) -> DataFrame:
-    """Keep the fewest components explaining >= min_variance, whitened."""
+def pca_reduce(embeddings: DataFrame, min_variance: float = 0.5, components: int | None = None) -> DataFrame:
+    """Centred and whitened principal components: the fewest that explain
+    ``min_variance`` of the variance, or ``components`` of them. All components
+    are fitted (the covariance matrix is dimension x dimension, whatever the
+    number of rows), so the wanted share is always reached. No rows stay no rows."""
     v = vectors(embeddings)
-    model = PCA(k=max_k, inputCol="features", outputCol="pca").fit(v)
-    ev = list(model.explainedVariance)
-    cum, k = 0.0, len(ev)
-    for i, e in enumerate(ev):
-        cum += e
-        if cum >= min_variance:
-            k = i + 1
-            break
-    # eigenvalues of the covariance are proportional to the explained variance
-    scale = [1.0 / (e ** 0.5) if e > 0 else 0.0 for e in ev[:k]]
+    moments = v.agg(Summarizer.mean(F.col("features")).alias("m"), Summarizer.variance(F.col("features")).alias("s"),
+                    F.count("*").alias("n")).first()
+    if not moments.n:
+        return v.select("entity", F.array().cast("array<double>").alias("embedding"))
+    mean, total = moments.m.toArray(), float(moments.s.toArray().sum())
+    model = PCA(k=len(mean), inputCol="features", outputCol="pca").fit(v)
+    share = model.explainedVariance.toArray()
+    k = components or int((share.cumsum() < min_variance - 1e-12).sum()) + 1
+    axes = model.pc.toArray()[:, :k]
+    shift = mean @ axes  # the model projects without centring
+    scale = [1.0 / (total * e) ** 0.5 if total * e > 0 else 0.0 for e in share[:k]]
     arr = vector_to_array(F.col("pca"))
-    return model.transform(v).select("entity", F.array(*[arr[i] * F.lit(scale[i]) for i in range(k)]).alias("embedding"))
+    return model.transform(v).select("entity", F.array(*[
+        (arr[i] - F.lit(float(shift[i]))) * F.lit(float(scale[i])) for i in range(k)]).alias("embedding"))
 
 
 def gmm_overlap(embeddings: DataFrame, k: int, threshold: float = 0.1, seed: int = 1) -> DataFrame:
@@ -134,49 +143,58 @@ def _sqdist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def kmeans_nested(points: DataFrame, k: int, iterations: int = 10, seed: int = 1,
-                  imbalanced: bool = False, min_size: int = 10) -> DataFrame:
+def nested_k(points: DataFrame, k: int, imbalanced: bool = False, min_size: int = 10) -> DataFrame:
+    """(parent, n, kp): members of each parent and the clusters it is split
+    into; kp is NULL where it passes through. With ``imbalanced``, kp =
+    max(round(n / N * k), 2)."""
+    sizes = points.groupBy("parent").agg(F.count("*").alias("n"))
+    total = points.agg(F.count("*").alias("_total"))
+    kp = F.greatest(F.round(F.col("n") / F.col("_total") * k), F.lit(2)).cast("int") if imbalanced else F.lit(k)
+    return (sizes.crossJoin(total).withColumn("kp", kp)  # one-row side
+            .select("parent", "n", F.when((F.col("n") >= min_size) & (F.col("kp") < F.col("n")), F.col("kp")).alias("kp")))
+
+
+def kmeans_nested(points: DataFrame, k: int, seed: int = 1, imbalanced: bool = False, min_size: int = 10,
+                  tolerance: float = 1e-6) -> DataFrame:
     """Cluster inside every parent at once: (entity, parent, cluster).
 
     ``points``: (entity, parent, embedding). A parent with fewer than
-    ``min_size`` members, or with no more members than clusters, passes
-    through with an empty label. With ``imbalanced`` a parent gets
-    k_p = max(round(n_p / N * k), 2) clusters. Initial centroids are the k_p
-    members with the smallest seeded hash (a per-parent top-k that Spark
-    limits before the shuffle); each iteration assigns points to the nearest
-    centroid of their parent (a join on parent against the small centroid
-    table) and averages per dimension. Centroids are checkpointed per round.
+    ``min_size`` members, or with no more members than clusters, passes through
+    with an empty label (see ``nested_k``). The first centroids are the members
+    with the smallest seeded hash; no parent needs more than the largest k, a
+    literal, so Spark limits each parent's ranking before the shuffle. A parent's
+    centroids travel as one array, so that a point stays one row and finds its
+    nearest centroid inside the row; ties go to the smaller index. Rounds run
+    until the squared movement of all centroids together is within
+    ``tolerance``; every round is written to the shared checkpoint folder.
     """
     pts = points.select("entity", "parent", F.col("embedding").cast("array<double>").alias("v"))
-    sizes = pts.groupBy("parent").agg(F.count("*").alias("n"))
-    total = pts.agg(F.count("*").alias("_total"))
-    if imbalanced:
-        kp = F.greatest(F.round(F.col("n") / F.col("_total") * k), F.lit(2)).cast("int")
-    else:
-        kp = F.lit(k)
-    sizes = sizes.crossJoin(total).withColumn("kp", kp)  # one-row side
-    active = sizes.where((F.col("n") >= min_size) & (F.col("kp") < F.col("n"))).select("parent", "kp")
-    ranked = (pts.join(active, "parent")
-              .withColumn("_r", F.row_number().over(Window.partitionBy("parent").orderBy(F.xxhash64("entity", F.lit(seed)), "entity"))))
-    cents = ranked.where(F.col("_r") <= F.col("kp")).select("parent", (F.col("_r") - 1).alias("cid"), F.col("v").alias("c"))
-    cents = cents.checkpoint()
-    members = pts.join(active.select("parent"), "parent")
-    for _ in range(iterations):
-        assign = (members.join(cents, "parent")
-                  .withColumn("d", _sqdist(F.col("v"), F.col("c")))
-                  .groupBy("entity", "parent").agg(F.min(F.struct("d", "cid")).alias("_m"))
-                  .select("entity", "parent", F.col("_m.cid").alias("cid")))
-        upd = (assign.join(members, ["entity", "parent"])
-               .select("parent", "cid", F.posexplode("v").alias("dim", "x"))
-               .groupBy("parent", "cid", "dim").agg(F.avg("x").alias("x"))
-               .groupBy("parent", "cid").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_c"))
-               .select("parent", "cid", F.transform("_c", lambda s: s["x"]).alias("c")))
+    active = nested_k(pts, k, imbalanced, min_size).where("kp IS NOT NULL").select("parent", "kp")
+    members = pts.join(active, "parent")
+    most = max(k, 2)  # no kp is larger
+    first = Window.partitionBy("parent").orderBy(F.xxhash64("entity", F.lit(seed)), "entity")
+    cents = (members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+             .where(F.col("_r") <= F.col("kp")).groupBy("parent")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda s: s["v"]).alias("cs"))
+             ).checkpoint()
+
+    def assigned(centres: DataFrame) -> DataFrame:
+        d = F.transform("cs", lambda c, i: F.struct(_sqdist(F.col("v"), c).alias("d"), i.alias("i")))
+        return members.join(centres, "parent").select("entity", "parent", "v", F.array_min(d)["i"].alias("cid"))
+
+    while True:
+        mean = (assigned(cents).groupBy("parent", "cid").agg(Summarizer.mean(array_to_vector("v")).alias("m"))
+                .groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("cid", vector_to_array("m")))).alias("ms")))
         # a centroid that lost all its points keeps its position
-        cents = (cents.join(upd.withColumnRenamed("c", "_new"), ["parent", "cid"], "left")
-                 .select("parent", "cid", F.coalesce("_new", "c").alias("c"))).checkpoint()
-    final = (members.join(cents, "parent").withColumn("d", _sqdist(F.col("v"), F.col("c")))
-             .groupBy("entity", "parent").agg(F.min(F.struct("d", "cid")).alias("_m"))
-             .select("entity", "parent", F.col("_m.cid").cast("string").alias("cluster")))
+        moved = cents.join(mean, "parent").select(
+            "parent", "cs", F.transform("cs", lambda c, i: F.coalesce(F.element_at("ms", i), c)).alias("new"))
+        moved = moved.checkpoint()
+        step = F.aggregate(F.zip_with("cs", "new", _sqdist), F.lit(0.0), lambda s, x: s + x)
+        shift = moved.agg(F.sum(step)).first()[0]
+        cents = moved.select("parent", F.col("new").alias("cs"))
+        if (shift or 0.0) <= tolerance:
+            break
+    final = assigned(cents).select("entity", "parent", F.col("cid").cast("string").alias("cluster"))
     passing = pts.join(active.select("parent"), "parent", "left_anti").select("entity", "parent", F.lit("").alias("cluster"))
     return final.unionByName(passing)
 
@@ -188,35 +206,40 @@ def param_grid(params: dict[str, list]) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[params[k] for k in keys])]
 
 
-def gmm_model_selection(embeddings: DataFrame, ks: Sequence[int], seed: int = 1) -> DataFrame:
-    """AIC / BIC of full-covariance Gaussian mixtures over component counts."""
-    v = vectors(embeddings)
-    n = v.count()
-    d = len(v.first()["features"])
+def gmm_model_selection(embeddings: DataFrame, ks: Sequence[int], dimensions: Sequence[int], seed: int = 1,
+                        max_iter: int = 50) -> DataFrame:
+    """AIC / BIC of full-covariance Gaussian mixtures over a grid of component
+    counts and PCA dimensions; ``converged`` tells whether the fit ended before
+    ``max_iter``."""
     rows = []
-    for k in ks:
-        ll = GaussianMixture(k=k, seed=seed, maxIter=50).fit(v).summary.logLikelihood
-        p = k * (d + d * (d + 1) / 2) + (k - 1)
-        rows.append((int(k), float(ll), float(2 * p - 2 * ll), float(p * __import__("math").log(n) - 2 * ll)))
-    return embeddings.sparkSession.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double")
+    for d in dimensions:
+        v = vectors(pca_reduce(embeddings, components=d))
+        n = v.count()
+        for k in ks:
+            summary = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(v).summary
+            ll = summary.logLikelihood
+            p = k * (d + d * (d + 1) / 2) + (k - 1)
+            rows.append((int(d), int(k), float(ll), float(2 * p - 2 * ll), float(p * math.log(n) - 2 * ll),
+                         summary.numIter < max_iter))
+    return embeddings.sparkSession.createDataFrame(
+        rows, "dimensions int, k int, log_likelihood double, aic double, bic double, converged boolean")
 
 
 def embedding_sample(embeddings: DataFrame, pinned: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Hash sample of the embeddings plus the pinned entities."""
-    from ..functions.sampling import unit_hash
     sampled = embeddings.where(unit_hash("entity", seed) < fraction)
     pins = embeddings.join(pinned.select("entity"), "entity", "left_semi")
     return sampled.unionByName(pins).dropDuplicates(["entity"])
 
 
 def scaled_k(k: int, fraction: float) -> int:
+    """Clusters for a sample of that fraction, two at least."""
     return max(int(round(k * fraction)), 2)
 
 
 def embedding_noise(kept: DataFrame, discarded: DataFrame, fractions: Sequence[float], seed: int = 0) -> DataFrame:
     """Per fraction: all kept embeddings plus that fraction of discarded
     entities not already kept (one pass, fraction as a key)."""
-    from ..functions.sampling import unit_hash
     spark = kept.sparkSession
     fr = F.broadcast(spark.createDataFrame([(float(f),) for f in fractions], "fraction double"))  # literal
     extra = discarded.join(kept.select("entity"), "entity", "left_anti")

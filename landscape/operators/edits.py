@@ -16,7 +16,7 @@ LEVEL_COLS = [f"Level_{i}" for i in range(1, 6)]
 def preprune_entities(entities: DataFrame, flagged: DataFrame, keep: DataFrame) -> DataFrame:
     """discarded = flagged - keep-list; result = all entities - discarded."""
     discarded = flagged.join(F.broadcast(keep), "entity", "left_anti")
-    return entities.join(F.broadcast(discarded), "entity", "left_anti")
+    return entities.join(discarded, "entity", "left_anti")  # the flagged set grows with the mentions: no hint
 
 
 def tax_discard(taxonomy: DataFrame, discard: DataFrame, pattern: str = r"\(film\)") -> DataFrame:

@@ -7,6 +7,8 @@ against explicit schemas; no UDFs. Abstracts travel as inverted indexes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,13 @@ WORK_SCHEMA = T.StructType([
 ])
 
 
-def read_works_json(spark, path: str) -> DataFrame:
+def read_works_json(spark, path: str, multi_line: bool = True) -> DataFrame:
     """Yearly JSON files of work records, read with the declared schema (no
-    inference pass over the data)."""
-    return spark.read.schema(WORK_SCHEMA).json(path)
+    inference pass over the data). By default a file is one array of records,
+    however it is indented; with ``multi_line`` off every line is a record or an
+    array, and large files are split. A corrupt record fails the read."""
+    return (spark.read.schema(WORK_SCHEMA).option("mode", "FAILFAST")
+            .option("multiLine", multi_line).json(path))
 
 
 def invert_abstract(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,13 +135,9 @@ def english_text(raw: DataFrame) -> DataFrame:
 
 
 def unnest_parties(raw: DataFrame) -> DataFrame:
-    out = raw.select("publication_number")
-    for p in ("inventor", "assignee"):
-        out = out.join(raw.select("publication_number",
-                                  F.transform(f"{p}_harmonized", lambda x: x["name"]).alias(f"{p}_harmonized_names"),
-                                  F.transform(f"{p}_harmonized", lambda x: x["country_code"]).alias(f"{p}_harmonized_country_codes")),
-                       "publication_number")
-    return out
+    return raw.select("publication_number", *[  # a field of an array of structs is the array of the field
+        F.col(f"{p}_harmonized")[field].alias(f"{p}_harmonized_{out}")
+        for p in ("inventor", "assignee") for field, out in (("name", "names"), ("country_code", "country_codes"))])
 
 
 def cpc_codes(raw: DataFrame) -> DataFrame:
@@ -169,15 +170,17 @@ def topics_long(doc_topic_lists: DataFrame) -> DataFrame:
     return doc_topic_lists.select(F.col("doc_id").alias("id"), F.explode("topics").alias("topic"))
 
 
-def concat_yearly_parts(parts: DataFrame, key: str) -> DataFrame:
+def concat_yearly_parts(parts: DataFrame, key: str, ties: Sequence[str] = ()) -> DataFrame:
     """One table from per-year parts; a key present in several years keeps
-    the row of the latest year."""
-    w = Window.partitionBy(key).orderBy(F.col("year").desc())
+    the row of the latest year (ties: the largest ``ties`` columns)."""
+    w = Window.partitionBy(key).orderBy(F.col("year").desc(), *[F.col(c).desc() for c in ties])
     return parts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def write_by_year(df: DataFrame, path: str) -> None:
-    df.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+    """One folder per year. The rebalance keeps a year's rows together where they
+    are few and lets AQE split a hot year over several tasks and files."""
+    df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def patent_family_extract(patents: DataFrame, parties: DataFrame, texts: DataFrame,
@@ -237,12 +240,19 @@ def patent_count_probe(patents: DataFrame, parties: DataFrame, texts: DataFrame,
     d = patents.join(parties, "publication_number").join(texts, "publication_number")
     inv = F.array_contains("inventor_harmonized_country_codes", country)
     asg = F.array_contains("assignee_harmonized_country_codes", country)
-    rows = None
-    for name, cond in (("inventor", inv), ("assignee", asg), ("inventor_or_assignee", inv | asg)):
-        for en in (False, True):
-            c = cond & F.col("abstract").isNotNull() if en else cond
-            part = d.agg(F.countDistinct(F.when(c, F.col("publication_number"))).alias("n_publications"),
-                         F.countDistinct(F.when(c, F.col("family_id"))).alias("n_families")) \
-                .select(F.lit(name).alias("variant"), F.lit(en).alias("english_only"), "n_publications", "n_families")
-            rows = part if rows is None else rows.unionByName(part)
-    return rows
+    en = F.col("abstract").isNotNull()
+    variants = [(name, english, cond & en if english else cond)
+                for name, cond in (("inventor", inv), ("assignee", asg), ("inventor_or_assignee", inv | asg))
+                for english in (False, True)]
+    # one pass: flags per publication, flags per family, then six sums of each
+    flags = [F.max(F.coalesce(c, F.lit(False))).alias(f"f{i}") for i, (_, _, c) in enumerate(variants)]
+    sums = [F.coalesce(F.sum(F.col(f"f{i}").cast("long")), F.lit(0)).alias(f"n{i}") for i in range(len(variants))]
+    counts = [d.groupBy(key).agg(*flags).where(F.col(key).isNotNull()).agg(*sums)
+              for key in ("publication_number", "family_id")]
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.inline(F.array(*[
+            F.struct(F.lit(v).alias("variant"), F.lit(e).alias("english_only"), F.col(f"n{i}").alias(name))
+            for i, (v, e, _) in enumerate(variants)])))
+
+    return long(counts[0], "n_publications").join(long(counts[1], "n_families"), ["variant", "english_only"])

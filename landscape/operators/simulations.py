@@ -15,26 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sampling import unit_hash
-from .validation import LEVELS
+from .validation import LEVELS, distances_to_mean
 
 RUN_PATTERN = r"(?:ratio_|sample_)(\d{2,3})_"
 
 
-def write_simulation_runs(taxonomy: DataFrame, path: str, ratios: Sequence[int], runs: int = 1,
-                          kind: str = "sample") -> None:
-    """Write one table per (ratio, run): the taxonomy of a hash sample of
-    ``ratio`` percent of its entities. One job writes all of them."""
-    spark = taxonomy.sparkSession
-    grid = spark.createDataFrame([(r, s) for r in ratios for s in range(runs)], "ratio int, simul int")
-    name = F.concat(F.lit(f"community_{kind}_"), F.lpad(F.col("ratio").cast("string"), 2, "0"),
-                    F.lit("_simul_"), F.col("simul").cast("string"))
-    sampled = (taxonomy.crossJoin(F.broadcast(grid))  # literal parameter table
-               .where(unit_hash(F.concat_ws("|", "entity", "simul"), 17) < F.col("ratio") / F.lit(100.0))
-               .withColumn("run", name).drop("ratio", "simul"))
-    sampled.write.mode("overwrite").partitionBy("run").parquet(path)
-
-
 def read_simulation_runs(spark, path: str) -> DataFrame:
     """(run, ratio, entity, Level_1..Level_5) for every stored run."""
     df = spark.read.parquet(path).withColumn("_file", F.input_file_name())
@@ -66,13 +51,7 @@ def query_distances(runs: DataFrame, embeddings: DataFrame, ratios: Sequence[str
     """Entity-to-topic-centroid distances per run and level, optionally only
     for entities matching any of the given names (case-insensitive)."""
     r = runs.where(F.col("ratio").isin(list(ratios)))
-    lv = _unpivot(r, levels)
-    dims = embeddings.select("entity", F.posexplode("embedding").alias("dim", "x"))
-    x = lv.join(dims, "entity")
-    keys = ["run", "ratio", "level", "topic"]
-    means = x.groupBy(*keys, "dim").agg(F.avg("x").alias("mu"))
-    d = (x.join(means, keys + ["dim"]).groupBy(*keys, "entity")
-         .agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("mu"), 2))).alias("distance")))
+    d = distances_to_mean(_unpivot(r, levels), embeddings, ["run", "ratio", "level", "topic"])
     if entities:
         d = d.where(F.col("entity").rlike("(?i)" + "|".join(entities)))
     return d

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +99,22 @@ def topic_sizes(taxonomy: DataFrame, names: DataFrame | None = None) -> DataFram
     return out
 
 
-def centroid_distances(taxonomy: DataFrame, embeddings: DataFrame, levels: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Euclidean distance of every entity to the mean embedding of its topic,
-    per level; NULL for topics with a single entity. Vectors stay exploded
-    (entity, dim, value), so topic means are plain aggregations."""
-    lv = unpivot_levels(taxonomy, levels)
-    dims = embeddings.select("entity", F.posexplode("embedding").alias("dim", "x"))
-    x = lv.join(dims, "entity")
-    means = x.groupBy("level", "topic", "dim").agg(F.avg("x").alias("mu"))
-    sizes = lv.groupBy("level", "topic").agg(F.count("*").alias("_n"))
-    d = (x.join(means, ["level", "topic", "dim"])
-         .groupBy("level", "topic", "entity")
-         .agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("mu"), 2))).alias("distance")))
-    return (d.join(sizes, ["level", "topic"])
-            .withColumn("distance", F.when(F.col("_n") > 1, F.col("distance"))).drop("_n"))
+def distances_to_mean(labelled: DataFrame, embeddings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, entity, distance): Euclidean distance of each entity to the mean
+    embedding of its group; NULL where the group has one embedding. Means are
+    vector aggregations, so a row stays one row."""
+    keys = list(keys)
+    x = labelled.select(*keys, "entity").join(
+        embeddings.select("entity", F.col("embedding").cast("array<double>").alias("v")), "entity")
+    means = (x.groupBy(*keys).agg(Summarizer.mean(array_to_vector("v")).alias("m"), F.count("*").alias("_n"))
+             .select(*keys, vector_to_array("m").alias("mu"), "_n"))
+    squared = F.aggregate(F.zip_with("v", "mu", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return x.join(means, keys).select(*keys, "entity", F.when(F.col("_n") > 1, F.sqrt(squared)).alias("distance"))
+
+
+def centroid_distances(taxonomy: DataFrame, embeddings: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
+    """Per level, the distance of every entity to the mean embedding of its topic."""
+    return distances_to_mean(unpivot_levels(taxonomy, levels), embeddings, ["level", "topic"])
 
 
 def distance_timeseries(distances: DataFrame, keys: Sequence[str] = ("level",)) -> DataFrame:

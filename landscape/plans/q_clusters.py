@@ -4,11 +4,16 @@ operators are checked against SQL on the taxonomy."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import clusters as C
-from .registry import query, tables
+from .registry import query, r6, tables
+from .sqlhelp import unit_hash
 from .views_sql import with_views
 
 LV = ["Level_1", "Level_2", "Level_3"]
+L5 = [*LV, "Level_4", "Level_5"]
+FRACTIONS = [round(10 ** (-1 + i / 9), 4) for i in range(10)]
 
 
 def _emb(spark, sf):
@@ -48,13 +53,13 @@ def q_gmm_overlap(spark, sf):
 @query("silhouette_by_level")
 def q_silhouette_by_level(spark, sf):
     t = tables(spark, sf)
-    return C.silhouette_by_level(_emb(spark, sf), t.taxonomy, LV)
+    return C.silhouette_by_level(_emb(spark, sf), t.taxonomy, L5)
 
 
 @query("cluster_sizes", oracle=with_views(" UNION ALL ".join(
-    f"SELECT '{c}' AS level, {c} AS cluster, count(*) AS n FROM taxonomy GROUP BY {c}" for c in LV), "taxonomy"))
+    f"SELECT '{c}' AS level, {c} AS cluster, count(*) AS n FROM taxonomy GROUP BY {c}" for c in L5), "taxonomy"))
 def q_cluster_sizes(spark, sf):
-    return C.cluster_sizes(tables(spark, sf).taxonomy, LV)
+    return C.cluster_sizes(tables(spark, sf).taxonomy, L5)
 
 
 @query("cluster_members", oracle=with_views("SELECT entity FROM taxonomy WHERE Level_2 = '1_2'", "taxonomy"))
@@ -64,13 +69,12 @@ def q_cluster_members(spark, sf):
 
 @query("label_paths", oracle=with_views("""
 SELECT entity, split_part(Level_5, '_', 1) AS Level_1,
-  split_part(Level_5, '_', 1) || '_' || split_part(Level_5, '_', 4) AS Level_2,
-  split_part(Level_5, '_', 1) || '_' || split_part(Level_5, '_', 4) || '_' || split_part(Level_5, '_', 5) AS Level_3
-FROM taxonomy WHERE length(Level_5) - length(replace(Level_5, '_', '')) = 4""", "taxonomy"))
+  concat_ws('_', split_part(Level_5, '_', 1), nullif(split_part(Level_5, '_', 4), '')) AS Level_2,
+  concat_ws('_', split_part(Level_5, '_', 1), nullif(split_part(Level_5, '_', 4), ''), nullif(split_part(Level_5, '_', 5), '')) AS Level_3
+FROM taxonomy""", "taxonomy"))
 def q_label_paths(spark, sf):
-    # raw per-level labels: first, fourth and fifth path segment of full-depth entities
-    from pyspark.sql import functions as F
-    t = tables(spark, sf).taxonomy.where(F.size(F.split("Level_5", "_")) == 5)
+    # raw per-level labels: first, fourth and fifth path segment; short paths have none there
+    t = tables(spark, sf).taxonomy
     parts = F.split("Level_5", "_")
     raw = t.select("entity", F.get(parts, 0).alias("Level_1"), F.get(parts, 3).alias("Level_2"),
                    F.get(parts, 4).alias("Level_3"))
@@ -79,23 +83,30 @@ def q_label_paths(spark, sf):
 
 def _points(spark, sf):
     t = tables(spark, sf)
-    from pyspark.sql import functions as F
     return t.entity_embeddings.join(t.taxonomy.select("entity", F.col("Level_1").alias("parent")), "entity")
 
 
 @query("kmeans_nested")
 def q_kmeans_nested(spark, sf):
-    return C.kmeans_nested(_points(spark, sf), 3, iterations=8)
+    return C.kmeans_nested(_points(spark, sf), 3)
 
 
 @query("kmeans_nested_imbalanced")
 def q_kmeans_nested_imbalanced(spark, sf):
-    return C.kmeans_nested(_points(spark, sf), 8, iterations=8, imbalanced=True)
+    return C.kmeans_nested(_points(spark, sf), 8, imbalanced=True)
+
+
+@query("kmeans_nested_sizes", oracle=with_views("""
+SELECT s.parent, s.n, CASE WHEN s.n >= 10 AND s.kp < s.n THEN s.kp END AS kp FROM (
+  SELECT t.Level_1 AS parent, count(*) AS n, greatest(CAST(round(count(*) / (
+    SELECT CAST(count(*) AS DOUBLE) FROM entity_embeddings JOIN taxonomy USING (entity)) * 8) AS INT), 2) AS kp
+  FROM entity_embeddings e JOIN taxonomy t ON t.entity = e.entity GROUP BY t.Level_1) s""", "entity_embeddings", "taxonomy"))
+def q_kmeans_nested_sizes(spark, sf):
+    return C.nested_k(_points(spark, sf), 8, imbalanced=True)
 
 
 @query("param_grid")
 def q_param_grid(spark, sf):
-    from pyspark.sql import functions as F
     out = None
     for cfg in C.param_grid({"k": [4, 8], "seed": [1, 2]}):
         run = C.kmeans_flat(_emb(spark, sf), cfg["k"], cfg["seed"]).withColumn(
@@ -106,22 +117,36 @@ def q_param_grid(spark, sf):
 
 @query("gmm_model_selection")
 def q_gmm_model_selection(spark, sf):
-    return C.gmm_model_selection(C.pca_reduce(_emb(spark, sf)), [2, 3, 4])
+    return C.gmm_model_selection(_emb(spark, sf), [2, 3, 4], [4, 8])
 
 
-@query("embedding_sample")
+@query("embedding_sample", oracle=with_views(f"""
+SELECT entity, label, round(embedding[1], 6) AS first FROM entity_embeddings
+WHERE {unit_hash('entity', 5)} < 0.25E0 OR entity IN (SELECT entity FROM entity_groups)""", "entity_embeddings", "entity_groups"))
 def q_embedding_sample(spark, sf):
     t = tables(spark, sf)
-    return C.embedding_sample(_emb(spark, sf), t.entity_groups, 0.25, seed=5)
+    s = C.embedding_sample(_emb(spark, sf), t.entity_groups, 0.25, seed=5)
+    return s.select("entity", "label", r6(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+@query("kmeans_sample")
+def q_kmeans_sample(spark, sf):
+    """Clusters of a quarter of the embeddings, their number scaled with the sample."""
+    t = tables(spark, sf)
+    s = C.embedding_sample(_emb(spark, sf), t.entity_groups, 0.25, seed=5)
+    return C.kmeans_flat(s, C.scaled_k(20, 0.25))
 
 
-@query("embedding_noise")
+@query("embedding_noise", oracle=with_views(f"""
+SELECT CAST(f.fraction AS DOUBLE) AS fraction, e.entity, e.label
+FROM entity_embeddings e CROSS JOIN (VALUES {', '.join(f'({f}E0)' for f in FRACTIONS)}) f(fraction)
+WHERE e.entity IN (SELECT entity FROM taxonomy) OR {unit_hash('e.entity', 0)} < f.fraction""", "entity_embeddings", "taxonomy"))
 def q_embedding_noise(spark, sf):
     t = tables(spark, sf)
     emb = _emb(spark, sf)
     kept = emb.join(t.taxonomy.select("entity"), "entity", "left_semi")
     dropped = emb.join(t.taxonomy.select("entity"), "entity", "left_anti")
-    return C.embedding_noise(kept, dropped, [round(10 ** (-1 + i / 9), 4) for i in range(10)])
+    return C.embedding_noise(kept, dropped, FRACTIONS).select("fraction", "entity", "label")
 
 
 _CE = ", ".join(f"'ce' || CAST(CAST(split_part(Level_{i}, '_', -1) AS INT) * 7 + 3 AS STRING) AS Level_{i}" for i in (1, 2, 3))
@@ -146,7 +171,6 @@ FROM (SELECT x.entity,
         f"CAST(split_part(Level_{i}, '_', -1) AS INT) * 7 + 3 AS {v}" for i, v in ((1, 'a'), (2, 'b'), (4, 'c')))
         + " FROM taxonomy"}))
 def q_normalise_centroid_ids(spark, sf):
-    from pyspark.sql import functions as F
     t = tables(spark, sf).taxonomy
     raw = t.select("entity", *[F.concat(F.lit("ce"), (F.element_at(F.split(f"Level_{i}", "_"), -1).cast("int") * 7 + 3)
                                         .cast("string")).alias(n) for i, n in ((1, "Level_1"), (2, "Level_2"), (4, "Level_3"))])

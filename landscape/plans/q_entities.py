@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E
 from .registry import query, tables
+from .sqlhelp import unit_hash
 from .views_sql import with_views
 
 
@@ -46,7 +47,10 @@ def q_filter_entities_percentile(spark, sf):
     return E.filter_entities_percentile(kept, 10, 90).select("doc_id", "source", "pos", "entity", "confidence")
 
 
-@query("sample_documents")
+@query("sample_documents", oracle=with_views(f"""
+SELECT doc_id, source, pos, entity, confidence FROM doc_entities
+WHERE confidence >= 80 AND {unit_hash('doc_id', 7)} < 1000.0E0 / (SELECT count(DISTINCT doc_id) FROM doc_entities)""",
+                                             "doc_entities"))
 def q_sample_documents(spark, sf):
     # draw among all documents with any mention, then keep confident mentions
     sampled = E.sample_documents(tables(spark, sf).doc_entities, num_articles=1000, seed=7)

@@ -10,7 +10,7 @@ from ..operators import naming as NM
 from ..operators import novelty as N
 from .q_novelty import _oracle_ctes
 from .registry import finish, query, tables
-from .sqlhelp import nearest_quartiles, top_names
+from .sqlhelp import nearest_quartiles, top_names, unit_hash
 from .views_sql import with_views
 
 QUART = ["25", "50", "75", "_mean"]
@@ -393,7 +393,13 @@ def q_collaboration_nodes(spark, sf):
     return nodes
 
 
-@query("dashboard_sample")
+@query("dashboard_sample", oracle=_nl_oracle(f"""
+SELECT n.work_id, n.year, round(n.novelty, 6) AS novelty, n.domain, n.area, n.topic, w.display_name, round(c.cd_score, 6) AS cd_score
+FROM (SELECT work_id, year, novelty, {EXP}, topic FROM nl WHERE level = 3) n
+LEFT JOIN works w ON w.work_id = n.work_id
+LEFT JOIN (SELECT DISTINCT c.work_id, c.cd_score FROM cd_scores c JOIN doc_topics t ON t.doc_id = c.work_id
+           WHERE t.level = 3 AND t.source = 'openalex') c ON c.work_id = n.work_id
+WHERE {unit_hash('n.work_id', 7)} < 0.1E0""", "works", "cd_scores", "doc_topics"))
 def q_dashboard_sample(spark, sf):
     """A 10 % document sample kept consistent across the dashboard tables:
     one seeded hash of the work id decides for names, novelty, disruption and
@@ -404,4 +410,5 @@ def q_dashboard_sample(spark, sf):
     nov = I.novelty_documents(_nov_long(spark, sf)).join(ids, "work_id", "left_semi")
     dis = _dis_docs(spark, sf).join(ids, "work_id", "left_semi").select("work_id", "cd_score")
     names = t.works.select("work_id", "display_name").join(ids, "work_id", "left_semi")
-    return nov.join(names, "work_id", "left").join(dis.dropDuplicates(["work_id"]), "work_id", "left")
+    out = nov.join(names, "work_id", "left").join(dis.dropDuplicates(["work_id"]), "work_id", "left")
+    return finish(out, floats=("novelty", "cd_score"))

@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sources import nested
 from .q_novelty import _topics
 from .registry import joined, query, r6, tables
+from .sqlhelp import unit_hash
 from .views_sql import with_views
 
 WL = """SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, s.s_name, n.n_name
@@ -188,9 +189,10 @@ def q_concat_yearly_parts(spark, sf):
     t = tables(spark, sf)
     parts = (t.doc_entities.join(t.docs.select("doc_id", "year"), "doc_id").where(F.col("year").isNotNull())
              .select("doc_id", "entity", "year"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("entity").orderBy(F.col("year").desc(), F.col("doc_id").desc())
-    return parts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    path = scratch_path(spark, "mentions_by_year")
+    IG.write_by_year(parts, path)
+    back = spark.read.parquet(path).select("doc_id", "entity", F.col("year").cast("int").alias("year"))
+    return IG.concat_yearly_parts(back, "entity", ties=["doc_id"])
 
 
 @query("union_yearly_cd_scores", oracle=with_views(
@@ -202,11 +204,21 @@ def q_union_yearly_cd_scores(spark, sf):
     return back.select("work_id", r6("cd_score").alias("cd_score"), F.col("year").cast("int").alias("year"))
 
 
-@query("read_works_json")
+@query("read_works_json", oracle=with_views("""
+SELECT w.work_id AS id, '10.1/' || w.work_id AS doi, w.display_name, w.publication_year, CAST(w.publication_date AS STRING) AS publication_date,
+  w.venue_display_name AS venue, w.cited_by_count, CAST(substr(w.work_id, 2) AS BIGINT) % 101 = 0 AS is_retracted,
+  coalesce(c.n, 0) AS n_concepts, coalesce(r.n, 0) AS n_references
+FROM works w LEFT JOIN (SELECT doc_id, count(*) AS n FROM doc_entities WHERE source = 'openalex' GROUP BY doc_id) c ON c.doc_id = w.work_id
+LEFT JOIN (SELECT citing, count(*) AS n FROM citations GROUP BY citing) r ON r.citing = w.work_id""",
+                                            "works", "doc_entities", "citations"))
 def q_read_works_json(spark, sf):
     path = scratch_path(spark, "works_json")
     _raw_works(spark, sf).write.mode("overwrite").json(path)
-    return IG.read_works_json(spark, path)
+    back = IG.read_works_json(spark, path, multi_line=False)
+    return back.select("id", "doi", "display_name", "publication_year", "publication_date",
+                       F.col("host_venue.display_name").alias("venue"), "cited_by_count", "is_retracted",
+                       F.coalesce(F.size("concepts"), F.lit(0)).cast("long").alias("n_concepts"),
+                       F.coalesce(F.size("referenced_works"), F.lit(0)).cast("long").alias("n_references"))
 
 
 @query("citation_request_batches", oracle=with_views("""
@@ -269,12 +281,18 @@ def q_write_by_year(spark, sf):
     return back.select("work_id", "display_name", "cited_by_count", F.col("year").cast("int").alias("publication_year"))
 
 
-@query("validation_sample")
+@query("validation_sample", oracle=with_views(f"""
+SELECT e.doc_id AS id, e.entity, e.confidence, e.source,
+  CASE WHEN CAST(substr(e.doc_id, 2) AS BIGINT) % 4 <> 0
+       THEN 'Abstract ' || substr(e.doc_id, 2) || chr(10) || 'second line' END AS abstract
+FROM doc_entities e JOIN (
+  SELECT doc_id FROM (SELECT DISTINCT doc_id FROM doc_entities WHERE source = 'patents') d
+  ORDER BY {unit_hash('doc_id', 3)}, doc_id LIMIT 100) s ON s.doc_id = e.doc_id""", "doc_entities"))
 def q_validation_sample(spark, sf):
-    """100 non-empty documents in seeded-hash order, their mentions and abstract."""
+    """100 patents with mentions in seeded-hash order, their mentions and abstract."""
     from ..functions.sampling import unit_hash
     t = tables(spark, sf)
-    docs = (t.doc_entities.select("doc_id").distinct()
+    docs = (t.doc_entities.where(F.col("source") == "patents").select("doc_id").distinct()
             .orderBy(unit_hash("doc_id", 3), "doc_id").limit(100))
     text = IG.english_text(_raw_patents(spark, sf)).select(F.col("publication_number").alias("doc_id"), "abstract")
     return (t.doc_entities.join(docs, "doc_id", "left_semi")

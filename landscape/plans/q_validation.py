@@ -90,12 +90,12 @@ def q_topic_sizes(spark, sf):
 
 CD = {"cdx": """SELECT u.level, u.topic, u.entity, e.dim, e.x FROM unp u JOIN (
         SELECT entity, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x
-        FROM entity_embeddings) e ON u.entity = e.entity WHERE u.level <= 3""",
+        FROM entity_embeddings) e ON u.entity = e.entity""",
       "cdd": """SELECT x.level, x.topic, x.entity,
         CASE WHEN s.n > 1 THEN sqrt(sum((x.x - m.mu) * (x.x - m.mu))) END AS distance
       FROM cdx x JOIN (SELECT level, topic, dim, avg(x) AS mu FROM cdx GROUP BY level, topic, dim) m
         ON m.level = x.level AND m.topic = x.topic AND m.dim = x.dim
-      JOIN (SELECT level, topic, count(*) AS n FROM unp WHERE level <= 3 GROUP BY level, topic) s
+      JOIN (SELECT level, topic, count(DISTINCT entity) AS n FROM cdx GROUP BY level, topic) s
         ON s.level = x.level AND s.topic = x.topic
       GROUP BY x.level, x.topic, x.entity, s.n"""}
 

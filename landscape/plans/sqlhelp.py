@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 
+def unit_hash(expr: str, seed: int = 0) -> str:
+    """SQL twin of landscape.functions.sampling.unit_hash."""
+    return f"(CAST('0x' || substr(md5({expr} || '|{seed}'), 1, 8) AS BIGINT) / 4294967296.0E0)"
+
+
 def nearest_quartiles(src: str, keys: list[str], value: str, prefix: str) -> str:
     """Nearest-rank quartiles (0-based rank floor((n-1)q + 0.5)) and mean."""
     k = ", ".join(keys)

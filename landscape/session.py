@@ -6,7 +6,9 @@ Library code never creates its own session; it takes the one it is given.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,8 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) do we pick a fresh
-    scratch folder of our own.
+    used as is. Only where it is unset and the master is local do we pick a
+    fresh scratch folder of our own, deleted when the process ends; on a
+    cluster a machine's own folder would not be seen by the others, so that
+    fails.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -57,7 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="landscape-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
