@@ -3,8 +3,10 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries",
-"sf"}. Each query is fully materialised (``count`` over the whole result)
-so the timing covers the complete plan, not just the first rows.
+"sf"}. Every query's whole result is written to the ``noop`` sink, so that no
+column or join is optimised away. The tables that queries share are written
+first and timed on a line of their own (``staging``), so that the order of the
+queries does not decide which of them pays.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from landscape.plans.registry import load_all  # noqa: E402
 from landscape.session import local_session  # noqa: E402
 
+#: producers of the shared stage tables
+STAGING = ["tag_documents", "document_novelty", "novelty_long", "topic_entity_names", "association_strength"]
 HEADLINE = [
     "tag_documents",
     "document_novelty",
@@ -43,11 +47,15 @@ def main() -> None:
     spark = local_session(cpus, int(cpus) if cpus != "*" else 8, app="landscape-bench")
     reg = load_all()
     times: dict[str, float] = {}
+    t0 = time.time()
+    for key in STAGING:
+        reg[key].fn(spark, sf_dir)  # builds the plan and, with it, the tables it reads
+    for key in ("org_quad", "disruption_table", "novelty_trends", "collaboration_edges"):
+        reg[key].fn(spark, sf_dir)
+    times["staging"] = round(time.time() - t0, 3)
     for key in HEADLINE:
-        if key not in reg:
-            continue
         t0 = time.time()
-        reg[key].fn(spark, sf_dir).count()
+        reg[key].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[key] = round(time.time() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
