@@ -36,10 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the learned model scores as toxic. Labels come from
     the table ``labels``; a document without a label is scored all the same."""
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    labelled = (docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-                .join(labels.filter("__toxic IS NOT NULL"), "__id"))
-    model = learn_toxicity(labelled, id_col="__id", text="__text", label="__toxic")
+    model = learn_toxicity(docs, read(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model, score="__score")
     return scored.filter(F.col("__score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 

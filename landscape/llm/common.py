@@ -195,28 +195,33 @@ def windows_hash(words: np.ndarray, word_offsets: np.ndarray, n: int) -> tuple[n
 
 # ------------------------------------------------------------------ sampling
 
-def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, text: str, max_bytes: int,
-                   groups: int = 64, seed: int = 5) -> DataFrame:
-    """At most ``per_group`` rows and about ``max_bytes`` of ``text`` of each of the ``groups``
-    most frequent values of ``group`` (null left out), by a seeded hash of ``key``.
+def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, text: str | None = None,
+                   max_bytes: int = 0, groups: int = 64, seed: int = 5, counted: bool = True) -> DataFrame:
+    """At most ``per_group`` rows, and about ``max_bytes`` of ``text`` where it is named, of each of the
+    ``groups`` most frequent values of ``group`` (null left out), by a seeded hash of ``key``.
 
     The sizes of the groups are counted first, so that only a little more than
-    the sample itself is shuffled, whatever the size of the table. A row that
-    alone exceeds the bytes left is passed over.
+    the sample itself is shuffled, whatever the size of the table (``counted``
+    off: for rows that are few anyway). A row that alone exceeds the bytes is
+    passed over.
     """
-    rows = rows.filter(F.col(group).isNotNull() & F.col(text).isNotNull())
-    counts = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
-              .orderBy(F.desc("c"), group).limit(groups).collect())
-    if not counts:
-        return rows.limit(0)
+    rows = rows.filter(F.col(group).isNotNull())
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40))
-    bound = F.lit(None).cast("long")
-    for r in counts:
-        n = per_group + 6 * math.isqrt(per_group) + 1  # the bound is exact below; this only limits the shuffle
-        bound = F.when(F.col(group) == r[group], F.lit(min(1 << 40, (n << 40) // r["c"] + 1))).otherwise(bound)
-    near = rows.withColumn("draw_", draw).filter(F.col("draw_") < bound)
-    order = W.partitionBy(group).orderBy("draw_", key, text)
-    size = F.octet_length(text).cast("long")
-    return (near.filter(size <= max_bytes).withColumn("n_", F.row_number().over(order)).filter(F.col("n_") <= per_group)
-            .withColumn("b_", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0)))
-            .filter(F.col("b_") <= max_bytes).drop("draw_", "n_", "b_"))
+    near = rows.withColumn("draw_", draw)
+    if text:
+        near = near.filter(F.octet_length(text) <= max_bytes)
+    if counted:
+        counts = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
+                  .orderBy(F.desc("c"), group).limit(groups).collect())
+        bound = F.lit(None).cast("long")
+        for r in counts:
+            n = per_group + 6 * math.isqrt(per_group) + 1  # the bound is exact below; this only limits the shuffle
+            bound = F.when(F.col(group) == r[group], F.lit(min(1 << 40, (n << 40) // r["c"] + 1))).otherwise(bound)
+        near = near.filter(F.col("draw_") < bound)
+    order = W.partitionBy(group).orderBy("draw_", key, *([text] if text else []))
+    out = near.withColumn("n_", F.row_number().over(order)).filter(F.col("n_") <= per_group)
+    if text:
+        size = F.octet_length(text).cast("long")
+        out = (out.withColumn("b_", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0)))
+               .filter(F.col("b_") <= max_bytes).drop("b_"))
+    return out.drop("draw_", "n_")

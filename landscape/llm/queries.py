@@ -136,7 +136,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder(5) == 0
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
-    model = learn_toxicity(docs.join(labels, "doc_id"))
+    model = learn_toxicity(docs, labels)
     scored = score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
 

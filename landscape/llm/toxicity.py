@@ -114,13 +114,20 @@ def ftrl(examples: list[tuple[int, np.ndarray]], p: FtrlParams) -> ToxicityModel
     return ToxicityModel(on, w.astype(np.float32), float(b), p)
 
 
-def learn_toxicity(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-                   params: FtrlParams = FtrlParams()) -> ToxicityModel:
-    """A model from the rows of ``labelled`` with label 0 or 1 and a text; other
-    labels and nulls are left out. Without usable rows the score is 0 for every text."""
-    rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"),
-                           F.col(f"`{label}`").cast("int").alias("label")).filter("label IN (0, 1)")
-    sample = bounded_sample(rows, "label", "id", params.per_label, "text", params.label_bytes, seed=params.seed)
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
+                   label: str = "toxic", params: FtrlParams = FtrlParams()) -> ToxicityModel:
+    """A model from ``docs`` (id, text) whose id has the label 0 or 1 in
+    ``labels`` (id, label); other labels and nulls are left out. The sample is
+    drawn among the labels, so that texts are only read where they are in it and
+    never shuffled for the join. Without usable rows the score is 0 for every text."""
+    marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
+    marks = marks.filter("label IN (0, 1) AND id IS NOT NULL").distinct()
+    # at most 2 * per_label rows: a bounded broadcast
+    drawn = bounded_sample(marks, "label", "id", params.per_label, seed=params.seed)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    found = texts.join(F.broadcast(drawn), "id")
+    sample = bounded_sample(found, "label", "id", params.per_label, "text", params.label_bytes,
+                            seed=params.seed, counted=False)
     slim = sample.select(F.xxhash64("id", "text").alias("draw"), "label", "text")
     found = sorted(_feature_rows(slim, params).collect(), key=lambda r: (r.draw, r.label))
     if not found:

@@ -78,7 +78,8 @@ def test_ftrl_is_sparse_and_separates():
 def test_toxicity_edges(spark, edge_docs, no_docs):
     rows = [(i, "you are scum" if i % 3 == 0 else f"fine text {i % 7}", int(i % 3 == 0)) for i in range(300)]
     rows += [(900, None, 1), (901, "x", None), (902, "y", 7)]
-    model = learn_toxicity(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = learn_toxicity(labelled.drop("toxic"), labelled.drop("text"))
     got = score_toxicity(edge_docs, model)
     out = got.collect()
     assert set(got.columns) == set(edge_docs.columns) and len(out) == edge_docs.count()
@@ -88,7 +89,7 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     a, b = sorted(score_toxicity(probe, model).collect(), key=lambda r: r.doc_id)
     assert a.score > 0.5 > b.score
     assert score_toxicity(no_docs, model).count() == 0
-    none = learn_toxicity(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    none = learn_toxicity(edge_docs, labelled.limit(0))
     assert all(r.score < 0.5 for r in score_toxicity(edge_docs, none).collect())
 
 
