@@ -257,7 +257,8 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
     degree = met.groupBy("id").agg(F.sum("c").alias("deg"))  # how many others it meets, over all buckets
     about = stage(reps.select("id", "n", "s1", "s2").join(degree, "id"), "nodes")
     members = stage(met.select("key", "id", F.col("id").alias("comp")).join(about, "id"), "members")
-    packed = stage(_packed(docs.select("id", "text").join(about.select("id"), "id", "left_semi")), "texts")
+    # merge join at every size: the nodes grow with the corpus
+    packed = stage(_packed(docs.select("id", "text").join(about.select("id").hint("merge"), "id", "left_semi")), "texts")
 
     # round 1: the best-connected document met in any bucket
     best = F.max(F.struct("deg", (-F.col("id")).alias("k"))).alias("lead")
