@@ -1,6 +1,90 @@
-"""Nested k-means and centroid-id normalisation on planted data."""
+"""Invariants of the embedding estimators, and label bookkeeping."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from landscape.operators import clusters as C
+from landscape.operators.validation import distances_to_mean
+
+
+@pytest.fixture(scope="module")
+def blobs():
+    """Six blobs around two far centres, of unequal scale per dimension."""
+    rng = np.random.default_rng(3)
+    centres = np.array([[0, 0, 0], [0, 4, 0], [4, 0, 0], [60, 0, 5], [60, 4, 5], [64, 0, 5]], float)
+    return np.concatenate([c + rng.normal(0, [0.2, 0.3, 0.1], (20, 3)) for c in centres])
+
+
+@pytest.fixture(scope="module")
+def emb(spark, blobs):
+    return spark.createDataFrame([(f"e{i:03d}", v.tolist()) for i, v in enumerate(blobs)],
+                                 "entity string, embedding array<double>").cache()
+
+
+def _by(df, *cols):
+    return {r.entity: tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.collect()}
+
+
+def test_flat_points_lie_nearest_to_their_own_mean(emb, blobs):
+    lab = _by(C.kmeans_flat(emb, 6), "cluster")
+    names = sorted(set(lab.values()))
+    own = np.array([names.index(lab[f"e{i:03d}"]) for i in range(len(blobs))])
+    means = np.array([blobs[own == k].mean(0) for k in range(len(names))])
+    assert (((blobs[:, None] - means) ** 2).sum(2).argmin(1) == own).all()
+
+
+def test_inertia_falls_with_more_clusters(emb, blobs):
+    def inertia(k):
+        lab = _by(C.kmeans_flat(emb, k), "cluster")
+        own = np.array([lab[f"e{i:03d}"] for i in range(len(blobs))])
+        return sum(((blobs[own == c] - blobs[own == c].mean(0)) ** 2).sum() for c in set(own))
+    assert ((blobs - blobs.mean(0)) ** 2).sum() > inertia(2) > inertia(6)
+    long = C.fuzzy_multi_resolution(emb, [2, 6])
+    assert {(r.level, r["count"]) for r in long.groupBy("level").count().collect()} == {(1, 120), (2, 120)}
+
+
+def test_hierarchies_are_nested(emb):
+    up = _by(C.kmeans_centroid_hierarchy(emb, [6, 2]), "Level_1", "Level_2")
+    assert len({fine for _, fine in up.values()}) == len(set(up.values()))  # a fine label has one parent
+    cuts = _by(C.bisecting_hierarchy(emb, [2, 4]), "Level_1", "Level_2")
+    assert len({fine for _, fine in cuts.values()}) == len(set(cuts.values()))
+    assert len({cuts[f"e{i:03d}"][0] for i in range(60)}) == 1
+
+
+def test_whitening_centres_and_scales(emb, blobs):
+    for share, wanted in ((0.5, 1), (0.9999999, 3)):
+        x = np.array(list(_by(C.pca_reduce(emb, share), "embedding").values()))
+        assert x.shape == (120, wanted)
+        assert np.abs(x.mean(0)).max() < 1e-9 and np.abs(np.cov(x.T, ddof=1).reshape(wanted, wanted) - np.eye(wanted)).max() < 1e-9
+
+
+def test_soft_membership(emb):
+    rows = C.gmm_overlap(C.pca_reduce(emb, 0.999), 3, threshold=0.1).collect()
+    assert all(0.1 < r.p <= 1.0 + 1e-9 for r in rows)
+    for base in {r.entity[:4] for r in rows}:
+        own = sorted((r.entity for r in rows if r.entity[:4] == base), key=len)
+        assert own == [base, *[f"{base}_{i}" for i in range(2, len(own) + 1)]]
+
+
+def test_silhouette(spark):
+    df = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [10.0]), ("d", [11.0])], "entity string, embedding array<double>")
+    labels = spark.createDataFrame([("a", "x", "1"), ("b", "x", "1"), ("c", "x", "2"), ("d", "x", "2")], "entity string, l1 string, l2 string")
+    got = {r.level: r.silhouette for r in C.silhouette_by_level(df, labels, ["l1", "l2"]).collect()}
+    # squared distances: inside 1; to the other pair (100 + 121) / 2 and (81 + 100) / 2
+    outer, inner = 1 - 1 / 110.5, 1 - 1 / 90.5
+    assert got[1] == 0.0 and abs(got[2] - (outer + inner) / 2) < 1e-9
+
+
+def test_model_selection_grid(emb):
+    rows = C.gmm_model_selection(emb, [2, 3], [1, 2]).collect()
+    assert {(r.dimensions, r.k) for r in rows} == {(1, 2), (1, 3), (2, 2), (2, 3)}
+    assert all(r.bic > r.aic for r in rows)
+    assert C.scaled_k(20, 0.25) == 5 and C.scaled_k(3, 0.1) == 2
+
+
+def test_param_grid():
+    assert C.param_grid({"k": [1, 2], "s": [3]}) == [{"k": 1, "s": 3}, {"k": 2, "s": 3}]
 
 
 def test_kmeans_nested_recovers_blobs_per_parent(spark):
@@ -11,11 +95,32 @@ def test_kmeans_nested_recovers_blobs_per_parent(spark):
                 rows.append((f"{parent}_{blob}_{i:02d}", parent, [base + off + 0.01 * i, base - off]))
     rows.append(("tiny_0", "tiny", [1.0, 1.0]))  # parent below the size floor passes through
     df = spark.createDataFrame(rows, "entity string, parent string, embedding array<double>")
-    out = {r["entity"]: (r["parent"], r["cluster"]) for r in C.kmeans_nested(df, 2, iterations=5).collect()}
-    assert out["tiny_0"] == ("tiny", "")
-    for parent in ("p0", "p1"):
-        labels = {b: {out[f"{parent}_{b}_{i:02d}"][1] for i in range(12)} for b in (0, 1)}
-        assert len(labels[0]) == 1 and len(labels[1]) == 1 and labels[0] != labels[1]
+    for imbalanced, k in ((False, 2), (True, 4)):
+        out = _by(C.kmeans_nested(df, k, imbalanced=imbalanced), "parent", "cluster")
+        assert out["tiny_0"] == ("tiny", "") and len(out) == 49
+        for parent in ("p0", "p1"):
+            labels = {b: {out[f"{parent}_{b}_{i:02d}"][1] for i in range(12)} for b in (0, 1)}
+            assert len(labels[0]) == 1 and len(labels[1]) == 1 and labels[0] != labels[1]
+    sizes = {r.parent: (r.n, r.kp) for r in C.nested_k(df, 4, imbalanced=True).collect()}
+    assert sizes == {"p0": (24, 2), "p1": (24, 2), "tiny": (1, None)}
+
+
+def test_nested_ends_where_nothing_moves(emb, blobs):
+    pts = emb.withColumn("parent", F.when(F.substring("entity", 2, 3).cast("int") < 60, "a").otherwise("b"))
+    out = _by(C.kmeans_nested(pts, 3), "parent", "cluster")
+    own = np.array(["".join(out[f"e{i:03d}"]) for i in range(len(blobs))])
+    for parent in "ab":
+        names = [n for n in sorted(set(own)) if n[0] == parent]
+        inside = np.array([o[0] == parent for o in own])
+        means = np.array([blobs[own == n].mean(0) for n in names])
+        near = ((blobs[inside][:, None] - means) ** 2).sum(2).argmin(1)
+        assert [names[i] for i in near] == own[inside].tolist()
+
+
+def test_distance_to_mean_is_null_for_one_embedding(spark):
+    df = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [2.0, 0.0]), ("c", [5.0, 5.0])], "entity string, embedding array<double>")
+    lab = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "u"), ("missing", "u")], "entity string, topic string")
+    assert _by(distances_to_mean(lab, df, ["topic"]), "distance") == {"a": 1.0, "b": 1.0, "c": None}
 
 
 def test_normalise_centroid_ids(spark):
