@@ -79,6 +79,19 @@ def weighted_by_level(view: DataFrame, level: str, years: tuple[int, int], score
             .join(names, level, "left"))
 
 
+def sorted_docs(docs: DataFrame, years: tuple[int, int], score: str) -> DataFrame:
+    """The documents of a year range, highest score first."""
+    return docs.where(F.col("document_year").between(*years)).orderBy(F.col(score).desc(), "document_link")
+
+
+def extremes(docs: DataFrame, score: str, n: int = 50, key: str = "document_link") -> DataFrame:
+    """The n highest and the n lowest documents, with their side and rank; ties by key."""
+    def side(name: str, order: list) -> DataFrame:
+        top = docs.orderBy(*order).limit(n)  # n rows from here on
+        return top.withColumn("side", F.lit(name)).withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(*order)))
+    return side("most", [F.col(score).desc(), F.col(key)]).unionByName(side("least", [F.col(score), F.col(key)]))
+
+
 def yearly_rank(df: DataFrame, score: str) -> DataFrame:
     return df.withColumn("rank", F.rank().over(Window.partitionBy("year").orderBy(score)))
 

@@ -10,16 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sampling import unit_hash
+
 
 def entity_journal_levels(journal_entity_counts: DataFrame, taxonomy: DataFrame, levels: int = 3) -> DataFrame:
     tax = taxonomy.select("entity", *[f"Level_{i}" for i in range(1, levels + 1)])
     return journal_entity_counts.select("entity", "journal", "count").join(tax, "entity")
 
 
+def inside(ejl: DataFrame, level: int, parent: str | None) -> DataFrame:
+    """Rows under a parent topic of the level above; all rows without one."""
+    return ejl if parent is None else ejl.where(F.col(f"Level_{level - 1}") == parent)
+
+
+def sample_journals(ejl: DataFrame, n: int, level: int = 1, parent: str | None = None, seed: int = 0) -> DataFrame:
+    """n journals drawn by a seeded hash of their name."""
+    return (inside(ejl, level, parent).select("journal").distinct()
+            .orderBy(unit_hash("journal", seed), "journal").limit(n))
+
+
 def main_journals(ejl: DataFrame, n: int = 50, level: int = 1, parent: str | None = None) -> DataFrame:
     """Top-n journals by number of entity rows (inside a parent topic for
     level > 1), "Other" removed; ties by name."""
-    d = ejl if parent is None else ejl.where(F.col(f"Level_{level - 1}") == parent)
+    d = inside(ejl, level, parent)
     return (d.groupBy("journal").agg(F.count("*").alias("rows"))
             .orderBy(F.col("rows").desc(), "journal").limit(n)
             .where(F.col("journal") != "Other"))
@@ -42,24 +55,29 @@ def relevant_topics(ejl: DataFrame, level: int, threshold: float = 0.8, method:
             .withColumn("value", value).drop("_before"))
 
 
-def journal_topic_unary(ejl: DataFrame, level: int = 1, threshold: float = 0.8, n: int = 50) -> DataFrame:
-    """Relevant topics of the main journals with the journal's topic diversity
-    (number of relevant topics) and the topic's id number."""
-    mj = main_journals(ejl, n).select("journal")
-    r = relevant_topics(ejl, level, threshold).join(mj, "journal", "left_semi")
+def journal_topic_unary(ejl: DataFrame, level: int = 1, threshold: float = 0.8, n: int = 50,
+                        parent: str | None = None) -> DataFrame:
+    """Relevant topics of the main journals (all inside a parent topic for level
+    > 1) with the journal's topic diversity (number of relevant topics) and the
+    topic's id number."""
+    d = inside(ejl, level, parent)
+    mj = main_journals(d, n).select("journal")
+    r = relevant_topics(d, level, threshold).join(mj, "journal", "left_semi")
     return (r.withColumn("diversity", F.count("*").over(Window.partitionBy("journal")))
             .withColumn("topic_number", F.element_at(F.split("topic", "_"), -1).cast("int")))
 
 
-def journal_topic_frequency(ejl: DataFrame, level: int = 1, n: int = 50) -> DataFrame:
-    mj = main_journals(ejl, n).select("journal")
-    c = journal_topic_counts(ejl, level).join(mj, "journal", "left_semi")
+def journal_topic_frequency(ejl: DataFrame, level: int = 1, n: int = 50, parent: str | None = None) -> DataFrame:
+    d = inside(ejl, level, parent)
+    mj = main_journals(d, n).select("journal")
+    c = journal_topic_counts(d, level).join(mj, "journal", "left_semi")
     return c.withColumn("frequency", F.col("size") / F.sum("size").over(Window.partitionBy("journal")))
 
 
-def journal_topic_tfidf(ejl: DataFrame, level: int = 1, n: int = 50) -> DataFrame:
+def journal_topic_tfidf(ejl: DataFrame, level: int = 1, n: int = 50, parent: str | None = None) -> DataFrame:
     """tf = topic count / journal total; idf = ln(J / journals with the topic)
     over all journals; main journals only, tf-idf > 0."""
+    ejl = inside(ejl, level, parent)
     c = journal_topic_counts(ejl, level)
     n_j = c.agg(F.countDistinct("journal").alias("_J"))
     df_t = c.groupBy("topic").agg(F.countDistinct("journal").alias("_df"))

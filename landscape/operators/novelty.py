@@ -107,13 +107,12 @@ def document_novelty(novelty_in: DataFrame, id_column: str = "work_id",
     by = list(by)
     if commonness is None:
         commonness = topic_pair_commonness(novelty_in, id_column, by)
-    pairs = novelty_in.select(*by, id_column, "year", "n_topics", "topics",
-                              F.inline(_pairs_of(F.col("topics"))))
+    pairs = novelty_in.select(*by, id_column, "year", F.inline(_pairs_of(F.col("topics"))))
     c = commonness.select(*by, "topic_1", "topic_2", "year", "commonness")
     return (pairs.join(c, by + ["topic_1", "topic_2", "year"])
             .groupBy(*by, id_column, "year")
-            .agg(linear("commonness", percentile / 100.0).alias("commonness"),
-                 F.first("n_topics").alias("n_topics"), F.first("topics").alias("topics"))
+            .agg(linear("commonness", percentile / 100.0).alias("commonness"))
+            .join(novelty_in.select(*by, id_column, "n_topics", "topics"), by + [id_column])
             .withColumn("novelty", -F.log(F.col("commonness")))
             .select(*by, id_column, "year", "commonness", "novelty", "n_topics", "topics"))
 

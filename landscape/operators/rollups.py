@@ -42,17 +42,30 @@ def named_paths(ejl: DataFrame, names: dict[int, DataFrame]) -> DataFrame:
     return out
 
 
-def rollup_topic_entity(ejl: DataFrame, levels: int = 2, with_journal: bool = False) -> DataFrame:
-    path = [f"Level_{i}" for i in range(1, levels + 1)] + (["journal"] if with_journal else []) + ["entity"]
-    return rollup_paths(ejl, path)
+def _chosen(ejl: DataFrame, entities: DataFrame | None, cluster: str | None,
+            names: dict[int, DataFrame] | None) -> DataFrame:
+    """Rows of the listed entities and of one first-level cluster, ids named."""
+    if entities is not None:
+        ejl = ejl.join(entities.select("entity"), "entity", "left_semi")
+    if cluster is not None:
+        ejl = ejl.where(F.col("Level_1") == cluster)
+    return named_paths(ejl, names) if names else ejl
 
 
-def rollup_entity_journal(ejl: DataFrame) -> DataFrame:
-    return rollup_paths(ejl, ["entity", "journal"])
+def rollup_topic_entity(ejl: DataFrame, levels: int = 2, with_journal: bool = False,
+                        names: dict[int, DataFrame] | None = None, entities: DataFrame | None = None,
+                        cluster: str | None = None) -> DataFrame:
+    path = [f"Level_{i}" for i in range(1, levels + 1)] + ["entity"] + (["journal"] if with_journal else [])
+    return rollup_paths(_chosen(ejl, entities, cluster, names), path)
 
 
-def rollup_journal_topic(ejl: DataFrame, main: DataFrame, levels: int = 2, journal: str | None = None) -> DataFrame:
-    d = ejl.join(main.select("journal"), "journal", "left_semi")
+def rollup_entity_journal(ejl: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    return rollup_paths(_chosen(ejl, entities, None, None), ["entity", "journal"])
+
+
+def rollup_journal_topic(ejl: DataFrame, main: DataFrame, levels: int = 2, journal: str | None = None,
+                         names: dict[int, DataFrame] | None = None) -> DataFrame:
+    d = _chosen(ejl, None, None, names).join(main.select("journal"), "journal", "left_semi")
     if journal is not None:
         d = d.where(F.col("journal") == journal)
     return rollup_paths(d, ["journal"] + [f"Level_{i}" for i in range(1, levels + 1)] + ["entity"])

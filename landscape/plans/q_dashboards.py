@@ -265,6 +265,53 @@ def q_ranked_novelty_articles(spark, sf):
     return finish(out, floats=("novelty",), lists=("names",))
 
 
+NOV_DOCS = f"""SELECT DISTINCT d.work_id AS document_link, d.year AS document_year, d.area, n.name, round(d.novelty, 6) AS novelty
+FROM (SELECT work_id, year, novelty, {QI.EXP} FROM nl WHERE level = 3) d
+LEFT JOIN (SELECT DISTINCT area, name FROM ({_lv_sql('nt', NOV_MEASURES)}) v) n ON d.area = n.area
+WHERE d.year BETWEEN {YEARS[0]} AND {YEARS[1]}"""
+DIS_DOCS = f"""SELECT DISTINCT d.work_id AS document_link, d.year AS document_year, d.area, n.name, round(d.cd_score, 6) AS cd_score
+FROM dd d LEFT JOIN (SELECT DISTINCT area, name FROM ({_lv_sql('dt', DIS_MEASURES)}) v) n ON d.area = n.area
+WHERE d.year BETWEEN {YEARS[0]} AND {YEARS[1]}"""
+
+
+def _novelty_docs(spark, sf):
+    v = D.level_view(_nov_trends(spark, sf), "area", YEARS, NOV_MEASURES)
+    return D.level_docs(I.novelty_documents(QI._nov_long(spark, sf)), v, "area", YEARS, "novelty")
+
+
+def _disruption_docs(spark, sf):
+    v = D.level_view(_dis_table(spark, sf), "area", YEARS, DIS_MEASURES)
+    return D.level_docs(QI._dis_docs(spark, sf), v, "area", YEARS, "cd_score")
+
+
+@query("disruption_by_level_docs", oracle=_dis(DIS_DOCS))
+def q_disruption_by_level_docs(spark, sf):
+    return finish(_disruption_docs(spark, sf), floats=("cd_score",))
+
+
+@query("novelty_weighted_docs", oracle=_nov(f"SELECT * FROM ({NOV_DOCS}) x WHERE document_year BETWEEN {YEARS[0] + 1} AND {YEARS[1]}"))
+def q_novelty_weighted_docs(spark, sf):
+    return finish(D.sorted_docs(_novelty_docs(spark, sf), (YEARS[0] + 1, YEARS[1]), "novelty"), floats=("novelty",))
+
+
+@query("disruption_weighted_docs", oracle=_dis(f"SELECT * FROM ({DIS_DOCS}) x WHERE document_year BETWEEN {YEARS[0] + 1} AND {YEARS[1]}"))
+def q_disruption_weighted_docs(spark, sf):
+    return finish(D.sorted_docs(_disruption_docs(spark, sf), (YEARS[0] + 1, YEARS[1]), "cd_score"), floats=("cd_score",))
+
+
+@query("ranked_novelty_extremes", oracle=_nov(f"""
+SELECT side, rank, document_link, novelty FROM (
+  SELECT 'most' AS side, document_link, novelty, row_number() OVER (ORDER BY novelty DESC, document_link) AS rank FROM g UNION ALL
+  SELECT 'least', document_link, novelty, row_number() OVER (ORDER BY novelty, document_link) FROM g) r WHERE rank <= 50""",
+    extra={"g": f"SELECT DISTINCT document_link, novelty FROM ({NOV_DOCS}) x WHERE name = 'Name 1_2'"}))
+def q_ranked_novelty_extremes(spark, sf):
+    """The 50 most and the 50 least novel documents of a topic."""
+    t = tables(spark, sf)
+    ranked = D.ranked_novelty_articles(_novelty_docs(spark, sf), t.works.select("work_id", "display_name"), "Name 1_2")
+    ranked = finish(ranked, floats=("novelty",))
+    return D.extremes(ranked, "novelty", 50).select("side", "rank", "document_link", "novelty")
+
+
 @query("unique_words", oracle=with_views(
     "SELECT DISTINCT unnest(string_split(display_name, ' ')) AS word FROM works", "works"))
 def q_unique_words(spark, sf):

@@ -138,8 +138,8 @@ def q_cd_index(spark, sf):
 
 
 def _dis_docs(spark, sf):
-    t = tables(spark, sf)
-    return I.disruption_documents(_topics(spark, sf), t.cd_scores, t.works)
+    t = tables(spark, sf)  # read by every disruption table and view
+    return t.stage("disruption_documents", lambda: I.disruption_documents(_topics(spark, sf), t.cd_scores, t.works))
 
 
 DIS = {

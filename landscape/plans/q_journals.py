@@ -10,6 +10,7 @@ from ..operators import rollups as R
 from .q_naming import BASE as NBASE
 from .q_naming import _je
 from .registry import finish, query, tables
+from .sqlhelp import unit_hash
 from .views_sql import with_views
 
 EJL = """SELECT j.entity, j.journal, j.count, t.Level_1, t.Level_2, t.Level_3, t.Level_4, t.Level_5
@@ -150,3 +151,75 @@ def q_topic_density(spark, sf):
     named = (t.taxonomy.join(names.withColumnRenamed("topic", "Level_2"), "Level_2", "left")
              .withColumn("Level_2_Entity_Names", F.coalesce("names", F.lit("Other"))))
     return finish(J.topic_density(named, 2, 20), floats=("density",))
+
+
+# -- inside a parent topic, samples, named paths ------------------------------------------
+IN1 = {"pejl": "SELECT * FROM ejl WHERE Level_1 = '1'",
+       "pjtc": "SELECT journal, Level_2 AS topic, CAST(sum(count) AS BIGINT) AS size FROM pejl GROUP BY journal, Level_2",
+       "pmain": """SELECT journal FROM (SELECT journal, count(*) AS rows FROM pejl GROUP BY journal ORDER BY rows DESC, journal LIMIT 10) m
+WHERE journal <> 'Other'"""}
+
+
+@query("sample_journals", oracle=_o(f"SELECT journal FROM (SELECT DISTINCT journal FROM pejl) j ORDER BY {unit_hash('journal', 4)}, journal LIMIT 5",
+                                    extra=IN1))
+def q_sample_journals(spark, sf):
+    return J.sample_journals(_ejl(spark, sf), 5, 2, "1", seed=4)
+
+
+@query("relevant_topics_in_parent", oracle=_o("SELECT * FROM prel", extra=IN1 | {"prel": REL.replace("jtc", "pjtc")}))
+def q_relevant_topics_in_parent(spark, sf):
+    return finish(J.relevant_topics(J.inside(_ejl(spark, sf), 2, "1"), 2, 0.8), floats=("value",))
+
+
+@query("journal_topic_unary_in_parent", oracle=_o("""
+SELECT r.*, count(*) OVER (PARTITION BY r.journal) AS diversity, CAST(split_part(r.topic, '_', -1) AS INT) AS topic_number
+FROM prel r WHERE r.journal IN (SELECT journal FROM pmain)""", extra=IN1 | {"prel": REL.replace("jtc", "pjtc")}))
+def q_journal_topic_unary_in_parent(spark, sf):
+    return finish(J.journal_topic_unary(_ejl(spark, sf), 2, 0.8, 10, "1"), floats=("value",))
+
+
+@query("journal_topic_frequency_in_parent", oracle=_o("""
+SELECT journal, topic, size, round(size / sum(size) OVER (PARTITION BY journal), 6) AS frequency
+FROM pjtc WHERE journal IN (SELECT journal FROM pmain)""", extra=IN1))
+def q_journal_topic_frequency_in_parent(spark, sf):
+    return finish(J.journal_topic_frequency(_ejl(spark, sf), 2, 10, "1"), floats=("frequency",))
+
+
+def _named(sql: str) -> dict[str, str]:
+    return {"nejl": f"""SELECT e.entity, e.journal, e.count, coalesce(a.name, e.Level_1) AS Level_1, coalesce(b.name, e.Level_2) AS Level_2
+FROM ({sql}) e LEFT JOIN (SELECT topic, name FROM topic_names WHERE level = 1) a ON a.topic = e.Level_1
+LEFT JOIN (SELECT topic, name FROM topic_names WHERE level = 2) b ON b.topic = e.Level_2"""}
+
+
+def _names(spark, sf):
+    n = tables(spark, sf).topic_names
+    return {lv: n.where(F.col("level") == lv) for lv in (1, 2)}
+
+
+TOP50 = "SELECT entity FROM (SELECT entity, sum(count) AS s FROM ejl GROUP BY entity ORDER BY s DESC, entity LIMIT 50) x"
+
+
+@query("rollup_topic_entity_named", oracle=with_views(_rollup_sql("nejl", ["Level_1", "Level_2", "entity", "journal"]),
+    "doc_entities", "works", "taxonomy", "topic_names",
+    extra=dict(NBASE) | {"ejl": EJL} | _named(f"SELECT * FROM ejl WHERE entity IN ({TOP50}) AND Level_1 = '1'")))
+def q_rollup_topic_entity_named(spark, sf):
+    """The 50 top entities of one first-level cluster, by name, down to the journal."""
+    ejl = _ejl(spark, sf)
+    return R.rollup_topic_entity(ejl, 2, True, _names(spark, sf), R.main_entities(ejl, (50,)), "1")
+
+
+@query("rollup_entity_journal_top", oracle=_o(_rollup_sql(f"(SELECT * FROM ejl WHERE entity IN ({TOP50})) t", ["entity", "journal"])))
+def q_rollup_entity_journal_top(spark, sf):
+    ejl = _ejl(spark, sf)
+    return R.rollup_entity_journal(ejl, R.main_entities(ejl, (50,)))
+
+
+@query("rollup_journal_topic_named", oracle=with_views(_rollup_sql("nejl", ["journal", "Level_1", "Level_2", "entity"]),
+    "doc_entities", "works", "taxonomy", "topic_names",
+    extra=dict(NBASE) | {"ejl": EJL, "mainj": MAINJ} | _named("SELECT * FROM ejl WHERE journal = (SELECT min(journal) FROM mainj)")))
+def q_rollup_journal_topic_named(spark, sf):
+    """One main journal (the first by name), topics by name."""
+    ejl = _ejl(spark, sf)
+    main = J.main_journals(ejl, 10)
+    first = main.agg(F.min("journal").alias("journal"))
+    return R.rollup_journal_topic(ejl, first, 2, names=_names(spark, sf))
