@@ -18,7 +18,7 @@ from ..functions.ordering import global_row_number
 # Schema of the raw work records this engine reads (a subset of the source
 # format: unread fields are simply not declared, so the reader skips them).
 INSTITUTION = T.StructType([T.StructField(n, T.StringType()) for n in
-                            ("id", "display_name", "ror", "country_code", "type")])
+                            ("id", "display_name", "ror", "country_code", "type", "homepage_url")])
 WORK_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("doi", T.StringType()),
@@ -35,6 +35,8 @@ WORK_SCHEMA = T.StructType([
         T.StructField("raw_affiliation_string", T.StringType())]))),
     T.StructField("concepts", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in
                                                         ("id", "wikidata", "display_name", "level", "score")]))),
+    T.StructField("mesh", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in
+                                                    ("descriptor_ui", "descriptor_name", "qualifier_name")]))),
     T.StructField("referenced_works", T.ArrayType(T.StringType())),
     T.StructField("abstract_inverted_index", T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))),
     T.StructField("cited_by_count", T.IntegerType()),
@@ -87,6 +89,12 @@ def work_metadata(raw: DataFrame) -> DataFrame:
                       F.col("host_venue.url").alias("venue_url"))
 
 
+def work_mesh(raw: DataFrame) -> DataFrame:
+    """One row per (work, subject heading)."""
+    return (raw.select(F.col("id").alias("doc_id"), F.explode("mesh").alias("m"))
+            .select("doc_id", "m.descriptor_ui", "m.descriptor_name", "m.qualifier_name"))
+
+
 def work_concepts(raw: DataFrame, variable: str = "concepts") -> DataFrame:
     return (raw.select(F.col("id").alias("doc_id"), F.explode(variable).alias("c"))
             .select("doc_id", "c.id", "c.display_name", F.col("c.score").cast("double").alias("score")))
@@ -106,7 +114,9 @@ def work_authorships(raw: DataFrame) -> DataFrame:
 
 def institution_metadata(raw: DataFrame) -> DataFrame:
     i = raw.select(F.explode("authorships").alias("a")).select(F.explode("a.institutions").alias("i"))
-    return i.select("i.id", "i.display_name", "i.country_code", "i.type").dropDuplicates(["id"])
+    fields = [f for f in ("id", "display_name", "country_code", "type", "homepage_url")
+              if f in i.schema["i"].dataType.names]
+    return i.select(*[f"i.{f}" for f in fields]).dropDuplicates(["id"])
 
 
 def work_citations(raw: DataFrame) -> DataFrame:
@@ -234,9 +244,13 @@ def parse_forward_citations(pages: DataFrame, json_col: str = "json") -> DataFra
     return last.select(F.col("id").alias("citing"), F.explode("refs").alias("cited"))
 
 
-def patent_count_probe(patents: DataFrame, parties: DataFrame, texts: DataFrame, country: str = "GB") -> DataFrame:
+def patent_count_probe(patents: DataFrame, parties: DataFrame, texts: DataFrame, country: str = "GB",
+                       filed: tuple[str, str] | None = None) -> DataFrame:
     """Distinct publications and families for inventor / assignee / either
-    country filters, with and without an English abstract (6 counts)."""
+    country filters, with and without an English abstract (6 counts), of
+    patents filed in an inclusive date range where one is given."""
+    if filed:
+        patents = patents.where(F.col("filing_date").between(*[F.lit(x).cast("date") for x in filed]))
     d = patents.join(parties, "publication_number").join(texts, "publication_number")
     inv = F.array_contains("inventor_harmonized_country_codes", country)
     asg = F.array_contains("assignee_harmonized_country_codes", country)

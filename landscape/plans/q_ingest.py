@@ -270,6 +270,28 @@ def q_patent_count_probe(spark, sf):
                                  IG.english_text(raw))
 
 
+@query("patent_count_probe_filed", oracle=f"""
+WITH pl AS ({PL}), base AS (
+  SELECT 'P' || CAST(o.o_orderkey AS STRING) AS pub, CAST(CAST(floor(o.o_orderkey / 3) AS BIGINT) AS STRING) AS fam,
+    o.o_orderkey % 4 <> 0 AS en,
+    EXISTS (SELECT 1 FROM pl WHERE pl.o_orderkey = o.o_orderkey AND pl.l_suppkey % 5 = 0 AND pl.cc = 'GB') AS inv,
+    EXISTS (SELECT 1 FROM pl WHERE pl.o_orderkey = o.o_orderkey AND pl.cc = 'GB') AS asg
+  FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_orderkey % 10 <> 0
+    AND CAST(o.o_orderdate AS DATE) - 200 BETWEEN DATE '1993-01-01' AND DATE '1994-06-30')
+SELECT v.variant, e.english_only,
+  count(DISTINCT CASE WHEN (CASE v.variant WHEN 'inventor' THEN inv WHEN 'assignee' THEN asg ELSE inv OR asg END)
+                       AND (en OR NOT e.english_only) THEN pub END) AS n_publications,
+  count(DISTINCT CASE WHEN (CASE v.variant WHEN 'inventor' THEN inv WHEN 'assignee' THEN asg ELSE inv OR asg END)
+                       AND (en OR NOT e.english_only) THEN fam END) AS n_families
+FROM base CROSS JOIN (VALUES ('inventor'), ('assignee'), ('inventor_or_assignee')) v(variant)
+CROSS JOIN (VALUES (false), (true)) e(english_only)
+GROUP BY v.variant, e.english_only""")
+def q_patent_count_probe_filed(spark, sf):
+    raw = _raw_patents(spark, sf)
+    dated = IG.patent_dates(raw).join(raw.select("publication_number", "family_id"), "publication_number")
+    return IG.patent_count_probe(dated, IG.unnest_parties(raw), IG.english_text(raw), filed=("1993-01-01", "1994-06-30"))
+
+
 @query("write_by_year", oracle=with_views(
     "SELECT work_id, display_name, cited_by_count, publication_year FROM works", "works"))
 def q_write_by_year(spark, sf):

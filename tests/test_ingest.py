@@ -9,7 +9,8 @@ from landscape.session import ensure_checkpoint_dir
 
 WORKS = [{"id": f"W{i}", "doi": f"10.1/{i}", "display_name": f"Title {i}", "publication_year": 2000 + i,
           "concepts": [{"id": f"C{j}", "display_name": f"c{j}", "level": "0", "score": "0.5"} for j in range(20)],
-          "authorships": [{"author": {"id": f"A{j}"}, "institutions": [{"id": "I1"}, {"id": "I2"}]} for j in range(13)],
+          "authorships": [{"author": {"id": f"A{j}"}, "institutions": [{"id": "I1", "homepage_url": "http://i1"}, {"id": "I2"}]} for j in range(13)],
+          "mesh": [{"descriptor_ui": "D1", "descriptor_name": "Humans", "qualifier_name": None}],
           "referenced_works": ["W7", "W8"], "abstract_inverted_index": {"b": [1], "a": [0, 2]}} for i in range(2)]
 
 
@@ -23,6 +24,8 @@ def test_arrays_over_several_lines_and_json_lines(spark, tmp_path):
         assert (IG.work_metadata(one).count(), len(IG.work_metadata(one).columns)) == (1, 10)
         assert IG.work_concepts(one).count() == 20 and IG.work_authorships(one).count() == 26
         assert sorted(r.cited for r in IG.work_citations(one).collect()) == ["W7", "W8"]
+        assert {(r.id, r.homepage_url) for r in IG.institution_metadata(one).collect()} == {("I1", "http://i1"), ("I2", None)}
+        assert [(r.doc_id, r.descriptor_name) for r in IG.work_mesh(one).collect()] == [("W0", "Humans")]
         assert IG.deinvert_abstract(one).first().abstract == "a b a"
 
 
