@@ -7,7 +7,7 @@ edit list, not by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL_COLS = [f"Level_{i}" for i in range(1, 6)]
@@ -19,9 +19,17 @@ def preprune_entities(entities: DataFrame, flagged: DataFrame, keep: DataFrame)
     return entities.join(discarded, "entity", "left_anti")  # the flagged set grows with the mentions: no hint
 
 
-def tax_discard(taxonomy: DataFrame, discard: DataFrame, pattern: str = r"\(film\)") -> DataFrame:
-    return (taxonomy.join(F.broadcast(discard.select("entity")), "entity", "left_anti")
-            .where(~F.col("entity").rlike(pattern)))
+def tax_discard(taxonomy: DataFrame, discard: DataFrame, pattern: str = r"\(film\)",
+                flagged: DataFrame | None = None, preprocessed: DataFrame | None = None) -> DataFrame:
+    """Without the listed entities, those ``flagged`` automatically (but for
+    names with "International"), those matching ``pattern`` and, where given,
+    those not among the ``preprocessed`` ones."""
+    out = taxonomy.join(F.broadcast(discard.select("entity")), "entity", "left_anti").where(~F.col("entity").rlike(pattern))
+    if flagged is not None:  # grows with the data: no hint
+        out = out.join(flagged.select("entity").where(~F.col("entity").contains("International")), "entity", "left_anti")
+    if preprocessed is not None:
+        out = out.join(preprocessed.select("entity"), "entity", "left_semi")
+    return out
 
 
 def tax_rename(names: DataFrame, renames: DataFrame) -> DataFrame:
@@ -60,7 +68,6 @@ def tax_move_areas(taxonomy: DataFrame, domains: list[str], new_root: str = "26"
 def tax_finalise(edited: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep the last edit per entity (highest ``seq``) and only the names of
     topics that still exist at their level."""
-    from pyspark.sql import Window
     w = Window.partitionBy("entity").orderBy(F.col("seq").desc())
     tax = edited.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "seq")
     alive = tax.select(F.inline(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"Level_{i}").alias("topic"))
@@ -94,12 +101,27 @@ def country_tags(tags: DataFrame, entity_reassign: DataFrame, country_remove: Da
     return t.join(F.broadcast(continents), "country", "left").distinct()
 
 
+def tax_append(taxonomy: DataFrame, branch: DataFrame) -> DataFrame:
+    """The taxonomy with a branch added; an entity of both keeps its branch row."""
+    cols = ["entity", *LEVEL_COLS]
+    return taxonomy.join(branch.select("entity"), "entity", "left_anti").select(*cols).unionByName(branch.select(*cols))
+
+
+def country_branch_names(tags: DataFrame) -> DataFrame:
+    """(level, topic, name): continents at level 2, countries at level 3."""
+    branch = tags.join(tax_add_country_branch(tags).select("entity", "Level_2", "Level_3"), "entity")
+    first = branch.groupBy("Level_2", "Level_3").agg(F.min("country").alias("name"))
+    l3 = first.select(F.lit(3).alias("level"), F.col("Level_3").alias("topic"), "name")
+    fixed = tags.sparkSession.createDataFrame(
+        [(2, f"{COUNTRY_ROOT}_{i}", c) for i, c in enumerate(CONTINENTS)], "level int, topic string, name string")
+    return fixed.unionByName(l3)
+
+
 def tax_add_country_branch(tags: DataFrame) -> DataFrame:
     """Country branch rows: Level_1 = 25, Level_2 by continent (25_0..25_6,
     else 25_7), Level_3 = the country's index inside its continent (by name),
     Level_4 = Level_5 = Level_3; an entity tagged with several countries keeps
     the first by name."""
-    from pyspark.sql import Window
     l2 = F.lit(f"{COUNTRY_ROOT}_7")
     for i, c in reversed(list(enumerate(CONTINENTS))):
         l2 = F.when(F.col("continent") == c, F.lit(f"{COUNTRY_ROOT}_{i}")).otherwise(l2)
@@ -124,7 +146,6 @@ def tax_merge_topics(taxonomy: DataFrame, merges: DataFrame) -> DataFrame:
     """Move a domain under another domain (new area = max area + 1, topics
     ``<area>_0``) or an area under another area (new topic = max topic + 1).
     Merges into the same parent take consecutive ids in list order (``seq``)."""
-    from pyspark.sql import Window
     is_dom = F.size(F.split("target", "_")) == 1
     dom = merges.where(is_dom)
     area = merges.where(~is_dom)
@@ -148,16 +169,26 @@ def tax_merge_topics(taxonomy: DataFrame, merges: DataFrame) -> DataFrame:
         *[F.when(d, d0).when(a, F.col("_al3")).otherwise(F.col(f"Level_{i}")).alias(f"Level_{i}") for i in (3, 4, 5)])
 
 
+def _split_ids(taxonomy: DataFrame, splits: DataFrame) -> DataFrame:
+    """(topic, seq, _a): the new area of every group."""
+    groups = splits.select("topic", "seq").distinct().withColumn("domain", F.substring_index("topic", "_", 1))
+    dmax = _last_segment_max(taxonomy, "Level_1", "Level_2").withColumnRenamed("parent", "domain")
+    w = Window.partitionBy("domain").orderBy("seq")
+    return (F.broadcast(groups).join(dmax, "domain", "left")
+            .withColumn("_a", F.concat("domain", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string"))))
+
+
+def tax_split_names(taxonomy: DataFrame, splits: DataFrame, names: DataFrame) -> DataFrame:
+    """(level, topic, name) of the areas that a split makes; ``names``: (topic, seq, name)."""
+    return (_split_ids(taxonomy, splits).join(F.broadcast(names), ["topic", "seq"])
+            .select(F.lit(2).alias("level"), F.col("_a").alias("topic"), "name"))
+
+
 def tax_split_topics(taxonomy: DataFrame, splits: DataFrame) -> DataFrame:
     """Give listed entity groups new areas inside the domain of ``topic``:
     consecutive ids after the domain's largest area (``seq`` orders groups),
     topics ``<area>_0``. ``splits``: (topic, seq, entity)."""
-    from pyspark.sql import Window
-    groups = splits.select("topic", "seq").distinct().withColumn("domain", F.substring_index("topic", "_", 1))
-    dmax = _last_segment_max(taxonomy, "Level_1", "Level_2").withColumnRenamed("parent", "domain")
-    w = Window.partitionBy("domain").orderBy("seq")
-    ids = (F.broadcast(groups).join(dmax, "domain", "left")
-           .withColumn("_a", F.concat("domain", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string"))))
+    ids = _split_ids(taxonomy, splits)
     ent = F.broadcast(splits.join(ids.select("topic", "seq", "_a"), ["topic", "seq"]).select("entity", "_a"))
     j = taxonomy.join(ent, "entity", "left")
     s = F.col("_a").isNotNull()

@@ -34,6 +34,18 @@ def q_tax_discard(spark, sf):
     return ED.tax_discard(tables(spark, sf).taxonomy, d)
 
 
+@query("tax_discard_all", oracle=with_views(f"""
+SELECT * FROM taxonomy WHERE entity NOT IN ({', '.join(repr(e) for e in DISCARD)}) AND NOT regexp_matches(entity, '\\(film\\)')
+  AND entity NOT IN (SELECT entity FROM doc_entities GROUP BY entity HAVING max(confidence) < 90)
+  AND entity IN (SELECT entity FROM doc_entities WHERE confidence >= 80)""", "taxonomy", "doc_entities"))
+def q_tax_discard_all(spark, sf):
+    """Listed and flagged entities (never confident) out, confidently mentioned ones kept."""
+    t = tables(spark, sf)
+    flagged = t.doc_entities.groupBy("entity").agg(F.max("confidence").alias("c")).where("c < 90")
+    kept = t.doc_entities.where("confidence >= 80").select("entity").distinct()
+    return ED.tax_discard(t.taxonomy, _lit(spark, [(e,) for e in DISCARD], "entity string"), flagged=flagged, preprocessed=kept)
+
+
 @query("tax_rename", oracle=with_views(f"""
 SELECT n.level, n.topic, coalesce(r.new_name, n.name) AS name FROM topic_names n
 LEFT JOIN (VALUES {_vals(RENAMES)}) r(topic, new_name) ON n.topic = r.topic""", "topic_names"))
@@ -182,3 +194,47 @@ FROM taxonomy t LEFT JOIN (
 def q_tax_split_topics(spark, sf):
     s = _lit(spark, SPLITS, "topic string, seq int, entity string")
     return ED.tax_split_topics(tables(spark, sf).taxonomy, s)
+
+
+# -- names and appended rows of the edits ----------------------------------------------
+SPLIT_NAMES = [("3_1", 0, "First part"), ("3_1", 1, "Second part")]
+BRANCH_SQL = f"""SELECT entity, country, '25' AS Level_1, Level_2, Level_2 || '_' || CAST(i AS STRING) AS Level_3
+FROM (SELECT t.*, dense_rank() OVER (PARTITION BY Level_2 ORDER BY country) - 1 AS i,
+             row_number() OVER (PARTITION BY entity ORDER BY country) AS rn
+      FROM (SELECT *, {_L2} AS Level_2 FROM ctags) t) x WHERE rn = 1"""
+_CT = {"tags": TAGS_SQL, "cont": CONT_SQL, "ctags": CTAGS_SQL, "branch": BRANCH_SQL}
+
+
+@query("tax_append_country_branch", oracle=with_views("""
+SELECT * FROM taxonomy WHERE entity NOT IN (SELECT entity FROM branch) UNION ALL
+SELECT entity, Level_1, Level_2, Level_3, Level_3 AS Level_4, Level_3 AS Level_5 FROM branch""",
+                                                      "doc_entities", "works", "taxonomy", extra=_CT))
+def q_tax_append_country_branch(spark, sf):
+    return ED.tax_append(tables(spark, sf).taxonomy, ED.tax_add_country_branch(_country_tags(spark, sf)))
+
+
+@query("country_branch_names", oracle=with_views(
+    "SELECT * FROM (VALUES " + ", ".join(f"(2, '25_{i}', '{c}')" for i, c in enumerate(ED.CONTINENTS)) + """) v(level, topic, name)
+UNION ALL SELECT DISTINCT 3, Level_3, country FROM branch""", "doc_entities", "works", extra=_CT))
+def q_country_branch_names(spark, sf):
+    return ED.country_branch_names(_country_tags(spark, sf))
+
+
+@query("tax_split_names", oracle=with_views(f"""
+SELECT 2 AS level, '3_' || CAST(x.mx + 1 + n.seq AS STRING) AS topic, n.name
+FROM (VALUES {_vals(SPLIT_NAMES)}) n(topic, seq, name)
+CROSS JOIN (SELECT max(CAST(split_part(Level_2, '_', -1) AS INT)) AS mx FROM taxonomy WHERE Level_1 = '3') x""", "taxonomy"))
+def q_tax_split_names(spark, sf):
+    s = _lit(spark, SPLITS, "topic string, seq int, entity string")
+    return ED.tax_split_names(tables(spark, sf).taxonomy, s, _lit(spark, SPLIT_NAMES, "topic string, seq int, name string"))
+
+
+@query("tax_finalise_names", oracle=with_views("""
+SELECT n.level, n.topic, n.name FROM topic_names n WHERE EXISTS (
+  SELECT 1 FROM taxonomy t WHERE t.Level_1 <> '3' AND n.topic = CASE n.level WHEN 1 THEN t.Level_1 WHEN 2 THEN t.Level_2 ELSE t.Level_3 END)""",
+                                               "taxonomy", "topic_names"))
+def q_tax_finalise_names(spark, sf):
+    t = tables(spark, sf)
+    base = t.taxonomy.withColumn("seq", F.lit(0))
+    moved = ED.tax_move_areas(t.taxonomy.where(F.col("Level_1") == "3"), MOVE_DOMAINS).withColumn("seq", F.lit(1))
+    return ED.tax_finalise(base.unionByName(moved), t.topic_names)[1]
