@@ -33,9 +33,11 @@ def test_matches_oracle(spark, con, key):
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only_queries_run(spark, key):
+def test_queries_without_oracle_give_rows(spark, key):
+    """Their results are held against invariants or brute force elsewhere."""
     df = QUERIES[key](spark, SF_SMALL)
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry_smoke(spark):
