@@ -24,6 +24,9 @@ from .common import MIX, WHITE, WordHasher, bounded_sample, mix64, rows_of, text
 SEPARATORS = WHITE + bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 
 
+SAMPLE_TASKS = 16  # tasks that turn the training sample into features
+
+
 @dataclass(frozen=True)
 class FtrlParams:
     """``per_label`` rows and ``label_bytes`` bytes of text per label bound the
@@ -128,11 +131,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     found = texts.join(F.broadcast(drawn), "id")
     sample = bounded_sample(found, "label", "id", params.per_label, "text", params.label_bytes,
                             seed=params.seed, counted=False)
-    slim = sample.select(F.xxhash64("id", "text").alias("draw"), "label", "text")
-    found = sorted(_feature_rows(slim, params).collect(), key=lambda r: (r.draw, r.label))
+    slim = sample.select(F.xxhash64("id", "text").alias("draw"), "label", "text").repartition(SAMPLE_TASKS, "draw")
+    # a part at a time, so that the driver holds the packed features once
+    found = [(r.draw, r.label, r.x) for r in _feature_rows(slim, params).toLocalIterator()]
+    found.sort(key=lambda r: r[:2])
     if not found:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0, params)
-    return ftrl([(r.label, np.frombuffer(r.x, "<i4").astype(np.int64)) for r in found], params)
+    return ftrl([(label, np.frombuffer(x, "<i4")) for _, label, x in found], params)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
