@@ -4,11 +4,11 @@ vectorised hashing of words held in byte buffers."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- Arrow text
 
+ARROW_BYTES = 8 << 20  # of a batch that goes to a Python worker
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session in bytes, as texts are of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(name)
+    if int(str(now).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def carried(docs: DataFrame, text: str, results: Sequence[str], keep: Sequence[str] | None = None,
+            **extra: Column) -> tuple[DataFrame, list[Column]]:
+    """Input of a pass over the texts, and how to name its columns again.
+
+    The columns to ``keep`` (all, unless named) get numbers for names, so that
+    none clashes with those a pass adds; columns named like the ``results`` are
+    left out; the text, as ``text_``, is sent once. ``extra`` columns are added.
+    """
+    bound_batches(docs.sparkSession)
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c != text],
+                      F.col(f"`{text}`").alias("text_"), *[v.alias(k) for k, v in extra.items()])
+    return src, [F.col("text_" if c == text else f"c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def map_texts(src: DataFrame, run: Callable, added: str, text_back: bool) -> DataFrame:
+    """``src.mapInArrow(run)`` with the ``added`` columns; without ``text_back``
+    the texts are not sent back."""
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.drop_columns(["text_"])
+
+    kinds = [f"`{k}` {v}" for k, v in src.dtypes if text_back or k != "text_"]
+    return src.mapInArrow(run if text_back else without, ", ".join([*kinds, added]))
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets (n + 1) of a string column, without making
     Python strings. Null rows come out empty."""
