@@ -10,6 +10,10 @@ over the projections, of a normal mass in the cell - until the tables together
 reach the wanted probability of success. Candidates of all buckets and tables
 are merged and ranked by the inner product itself.
 
+Candidates are first kept only above a score that most queries' k-th neighbours
+reach; queries that find fewer than k so are run again without that floor. The
+floor saves what every bin would otherwise send, and decides nothing.
+
 Buckets are gathered in bins of about ``rows_per_bin`` rows. A bin with more
 rows or queries (a hot bucket) is split on both sides into blocks that meet
 each other, so no task holds more than a block, and nothing is left out.
@@ -126,9 +130,11 @@ def _taking_part(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(odd, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def _usual_distance(rows: DataFrame, queries: DataFrame, dim: int, norm: float, k: int, p: AnnParams) -> float:
-    """Median, over a bounded sample of queries, of the k-th smallest distance
-    to other rows (exact, one pass over the rows)."""
+def _usual_distance(rows: DataFrame, queries: DataFrame, dim: int, norm: float, k: int,
+                    p: AnnParams) -> tuple[float, float]:
+    """Median, over a bounded sample of queries, of the k-th smallest distance to
+    other rows (exact, one pass over the rows); and a floor of the k-th largest
+    inner product, for queries of length ``norm``, that nine in ten reach."""
     some = queries.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample).collect()
     ids = np.array([r.id for r in some])
     q = np.array([r.v for r in some], np.float64).reshape(-1, dim)
@@ -146,8 +152,9 @@ def _usual_distance(rows: DataFrame, queries: DataFrame, dim: int, norm: float,
     near = rows.select("id", "v").mapInArrow(run, "s long, ip double")
     order = W.partitionBy("s").orderBy(F.desc("ip"))
     last = (near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
-            .groupBy("s").agg(F.min("ip").alias("ip")).agg(F.percentile("ip", F.lit(0.5))).first()[0])
-    return math.sqrt(max(2 * norm * norm - 2 * (last if last is not None else 0.0), 1e-12))
+            .groupBy("s").agg(F.min("ip").alias("ip")).agg(F.percentile("ip", F.array(F.lit(0.5), F.lit(0.1)))).first()[0])
+    usual, floor = last if last is not None else (0.0, 0.0)
+    return math.sqrt(max(2 * norm * norm - 2 * usual, 1e-12)), floor
 
 
 def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
@@ -182,7 +189,7 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
     rows = stage(rows.filter(F.size("v") == dim).withColumn("n", F.row_number().over(same))
                  .filter(F.col("n") <= k + 1).drop("n"), "vectors")
     asked = stage(valid(queries).filter(F.size("v") == dim), "queries")
-    radius = _usual_distance(rows, asked, dim, norm, k, p)
+    radius, floor = _usual_distance(rows, asked, dim, norm, k, p)
     hashing = Hashing(dim, rows.count(), norm, p)
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +223,7 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
 
     held = stage(rows.mapInArrow(index_rows, "bin long, key long, id long, v array<double>"), "hashed")
     visits = stage(asked.mapInArrow(probe_rows, "bin long, keys array<long>, id long, v array<double>"), "visits")
-    plan = (held.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (2.0 * p.rows_per_bin)).alias("nr"))
-            .join(visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / float(p.queries_per_block)).alias("nq")), "bin"))
-
-    def blocks(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        return (side.join(plan, "bin").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)))
-                .withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("nr", "nq"))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def meet(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
         empty = np.zeros(0, np.int64)
         found = [(empty, empty, np.zeros(0))]
         if left.num_rows and right.num_rows:
@@ -244,9 +244,11 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
                     who = asker[lo:hi]
                     score[np.ix_(who, some)] = q[who] @ x[some].T
             score[qids[:, None] == ids[None, :]] = -np.inf
+            score[score < (np.sqrt((q * q).sum(1)) * (least / norm))[:, None]] = -np.inf
             if score.shape[1] > k:  # everything within rounding of the k-th goes on
                 kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                keep = np.isfinite(score) & (score >= (kth - 1e-9 * np.abs(kth))[:, None])
+                kth = np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth), -np.inf)
+                keep = np.isfinite(score) & (score >= kth[:, None])
             else:
                 keep = np.isfinite(score)
             who, some = np.nonzero(keep)
@@ -257,10 +259,23 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
                          "score": pa.array(cols[2], pa.float64())})
 
-    left = blocks(held, "nr", "nq", "r", "q").groupBy("bin", "r", "q")
-    right = blocks(visits, "nq", "nr", "q", "r").groupBy("bin", "r", "q")
-    merged = (left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score double")
-              .repartition("query_id").dropDuplicates(["query_id", "vec_id"]))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    def answers(visits: DataFrame, least: float) -> DataFrame:
+        plan = (held.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (2.0 * p.rows_per_bin)).alias("nr"))
+                .join(visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / float(p.queries_per_block)).alias("nq")), "bin"))
+
+        def blocks(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+            return (side.join(plan, "bin").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)))
+                    .withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("nr", "nq"))
+
+        left = blocks(held, "nr", "nq", "r", "q").groupBy("bin", "r", "q")
+        right = blocks(visits, "nq", "nr", "q", "r").groupBy("bin", "r", "q")
+        merged = (left.cogroup(right).applyInArrow(lambda a, b: meet(a, b, least), "query_id long, vec_id long, score double")
+                  .repartition("query_id").dropDuplicates(["query_id", "vec_id"]))
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    most = stage(answers(visits, floor), "answers")
+    done = most.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    rest = answers(visits.join(done, "id", "left_anti").select(*visits.columns), -math.inf)
+    return most.join(done.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
