@@ -14,7 +14,7 @@ position, so a row's segmentation depends on nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, mix64, rows_of
+from .common import MIX, carried, map_texts, mix64, rows_of
 
 WORD = regex.compile(r" +[^ ]*")
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ class PieceLattice:
                 normal[text] = i
                 self.bytes_of[i] = text.encode("utf-8")
         self.weight = np.array([p.theta * max(sp.get_score(i), p.floor) for i in range(size)])
-        # trie: sorted (node, character) keys and their targets; piece of a node or -1
+        # trie: a hash table of (node, character) keys and their targets; piece of a node or -1
         nodes: dict[str, int] = {"": 0}
         key, target = [], []
         for text in sorted(normal):
@@ -72,18 +72,41 @@ class PieceLattice:
                     nodes[text[:k]] = len(nodes)
                     key.append((nodes[text[:k - 1]] << 21) + ord(text[k - 1]))
                     target.append(nodes[text[:k]])
-        order = np.argsort(key)
-        self.key, self.target = np.array(key, np.int64)[order], np.array(target, np.int64)[order]
+        keys, targets = np.array(key, np.int64), np.array(target, np.int32)
         self.root = np.full(1 << 21, -1, np.int32)  # first characters: looked up directly
-        self.root[self.key[self.key < 1 << 21]] = self.target[self.key < 1 << 21]
-        self.piece = np.full(len(nodes), -1, np.int64)
+        self.root[keys[keys < 1 << 21]] = targets[keys < 1 << 21]
+        self.slots = 1 << (4 * len(keys)).bit_length()
+        self.key, self.target = np.full(self.slots, -1, np.int64), np.full(self.slots, -1, np.int32)
+        self.longest = 0  # steps of linear probing
+        for at, k, t in zip(self._slot(keys).tolist(), key, target):
+            step = 0
+            while self.key[(at + step) % self.slots] >= 0:
+                step += 1
+            self.key[(at + step) % self.slots], self.target[(at + step) % self.slots] = k, t
+            self.longest = max(self.longest, step)
+        self.piece = np.full(len(nodes), -1, np.int32)
         for text, i in normal.items():
             self.piece[nodes[text]] = i
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        shift = np.uint64(65 - self.slots.bit_length())
+        return ((key.astype(np.uint64) * MIX) >> shift).astype(np.int64)
+
     def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        want = (node << 21) + char
-        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-        return np.where(self.key[at] == want, self.target[at], -1)
+        want = (node.astype(np.int64) << 21) + char
+        at = self._slot(want)
+        found = self.key[at]
+        out = np.where(found == want, self.target[at], -1)
+        open_ = np.flatnonzero((found != want) & (found >= 0))
+        for step in range(1, self.longest + 1):
+            if not len(open_):
+                break
+            at_ = (at[open_] + step) % self.slots
+            found = self.key[at_]
+            hit = found == want[open_]
+            out[open_[hit]] = self.target[at_[hit]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
     def _edges(self, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """(start node, end node, piece, log weight) of all lattice edges; word w
@@ -92,13 +115,13 @@ class PieceLattice:
         word = np.repeat(np.arange(len(size)), size)
         stop = np.repeat(np.cumsum(size), size)  # behind the last character of the word
         at = np.arange(len(chars))
-        start = at + word
-        node = np.zeros(len(chars), np.int64)
+        start = (at + word).astype(np.int32)
+        node = np.zeros(len(chars), np.int32)
         out: list[tuple[np.ndarray, ...]] = []
         length = 0
         live = at
         while len(live):
-            node = self._step(node, chars[live + length]) if length else self.root[chars[live]].astype(np.int64)
+            node = self._step(node, chars[live + length]) if length else self.root[chars[live]]
             length += 1
             if length == 1:
                 known = (node >= 0)
@@ -106,7 +129,7 @@ class PieceLattice:
                 lone = live[~known]
                 c = chars[lone]
                 many = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-                out.append((start[lone], start[lone] + 1, -c - 1, self.p.theta * self.p.fallback * many))
+                out.append((start[lone], start[lone] + 1, (-c - 1).astype(np.int32), self.p.theta * self.p.fallback * many))
             on = node >= 0
             live, node = live[on], node[on]
             piece = self.piece[node]
@@ -124,24 +147,24 @@ class PieceLattice:
         s, e, piece, weight = self._edges(chars, size)
         first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])  # first node of each word
         owner = np.repeat(np.arange(len(size)), size + 1)
+        order = np.argsort(e, kind="stable")  # a merge: the edges of one length are in order already
+        s, e, piece, weight = s[order], e[order], piece[order], weight[order]
         # forward filter, by the end's place in its word
-        place = e - first[owner[e]]
-        order = np.lexsort((e, place))
-        s, e, piece, weight, place = s[order], e[order], piece[order], weight[order], place[order]
+        place = (np.arange(len(owner)) - first[owner])[e]
+        deepest = int(size.max())
+        order = np.argsort(place.astype(np.uint16) if deepest < 1 << 16 else place, kind="stable")
         alpha = np.zeros(len(owner))
-        bounds = np.searchsorted(place, np.arange(1, int(size.max()) + 2))
-        head = np.flatnonzero(np.concatenate([[True], np.diff(e) != 0]))
-        cut = np.searchsorted(head, bounds)
-        for lo, hi, g0, g1 in zip(bounds, bounds[1:], cut, cut[1:]):
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=deepest + 1)[1:])])
+        for lo, hi in zip(bounds, bounds[1:]):
             if hi > lo:
-                value = alpha[s[lo:hi]] + weight[lo:hi]
-                h = head[g0:g1]
-                top = np.maximum.reduceat(value, h - lo)
-                span = np.diff(np.append(h, hi))
-                alpha[e[h]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, span)), h - lo))
+                level = order[lo:hi]
+                end = e[level]
+                h = np.flatnonzero(np.concatenate([[True], np.diff(end) != 0]))
+                value = alpha[s[level]] + weight[level]
+                top = np.maximum.reduceat(value, h)
+                span = np.diff(np.append(h, hi - lo))
+                alpha[end[h]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, span)), h))
         # distribution function of the edges into each node
-        order = np.argsort(e, kind="stable")
-        s, e, piece, weight = s[order], e[order], piece[order], weight[order]
         total = np.cumsum(np.exp(alpha[s] + weight - alpha[e]))
         head = np.flatnonzero(np.concatenate([[True], np.diff(e) != 0]))
         last = np.zeros(len(owner), np.int64)
@@ -215,7 +238,7 @@ class PieceLattice:
                 number += len(ws)
                 waiting += hi - lo
                 lo = hi
-                if waiting >= BLOCK // 2:
+                if waiting >= BLOCK:
                     settle()
                     block.clear()
                     waiting = 0
@@ -239,20 +262,18 @@ def lattice(path: str, p: SamplingParams) -> PieceLattice:
 
 
 def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text",
-                  pieces: str = "pieces", params: SamplingParams = SamplingParams()) -> DataFrame:
+                  pieces: str = "pieces", params: SamplingParams = SamplingParams(),
+                  keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with the sampled piece ids of each text (array<int>).
 
     The draw depends on the row's ``key``, the text and the parameters only, so
     repeated rows get the same pieces; null keys draw like the text "null". Null
     and empty texts have no pieces. A column named like the result is replaced,
-    all others are kept. Texts are taken as they are (no normalisation), with
+    the others (those to ``keep``, if named) stay. Texts are taken as they are (no normalisation), with
     the model's leading blank added.
     """
-    keep = [c for c in docs.columns if c != pieces]
-    src = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-                      + [F.col(f"`{text}`").alias("text_"),
-                         F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")),
-                                    F.lit(params.seed)).alias("key_")])
+    draw = F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.lit(params.seed))
+    src, back = carried(docs, text, (pieces,), keep, key_=draw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(model_path, params)
@@ -262,9 +283,8 @@ def sample_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
                                              pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "p_"])
 
-    schema = ", ".join(f"`{k}` {v}" for k, v in src.dtypes) + ", p_ array<int>"
-    out = src.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("p_").alias(pieces))
+    out = map_texts(src, run, "p_ array<int>", keep is None or text in keep)
+    return out.select(*back, F.col("p_").alias(pieces))
 
 
 def decode_pieces(rows: DataFrame, model_path: str, pieces: str = "pieces", text: str = "decoded",
