@@ -6,7 +6,7 @@ covering over labelled statistics: conditions (statistic below or above a
 threshold) are added to a rule while they raise its gain on a growing part of
 the labels, then taken away again from its end while that raises its worth on
 a pruning part; the rows a rule covers leave, and the next rule is sought.
-Each step is one aggregation over the labelled statistics; thresholds are
+Each step is one grouped count over the labelled statistics; thresholds are
 quantiles. The list becomes one ordered Spark ``CASE`` expression.
 """
 
@@ -22,7 +22,7 @@ from .common import stage
 
 WORDS = r"([^\x20\x09-\x0D]+)"
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+NOT_SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 3
 
 
@@ -73,7 +73,7 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return base.select(
         *keep, F.size("w_").cast("long").alias("n_words"),
         F.length(F.translate("t_", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("t_") - F.length(F.translate("t_", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("t_", NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
         F.size("l_").cast("long").alias("n_lines"),
         (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
@@ -124,14 +124,17 @@ class CoveringParams:
     seed: int = 11
 
 
-def _counts(rows: DataFrame, tests: list[str], part: str) -> list[tuple[int, int]]:
-    """(bad, good) rows of a part that meet each test; one aggregation."""
-    cols = []
-    for i, t in enumerate(tests):
-        cols += [F.expr(f"count_if(bad AND {part} AND {t})").alias(f"p{i}"),
-                 F.expr(f"count_if(NOT bad AND {part} AND {t})").alias(f"n{i}")]
-    r = rows.agg(*cols).first()
-    return [(r[2 * i], r[2 * i + 1]) for i in range(len(tests))]
+def _said(conditions: list[tuple[int, str, int]]) -> str:
+    """SQL of conditions on bucket numbers (feature, op, threshold number)."""
+    return " AND ".join(f"b[{f}] {op} {i}" for f, op, i in conditions) or "true"
+
+
+def _histogram(rows: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """(feature, bucket) -> (bad, good) rows of the growing part: one aggregation,
+    whose result has as many rows as there are thresholds."""
+    long = rows.filter("grow").select("bad", F.posexplode("b").alias("f", "v"))
+    counts = long.groupBy("f", "v").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
+    return {(r.f, r.v): (r.p, r.n) for r in counts}
 
 
 def learn_rules(stats: DataFrame, bad: str, p: CoveringParams = CoveringParams()) -> list[Rule]:
@@ -141,57 +144,70 @@ def learn_rules(stats: DataFrame, bad: str, p: CoveringParams = CoveringParams()
     reads; rows where ``bad`` is null are left out. A third of the rows (by a
     hash of their statistics) prunes, the rest grows. No rows, or rows of one
     kind only, give an empty list, which rejects nothing. Only counts and
-    thresholds reach the driver.
+    thresholds reach the driver: each statistic is stored as the number of
+    thresholds below it, so that one grouped count serves every condition.
     """
     names = list(FEATURES)
-    table = stage(stats.select(F.expr(f"({bad})").alias("bad"),
-                               *[F.expr(FEATURES[f]).cast("double").alias(f) for f in names])
-                  .filter("bad IS NOT NULL")
-                  .withColumn("grow", F.expr(f"pmod(xxhash64({', '.join(names)}, {p.seed}), 3) <> 0")), "labelled")
+    raw = stage(stats.select(F.expr(f"({bad})").alias("bad"),
+                             *[F.expr(FEATURES[f]).cast("double").alias(f) for f in names])
+                .filter("bad IS NOT NULL")
+                .withColumn("grow", F.expr(f"pmod(xxhash64({', '.join(names)}, {p.seed}), 3) <> 0")), "labelled")
     probs = [i / p.quantiles for i in range(1, p.quantiles)]
     tail = [0.001, 0.005, 0.01, 0.99, 0.995, 0.999]
-    marks = table.agg(*[F.percentile_approx(f, sorted(probs + tail), 10000).alias(f) for f in names],
-                      *[F.expr(f"percentile_approx({f}, array(0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98), 10000) "
-                               "FILTER (WHERE bad)").alias(f"{f}_bad") for f in names]).first()
-    tests: list[tuple[str, str, float]] = []
-    for f in names:
-        values = sorted({float(v) for v in [*(marks[f] or []), *(marks[f"{f}_bad"] or [])]})
-        tests += [(f, op, v) for v in values for op in ("<=", ">")]
-
-    def said(conditions) -> str:
-        return " AND ".join(f"{f} {op} {v!r}D" for f, op, v in conditions)
+    marks = raw.agg(*[F.percentile_approx(f, sorted(probs + tail), 10000).alias(f) for f in names],
+                    *[F.expr(f"percentile_approx({f}, array(0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98), 10000) "
+                             "FILTER (WHERE bad)").alias(f"{f}_bad") for f in names]).first()
+    cuts = [sorted({float(v) for v in [*(marks[f] or []), *(marks[f"{f}_bad"] or [])]}) for f in names]
+    if not all(cuts):
+        return []
+    below = [F.expr(f"size(filter(array({', '.join(f'{v!r}D' for v in values)}), t -> t < {f}))")
+             for f, values in zip(names, cuts)]
+    table = stage(raw.select("bad", "grow", F.array(*below).alias("b")), "bucketed")
+
+    def counts(rows: DataFrame, heads: list[list[tuple[int, str, int]]], part: str) -> list[tuple[int, int]]:
+        cols = [F.expr(f"count_if({'' if is_bad else 'NOT '}bad AND {part} AND {_said(h)})").alias(f"c{i}_{is_bad}")
+                for i, h in enumerate(heads) for is_bad in (True, False)]
+        r = rows.agg(*cols).first()
+        return [(r[2 * i], r[2 * i + 1]) for i in range(len(heads))]
 
     rules: list[Rule] = []
     left = table
-    while tests and len(rules) < p.rules:
-        (pos, neg), = _counts(left, ["true"], "grow")
+    while len(rules) < p.rules:
+        (pos, neg), = counts(left, [[]], "grow")
         if pos < p.least or not neg:
             break
-        conditions: list[tuple[str, str, float]] = []
+        conditions: list[tuple[int, str, int]] = []
         now = left
         while len(conditions) < p.depth and neg:
-            found = _counts(now, [said([t]) for t in tests], "grow")
+            seen = _histogram(now)
             base = math.log2(pos / (pos + neg))
-            gains = [(pp * (math.log2(pp / (pp + nn)) - base) if pp else 0.0, -i) for i, (pp, nn) in enumerate(found)]
-            gain, at = max(gains)
-            if gain <= 1e-9:
+            gain, choice = 1e-9, None
+            for f, values in enumerate(cuts):
+                pp = nn = 0
+                for i in range(len(values)):  # value <= cut i: at most i cuts are below it
+                    dp, dn = seen.get((f, i), (0, 0))
+                    pp, nn = pp + dp, nn + dn
+                    for op, a, b in (("<=", pp, nn), (">", pos - pp, neg - nn)):
+                        worth = a * (math.log2(a / (a + b)) - base) if a else 0.0
+                        if worth > gain + 1e-9:
+                            gain, choice = worth, ((f, op, i), (a, b))
+            if choice is None:
                 break
-            conditions.append(tests[-at])
-            pos, neg = found[-at]
-            now = now.filter(said([tests[-at]]))
+            conditions.append(choice[0])
+            pos, neg = choice[1]
+            now = now.filter(_said([choice[0]]))
         if not conditions:
             break
         # pruning: the shortest head of the rule with the best worth on the other part
         heads = [conditions[:k] for k in range(1, len(conditions) + 1)]
-        worth = [((pp + 1) / (pp + nn + 2), -k) for k, (pp, nn) in
-                 enumerate(_counts(left, [said(h) for h in heads], "NOT grow"))]
+        worth = [((pp + 1) / (pp + nn + 2), -k) for k, (pp, nn) in enumerate(counts(left, heads, "NOT grow"))]
         precision, at = max(worth)
         rule = heads[-at]
-        (pp, nn), = _counts(left, [said(rule)], "true")
+        (pp, nn), = counts(left, [rule], "true")
         if precision < p.precision or pp < p.least or pp / (pp + nn) < p.precision:
             break
-        rules.append(Rule(tuple(rule), pp, pp / (pp + nn)))
-        left = left.filter(f"NOT ({said(rule)})")
+        rules.append(Rule(tuple((names[f], op, cuts[f][i]) for f, op, i in rule), pp, pp / (pp + nn)))
+        left = left.filter(f"NOT ({_said(rule)})")
     return rules
 
 
