@@ -12,7 +12,7 @@ convolution is a few table look-ups per byte, whole batches of windows at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, mix64, rows_of, text_buffer
+from .common import bound_batches, bounded_sample, carried, map_texts, mix64, rows_of, text_buffer
 
 UNKNOWN = "und"
 
@@ -171,6 +171,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: ConvParams) ->
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
                     params: ConvParams = ConvParams()) -> ConvModel | None:
     """A network from rows with a non-null text and language; None without any."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"),
                            F.col(f"`{lang}`").alias("lang"))
     sample = bounded_sample(rows, "lang", "id", params.per_language, "text", params.language_bytes,
@@ -203,16 +204,16 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text: str = "te
 
 
 def identify_languages(docs: DataFrame, model: ConvModel | None, text: str = "text",
-                       lang_pred: str = "lang_pred", score: str = "score", block: int = 256) -> DataFrame:
+                       lang_pred: str = "lang_pred", score: str = "score", keep: Sequence[str] | None = None,
+                       block: int = 256) -> DataFrame:
     """``docs`` with the predicted language and its probability.
 
     ``und`` with score 0 where the text is null or has no letter, or where
-    nothing could be learned. All columns of ``docs`` but those named like the
-    results are kept; repeated rows get the same result.
+    nothing could be learned. The columns of ``docs`` (those to ``keep``, if
+    named) but those named like the results stay; repeated rows get the same result.
     """
-    keep = [c for c in docs.columns if c not in (lang_pred, score)]
-    src = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)] + [F.col(f"`{text}`").alias("text_")])
-    src = src.withColumn("letter_", F.coalesce(F.col("text_").rlike(r"\p{L}"), F.lit(False)))
+    letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    src, back = carried(docs, text, (lang_pred, score), keep, letter_=letter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else []
@@ -235,7 +236,5 @@ def identify_languages(docs: DataFrame, model: ConvModel | None, text: str = "te
                 [*batch.columns, pa.array(names[best], pa.string()), pa.array(np.clip(top, 0, 1))],
                 names=[*batch.schema.names, "l_", "s_"])
 
-    schema = ", ".join(f"`{k}` {v}" for k, v in src.dtypes) + ", l_ string, s_ double"
-    out = src.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("l_").alias(lang_pred),
-                      F.col("s_").alias(score))
+    out = map_texts(src, run, "l_ string, s_ double", keep is None or text in keep)
+    return out.select(*back, F.col("l_").alias(lang_pred), F.col("s_").alias(score))

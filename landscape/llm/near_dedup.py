@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX, WordHasher, mix64, rows_of, stage, text_buffer, windows_hash
+from .common import MIX, WordHasher, bound_batches, mix64, rows_of, stage, text_buffer, windows_hash
 from .components import components
 
 
@@ -320,6 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     and all carry its result. An empty table gives no rows. Other columns of
     ``docs`` are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sigs = stage(signatures(slim, params), "signatures")
     comp = link_components(slim, sigs, params)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import rows_of, stage
+from .common import bound_batches, rows_of, stage
 
 CACHE_ENTRIES = 600_000   # words per Python worker; cleared when full
 JOINED = 64               # plain words encoded in one call
@@ -204,6 +204,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     are ignored. A document is cut only if it is longer than ``capacity``.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     pieces = stage(token_pieces(slim, vocab_path, capacity, closing_id, with_ids), "pieces")
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity rows

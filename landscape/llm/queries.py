@@ -26,7 +26,7 @@ MAX_TOKENS = 1024
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    out = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return out.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {MAX_TOKENS} AS over_limit")
 
 
@@ -35,7 +35,7 @@ def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sample_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     back = decode_pieces(pieces, model)
     return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
-                       F.crc32(F.array_join("pieces", " ").cast("binary")).alias("pieces_crc32"),
+                       F.xxhash64("pieces").alias("pieces_hash"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
@@ -129,7 +129,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = _remainder(4) == 2
     model = learn_languages(docs.filter(~held_out))
-    return identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    return identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = _remainder(5) == 0
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
     model = learn_toxicity(docs, labels)
-    scored = score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    scored = score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
 
 

@@ -10,7 +10,7 @@ count. No text crosses a shuffle: the job is one pass over the table.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
 
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import carried, map_texts, rows_of
 
 # The published byte-level pre-tokeniser pattern.
 PRETOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -165,21 +165,20 @@ def merger(path: str) -> RankMerger:
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text",
-                 n_tokens: str = "n_tokens", n_bytes: str = "n_bytes") -> DataFrame:
+                 n_tokens: str = "n_tokens", n_bytes: str = "n_bytes",
+                 keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with the number of UTF-8 bytes and of tokens of each text.
 
     ``vocab_path`` is a byte-level ``tokenizers`` file that every executor has
     (a parameter; the file is never shipped). Null text counts as empty (0, 0);
     repeated rows are counted each; an empty table gives an empty result. Output
-    columns replace columns of the same name; all other columns are kept.
+    columns replace columns of the same name; the others (those to ``keep``, if
+    named) stay.
     Special strings inside texts count as one token each, as the library's
     default does.
     """
-    keep = [c for c in docs.columns if c not in (n_tokens, n_bytes)]
-    src = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-                      + [F.col(f"`{text}`").alias("text_")])
-    fields = [f"c{i}" for i in range(len(keep)) if keep[i] != text]
-    slim = src.select(*fields, "text_")
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
+    src, back = carried(docs, text, (n_tokens, n_bytes), keep, nb_=size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(vocab_path)
@@ -188,10 +187,5 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_"])
 
-    types = dict(slim.dtypes)
-    counted = slim.withColumn("nb_", F.coalesce(F.octet_length("text_"), F.lit(0)).cast("long"))
-    types["nb_"] = "bigint"
-    schema = ", ".join(f"`{k}` {v}" for k, v in types.items()) + ", n_ bigint"
-    done = counted.mapInArrow(run, schema)
-    cols = [F.col("text_" if c == text else f"c{i}").alias(c) for i, c in enumerate(keep)]
-    return done.select(*cols, F.col("nb_").alias(n_bytes), F.col("n_").alias(n_tokens))
+    done = map_texts(src, run, "n_ bigint", keep is None or text in keep)
+    return done.select(*back, F.col("nb_").alias(n_bytes), F.col("n_").alias(n_tokens))

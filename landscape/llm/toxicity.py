@@ -11,7 +11,7 @@ one pass without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WHITE, WordHasher, bounded_sample, mix64, rows_of, text_buffer
+from .common import MIX, WHITE, WordHasher, bound_batches, bounded_sample, carried, map_texts, mix64, rows_of, text_buffer
 
 SEPARATORS = WHITE + bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 
@@ -123,6 +123,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ``labels`` (id, label); other labels and nulls are left out. The sample is
     drawn among the labels, so that texts are only read where they are in it and
     never shuffled for the join. Without usable rows the score is 0 for every text."""
+    bound_batches(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
     marks = marks.filter("label IN (0, 1) AND id IS NOT NULL").distinct()
     # at most 2 * per_label rows: a bounded broadcast
@@ -140,13 +141,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return ftrl([(label, np.frombuffer(x, "<i4")) for _, label, x in found], params)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score",
+                   keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with a score from 0 to 1 (higher: toxic). Null, empty and
-    wordless texts get the score of the intercept alone; every column of ``docs``
-    but one named like the score is kept; repeated rows score alike."""
-    keep = [c for c in docs.columns if c != score]
-    src = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-                      + [F.col(f"`{text}`").alias("text_")])
+    wordless texts get the score of the intercept alone; the columns of ``docs``
+    (those to ``keep``, if named) but one named like the score stay; repeated
+    rows score alike."""
+    src, back = carried(docs, text, (score,), keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table, bits = WordHasher(SEPARATORS, seed=model.params.seed), model.table(), model.params.bits
@@ -161,6 +162,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
             s = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "s_"])
 
-    schema = ", ".join(f"`{k}` {v}" for k, v in src.dtypes) + ", s_ double"
-    out = src.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("s_").alias(score))
+    out = map_texts(src, run, "s_ double", keep is None or text in keep)
+    return out.select(*back, F.col("s_").alias(score))
