@@ -193,7 +193,7 @@ def confirmed(pairs: DataFrame, packed: DataFrame, p: NearDupParams) -> DataFram
 
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with components merged along links between nodes."""
-    comp = components(links)
+    comp = stage(components(links), "components")
     return (members.withColumnRenamed("comp", "node")
             .join(comp, "node", "left")
             .select(*[c for c in members.columns if c != "comp"],
@@ -201,9 +201,15 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of those buckets that lie in more than one component."""
+    """Members of those buckets that lie in more than one component. What is
+    known per bucket is a table of its own before it is joined back, so that AQE
+    can split a hot bucket (it can't where the join shares the grouping's shuffle)."""
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"))
-    return members.join(mixed.filter("lo_ <> hi_").select("key"), "key", "left_semi")
+    return members.join(stage(mixed.filter("lo_ <> hi_").select("key"), "mixed"), "key", "left_semi")
+
+
+def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
+    return stage(_open(stage(_relabel(members, links), "labelled")), "open")
 
 
 def _bitmaps(members: DataFrame, packed: DataFrame, p: NearDupParams) -> DataFrame:
@@ -253,7 +259,7 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
                  .select("h1", "h2", "n", "r.*"), "classes")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = stage(keyed.join(shared, "key"), "buckets")
+    met = stage(keyed.join(stage(shared, "shared"), "key"), "buckets")
     degree = met.groupBy("id").agg(F.sum("c").alias("deg"))  # how many others it meets, over all buckets
     about = stage(reps.select("id", "n", "s1", "s2").join(degree, "id"), "nodes")
     members = stage(met.select("key", "id", F.col("id").alias("comp")).join(about, "id"), "members")
@@ -262,7 +268,7 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
 
     # round 1: the best-connected document met in any bucket
     best = F.max(F.struct("deg", (-F.col("id")).alias("k"))).alias("lead")
-    lead = members.groupBy("key").agg(best)
+    lead = stage(members.groupBy("key").agg(best), "leads")
     first = (members.select("key", "id").join(lead, "key").groupBy("id").agg(F.max("lead").alias("lead"))
              .select("id", (-F.col("lead.k")).alias("lead")).filter("id <> lead"))
     pairs = (first.join(about, "id").alias("x")
@@ -271,7 +277,7 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
              .select(F.col("lead").alias("a"), F.col("x.id").alias("b")))
     links = stage(confirmed(pairs, packed, p), "links")
     found = [links]
-    members = stage(_open(_relabel(members, links)), "open")
+    members = _still_open(members, links)
 
     for everything in (False, True):
         if members.isEmpty():
@@ -281,13 +287,13 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
             size = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
             main = size.groupBy("key").agg(F.max(F.struct("c", (-F.col("comp")).alias("k"))).alias("m")) \
                 .select("key", (-F.col("m.k")).alias("main"))
-            x = members.join(main, "key").filter("comp <> main").alias("x")
+            x = members.join(stage(main, "mains"), "key").filter("comp <> main").alias("x")
             meet = F.expr("x.key = y.key AND x.comp <> y.comp AND (y.comp = x.main OR x.id < y.id) AND "
                           + " AND ".join([_similar(p, "x", "y"), _may_link(p, "x", "y"), _may_link(p, "y", "x")]))
         else:  # round 2: the best-connected document of each bucket
             chief = members.groupBy("key").agg(F.max(F.struct(
                 "deg", (-F.col("id")).alias("k"), "id", "comp", "n", "s1", "s2")).alias("r"))
-            x = chief.select("key", "r.id", "r.comp", "r.n", "r.s1", "r.s2").alias("x")
+            x = stage(chief.select("key", "r.id", "r.comp", "r.n", "r.s1", "r.s2"), "chiefs").alias("x")
             meet = F.expr("x.key = y.key AND x.comp <> y.comp AND " + _similar(p, "x", "y"))
         pairs = (x.join(members.alias("y"), meet)
                  .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
@@ -298,7 +304,7 @@ def link_components(docs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataF
             merged = (links.join(comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u")
                       .join(comp.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v")
                       .select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-            members = stage(_open(_relabel(members, merged)), "open")
+            members = _still_open(members, merged)
 
     edges = found[0]
     for more in found[1:]:
