@@ -13,6 +13,7 @@ table of combinations, in parallel.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,8 @@ from .common import bound_batches, rows_of, stage
 CACHE_ENTRIES = 600_000   # words per Python worker; cleared when full
 JOINED = 64               # plain words encoded in one call
 GROUP_ROWS = 5_000        # pieces per numbering bucket, over all lengths
-MARKS = ".,;:!?%*#$&"
+#: Latin letters, then marks: the marks are a token run of their own
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*#$&]*)\Z")
 
 
 class WordIds:
@@ -44,19 +46,20 @@ class WordIds:
     def _learn(self, words: set[str]) -> None:
         """Put the ids of new words into the cache. Closing marks after a Latin
         letter are a token run of their own, so word and marks are encoded apart."""
-        whole, split, plain, other = {}, {}, set(), set()
+        whole, split, plain, other = [], [], set(), set()
         for w in words:
-            base = w.rstrip(MARKS)
-            if base and base[-1] <= "\xff" and base[-1].isalpha():
-                low = base.lower() if max(base) <= "\xff" else base
-                if len(base) < len(w):
-                    split[w] = low, w[len(base):]
-                    other.add(w[len(base):])
-                elif low != w:
-                    whole[w] = low
-                (plain if low.isalpha() and max(low) <= "\xff" else other).add(low)
-            else:
+            m = PLAIN.match(w)
+            if m is None:
                 other.add(w)
+                continue
+            base, marks = m.groups()
+            low = base.lower()
+            plain.add(low)
+            if marks:
+                split.append((w, low, marks))
+            elif low != w:
+                whole.append((w, low))
+        other.update({marks for _, _, marks in split})
         known = self.cache
         self._encode_plain([w for w in plain if w not in known])
         need = [w for w in other if w not in known]
@@ -64,10 +67,8 @@ class WordIds:
             part = need[i:i + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (base, marks) in split.items():
-            known[w] = known[base] + known[marks]
-        for w, low in whole.items():
-            known[w] = known[low]
+        known.update([(w, known[low] + known[marks]) for w, low, marks in split])
+        known.update([(w, known[low]) for w, low in whole])
 
     def _encode_plain(self, words: list[str]) -> None:
         """Words of Latin letters only are one pre-token each: many are encoded in
