@@ -5,14 +5,18 @@ Vectors get one more component so that all have the largest norm; queries are
 scaled to that norm. Then the largest inner product is the smallest Euclidean
 distance. In each table, Gaussian projections cut into cells of equal width give
 a row's bucket. A query visits buckets in falling order of the estimated
-probability that a neighbour at the usual distance lies there - the product,
+probability that a neighbour at a given distance lies there - the product,
 over the projections, of a normal mass in the cell - until the tables together
 reach the wanted probability of success. Candidates of all buckets and tables
 are merged and ranked by the inner product itself.
 
-Candidates are first kept only above a score that most queries' k-th neighbours
-reach; queries that find fewer than k so are run again without that floor. The
-floor saves what every bin would otherwise send, and decides nothing.
+The distance is each query's own. A first visit, at the usual distance of a
+sample, keeps candidates above a score that most queries' k-th neighbours
+reach; queries that find fewer than k so visit again at a far distance, without
+that floor. The k-th distance found, never less than the true one, is then the
+query's own: where it is more than that of the visit, the missing buckets are
+visited too. Queries still short of k, or whose buckets do not reach the wanted
+probability, are compared with all rows.
 
 Buckets are gathered in bins of about ``rows_per_bin`` rows. A bin with more
 rows or queries (a hot bucket) is split on both sides into blocks that meet
@@ -36,10 +40,11 @@ from .common import MIX, mix64, stage
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``success``: wanted probability that a neighbour at the usual distance is
-    visited; ``sample``: queries (at most) whose true k-th distance, measured
-    against all rows, sets the usual distance; ``cell``: width of a cell in units
-    of the projections' deviation; ``beam``: buckets of a table that are ranked per query."""
+    """``success``: wanted probability that a neighbour at the query's own k-th
+    distance is visited; ``sample``: queries (at most) whose true k-th distance,
+    measured against all rows, sets the distances of the first visits; ``cell``:
+    width of a cell in units of the projections' deviation; ``beam``: buckets of
+    a table that are ranked per query (where they hold too little, all rows are compared)."""
 
     tables: int = 2
     cell: float = 2.5
@@ -86,28 +91,55 @@ class Hashing:
     def bin_of(self, keys: np.ndarray, table: int) -> np.ndarray:
         return (keys % np.uint64(self.bins)).astype(np.int64) + table * self.bins
 
-    def probes(self, x: np.ndarray, table: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, bucket key) visits of one table, best first per query."""
+    def ranked(self, x: np.ndarray, table: int, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, bucket key) visits of one table, best first per query, and the
+        probability they reach at each query's ``radius``. Steps go so far from
+        the home cell that what lies beyond them is negligible."""
         at = self.places(x, True)[:, table]
         cell = np.floor(at)
         inside = at - cell
         share = 1 - (1 - self.p.success) ** (1 / self.p.tables)
-        scale = self.width / radius
-        edges = np.array([-1.0, 0.0, 1.0, 2.0])
-        cut = _normal((edges - inside[:, :, None]) * scale)
-        logp = np.log(np.maximum(np.diff(cut, axis=2), 1e-300))  # queries x functions x 3 steps
+        scale = self.width / radius[:, None, None]
+        far = 1
+        cut = _normal((np.arange(-far, far + 2) - inside[:, :, None]) * scale)
+        logp = np.log(np.maximum(np.diff(cut, axis=2), 1e-300))  # queries x functions x steps
+        wide = 2 * far + 1
         best = np.zeros((len(x), 1))
         steps = np.zeros((len(x), 1, 0), np.int8)
         for j in range(self.m):  # grow the step vectors, keeping the likeliest
             grown = (best[:, :, None] + logp[:, j, None, :]).reshape(len(x), -1)
             order = np.argsort(-grown, axis=1, kind="stable")[:, :self.p.beam]
             best = np.take_along_axis(grown, order, 1)
-            before = np.take_along_axis(steps, (order // 3)[:, :, None], 1)
-            steps = np.concatenate([before, (order % 3 - 1).astype(np.int8)[:, :, None]], 2)
+            before = np.take_along_axis(steps, (order // wide)[:, :, None], 1)
+            steps = np.concatenate([before, (order % wide - far).astype(np.int8)[:, :, None]], 2)
         mass = np.cumsum(np.exp(best), axis=1)
         many = np.minimum((mass < share).sum(1) + 1, best.shape[1])
         query, rank = np.nonzero(np.arange(best.shape[1]) < many[:, None])
-        return query, self.keys(cell[query] + steps[query, rank], table)
+        return query, self.keys(cell[query] + steps[query, rank], table), mass[np.arange(len(x)), many - 1]
+
+    def probes(self, x: np.ndarray, table: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, bucket key) visits of one table at one radius."""
+        return self.ranked(x, table, np.full(len(x), radius))[:2]
+
+    def visits(self, x: np.ndarray, radius: np.ndarray, before: np.ndarray
+               ) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Per table the (query, bucket key) visits at each query's ``radius`` but
+        those made at the radius ``before`` (0: none); and which queries reach
+        the wanted probability. The others visit nothing."""
+        out, missed = [], np.ones(len(x))
+        for t in range(self.p.tables):
+            query, key, mass = self.ranked(x, t, radius)
+            missed *= 1 - mass
+            again = np.flatnonzero(before > 0)
+            if len(again):
+                old, old_key, _ = self.ranked(x[again], t, before[again])
+                mark = MIX  # bucket keys are hashes: so are the marked ones
+                new = ~np.isin(mix64(key + query.astype(np.uint64) * mark),
+                               mix64(old_key + again[old].astype(np.uint64) * mark))
+                query, key = query[new], key[new]
+            out.append((query, key))
+        reached = np.ones(len(x), bool)
+        return [(q[reached[q]], k[reached[q]]) for q, k in out], reached
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
@@ -130,11 +162,11 @@ def _taking_part(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(odd, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def _usual_distance(rows: DataFrame, queries: DataFrame, dim: int, norm: float, k: int,
+def _usual_products(rows: DataFrame, queries: DataFrame, dim: int, norm: float, k: int,
                     p: AnnParams) -> tuple[float, float]:
-    """Median, over a bounded sample of queries, of the k-th smallest distance to
-    other rows (exact, one pass over the rows); and a floor of the k-th largest
-    inner product, for queries of length ``norm``, that nine in ten reach."""
+    """Two k-th largest inner products with other rows (exact, one pass over the
+    rows) of a bounded sample of queries scaled to length ``norm``: the median,
+    and one that nine in ten reach."""
     some = queries.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample).collect()
     ids = np.array([r.id for r in some])
     q = np.array([r.v for r in some], np.float64).reshape(-1, dim)
@@ -154,7 +186,7 @@ def _usual_distance(rows: DataFrame, queries: DataFrame, dim: int, norm: float,
     last = (near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
             .groupBy("s").agg(F.min("ip").alias("ip")).agg(F.percentile("ip", F.array(F.lit(0.5), F.lit(0.1)))).first()[0])
     usual, floor = last if last is not None else (0.0, 0.0)
-    return math.sqrt(max(2 * norm * norm - 2 * usual, 1e-12)), floor
+    return usual, floor
 
 
 def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
@@ -189,8 +221,10 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
     rows = stage(rows.filter(F.size("v") == dim).withColumn("n", F.row_number().over(same))
                  .filter(F.col("n") <= k + 1).drop("n"), "vectors")
     asked = stage(valid(queries).filter(F.size("v") == dim), "queries")
-    radius, floor = _usual_distance(rows, asked, dim, norm, k, p)
+    usual, floor = _usual_products(rows, asked, dim, norm, k, p)
+    near, far = (math.sqrt(max(2 * norm * norm - 2 * ip, 1e-12)) for ip in (usual, floor))
     hashing = Hashing(dim, rows.count(), norm, p)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,26 +238,35 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
                     names=["bin", "key", "id", "v"])
 
     def probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Visits by bin; a query that does not reach its probability goes to bin -1 alone."""
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
                 x = _matrix(batch.column("v"), dim)
-                for t in range(p.tables):
-                    query, key = hashing.probes(x, t, radius)
-                    where = hashing.bin_of(key, t)
+                tables, reached = hashing.visits(x, batch.column("radius").to_numpy(), batch.column("before").to_numpy())
+                short = np.flatnonzero(~reached)
+                for t, (query, key) in enumerate([*tables, (short, np.zeros(len(short), np.uint64))]):
+                    where = hashing.bin_of(key, t) if t < p.tables else np.full(len(short), -1)
                     order = np.lexsort((where, query))
                     query, key, where = query[order], key[order], where[order]
+                    if not len(query):
+                        continue
                     cut = np.flatnonzero(np.concatenate([[True], (np.diff(query) != 0) | (np.diff(where) != 0)]))
                     keys = pa.ListArray.from_arrays(pa.array(np.append(cut, len(query)), pa.int32()),
                                                     pa.array(key.view(np.int64)))
                     take = pa.array(query[cut])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(where[cut]), keys, batch.column("id").take(take), batch.column("v").take(take)],
-                        names=["bin", "keys", "id", "v"])
+                        [pa.array(where[cut]), keys, *[batch.column(c).take(take) for c in ("id", "v", "least")]],
+                        names=["bin", "keys", "id", "v", "least"])
+
+    visit = "bin long, keys array<long>, id long, v array<double>, least double"
+
+    def visits(some: DataFrame, name: str) -> DataFrame:
+        return stage(some.select("id", "v", "radius", "before", "least").mapInArrow(probe_rows, visit), name)
 
     held = stage(rows.mapInArrow(index_rows, "bin long, key long, id long, v array<double>"), "hashed")
-    visits = stage(asked.mapInArrow(probe_rows, "bin long, keys array<long>, id long, v array<double>"), "visits")
-    def meet(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         found = [(empty, empty, np.zeros(0))]
         if left.num_rows and right.num_rows:
@@ -244,7 +287,7 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
                     who = asker[lo:hi]
                     score[np.ix_(who, some)] = q[who] @ x[some].T
             score[qids[:, None] == ids[None, :]] = -np.inf
-            score[score < (np.sqrt((q * q).sum(1)) * (least / norm))[:, None]] = -np.inf
+            score[score < right["least"].to_numpy()[:, None]] = -np.inf
             if score.shape[1] > k:  # everything within rounding of the k-th goes on
                 kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
                 kth = np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth), -np.inf)
@@ -259,7 +302,8 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
                          "score": pa.array(cols[2], pa.float64())})
 
-    def answers(visits: DataFrame, least: float) -> DataFrame:
+    def answers(held: DataFrame, visits: DataFrame) -> DataFrame:
+        """Candidates of each query, merged over bins."""
         plan = (held.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (2.0 * p.rows_per_bin)).alias("nr"))
                 .join(visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / float(p.queries_per_block)).alias("nq")), "bin"))
 
@@ -269,13 +313,45 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
 
         left = blocks(held, "nr", "nq", "r", "q").groupBy("bin", "r", "q")
         right = blocks(visits, "nq", "nr", "q", "r").groupBy("bin", "r", "q")
-        merged = (left.cogroup(right).applyInArrow(lambda a, b: meet(a, b, least), "query_id long, vec_id long, score double")
-                  .repartition("query_id").dropDuplicates(["query_id", "vec_id"]))
+        return left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return (merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return (found.repartition("query_id").dropDuplicates(["query_id", "vec_id"])
+                .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
 
-    most = stage(answers(visits, floor), "answers")
-    done = most.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    rest = answers(visits.join(done, "id", "left_anti").select(*visits.columns), -math.inf)
-    return most.join(done.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
+    def last(found: DataFrame, radius: float) -> DataFrame:
+        """Queries that have k answers: the k-th score and the distance of their visit."""
+        return found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"),
+                                                       F.lit(radius).alias("before"))
+
+    def some(radius: Column, before: Column, least: Column, of: DataFrame) -> DataFrame:
+        return of.select("id", "v", radius.alias("radius"), before.alias("before"), least.alias("least"))
+
+    # at the usual distance, above the floor; then those short of k at the far distance, without it
+    none = F.lit(0.0)
+    first = visits(some(F.lit(near), none, length * (floor / norm), asked), "visits-usual")
+    found = stage(best(answers(held, first)), "answers-usual")
+    full = last(found, near)
+    unreached = first.filter("bin = -1").select("id")
+    short = asked.join(full, "id", "left_anti").join(unreached, "id", "left_anti")
+    again = stage(best(answers(held, visits(some(F.lit(far), none, F.lit(-math.inf), short), "visits-far"))), "answers-far")
+    known = stage(full.unionByName(last(again, far)), "kth")
+    # at the query's own distance: the missing buckets, for what is no worse than the k-th found
+    own = F.sqrt(F.greatest(2 * norm * norm - 2 * norm * F.col("kth") / length, F.lit(1e-12)))
+    wider = (asked.join(known, "id").withColumn("own", own).filter(F.col("own") > F.col("before") * (1 + 1e-9)))
+    third = visits(some(F.col("own"), F.col("before"), F.col("kth") - 1e-9 * F.abs("kth"), wider), "visits-own")
+    more = answers(held, third)
+    # against all rows: no k found, or the wanted probability out of reach
+    out_of_reach = third.filter("bin = -1").select("id")
+    rest = asked.join(known, "id", "left_anti").unionByName(asked.join(out_of_reach, "id", "left_semi"))
+    all_rows = rows.select(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("key"), "id", "v")
+    everything = F.array(F.lit(0).cast("long"))
+    whole = stage(rest.select(F.lit(0).cast("long").alias("bin"), everything.alias("keys"), "id", "v",
+                              F.lit(-math.inf).alias("least")), "exact")
+    parts = [found.drop("rank"), again.drop("rank"), more, answers(all_rows, whole)]
+    out_rows = parts[0]
+    for part in parts[1:]:
+        out_rows = out_rows.unionByName(part)
+    return best(out_rows)

@@ -81,3 +81,31 @@ def test_normal_distribution():
     from math import erf
     z = np.linspace(-6, 6, 101)
     assert np.abs(_normal(z) - [0.5 * (1 + erf(v / 2 ** 0.5)) for v in z]).max() < 1e-6
+
+
+def test_two_hot_groups_and_clusters(spark):
+    """Copies and tight clusters make the usual distance collapse; the other
+    queries look as far as their own neighbours lie."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    x[:400], x[400:800] = x[0], x[400]
+    x[800:1000] = x[800] + 1e-4 * rng.normal(size=(200, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids = list(range(1500))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    queries = ids[::10]
+    got, want = found(df, df.filter("vec_id % 10 = 0"), k=10), brute(ids, x, queries, 10)
+    alone = [q for q in queries if q >= 1000]
+    hits = [len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in alone]
+    assert all(len(got[q]) == 10 for q in queries) and sum(hits) >= 0.93 * 10 * len(alone)
+
+
+def test_second_visit_adds_what_is_missing():
+    x = np.random.default_rng(0).normal(size=(6, 16))
+    h = Hashing(16, 10**5, 1.0, AnnParams())
+    whole, _ = h.visits(x, np.full(6, 1.1), np.zeros(6))
+    added, _ = h.visits(x, np.full(6, 1.1), np.full(6, 0.6))
+    for t in range(2):
+        old = set(zip(*map(np.ndarray.tolist, h.ranked(x, t, np.full(6, 0.6))[:2])))
+        every, new = (set(zip(*map(np.ndarray.tolist, v[t]))) for v in (whole, added))
+        assert new == every - old
