@@ -100,7 +100,7 @@ class Hashing:
         inside = at - cell
         share = 1 - (1 - self.p.success) ** (1 / self.p.tables)
         scale = self.width / radius[:, None, None]
-        far = 1
+        far = max(1, math.ceil(2.5 * radius.max(initial=0) / self.width))
         cut = _normal((np.arange(-far, far + 2) - inside[:, :, None]) * scale)
         logp = np.log(np.maximum(np.diff(cut, axis=2), 1e-300))  # queries x functions x steps
         wide = 2 * far + 1
@@ -138,7 +138,7 @@ class Hashing:
                                mix64(old_key + again[old].astype(np.uint64) * mark))
                 query, key = query[new], key[new]
             out.append((query, key))
-        reached = np.ones(len(x), bool)
+        reached = 1 - missed >= self.p.success - 1e-5  # the normal function is good to 1.5e-7 a step
         return [(q[reached[q]], k[reached[q]]) for q, k in out], reached
 
 

@@ -100,6 +100,18 @@ def test_two_hot_groups_and_clusters(spark):
     assert all(len(got[q]) == 10 for q in queries) and sum(hits) >= 0.93 * 10 * len(alone)
 
 
+@pytest.mark.parametrize("radius", [1.2, 1.41])
+def test_reached_mass_is_reported_at_many_rows(radius):
+    x = np.random.default_rng(0).normal(size=(20, 64))
+    for rows in (10**4, 10**8):
+        h = Hashing(64, rows, 1.0, AnnParams())
+        tables, reached = h.visits(x, np.full(20, radius), np.zeros(20))
+        missed = np.prod([1 - h.ranked(x, t, np.full(20, radius))[2] for t in range(2)], axis=0)
+        assert (reached == (1 - missed >= 0.96 - 1e-5)).all()
+        assert all(set(q) == set(np.flatnonzero(reached)) for q, _ in tables)
+        assert reached.all() if rows == 10**4 else not reached.all()
+
+
 def test_second_visit_adds_what_is_missing():
     x = np.random.default_rng(0).normal(size=(6, 16))
     h = Hashing(16, 10**5, 1.0, AnnParams())
@@ -109,3 +121,17 @@ def test_second_visit_adds_what_is_missing():
         old = set(zip(*map(np.ndarray.tolist, h.ranked(x, t, np.full(6, 0.6))[:2])))
         every, new = (set(zip(*map(np.ndarray.tolist, v[t]))) for v in (whole, added))
         assert new == every - old
+
+
+def test_outlier_norm_and_short_beam_are_compared_with_all_rows(spark):
+    """One vector of a hundredfold norm lifts all others to it; with few buckets
+    ranked no query reaches its probability, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[7] *= 100
+    ids = list(range(1200))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    queries = ids[::20]
+    got = found(df, df.filter("vec_id % 20 = 0"), k=10, params=AnnParams(beam=4))
+    want = brute(ids, x, queries, 10)
+    assert all([v for _, v, _ in got[q]] == [v for v, _ in want[q]] for q in queries)
