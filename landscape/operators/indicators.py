@@ -225,20 +225,29 @@ def docs_per_org(org_rows: DataFrame, id_col: str = "id", org_col: str = "org",
     return out
 
 
-def org_topics(org_rows: DataFrame, by: str = "topic", org_col: str = "org") -> DataFrame:
+def by_topic_level(df: DataFrame, topic: str = "topic") -> DataFrame:
+    """Each row at all three levels: ``level`` (domain, area, topic) and ``name``, its topic there."""
+    own = [c for c in df.columns if c != topic]
+    at = F.array(*[F.struct(F.lit(lvl).alias("level"), F.col(c).alias("name"))
+                   for lvl, c in (("domain", "domain"), ("area", "area"), ("topic", topic))])
+    return expand_topic(df, topic).select(*own, F.inline(at))
+
+
+def org_topics(org_rows: DataFrame, by: str | list[str] = "topic", org_col: str = "org") -> DataFrame:
     """Long org -> domain/area/topic with the number of rows (duplicates kept)."""
-    return org_rows.groupBy(org_col, by).agg(F.count("*").alias("n_rows"))
+    return org_rows.groupBy(org_col, *([by] if isinstance(by, str) else by)).agg(F.count("*").alias("n_rows"))
 
 
 def collaboration_edges(org_rows: DataFrame, id_col: str = "id", org_col: str = "org",
-                        by: str | None = None, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+                        by: str | list[str] | None = None, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Unordered organisation pairs with the number of documents they share
     (per ``by`` group when given). Documents with more than ``chunk``
     organisations are split by salting."""
-    keys = [id_col] + ([by] if by else [])
+    by = [by] if isinstance(by, str) else by or []
+    keys = [id_col, *by]
     d = org_rows.select(*keys, org_col).distinct()
     pairs = pairs_within(d, keys, org_col, "org_1", "org_2", chunk=chunk)
-    return pairs.groupBy(*([by] if by else []), "org_1", "org_2").agg(F.count("*").alias("n_docs"))
+    return pairs.groupBy(*by, "org_1", "org_2").agg(F.count("*").alias("n_docs"))
 
 
 def collaboration_network(org_rows: DataFrame, top_n: int = 500, id_col: str = "id",

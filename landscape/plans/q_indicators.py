@@ -346,6 +346,25 @@ def q_topic_lookup(spark, sf):
     return I.topic_lookup(_topics(spark, sf), tables(spark, sf).topic_names, "patents")
 
 
+def _lookup_oracle(sources: str) -> str:
+    return with_views(f"""
+SELECT x.topic, x.domain, x.area, domain_name, area_name, topic_name
+FROM (SELECT DISTINCT topic, {EXP} FROM doc_topics WHERE level = 3 AND source IN ({sources})) x {_names3()}""",
+        "doc_topics", "topic_names")
+
+
+@query("topic_lookup_works", oracle=_lookup_oracle("'openalex'"))
+def q_topic_lookup_works(spark, sf):
+    return I.topic_lookup(_topics(spark, sf), tables(spark, sf).topic_names, "openalex")
+
+
+@query("topic_lookup_both", oracle=_lookup_oracle("'openalex', 'patents'"))
+def q_topic_lookup_both(spark, sf):
+    t = tables(spark, sf)
+    works, patents = (I.topic_lookup(_topics(spark, sf), t.topic_names, s) for s in ("openalex", "patents"))
+    return works.unionByName(patents).distinct()
+
+
 @query("docs_per_org", oracle=_org_oracle(
     "SELECT org, count(*) AS n_docs FROM (SELECT DISTINCT id, org FROM orgrows) u GROUP BY org"))
 def q_docs_per_org(spark, sf):
@@ -358,6 +377,13 @@ def q_org_topics(spark, sf):
     return I.org_topics(I.expand_topic(_org_rows(spark, sf)), "domain")
 
 
+@query("org_topics_by_level", oracle=_org_oracle(" UNION ALL ".join(
+    f"SELECT org, '{by}' AS level, {by} AS name, count(*) AS n_rows FROM (SELECT org, topic, {EXP} FROM orgrows) u GROUP BY org, {by}"
+    for by in ("domain", "area", "topic"))))
+def q_org_topics_by_level(spark, sf):
+    return I.org_topics(I.by_topic_level(_org_rows(spark, sf)), ["level", "name"])
+
+
 @query("collaboration_edges", oracle=_org_oracle("""
 SELECT a.org AS org_1, b.org AS org_2, count(*) AS n_docs
 FROM (SELECT DISTINCT id, org FROM orgrows) a JOIN (SELECT DISTINCT id, org FROM orgrows) b
@@ -375,6 +401,16 @@ def q_collaboration_edges_by_topic(spark, sf):
     return I.collaboration_edges(rows, by="area").withColumn("present", F.lit(1))
 
 
+@query("collaboration_edges_by_level", oracle=_org_oracle(" UNION ALL ".join(f"""
+SELECT '{by}' AS level, a.{by} AS name, a.org AS org_1, b.org AS org_2, count(*) AS n_docs, 1 AS present
+FROM (SELECT DISTINCT id, {by}, org FROM (SELECT id, topic, {EXP}, org FROM orgrows) u) a
+JOIN (SELECT DISTINCT id, {by}, org FROM (SELECT id, topic, {EXP}, org FROM orgrows) u) b
+  ON a.id = b.id AND a.{by} = b.{by} AND a.org < b.org GROUP BY a.{by}, a.org, b.org""" for by in ("domain", "area", "topic"))))
+def q_collaboration_edges_by_level(spark, sf):
+    rows = I.by_topic_level(_org_rows(spark, sf))
+    return I.collaboration_edges(rows, by=["level", "name"]).withColumn("present", F.lit(1))
+
+
 @query("collaboration_network", oracle=_org_oracle("""
 SELECT a.org AS org_1, b.org AS org_2, count(*) AS n_docs
 FROM (SELECT DISTINCT id, org FROM orgrows WHERE org IN (SELECT org FROM top)) a
@@ -393,6 +429,26 @@ def q_collaboration_nodes(spark, sf):
     return nodes
 
 
+TOP500 = """SELECT org, n_docs FROM (SELECT org, count(*) AS n_docs FROM (SELECT DISTINCT id, org FROM orgrows) u GROUP BY org) c
+ORDER BY n_docs DESC, org LIMIT 500"""
+
+
+@query("collaboration_network_500", oracle=_org_oracle("""
+SELECT a.org AS org_1, b.org AS org_2, count(*) AS n_docs
+FROM (SELECT DISTINCT id, org FROM orgrows WHERE org IN (SELECT org FROM top)) a
+JOIN (SELECT DISTINCT id, org FROM orgrows WHERE org IN (SELECT org FROM top)) b
+  ON a.id = b.id AND a.org < b.org GROUP BY a.org, b.org""", extra={"top": TOP500}))
+def q_collaboration_network_500(spark, sf):
+    _nodes, edges = I.collaboration_network(_org_rows(spark, sf), top_n=500)
+    return edges
+
+
+@query("collaboration_nodes_500", oracle=_org_oracle("SELECT org, n_docs FROM top", extra={"top": TOP500}))
+def q_collaboration_nodes_500(spark, sf):
+    nodes, _edges = I.collaboration_network(_org_rows(spark, sf), top_n=500)
+    return nodes
+
+
 @query("dashboard_sample", oracle=_nl_oracle(f"""
 SELECT n.work_id, n.year, round(n.novelty, 6) AS novelty, n.domain, n.area, n.topic, w.display_name, round(c.cd_score, 6) AS cd_score
 FROM (SELECT work_id, year, novelty, {EXP}, topic FROM nl WHERE level = 3) n
