@@ -2,7 +2,8 @@
 and packing, each stage written as Parquet and reread by the next.
 
 Every stage works on whole texts of all its predecessor kept. A row without a
-text, or whose text has no letter, is rejected by the first stage; null ids,
+text, whose text has no letter, or that the network takes for noise rather than
+one of its languages, is rejected by the first stage; null ids,
 repeated rows and extra columns pass through as the stages' operators define.
 """
 
@@ -14,19 +15,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landscape.llm.common import read, stage
-from landscape.llm.language_id import UNKNOWN, identify_languages, learn_languages
+from landscape.llm.language_id import UNKNOWN, ConvParams, identify_languages, learn_languages
 from landscape.llm.near_dedup import near_duplicates
 from landscape.llm.packing import pack_documents
 from landscape.llm.toxicity import learn_toxicity, score_toxicity
 
+NAMING = ConvParams(noise=1.0, doubt=0.5)  # documents that are noise with more than this probability go
 TOXIC = 0.5  # documents with this score or more go
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the network, learned from the stage's own
-    input, can name; those without a text or a letter go. Without any labelled
-    document nothing can be learned, and the rule is the letter alone."""
-    model = learn_languages(docs)
+    input, can name; those without a text or a letter go, and those it takes for
+    noise. What is labelled as a language and drawn into the training sample is
+    learned as such. Without any labelled document nothing can be learned, and
+    the rule is the letter alone."""
+    model = learn_languages(docs, params=NAMING)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     named = identify_languages(docs, model, lang_pred="__lang", score="__lang_score")

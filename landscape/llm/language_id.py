@@ -5,13 +5,15 @@ it whole. In every window, filters of several widths slide over embedded
 bytes, each filter keeps its largest response (max pooling), and a softmax
 layer turns the responses into language probabilities; a text's probabilities
 are the mean over its windows, weighted by their bytes. The network is trained
-in numpy on windows of a bounded sample of labelled texts. For inference the
+in numpy on windows of a bounded sample of labelled texts and, where asked for,
+on made-up noise as a class of its own, so that it can reject. For inference the
 embedding and the filters fold into tables over pairs of byte classes, so the
 convolution is a few table look-ups per byte, whole batches of windows at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,7 +32,11 @@ class ConvParams:
     """``per_language`` texts, ``language_bytes`` bytes of text per language and
     ``languages`` (the most frequent ones) bound the training sample;
     ``sample_windows`` windows are drawn from each text, anywhere in it. Training
-    runs ``epochs`` times over them, or more often up to ``least_steps`` batches."""
+    runs ``epochs`` times over them, or more often up to ``least_steps`` batches.
+    ``noise``: windows of made-up noise, as a multiple of those of an average
+    language (0: none); a text that is noise with a probability of more than
+    ``doubt`` is in no language. Made-up noise differs from the labelled texts, so
+    that clean ones stay far below it."""
 
     window: int = 96
     widths: tuple[int, ...] = (2, 3, 4)
@@ -44,6 +50,8 @@ class ConvParams:
     least_steps: int = 800
     batch: int = 128
     rate: float = 0.01
+    noise: float = 0.0
+    doubt: float = 0.5
     seed: int = 9
 
 
@@ -82,9 +90,46 @@ def window_classes(data: np.ndarray, start: np.ndarray, held: np.ndarray, size:
     return np.where(inside, CLASSES[data[np.where(inside, at, 0)]], 0)
 
 
+#: first and last letters of scripts, for made-up text
+SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x628, 0x64A), (0x905, 0x939), (0xE01, 0xE2E),
+           (0x10D0, 0x10F0), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
+def made_up_noise(x: np.ndarray, count: int, p: ConvParams) -> np.ndarray:
+    """``count`` windows of byte classes that are no text: random letters in
+    words, hex, base64, mark-up, symbols, one repeated letter, and random letters
+    of scripts that the labelled windows ``x`` hardly hold."""
+    rng = np.random.default_rng(p.seed + 1)
+    held = np.bincount(x.ravel(), minlength=N_CLASSES) / max(1, (x > 0).sum())
+    scripts = [s for s in SCRIPTS if all(held[CLASSES[chr(c).encode()[0]]] < 0.002 for c in s)]
+    lower = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(letters: str, lo: int, hi: int) -> str:
+        return "".join(rng.choice(list(letters), rng.integers(lo, hi)))
+
+    def mark() -> str:
+        return f"<{word(lower, 1, 6)} {word(lower, 1, 4)}=\"{word(lower + '0123456789#-;:', 2, 12)}\">" + word("<>/={}();&|\n\t ", 1, 6)
+
+    def foreign() -> str:
+        lo, hi = scripts[rng.integers(len(scripts))]
+        return "".join("".join(map(chr, rng.integers(lo, hi + 1, rng.integers(1, 12)))) + " " for _ in range(20))
+
+    kinds = [lambda: " ".join(word(lower, 1, 13) for _ in range(16)), lambda: word(lower, 96, 97),
+             lambda: word("0123456789abcdef", 96, 97), lambda: " ".join(word("0123456789abcdef", 2, 17) for _ in range(20)),
+             lambda: word(lower + lower.upper() + "0123456789+/", 96, 97), lambda: "".join(mark() for _ in range(8)),
+             lambda: word("!#$%&()*+,-./:;<=>?@[]^_{|}~ 0123456789", 90, 91) + word(lower, 1, 6), lambda: word(lower, 1, 2) * 96]
+    kinds += [foreign, foreign] if scripts else []
+    out = np.zeros((count, p.window), np.int64)
+    for i in range(count):
+        data = np.frombuffer(kinds[i % len(kinds)]().encode(), np.uint8)
+        size = min(p.window if rng.random() < 0.6 else int(rng.integers(16, p.window + 1)), len(data))
+        out[i, :size] = CLASSES[data[:size]]
+    return out
+
+
 @dataclass
 class ConvModel:
-    languages: list[str]
+    languages: list[str]               # the class of noise, if any, comes after them
     embedding: np.ndarray              # classes x embed
     kernels: list[np.ndarray]          # width x embed x filters
     bias: np.ndarray                   # all filters
@@ -120,9 +165,10 @@ class ConvModel:
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: ConvParams) -> ConvModel:
     """Adam on the cross entropy of windows ``x`` (byte classes) and labels ``y``."""
     rng = np.random.default_rng(p.seed)
+    classes = len(languages) + (p.noise > 0)
     f = p.filters
     w = {"e": rng.normal(0, 0.3, (N_CLASSES, p.embed)), "b": np.zeros(f * len(p.widths)),
-         "d": rng.normal(0, 0.3, (f * len(p.widths), len(languages))), "c": np.zeros(len(languages))}
+         "d": rng.normal(0, 0.3, (f * len(p.widths), classes)), "c": np.zeros(classes)}
     for k in p.widths:
         w[f"k{k}"] = rng.normal(0, (2 / (k * p.embed)) ** 0.5, (k, p.embed, f))
     m1 = {k: np.zeros_like(v) for k, v in w.items()}
@@ -199,8 +245,11 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text: str = "te
         return None
     found.sort(key=lambda r: (r.draw, r.lang, r.x))
     names = sorted({r.lang for r in found})
+    place = {lang: i for i, lang in enumerate(names)}
     x = np.frombuffer(b"".join(r.x for r in found), np.uint8).reshape(len(found), -1).astype(np.int64)
-    return train(x, np.array([names.index(r.lang) for r in found]), names, params)
+    y = np.array([place[r.lang] for r in found])
+    noise = made_up_noise(x, math.ceil(params.noise * len(x) / len(names)), params)
+    return train(np.concatenate([x, noise]), np.append(y, np.full(len(noise), len(names))), names, params)
 
 
 def identify_languages(docs: DataFrame, model: ConvModel | None, text: str = "text",
@@ -209,7 +258,8 @@ def identify_languages(docs: DataFrame, model: ConvModel | None, text: str = "te
     """``docs`` with the predicted language and its probability.
 
     ``und`` with score 0 where the text is null or has no letter, or where
-    nothing could be learned. The columns of ``docs`` (those to ``keep``, if
+    nothing could be learned; ``und`` with the probability of noise where a model
+    that knows noise finds more of it than ``doubt``. The columns of ``docs`` (those to ``keep``, if
     named) but those named like the results stay; repeated rows get the same result.
     """
     letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
@@ -224,14 +274,18 @@ def identify_languages(docs: DataFrame, model: ConvModel | None, text: str = "te
             if model:
                 data, offs = text_buffer(batch.column("text_"))
                 row, start, held = cut_windows(data, offs, model.params.window, max(model.params.widths) - 1)
-                total = np.zeros((n, len(model.languages)))
+                total = np.zeros((n, len(model.dense_bias)))
                 for lo in range(0, len(row), block):
                     part = slice(lo, lo + block)
                     x = window_classes(data, start[part], held[part], model.params.window)
                     np.add.at(total, row[part], model.probabilities(x, tables) * held[part, None])
                 ok = np.flatnonzero(batch.column("letter_").to_numpy(zero_copy_only=False) & (np.diff(offs) > 0))
-                best[ok] = total[ok].argmax(axis=1)
-                top[ok] = total[ok].max(axis=1) / total[ok].sum(axis=1)
+                share = total[ok] / total[ok].sum(axis=1, keepdims=True)
+                known = share[:, :len(model.languages)]
+                best[ok], top[ok] = known.argmax(axis=1), known.max(axis=1)
+                noise = 1 - known.sum(axis=1)
+                no = (noise > model.params.doubt) & (share.shape[1] > known.shape[1])
+                best[ok[no]], top[ok[no]] = len(names) - 1, noise[no]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names[best], pa.string()), pa.array(np.clip(top, 0, 1))],
                 names=[*batch.schema.names, "l_", "s_"])

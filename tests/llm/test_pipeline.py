@@ -38,3 +38,20 @@ def test_edges(spark, edge_docs, no_docs):
     rows = cp.near_dedup_stage(spark, edge_docs, SF).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(
         str(i) for i in [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, None])
+
+
+def test_language_stage_rejects_gibberish(spark):
+    import base64
+    import hashlib
+    import random
+    rng = random.Random(6)
+    digest = [hashlib.sha256(bytes([i])) for i in range(8)]
+    junk = ["".join(d.hexdigest() for d in digest), " ".join(d.hexdigest()[:9] for d in digest),
+            base64.b64encode(b"".join(d.digest() for d in digest)).decode(),
+            " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(60)),
+            "<td class=\"a1\"><br/></td><p style='x:0;y:1'>&nbsp;</p>{};" * 6, "q" * 400,
+            "Съешь же ещё этих мягких французских булок да выпей чаю " * 3]
+    docs = read(spark, SF, "documents")
+    rows = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(junk)]
+    kept = {r.doc_id for r in cp.language_stage(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
