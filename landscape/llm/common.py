@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landscape.session import scratch_path
 
@@ -233,8 +234,9 @@ def windows_hash(words: np.ndarray, word_offsets: np.ndarray, n: int) -> tuple[n
 
 def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, text: str | None = None,
                    max_bytes: int = 0, groups: int = 64, seed: int = 5, counted: bool = True) -> DataFrame:
-    """At most ``per_group`` rows, and about ``max_bytes`` of ``text`` where it is named, of each of the
-    ``groups`` most frequent values of ``group`` (null left out), by a seeded hash of ``key``.
+    """At most ``per_group`` rows, and about ``max_bytes`` of ``text`` where it is named, of each
+    value of ``group`` (null left out), by a seeded hash of ``key``. With more than ``groups``
+    values, each has fewer rows (one at least), so that the sample stays as large in all.
 
     The sizes of the groups are counted first, so that only a little more than
     the sample itself is shuffled, whatever the size of the table (``counted``
@@ -248,12 +250,14 @@ def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, text:
         near = near.filter(F.octet_length(text) <= max_bytes)
     if counted:
         counts = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
-                  .orderBy(F.desc("c"), group).limit(groups).collect())
-        bound = F.lit(None).cast("long")
-        for r in counts:
-            n = per_group + 6 * math.isqrt(per_group) + 1  # the bound is exact below; this only limits the shuffle
-            bound = F.when(F.col(group) == r[group], F.lit(min(1 << 40, (n << 40) // r["c"] + 1))).otherwise(bound)
-        near = near.filter(F.col("draw_") < bound)
+                  .collect())
+        if len(counts) > groups:
+            per_group = max(1, per_group * groups // len(counts))
+        n = per_group + 6 * math.isqrt(per_group) + 12  # the bound is exact below; this only limits the shuffle
+        kind = T.StructType([T.StructField(group, rows.schema[group].dataType), T.StructField("bound_", T.LongType())])
+        bounds = rows.sparkSession.createDataFrame([(r[group], min(1 << 40, (n << 40) // r["c"] + 1)) for r in counts], kind)
+        near = (near.join(F.broadcast(bounds), group).filter(F.col("draw_") < F.col("bound_"))
+                .select(*rows.columns, "draw_"))
     order = W.partitionBy(group).orderBy("draw_", key, *([text] if text else []))
     out = near.withColumn("n_", F.row_number().over(order)).filter(F.col("n_") <= per_group)
     if text:

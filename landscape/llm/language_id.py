@@ -29,8 +29,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class ConvParams:
-    """``per_language`` texts, ``language_bytes`` bytes of text per language and
-    ``languages`` (the most frequent ones) bound the training sample;
+    """``per_language`` texts and ``language_bytes`` bytes of text per language
+    bound the training sample; with more than ``languages`` languages, each has
+    fewer texts, and none is left out;
     ``sample_windows`` windows are drawn from each text, anywhere in it. Training
     runs ``epochs`` times over them, or more often up to ``least_steps`` batches.
     ``noise``: windows of made-up noise, as a multiple of those of an average

@@ -123,3 +123,13 @@ def test_long_rows_are_cut_at_separators(monkeypatch):
     monkeypatch.setattr(common, "SLICE_BYTES", 256)
     parts = WordHasher()(data, offs)
     assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
+def test_every_language_is_learned(spark):
+    """Seventy languages, the rarest with one text: more than the sample holds in full."""
+    rows = [(100 * i + j, f"word{chr(97 + i % 26) * 3} text {i} " * 4, f"l{i:02d}") for i in range(70) for j in range(70 - i)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn_languages(df, params=ConvParams(epochs=1, least_steps=1, per_language=20))
+    assert model.languages == [f"l{i:02d}" for i in range(70)]
+    sample = bounded_sample(df, "lang", "doc_id", 20).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in sample} == {f"l{i:02d}": min(18, 70 - i) for i in range(70)}
