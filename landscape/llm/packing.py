@@ -17,82 +17,130 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, rows_of, stage
 
-CACHE_ENTRIES = 600_000   # words per Python worker; cleared when full
-JOINED = 64               # plain words encoded in one call
+CACHE_ENTRIES = 1_000_000  # words per Python worker; forgotten when full
+JOINED = 64               # plain words encoded in one line
 GROUP_ROWS = 5_000        # pieces per numbering bucket, over all lengths
-#: Latin letters, then marks: the marks are a token run of their own
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*#$&]*)\Z")
+SLICE = 8 << 20           # bytes of text tokenised at once
+#: closing marks after a Latin letter are a token run of their own
+MARKS = ".,;:!?%*#$&"
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the runs (start, size), end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class WordIds:
-    """Token ids of texts by a ``tokenizers`` file that drops white space:
-    words between blanks and line ends are encoded once and remembered."""
+    """Token ids of texts by a ``tokenizers`` file that drops white space and
+    marks the last token of a word. Words between blanks and line ends are
+    numbered; the ids of a number are a run of one flat array, so that the ids of
+    a batch are gathered from the numbers of its words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        vocab = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the cache. Closing marks after a Latin
-        letter are a token run of their own, so word and marks are encoded apart."""
-        whole, split, plain, other = [], [], set(), set()
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Number ``words``, whose ids lie end to end."""
+        first = len(self.number)
+        for name, more in (("flat", self.used + len(ids)), ("start", first + len(words)), ("size", first + len(words))):
+            old = getattr(self, name)
+            if more > len(old):
+                grown = np.zeros(1 << more.bit_length(), old.dtype)
+                grown[:len(old)] = old
+                setattr(self, name, grown)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[first:first + len(words)] = self.used + np.cumsum(size) - size
+        self.size[first:first + len(words)] = size
+        self.used += len(ids)
+        self.number.update(zip(words, range(first, first + len(words))))
+
+    def _encode(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _learn(self, words: list[str]) -> None:
+        """Number new words. A Latin word and the marks behind it are encoded apart."""
+        known, plain, other = self.number, set(), set()
+        made, lows, tails = [], [], []  # of words unlike their lowered base: no tuples, which the collector would trace
         for w in words:
-            m = PLAIN.match(w)
-            if m is None:
+            base = w.rstrip(MARKS)
+            if (base.isascii() and base.isalpha()) or LATIN.fullmatch(base):
+                low = base.lower()
+                plain.add(low)
+                if low != w:
+                    made.append(w)
+                    lows.append(low)
+                    tails.append(w[len(base):])
+            else:
                 other.add(w)
-                continue
-            base, marks = m.groups()
-            low = base.lower()
-            plain.add(low)
-            if marks:
-                split.append((w, low, marks))
-            elif low != w:
-                whole.append((w, low))
-        other.update({marks for _, _, marks in split})
-        known = self.cache
-        self._encode_plain([w for w in plain if w not in known])
+        other.update(tails)
+        self._learn_plain([w for w in plain if w not in known])
         need = [w for w in other if w not in known]
         for i in range(0, len(need), 4096):
-            part = need[i:i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        known.update([(w, known[low] + known[marks]) for w, low, marks in split])
-        known.update([(w, known[low]) for w, low in whole])
-
-    def _encode_plain(self, words: list[str]) -> None:
-        """Words of Latin letters only are one pre-token each: many are encoded in
-        one call and told apart by pre-token number."""
+            self._add(need[i:i + 4096], *self._encode(need[i:i + 4096]))
+        if made:
+            pair = np.empty((len(made), 2), np.int64)
+            pair[:, 0] = [known[low] for low in lows]
+            pair[:, 1] = [known[marks] for marks in tails]
+            size = self.size[pair]
+            self._add(made, self.flat[spans(self.start[pair.ravel()], size.ravel())], size.sum(1))
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Latin words are one pre-token each: many are encoded in a line and
+        told apart by the tokens that end a word."""
         for i in range(0, len(words), JOINED * 64):
             part = words[i:i + JOINED * 64]
-            lines = [part[k:k + JOINED] for k in range(0, len(part), JOINED)]
-            for line, e in zip(lines, self.tok.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
-                blob, owner = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-                cut = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
-                for w, a, b in zip(line, cut, cut[1:]):
-                    self.cache[w] = blob[4 * a:4 * b]
+            ids, _ = self._encode([" ".join(part[k:k + JOINED]) for k in range(0, len(part), JOINED)])
+            size = np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0)
+            if len(size) != len(part):  # a file without marks of word ends
+                ids, size = self._encode(part)
+            self._add(part, ids, size)
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {"": b""}
-        known = self.cache
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(known)
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and the offsets of the texts. Null texts have none."""
+        if len(self.number) > CACHE_ENTRIES:
+            self._forget()
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        unique, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.number
+        new = [w for w in unique if w not in known]
         if new:
             self._learn(new)
-        for words in parts:
-            yield b"".join([known[w] for w in words])
+        number = np.fromiter(map(known.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
+        size = self.size[number]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        rows = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+        return self.flat[spans(self.start[number], size)], ends[rows]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        flat, at = self.batch(pa.array(texts, pa.string()))
+        for lo, hi in zip(at.tolist(), at[1:].tolist()):
+            yield flat[lo:hi].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -107,11 +155,11 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int, closing_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last, step = word_ids(vocab_path), np.array([closing_id], "<u4").tobytes(), 4 * capacity
-        for batch in rows_of(batches, "text", 4 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in rows_of(batches, "text", SLICE):
+            flat, at = coder.batch(batch.column("text"))
             rows, piece, length, crc, ids = [], [], [], [], []
-            for i, blob in enumerate(coder.ids(texts)):
-                blob += last
+            for i, (lo, hi) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                blob = flat[lo:hi].astype("<u4", copy=False).tobytes() + last
                 for k in range(0, len(blob), step):
                     cut = blob[k:k + step]
                     rows.append(i)
