@@ -11,19 +11,26 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
+def _with_lowest(near: DataFrame, low: DataFrame) -> DataFrame:
+    """Rows of ``near`` with the smallest neighbour ``m`` of their node. ``low`` is
+    a table of its own, so that AQE can split the rows of a hub (it can't where
+    the join shares the grouping's shuffle)."""
+    return near.join(low, "u")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on (u, v) edges."""
     both = edges.select("u", "v")
     flipped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     if large:  # all neighbours; the larger ones are handed to the smallest
         near = both.unionByName(flipped)
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return (near.filter("v > u").join(low, "u")
-                .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = stage(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        handed = _with_lowest(near.filter("v > u"), low)
+        return handed.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     # small: only neighbours not larger; they and the node go to the smallest
     near = both.filter("v < u").unionByName(flipped.filter("v < u"))
-    low = near.groupBy("u").agg(F.min("v").alias("m"))
-    handed = near.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = stage(near.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+    handed = _with_lowest(near, low).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return handed.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

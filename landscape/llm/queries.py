@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .ann_search import nearest_neighbours
 from .chat_format import format_conversations, read_loss, read_turns, text_parts
 from .common import read, stage
+from .decontamination import contaminated_documents
 from .language_id import identify_languages, learn_languages
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_sampling import decode_pieces, sample_pieces
 from .quality_rules import judge_quality, learn_rules, text_statistics
+from .token_alignment import align_tokens, score_links
 from .token_counts import count_tokens
 from .toxicity import learn_toxicity, score_toxicity
 
@@ -141,6 +143,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP12_SQL = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS t
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, i, place.n FROM place JOIN win USING (n, t)),
+cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return score_links(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -152,8 +189,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op12_decontamination": op12_decontamination,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
     "op5_chat_format": OP5_SQL,
+    "op12_decontamination": OP12_SQL,
 }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WHITE, WordHasher, bound_batches, bounded_sample, carried, map_texts, mix64, rows_of, text_buffer
+from .common import MIX, WHITE, WordHasher, bound_batches, bounded_sample, carried, map_texts, mix64, rows_of, stage, text_buffer
 
 SEPARATORS = WHITE + bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 
@@ -121,11 +121,14 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    label: str = "toxic", params: FtrlParams = FtrlParams()) -> ToxicityModel:
     """A model from ``docs`` (id, text) whose id has the label 0 or 1 in
     ``labels`` (id, label); other labels and nulls are left out. The sample is
-    drawn among the labels, so that texts are only read where they are in it and
-    never shuffled for the join. Without usable rows the score is 0 for every text."""
+    drawn among those labels whose id is in ``docs`` (ids alone are joined), so
+    that labels of other documents take no place in it, and texts are only read
+    where they are drawn and never shuffled for the join. Without usable rows the
+    score is 0 for every text."""
     bound_batches(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
-    marks = marks.filter("label IN (0, 1) AND id IS NOT NULL").distinct()
+    present = docs.select(F.col(f"`{id_col}`").alias("id")).distinct()
+    marks = stage(marks.filter("label IN (0, 1) AND id IS NOT NULL").distinct().join(present, "id", "left_semi"), "marks")
     # at most 2 * per_label rows: a bounded broadcast
     drawn = bounded_sample(marks, "label", "id", params.per_label, seed=params.seed)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))

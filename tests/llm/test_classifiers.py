@@ -75,6 +75,46 @@ def test_ftrl_is_sparse_and_separates():
     assert np.mean([(w[x].sum() + m.intercept >= 0) == y for y, x in rows]) > 0.97
 
 
+def test_ftrl_equals_a_scalar_loop():
+    """Coordinate by coordinate, as the method is published."""
+    import math
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3 == 0), np.unique(np.append(rng.choice(60, 6), 60 + i % 3))) for i in range(90)]
+    p = FtrlParams(bits=7, epochs=3, l1=0.5)
+    m = ftrl(rows, p)
+    z, n, bias = [0.0] * 128, [0.0] * 128, [0.0, 0.0]
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    def intercept():
+        return -bias[0] / ((p.beta + math.sqrt(bias[1])) / p.alpha)
+
+    order = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            y, x = rows[k]
+            w, b = {int(i): weight(i) for i in x}, intercept()
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+            for i, old in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * old
+                n[i] += g * g
+            bias[0] += g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / p.alpha * b
+            bias[1] += g * g
+    assert np.allclose(m.table(), [weight(i) for i in range(128)], atol=1e-5) and abs(m.intercept - intercept()) < 1e-9
+
+
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat(if(id % 4 = 0, 'you are scum ', 'fine text '), id % 7) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    foreign = spark.range(20_000).selectExpr("id + 1000000 AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    p = FtrlParams(per_label=100)
+    alone, among = learn_toxicity(docs, labels, params=p), learn_toxicity(docs, labels.union(foreign), params=p)
+    assert len(among.index) and np.array_equal(alone.index, among.index) and np.array_equal(alone.weight, among.weight)
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     rows = [(i, "you are scum" if i % 3 == 0 else f"fine text {i % 7}", int(i % 3 == 0)) for i in range(300)]
     rows += [(900, None, 1), (901, "x", None), (902, "y", 7)]

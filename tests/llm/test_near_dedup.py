@@ -97,3 +97,28 @@ def test_components(spark, edges):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert {r.node: r.component for r in components(df).collect()} == root
+
+
+def test_hub_is_split(spark):
+    """A star of 10^5 nodes beside as many lone pairs: no task of the join that
+    hands neighbours on reads more than a few times the usual share."""
+    from pyspark.sql import functions as F
+
+    from landscape.llm.components import _with_lowest, stage
+    n = 100_000
+    edges = spark.range(n).selectExpr("0L AS u", "id + 1 AS v").union(spark.range(n).selectExpr(f"id * 2 + {2 * n} AS u", f"id * 2 + {2 * n} + 1 AS v"))
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        low = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        parts = _with_lowest(edges, low).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        sizes = sorted(r["count"] for r in parts)
+        assert sum(sizes) == 2 * n and sizes[-1] <= 6 * sizes[len(sizes) // 2]
+        got = {r.node: r.component for r in components(edges).filter(f"node <= {n}").collect()}
+        assert len(got) == n + 1 and set(got.values()) == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
