@@ -13,6 +13,7 @@ from .ann_search import nearest_neighbours
 from .chat_format import format_conversations, read_loss, read_turns, text_parts
 from .common import read, stage
 from .decontamination import contaminated_documents
+from .hard_negatives import hard_negatives
 from .language_id import identify_languages, learn_languages
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
@@ -143,6 +144,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (
+  SELECT anchor_id, other AS positive_id, s AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, s AS negative_score
+FROM pos JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) <= 10
+"""
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -189,11 +216,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_decontamination": op12_decontamination,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
     "op5_chat_format": OP5_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_decontamination": OP12_SQL,
 }

@@ -1,3 +1,4 @@
+import bisect
 import collections
 import hashlib
 import random
@@ -41,12 +42,15 @@ def brute(texts):
                 at += len(x)
             sides_.append(out)
         cuts = sorted({e for _, _, e in sides_[0]} & {e for _, _, e in sides_[1]})
-        groups, links, lo = [], [], 0
+        groups, links = [], []
+        parts = [collections.defaultdict(list) for _ in sides_]
+        for part, side in zip(parts, sides_):
+            for x in side:
+                part[cuts[bisect.bisect_left(cuts, x[2])]].append(x)
         for c in cuts:
-            ga, gb = ([x for x in side if lo < x[2] <= c] for side in sides_)
+            ga, gb = (part[c] for part in parts)
             groups.append(",".join(str(x[0]) for x in ga) + "|" + ",".join(str(x[0]) for x in gb))
             links += [(x[0], y[0]) for x in ga for y in gb if x[1] < y[2] and y[1] < x[2]]
-            lo = c
         docs[d] = (len(a), len(b), groups, links)
         held.update(set(links))
     top = collections.defaultdict(int)
