@@ -1,13 +1,19 @@
-"""Quantile aggregates.
+"""Exact quantiles of many groups by rank selection.
 
-``linear`` is NumPy's default (and DuckDB's ``quantile_cont``); Spark's exact
-``percentile`` computes it from a value -> count buffer, so a group costs
-memory in its number of *distinct* values, not rows.
+``linear`` is NumPy's default (and DuckDB's ``quantile_cont``); ``nearest``
+picks the element at 0-based rank ``floor((n - 1) * q + 0.5)`` of the sorted
+group. ``selected`` computes either for all groups in one pass, without one
+task holding a group:
 
-``nearest`` picks the element at 0-based rank ``floor((n - 1) * q + 0.5)``
-of the sorted group. It is computed from per-(group, value) counts and a
-running sum over the distinct values, so a hot group is pre-aggregated
-before it is ordered and never collected into one list.
+1. Rows become counts per (group, value), spread over tasks by both.
+2. A group with more than ``LARGE`` distinct values gets range bounds from a
+   sketch. Any bounds give the exact result; good ones give even ranges.
+3. A histogram of counts per (group, range) tells which ranges hold the wanted
+   ranks and how many rows lie before them.
+4. Only those ranges are kept; each is ordered on its own.
+
+``percentile`` is Spark's exact aggregate, one value -> count map per group, for
+groups whose number of distinct values is bounded otherwise (topics of a document).
 """
 
 from __future__ import annotations
@@ -17,38 +23,98 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LARGE = 20_000  # distinct values from which a group is cut into ranges
+RANGES = 64
+
 
-def linear(col: str | Column, q: float) -> Column:
+def percentile(col: str | Column, q: float) -> Column:
     return F.percentile(F.col(col) if isinstance(col, str) else col, F.lit(q))
 
 
-def nearest(df: DataFrame, keys: Sequence[str], value: str,
-            qs: dict[str, float], mean: str | None = None) -> DataFrame:
-    """One row per group with one column per named quantile (and the mean
-    under the name ``mean`` when given)."""
-    keys = list(keys)
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null keys included."""
+    other = right.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
+    return left.join(other, cond, how).drop(*[f"{k}__" for k in keys])
+
+
+def ranges(df: DataFrame, keys: Sequence[str], value: str, large: int = LARGE, pieces: int = RANGES) -> DataFrame:
+    """(keys, value, _c, _n, _s, _r): counts per (group, value), the group's rows and
+    sum, and the value's range in its group (0 where the group isn't cut)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    wall = Window.partitionBy(*keys)
-    ranked = (counts
-              .withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_n", F.sum("_c").over(wall))
-              .withColumn("_lo", F.col("_hi") - F.col("_c")))
-    aggs = []
-    for name, q in qs.items():
-        r = F.floor((F.col("_n") - 1) * F.lit(q) + F.lit(0.5))
-        hit = (F.col("_lo") <= r) & (r < F.col("_hi"))
-        aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
-    if mean:
-        aggs.append((F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias(mean))
-    return ranked.groupBy(*keys).agg(*aggs)
+    at = [i / pieces for i in range(1, pieces)]
+    # summed as decimals, so that the order of rows doesn't move a mean over a rounding tie
+    total = (F.col(value) * F.col("_c")).cast("decimal(38,12)")
+    group = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(total).alias("_s"),
+                                      F.count("*").alias("_d"), F.percentile_approx(value, at, 1000).alias("_cuts"))
+    group = group.withColumn("_cuts", F.when(F.col("_d") > large, F.array_distinct("_cuts"))).drop("_d")
+    below = F.size(F.filter("_cuts", lambda x: x < F.col(value)))
+    return (_same(counts, group, keys)
+            .withColumn("_r", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_cuts"))
+
+
+def selected(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], how: str = "nearest",
+             mean: str | None = None, large: int = LARGE) -> DataFrame:
+    """One row per group with a column per named quantile (and the mean under the
+    name ``mean``, when given). Groups without a value are left out."""
+    keys = list(keys)
+    placed = ranges(df, keys, value, large)
+    last = F.col("_n") - 1
+
+    def ends(q: float) -> list[Column]:
+        """The 0-based ranks a quantile is made of."""
+        if how == "nearest":
+            return [F.floor(last * F.lit(q) + F.lit(0.5))]
+        return [F.floor(last * F.lit(q)), F.ceil(last * F.lit(q))]
+
+    ranks = [r for q in qs.values() for r in ends(q)]
+
+    def holds(r: Column, lo: str, many: str) -> Column:
+        return (F.col(lo) <= r) & (r < F.col(lo) + F.col(many))
+
+    histogram = placed.groupBy(*keys, "_r").agg(F.sum("_c").alias("_h"), F.max("_n").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    histogram = histogram.withColumn("_before", F.coalesce(F.sum("_h").over(before), F.lit(0)))
+    wanted = holds(ranks[0], "_before", "_h")
+    for r in ranks[1:]:
+        wanted = wanted | holds(r, "_before", "_h")
+    needed = histogram.where(wanted).select(*keys, "_r", "_before")
+    within = Window.partitionBy(*keys, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = _same(placed, needed, [*keys, "_r"]).withColumn(
+        "_lo", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+
+    def at(r: Column) -> Column:
+        return F.max(F.when(holds(r, "_lo", "_c"), F.col(value)))
+
+    group = ordered.groupBy(*keys)
+    if how == "nearest":
+        return group.agg(*[at(*ends(q)).alias(n) for n, q in qs.items()],
+                         *([F.max(F.col("_s").cast("double") / F.col("_n")).alias(mean)] if mean else []))
+    parts = group.agg(F.max("_n").alias("_n"), F.max("_s").alias("_s"),
+                      *[at(r).alias(f"{n}__{i}") for n, q in qs.items() for i, r in enumerate(ends(q))])
+
+    def between(n: str, q: float) -> Column:
+        pos, (lo, hi) = last * F.lit(q), ends(q)
+        low, high = F.col(f"{n}__0"), F.col(f"{n}__1")
+        return F.when(lo == hi, low).otherwise((hi - pos) * low + (pos - lo) * high)
+
+    return parts.select(*keys, *[between(n, q).alias(n) for n, q in qs.items()],
+                        *([(F.col("_s").cast("double") / F.col("_n")).alias(mean)] if mean else []))
+
+
+def nearest(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
+            mean: str | None = None) -> DataFrame:
+    return selected(df, keys, value, qs, "nearest", mean)
+
+
+def with_quantiles(base: DataFrame, df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
+                   how: str = "linear") -> DataFrame:
+    """``base``, a row per group of ``df``, with the groups' quantiles (null without a value)."""
+    return _same(base, selected(df, keys, value, qs, how), list(keys), "left")
 
 
 def quartiles(df: DataFrame, keys: Sequence[str], value: str, prefix: str,
               interpolation: str = "nearest") -> DataFrame:
     """``{prefix}25/50/75`` and ``{prefix}_mean`` per group."""
     qs = {f"{prefix}25": 0.25, f"{prefix}50": 0.5, f"{prefix}75": 0.75}
-    if interpolation == "nearest":
-        return nearest(df, keys, value, qs, mean=f"{prefix}_mean")
-    return df.groupBy(*keys).agg(*[linear(value, q).alias(n) for n, q in qs.items()],
-                                 F.avg(value).alias(f"{prefix}_mean"))
+    return selected(df, keys, value, qs, interpolation, mean=f"{prefix}_mean")

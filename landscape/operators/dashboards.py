@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import mean6
-from ..functions.quantiles import linear
+from ..functions.quantiles import with_quantiles
 
 
 def alignment_long(volume: DataFrame) -> DataFrame:
@@ -97,9 +97,8 @@ def yearly_rank(df: DataFrame, score: str) -> DataFrame:
 
 
 def disruption_interval(docs: DataFrame, key: str = "name") -> DataFrame:
-    return (docs.groupBy(key, "year")
-            .agg(mean6("cd_score", scale=3).alias("mean"), linear("cd_score", 0.1).alias("p10"),
-                 linear("cd_score", 0.9).alias("p90")))
+    base = docs.groupBy(key, "year").agg(mean6("cd_score", scale=3).alias("mean"))
+    return with_quantiles(base, docs, [key, "year"], "cd_score", {"p10": 0.1, "p90": 0.9})
 
 
 def disruption_histogram(docs: DataFrame, bins: int = 10, lo: float = -1.0, hi: float = 1.0) -> DataFrame:

@@ -132,15 +132,23 @@ def disruption_table(dis_docs: DataFrame, topic_names: DataFrame, top_entities:
 
     ``top_entities`` is (topic, entities) keyed by ids of any level.
     """
-    rows = dis_docs.select("domain", "area", "topic", "year").distinct()
-    for col in ("topic", "area", "domain"):
-        rows = rows.join(disruption_by_level(dis_docs, col, interpolation), ["year", col], "left")
+    levels = ("topic", "area", "domain")
+    at = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("name")) for c in levels])
+    long = dis_docs.select("work_id", "year", "cd_score", F.inline(at)).dropDuplicates(["work_id", "level", "name"])
+    stats = quartiles(long, ["level", "year", "name"], "cd_score", "cd_score", interpolation)
+    counts = long.groupBy("level", "name").agg(F.count("*").alias("n"))
     names = names_first_level_wins(topic_names)
-    for col in ("topic", "area", "domain"):
+    rows = dis_docs.select("domain", "area", "topic", "year").distinct()
+    for col in levels:
+        own = stats.where(F.col("level") == col).drop("level")
+        rows = rows.join(own.select("year", F.col("name").alias(col), *[F.col(c).alias(f"{col}_{c}") for c in own.columns
+                                                                       if c not in ("year", "name")]), ["year", col], "left")
+    for col in levels:
         rows = rows.join(names.select(F.col("topic").alias(col), F.col("name").alias(f"{col}_name")), col, "left")
         rows = rows.join(top_entities.select(F.col("topic").alias(col), F.col("entities").alias(f"{col}_entities")),
                          col, "left")
-        rows = rows.join(level_doc_counts(dis_docs, col), col, "left")
+        rows = rows.join(counts.where(F.col("level") == col).select(F.col("name").alias(col), F.col("n").alias(f"{col}_doc_counts")),
+                         col, "left")
     return rows
 
 

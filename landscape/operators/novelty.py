@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import linear
+from ..functions.quantiles import percentile as exact_percentile, with_quantiles
 
 
 def novelty_input(doc_topics: DataFrame, docs: DataFrame, level: int | Sequence[int] = 3,
@@ -111,7 +111,7 @@ def document_novelty(novelty_in: DataFrame, id_column: str = "work_id",
     c = commonness.select(*by, "topic_1", "topic_2", "year", "commonness")
     return (pairs.join(c, by + ["topic_1", "topic_2", "year"])
             .groupBy(*by, id_column, "year")
-            .agg(linear("commonness", percentile / 100.0).alias("commonness"))
+            .agg(exact_percentile("commonness", percentile / 100.0).alias("commonness"))
             .join(novelty_in.select(*by, id_column, "n_topics", "topics"), by + [id_column])
             .withColumn("novelty", -F.log(F.col("commonness")))
             .select(*by, id_column, "year", "commonness", "novelty", "n_topics", "topics"))
@@ -120,11 +120,13 @@ def document_novelty(novelty_in: DataFrame, id_column: str = "work_id",
 def topic_document_novelty(doc_novelty: DataFrame, id_column: str = "work_id",
                            aggregation: str = "median") -> DataFrame:
     """Per (topic, year): aggregated novelty of the documents carrying it."""
-    agg = {"median": linear("novelty", 0.5), "mean": F.avg("novelty"),
-           "max": F.max("novelty"), "min": F.min("novelty")}[aggregation]
-    return (doc_novelty.select(id_column, "year", "novelty", F.explode("topics").alias("topic"))
-            .groupBy("topic", "year")
-            .agg(agg.alias("topic_doc_novelty"), F.count(id_column).alias("doc_counts")))
+    docs = doc_novelty.select(id_column, "year", "novelty", F.explode("topics").alias("topic"))
+    name, counted = "topic_doc_novelty", F.count(id_column).alias("doc_counts")
+    if aggregation == "median":
+        base = docs.groupBy("topic", "year").agg(counted)
+        return with_quantiles(base, docs, ["topic", "year"], "novelty", {name: 0.5}).select("topic", "year", name, "doc_counts")
+    agg = {"mean": F.avg("novelty"), "max": F.max("novelty"), "min": F.min("novelty")}[aggregation]
+    return docs.groupBy("topic", "year").agg(agg.alias(name), counted)
 
 
 def topic_pair_novelty(commonness: DataFrame, min_counts: int = 0,
@@ -134,7 +136,7 @@ def topic_pair_novelty(commonness: DataFrame, min_counts: int = 0,
     return (commonness.where(F.col("N_ij_t") > min_counts)
             .select(F.explode(ends).alias("topic"), "year", "commonness", "N_ij_t")
             .groupBy("topic", "year")
-            .agg(linear("commonness", percentile / 100.0).alias("topic_pair_commonness"),
+            .agg(exact_percentile("commonness", percentile / 100.0).alias("topic_pair_commonness"),
                  F.sum("N_ij_t").alias("pair_counts"))
             .withColumn("topic_pair_novelty", -F.log("topic_pair_commonness")))
 

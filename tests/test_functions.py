@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from landscape.functions.exact import mean6
 from landscape.functions.ordering import global_row_number
 from landscape.functions.pairs import pairs_within
-from landscape.functions.quantiles import nearest
+from landscape.functions.quantiles import nearest, ranges, selected
 
 
 def test_nearest_quantile_matches_rank_rule(spark):
@@ -44,3 +46,36 @@ def test_mean6_rounds_ties_half_away(spark):
     assert df.agg(mean6("v").alias("m")).collect()[0]["m"] == 0.0006
     tie = spark.createDataFrame([(0.001,), (0.0,)] * 1 + [(0.0,)] * 6, "v double")  # 0.001/8 = 0.000125
     assert tie.agg(mean6("v").alias("m")).collect()[0]["m"] == 0.000125
+
+
+def test_quantiles_of_cut_groups(spark):
+    """Groups cut into ranges give what whole ones give; null keys and null values, ties, a constant group."""
+    rng = np.random.default_rng(3)
+    rows = [("hot", None, float(v)) for v in rng.normal(size=900).round(2)] + [("flat", 1, 2.0)] * 60
+    rows += [(None, 2, float(v)) for v in rng.exponential(size=70)] + [("few", 3, 1.0), ("few", 3, None), ("none", 4, None)]
+    df = spark.createDataFrame(rows, "k string, y int, v double").repartition(6)
+    groups = {}
+    for k, y, v in rows:
+        if v is not None:
+            groups.setdefault((k, y), []).append(v)
+    qs = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    for large in (5, 10 ** 9):
+        got = {(r.k, r.y): r for r in selected(df, ["k", "y"], "v", qs, "linear", "m", large).collect()}
+        assert set(got) == set(groups)
+        for g, vals in groups.items():
+            assert np.allclose([got[g][n] for n in qs], np.quantile(vals, list(qs.values()))) and abs(got[g].m - np.mean(vals)) < 1e-9
+        near = {(r.k, r.y): r for r in selected(df, ["k", "y"], "v", qs, "nearest", None, large).collect()}
+        for g, vals in groups.items():
+            s = sorted(vals)
+            assert [near[g][n] for n in qs] == [s[math.floor((len(s) - 1) * q + 0.5)] for q in qs.values()]
+
+
+def test_a_hot_group_is_spread(spark):
+    """One group with nine tenths of the rows: its ranges are small next to the group, and so are the parts that rows meet in."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 200)).alias("k"),
+                                     F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    sizes = ranges(df, ["k"], "v", large=5_000).groupBy("k", "_r").count().where("k = 'hot'").collect()
+    assert len(sizes) == 64 and max(r["count"] for r in sizes) <= 2 * 180_000 / 64
+    ordered = ranges(df, ["k"], "v", large=5_000).repartition(32, "k", "_r").groupBy(F.spark_partition_id()).count().collect()
+    counts = sorted(r["count"] for r in ordered)
+    assert counts[-1] <= 4 * counts[len(counts) // 2]
