@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pairs import DEFAULT_CHUNK, pairs_within
 from ..functions.quantiles import quartiles
+from ..session import scratch_path
 
 LEVEL_COLS = {1: "domain", 2: "area", 3: "topic"}
 
@@ -74,39 +75,106 @@ def volume_table(doc_topics: DataFrame, docs: DataFrame, topic_names: DataFrame)
         topic_names)
 
 
-def cd_index(citations: DataFrame) -> DataFrame:
+HEAVY = 2000  # citations from which a reference goes through the split plan
+
+
+def cd_index(citations: DataFrame, heavy_degree: int = HEAVY) -> DataFrame:
     """CD (disruption) index of every focal work from (citing, cited) edges.
 
     For focal f with references R(f): among works citing f or any r in R(f)
     (f itself excluded), n_i cite only f, n_j cite f and a reference, n_k
     cite only references. CD = (n_i - n_j) / (n_i + n_j + n_k).
 
-    Plan: rows "citer cites f" and "citer cites a reference of f" are unioned
-    with a flag each and reduced by one aggregation on (focal, citer) -- it
-    combines map-side, so the duplicates of the two-hop join collapse before
-    the shuffle and no outer join is needed. The two-hop join is keyed by the
-    reference; a heavily cited reference is a hot key there, which AQE's
-    skew-join handling splits.
+    Light references (up to ``heavy_degree`` citations) go through the two-hop
+    join: rows "citer cites f" and "citer cites a reference of f" are unioned
+    with a flag each and reduced by one aggregation on (focal, citer), which
+    combines map-side; no key of the join has more than ``heavy_degree`` rows a
+    side. Heavy references are never joined to their citers twice, as that has a
+    row for each pair of citers: see ``_with_heavy``.
     """
     edges = citations.select("citing", "cited").distinct()
+    heavy = (edges.groupBy("cited").agg(F.count("*").alias("degree")).where(F.col("degree") > heavy_degree)
+             .withColumnRenamed("cited", "ref"))
+    some = not heavy.isEmpty()
+    if some:
+        heavy = heavy.transform(lambda df: _stage(df, "heavy"))
     direct = edges.select(F.col("cited").alias("focal"), F.col("citing").alias("citer"),
                           F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-    refs = edges.select(F.col("citing").alias("focal"), F.col("cited").alias("ref"))
-    ref_citers = edges.select(F.col("cited").alias("ref"), F.col("citing").alias("citer"))
+    light = edges.withColumnRenamed("cited", "ref")
+    if some:
+        light = light.join(heavy.select("ref"), "ref", "left_anti")
+    refs = light.select(F.col("citing").alias("focal"), "ref")
+    ref_citers = light.select("ref", F.col("citing").alias("citer"))
     via_refs = (refs.join(ref_citers, "ref").where(F.col("citer") != F.col("focal"))
                 .select("focal", "citer", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     flags = (direct.unionByName(via_refs).groupBy("focal", "citer")
              .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")))
     a, b = F.col("_a"), F.col("_b")
-    agg = flags.groupBy("focal").agg(
-        F.sum(a * (1 - b)).cast("bigint").alias("n_only_focal"),
-        F.sum(a * b).cast("bigint").alias("n_both"),
-        F.sum((1 - a) * b).cast("bigint").alias("n_only_refs"))
+    if some:
+        agg = _with_heavy(flags, edges, heavy, heavy_degree)
+    else:
+        agg = flags.groupBy("focal").agg(
+            F.sum(a * (1 - b)).cast("bigint").alias("n_only_focal"),
+            F.sum(a * b).cast("bigint").alias("n_both"),
+            F.sum((1 - a) * b).cast("bigint").alias("n_only_refs"))
     total = F.col("n_only_focal") + F.col("n_both") + F.col("n_only_refs")
     return (agg.withColumn("cd_score", (F.col("n_only_focal") - F.col("n_both")) / total)
             .withColumnRenamed("focal", "work_id"))
 
 
+def _stage(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"cd-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _with_heavy(flags: DataFrame, edges: DataFrame, heavy: DataFrame, heavy_degree: int) -> DataFrame:
+    """Counts per focal from the flags of direct citers and of citers of light
+    references, and from the sets H(w) of heavy references of every work.
+
+    A work c cites a heavy reference of f exactly when H(c) and H(f) meet, so
+    pairs at hand are tested on their sets, and the number of all works whose set
+    meets H(f) depends on H(f) alone: it is counted once for each distinct set,
+    over distinct sets with their numbers of works. Sets that meet do so at their
+    smallest common reference, where a pair of sets is counted; a reference in
+    many sets is split into blocks, and so are the rows of a focal work with many
+    citers.
+    """
+    refs = edges.withColumnRenamed("cited", "ref").join(heavy.select("ref"), "ref", "left_semi")
+    sets = _stage(refs.groupBy("citing").agg(F.array_sort(F.collect_set("ref")).alias("h")), "sets")
+    kinds = _stage(sets.groupBy("h").agg(F.count("*").alias("n")), "kinds")
+    held = kinds.select("h", "n", F.explode("h").alias("ref"))
+    parts = held.groupBy("ref").agg(F.ceil(F.count("*") / F.lit(heavy_degree)).cast("int").alias("parts"))
+    held = held.join(_stage(parts, "parts"), "ref")
+    x = held.select("ref", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), F.col("h").alias("x"))
+    y = held.select("ref", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("y"), "n")
+    reached = (x.join(y, ["ref", "part"]).where(F.array_min(F.array_intersect("x", "y")) == F.col("ref"))
+               .groupBy("x").agg(F.sum("n").alias("reached")))
+    focal = sets.join(reached, F.col("h") == F.col("x")).select(F.col("citing").alias("focal"), "h", "reached")
+
+    salts = heavy.select(F.col("ref").alias("focal"), F.ceil(F.col("degree") / F.lit(heavy_degree)).cast("int").alias("salts"))
+    one = F.coalesce("salts", F.lit(1))
+    rows = flags.join(salts, "focal", "left").withColumn("salt", F.pmod(F.xxhash64("citer"), one).cast("int")).drop("salts")
+    wide = (focal.join(salts, "focal", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("salts")
+            .withColumnRenamed("h", "hf"))
+    rows = (rows.join(sets.select(F.col("citing").alias("citer"), F.col("h").alias("hc")), "citer", "left")
+            .join(wide.select("focal", "salt", "hf"), ["focal", "salt"], "left"))
+    meets = F.coalesce(F.arrays_overlap("hf", "hc"), F.lit(False)) & (F.col("citer") != F.col("focal"))
+    rows = rows.withColumn("_h", meets.cast("int"))
+    a, b, h = F.col("_a"), F.col("_b"), F.col("_h")
+    either = F.greatest(b, h)
+    near = rows.groupBy("focal").agg(
+        F.sum(a * (1 - either)).alias("i"), F.sum(a * either).alias("j"), F.sum(a * h).alias("jh"),
+        F.sum((1 - a) * b * (1 - h)).alias("k"))
+    # all works that cite a heavy reference of the focal one, but itself and those that cite it too
+    far = F.coalesce(F.col("reached") - 1 - F.coalesce("jh", F.lit(0)), F.lit(0))
+    out = near.join(focal.select("focal", "reached"), "focal", "full").select(
+        "focal", F.coalesce("i", F.lit(0)).cast("bigint").alias("n_only_focal"),
+        F.coalesce("j", F.lit(0)).cast("bigint").alias("n_both"),
+        (F.coalesce("k", F.lit(0)) + far).cast("bigint").alias("n_only_refs"))
+    return out.where("n_only_focal + n_both + n_only_refs > 0")
+
+
 def disruption_documents(doc_topics: DataFrame, cd_scores: DataFrame, works: DataFrame) -> DataFrame:
     """Distinct (work, level-3 topic) with a CD score, plus area, domain and citations."""
     wt = docs_with_topics(doc_topics, 3, "openalex").withColumnRenamed("id", "work_id").distinct()
