@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import global_row_number
+from ..sources.json_arrays import read_json_arrays
 
 # Schema of the raw work records this engine reads (a subset of the source
 # format: unread fields are simply not declared, so the reader skips them).
@@ -48,10 +49,12 @@ WORK_SCHEMA = T.StructType([
 def read_works_json(spark, path: str, multi_line: bool = True) -> DataFrame:
     """Yearly JSON files of work records, read with the declared schema (no
     inference pass over the data). By default a file is one array of records,
-    however it is indented; with ``multi_line`` off every line is a record or an
-    array, and large files are split. A corrupt record fails the read."""
-    return (spark.read.schema(WORK_SCHEMA).option("mode", "FAILFAST")
-            .option("multiLine", multi_line).json(path))
+    however it is indented, read by as many tasks as it has splits; with
+    ``multi_line`` off every line is a record or an array, for Spark's own reader.
+    A corrupt record fails the read."""
+    if multi_line:
+        return read_json_arrays(spark, path, WORK_SCHEMA)
+    return spark.read.schema(WORK_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
 def invert_abstract(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -204,21 +204,38 @@ def q_union_yearly_cd_scores(spark, sf):
     return back.select("work_id", r6("cd_score").alias("cd_score"), F.col("year").cast("int").alias("year"))
 
 
-@query("read_works_json", oracle=with_views("""
+READ_WORKS_SQL = with_views("""
 SELECT w.work_id AS id, '10.1/' || w.work_id AS doi, w.display_name, w.publication_year, CAST(w.publication_date AS STRING) AS publication_date,
   w.venue_display_name AS venue, w.cited_by_count, CAST(substr(w.work_id, 2) AS BIGINT) % 101 = 0 AS is_retracted,
   coalesce(c.n, 0) AS n_concepts, coalesce(r.n, 0) AS n_references
 FROM works w LEFT JOIN (SELECT doc_id, count(*) AS n FROM doc_entities WHERE source = 'openalex' GROUP BY doc_id) c ON c.doc_id = w.work_id
 LEFT JOIN (SELECT citing, count(*) AS n FROM citations GROUP BY citing) r ON r.citing = w.work_id""",
-                                            "works", "doc_entities", "citations"))
+                            "works", "doc_entities", "citations")
+
+
+def _read_back(raw):
+    return raw.select("id", "doi", "display_name", "publication_year", "publication_date",
+                      F.col("host_venue.display_name").alias("venue"), "cited_by_count", "is_retracted",
+                      F.coalesce(F.size("concepts"), F.lit(0)).cast("long").alias("n_concepts"),
+                      F.coalesce(F.size("referenced_works"), F.lit(0)).cast("long").alias("n_references"))
+
+
+@query("read_works_json", oracle=READ_WORKS_SQL)
 def q_read_works_json(spark, sf):
     path = scratch_path(spark, "works_json")
     _raw_works(spark, sf).write.mode("overwrite").json(path)
-    back = IG.read_works_json(spark, path, multi_line=False)
-    return back.select("id", "doi", "display_name", "publication_year", "publication_date",
-                       F.col("host_venue.display_name").alias("venue"), "cited_by_count", "is_retracted",
-                       F.coalesce(F.size("concepts"), F.lit(0)).cast("long").alias("n_concepts"),
-                       F.coalesce(F.size("referenced_works"), F.lit(0)).cast("long").alias("n_references"))
+    return _read_back(IG.read_works_json(spark, path, multi_line=False))
+
+
+@query("read_works_arrays", oracle=READ_WORKS_SQL)
+def q_read_works_arrays(spark, sf):
+    """Yearly files, each an indented array."""
+    path = scratch_path(spark, "works_arrays")
+    raw = _raw_works(spark, sf)
+    text = raw.select("publication_year", F.to_json(F.struct(*raw.columns), {"pretty": "true"}).alias("t"))
+    arrays = text.groupBy("publication_year").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("t"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").repartition(8).write.mode("overwrite").text(path)
+    return _read_back(IG.read_works_json(spark, path))
 
 
 @query("citation_request_batches", oracle=with_views("""
