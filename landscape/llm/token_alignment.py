@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from .common import bound_batches, rows_of, stage
 from .token_counts import byte_symbols
 
 NONE = np.zeros(0, np.int64)
+WORDS_KEPT = 500_000  # words per Python worker; forgotten when full
+SPACES = regex.compile(r"\s |\s$")  # a blank after white space: tokens may reach over it
 
 
 @dataclass(frozen=True)
@@ -73,25 +77,40 @@ class Sides:
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode()
                         for i, x in enumerate(pieces)]
-        #: may a text be cut before a blank between a letter and a letter? Not if a piece reaches over it
+        #: may a text be cut before a blank that follows no white space? Not if a piece reaches over it
         self.divisible = not any("▁" in x.lstrip("▁") for i, x in enumerate(pieces)
                                  if not (self.b.is_control(i) or self.b.is_unknown(i)))
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # decimal ids with what follows them: a comma, the bar behind the A ids, the end of a group
         self.digits = [b"%d%s" % (i, s) for i in range(max(len(self.a_bytes), n)) for s in (b",", b"|", b";")]
 
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
     def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
         """(A ids, A ends, B ids, B ends) of texts that begin with a blank; None
-        where the tokens of either side don't spell the text."""
-        one = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        two = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, e, b in zip(texts, one, two):
-            raw, a = text.encode(), e.ids
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+        where the tokens of either side don't spell the text. Where no token can
+        reach over a blank, words are encoded once and remembered."""
+        if len(self.known) > WORDS_KEPT:
+            self.known = {}
+        apart = [self.divisible and not SPACES.search(t) for t in texts]
+        words = [t.split(" ")[1:] if alone else [t[1:]] for t, alone in zip(texts, apart)]
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        for i in range(0, len(new), 8192):
+            part = new[i:i + 8192]
+            one = self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
+            for w, e, b in zip(part, one, self.b.encode(part, num_threads=1)):
+                raw, a = (" " + w).encode(), e.ids
+                spelt = b"".join([self.a_bytes[x] for x in a]) == raw and b"".join([self.b_bytes[x] for x in b]) == raw
+                self.known[w] = (array("i", a).tobytes(), array("i", b).tobytes()) if spelt else None
+        for ws, alone in zip(words, apart):
+            found = [self.known[w] for w in ws]
+            if None in found:
                 yield None
-                continue
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            yield a, np.cumsum(self.a_len[a]), b, np.cumsum(self.b_len[b])
+            else:
+                a, b = (np.frombuffer(b"".join([f[side] for f in found]), np.int32).astype(np.int64) for side in (0, 1))
+                yield a, np.cumsum(self.a_len[a]), b, np.cumsum(self.b_len[b])
+            if not alone:
+                self.known.pop(ws[0], None)  # a whole text
 
 
 @lru_cache(maxsize=2)
