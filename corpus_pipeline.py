@@ -22,6 +22,7 @@ from landscape.llm.toxicity import learn_toxicity, score_toxicity
 
 NAMING = ConvParams(noise=1.0, doubt=0.5)  # documents that are noise with more than this probability go
 TOXIC = 0.5  # documents with this score or more go
+SENT_IDS = 1_000_000  # ids that are sent to all tasks at most; more are joined by a shuffle
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +48,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the
-    smallest id. Documents without shingles or without an id stay."""
-    verdict = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    alone = docs.filter("doc_id IS NULL")
-    chosen = docs.filter("doc_id IS NOT NULL").join(verdict, F.col("doc_id") == F.col("__id"), "left_semi")
+    smallest id. Documents without shingles or without an id stay. Texts are not
+    shuffled while the ids that go are few enough to be sent to all tasks."""
+    dropped = stage(near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
+                    .agg(F.max("kept").alias("__k")).filter("NOT __k").select("__id"), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= SENT_IDS else dropped
+    chosen = docs.join(side, F.col("doc_id") == F.col("__id"), "left_anti")
     # rows that repeat an id and its text count as copies: one of them stays
+    repeated = stage(chosen.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
+                     .agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__id"), "repeated")
+    if repeated.isEmpty():
+        return chosen
+    same = F.col("doc_id") == F.col("__id")
     order = W.partitionBy("doc_id", F.md5("text")).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    single = chosen.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    return single.unionByName(alone)
+    first = (chosen.join(repeated, same, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n"))
+    return chosen.join(repeated, same, "left_anti").unionByName(first)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
