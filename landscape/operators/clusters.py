@@ -11,7 +11,6 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sampling import unit_hash
+from .blocked import BLOCK, dendrogram_cuts, silhouettes
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
@@ -105,19 +105,17 @@ def gmm_overlap(embeddings: DataFrame, k: int, threshold: float = 0.1, seed: int
                        F.col("cluster").cast("string").alias("cluster"), "p")
 
 
-def silhouette_by_level(embeddings: DataFrame, labels: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """Silhouette (squared Euclidean) of the cumulative label path at each level;
-    a level with a single label scores 0."""
-    v = vectors(embeddings).join(labels, "entity")
-    rows = []
-    for i, _ in enumerate(levels):
-        path = F.concat_ws("_", *levels[: i + 1])
-        # any distinct number per cluster will do: a hash avoids a global ordering
-        d = v.withColumn("prediction", F.xxhash64(path).cast("double"))
-        n = d.select(path.alias("p")).distinct().count()
-        score = ClusteringEvaluator().evaluate(d) if n > 1 else 0.0
-        rows.append((i + 1, float(score)))
-    return embeddings.sparkSession.createDataFrame(rows, "level int, silhouette double")
+def silhouette_by_level(embeddings: DataFrame, labels: DataFrame, levels: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """Silhouette (mean over entities, Euclidean distances to all others) of the
+    cumulative label path at each level; a level with a single label scores 0."""
+    paths = {f"_p{i}": F.concat_ws("_", *levels[: i + 1]) for i in range(len(levels))}
+    points = embeddings.select("entity", F.col("embedding").cast("array<double>").alias("v")).join(labels, "entity")
+    return silhouettes(points.select("entity", "v", *[c.alias(n) for n, c in paths.items()]), list(paths), block)
+
+
+def dendrogram_hierarchy(embeddings: DataFrame, ks: Sequence[int], block: int = BLOCK) -> DataFrame:
+    """Bottom-up (single linkage) hierarchy cut at several k, one column per cut."""
+    return dendrogram_cuts(embeddings.select("entity", F.col("embedding").cast("array<double>").alias("v")), ks, block)
 
 
 def cluster_sizes(labels: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -50,10 +50,29 @@ def q_gmm_overlap(spark, sf):
     return C.gmm_overlap(C.pca_reduce(_emb(spark, sf)), 5)
 
 
-@query("silhouette_by_level")
+def _silhouette_sql(levels):
+    """Every pair of entities, level by level."""
+    paths = ", ".join(f"concat_ws('_', {', '.join(levels[:i + 1])}) AS p{i + 1}" for i in range(len(levels)))
+    one = " UNION ALL ".join(f"""
+SELECT {i + 1} AS level, coalesce(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 0) AS s
+FROM (SELECT e, sum(CASE WHEN own THEN d END) / nullif(max(CASE WHEN own THEN n END) - 1, 0) AS a, min(CASE WHEN NOT own THEN d / n END) AS b
+  FROM (SELECT x.entity AS e, y.p{i + 1} AS c, x.p{i + 1} = y.p{i + 1} AS own, sum(d) AS d, count(*) AS n
+    FROM pairs JOIN pts x ON x.entity = pairs.x JOIN pts y ON y.entity = pairs.y GROUP BY 1, 2, 3) q GROUP BY e) q2""" for i in range(len(levels)))
+    return f"""SELECT level, round(s * 1e6) / 1e6 AS silhouette FROM (
+WITH pts AS MATERIALIZED (SELECT entity, CAST(embedding AS DOUBLE[]) AS v, {paths} FROM entity_embeddings JOIN taxonomy USING (entity)),
+pairs AS MATERIALIZED (SELECT x.entity AS x, y.entity AS y, list_distance(x.v, y.v) AS d FROM pts x, pts y)
+{one}) t"""
+
+
+@query("silhouette_by_level", oracle=with_views(_silhouette_sql(L5), "entity_embeddings", "taxonomy"))
 def q_silhouette_by_level(spark, sf):
     t = tables(spark, sf)
-    return C.silhouette_by_level(_emb(spark, sf), t.taxonomy, L5)
+    return C.silhouette_by_level(_emb(spark, sf), t.taxonomy, L5).select("level", r6("silhouette").alias("silhouette"))
+
+
+@query("dendrogram_hierarchy")
+def q_dendrogram_hierarchy(spark, sf):
+    return C.dendrogram_hierarchy(_emb(spark, sf), [2, 4, 8, 16])
 
 
 @query("cluster_sizes", oracle=with_views(" UNION ALL ".join(

@@ -71,11 +71,55 @@ def test_silhouette(spark):
     df = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [10.0]), ("d", [11.0])], "entity string, embedding array<double>")
     labels = spark.createDataFrame([("a", "x", "1"), ("b", "x", "1"), ("c", "x", "2"), ("d", "x", "2")], "entity string, l1 string, l2 string")
     got = {r.level: r.silhouette for r in C.silhouette_by_level(df, labels, ["l1", "l2"]).collect()}
-    # squared distances: inside 1; to the other pair (100 + 121) / 2 and (81 + 100) / 2
-    outer, inner = 1 - 1 / 110.5, 1 - 1 / 90.5
+    # distances: inside 1; to the other pair 10.5 and 9.5 on average
+    outer, inner = 1 - 1 / 10.5, 1 - 1 / 9.5
     assert got[1] == 0.0 and abs(got[2] - (outer + inner) / 2) < 1e-9
 
 
+def test_silhouettes_equal_brute_force(spark):
+    """Clusters that reach over blocks, of one member, equal vectors; blocks of several sizes."""
+    rng = np.random.default_rng(7)
+    rows = [(f"e{i:03d}", rng.normal(size=3).round(1).tolist(), str(i % 3), f"{i % 2}", f"{rng.integers(0, 9)}") for i in range(90)]
+    rows += [("one", [5.0, 5.0, 5.0], "9", "0", "0"), ("two", rows[0][1], rows[0][2], "x", "y")]
+    emb = spark.createDataFrame([r[:2] for r in rows], "entity string, embedding array<double>")
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "entity string, a string, b string, c string")
+    v = np.array([r[1] for r in rows])
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for block in (7, 1024):
+        got = {r.level: r.silhouette for r in C.silhouette_by_level(emb, labels, ["a", "b", "c"], block).collect()}
+        for level in (1, 2, 3):
+            path = np.array(["_".join(r[2:2 + level]) for r in rows])
+            score = []
+            for i, p in enumerate(path):
+                own = (path == p) & (np.arange(len(rows)) != i)
+                b = min(d[i, path == q].mean() for q in set(path) - {p})
+                a = d[i, own].mean() if own.any() else None
+                score.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+            assert abs(got[level] - np.mean(score)) < 1e-9
+
+
+def test_dendrogram_equals_brute_force_single_linkage(spark):
+    """Closest clusters merged one after the other, ties as the tree orders them; cuts nested; more clusters than points."""
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=(40, 2)), rng.normal(size=(30, 2)) + 6, rng.integers(0, 3, (12, 2)) * 1.0])
+    df = spark.createDataFrame([(f"e{i:02d}", x.tolist()) for i, x in enumerate(v)], "entity string, embedding array<double>")
+    ks = [1, 2, 3, 7, 20]
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    edges = sorted((d[i, j], i, j) for i in range(len(v)) for j in range(i + 1, len(v)))
+    for block in (9, 1024):
+        got = {r.entity: list(r)[1:] for r in C.dendrogram_hierarchy(df, ks, block).collect()}
+        for n, k in enumerate(ks):
+            label, left = list(range(len(v))), len(v)
+            for _, i, j in edges:
+                if left > k and label[i] != label[j]:
+                    a, b = sorted((label[i], label[j]))
+                    label, left = [a if x == b else x for x in label], left - 1
+            assert {e: c[n] for e, c in got.items()} == {f"e{i:02d}": f"e{c:02d}" for i, c in enumerate(label)}
+    few = C.dendrogram_hierarchy(df.limit(2), [1, 5]).collect()
+    assert len({r.Level_1 for r in few}) == 1 and len({r.Level_2 for r in few}) == 2
+    assert C.dendrogram_hierarchy(df.limit(0), [3]).count() == 0
+
+
 def test_model_selection_grid(emb):
     rows = C.gmm_model_selection(emb, [2, 3], [1, 2]).collect()
     assert {(r.dimensions, r.k) for r in rows} == {(1, 2), (1, 3), (2, 2), (2, 3)}
