@@ -144,29 +144,48 @@ def _last_segment_max(taxonomy: DataFrame, parent_col: str, child_col: str) -> D
 
 def tax_merge_topics(taxonomy: DataFrame, merges: DataFrame) -> DataFrame:
     """Move a domain under another domain (new area = max area + 1, topics
-    ``<area>_0``) or an area under another area (new topic = max topic + 1).
-    Merges into the same parent take consecutive ids in list order (``seq``)."""
-    is_dom = F.size(F.split("target", "_")) == 1
-    dom = merges.where(is_dom)
-    area = merges.where(~is_dom)
-    w = Window.partitionBy("target").orderBy("seq")
-    dmax = _last_segment_max(taxonomy, "Level_1", "Level_2").withColumnRenamed("parent", "target")
-    amax = _last_segment_max(taxonomy, "Level_2", "Level_3").withColumnRenamed("parent", "target")
-    dom = (F.broadcast(dom).join(dmax, "target", "left")
-           .withColumn("_new", F.concat("target", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string")))
-           .select(F.col("topic").alias("_dt"), F.col("target").alias("_dl1"), F.col("_new").alias("_dl2")))
-    area = (F.broadcast(area).join(amax, "target", "left")
-            .withColumn("_new", F.concat("target", F.lit("_"), (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("string")))
-            .select(F.col("topic").alias("_at"), F.col("target").alias("_al2"), F.col("_new").alias("_al3")))
-    j = (taxonomy.join(F.broadcast(dom), F.col("Level_1") == F.col("_dt"), "left")
-         .join(F.broadcast(area), F.col("Level_2") == F.col("_at"), "left"))
-    d, a = F.col("_dt").isNotNull(), F.col("_at").isNotNull()
-    d0 = F.concat(F.col("_dl2"), F.lit("_0"))
-    return j.select(
-        "entity",
-        F.when(d, F.col("_dl1")).when(a, F.substring_index("_al2", "_", 1)).otherwise(F.col("Level_1")).alias("Level_1"),
-        F.when(d, F.col("_dl2")).when(a, F.col("_al2")).otherwise(F.col("Level_2")).alias("Level_2"),
-        *[F.when(d, d0).when(a, F.col("_al3")).otherwise(F.col(f"Level_{i}")).alias(f"Level_{i}") for i in (3, 4, 5)])
+    ``<area>_0``) or an area under another area (new topic = max topic + 1), one
+    after the other in list order (``seq``): a merge finds what the merges before
+    it made, moved or left.
+
+    The list is a parameter and replayed on the driver, against the children of
+    its targets only. Rows that the same merges catch move together, so the
+    replay keeps where the rows of a domain, or of an area, have gone, and each
+    row takes its place by one look-up: its area's, or else its domain's.
+    """
+    edits = [(r.topic, r.target) for r in merges.orderBy("seq").select("topic", "target").collect()]
+    targets = [t for _, t in edits]
+    kids = {}  # children of the targets, as the taxonomy has them
+    for up, down in (("Level_1", "Level_2"), ("Level_2", "Level_3")):
+        rows = taxonomy.where(F.col(up).isin(targets)).select(F.col(up).alias("p"), F.col(down).alias("c")).distinct().collect()
+        for r in rows:
+            kids.setdefault(r.p, set()).add(r.c)
+    moved: dict[str, tuple[str, str, str]] = {}  # original domain or area -> where its rows are: domain, area, topic
+
+    def children(parent: str) -> set[str]:
+        """Those that rows sit in now: of the original ones, without those gone."""
+        level = parent.count("_")
+        now = {place[level + 1] for place in moved.values() if place[level] == parent}
+        if parent in moved or parent.split("_")[0] in moved:  # its own rows are gone
+            return now
+        return now | {c for c in kids.get(parent, ()) if c not in moved}
+
+    for topic, target in edits:
+        at = max((int(c.split("_")[-1]) for c in children(target) if c), default=-1) + 1
+        new = f"{target}_{at}"
+        place = (target, new, f"{new}_0") if "_" not in target else (target.split("_")[0], target, new)
+        level = topic.count("_")
+        caught = {source for source, now in moved.items() if now[level] == topic}
+        if topic not in moved and (level == 0 or topic.split("_")[0] not in moved):
+            caught.add(topic)  # rows where they were from the start
+        moved |= {source: place for source in caught}
+
+    j = taxonomy
+    for level, name in ((1, "_d"), (2, "_a")):
+        rows = [(k, *v) for k, v in moved.items() if k.count("_") == level - 1]
+        table = taxonomy.sparkSession.createDataFrame(rows, f"_k{level} string, {name}1 string, {name}2 string, {name}3 string")
+        j = j.join(F.broadcast(table), F.col(f"Level_{level}") == F.col(f"_k{level}"), "left")  # as long as the list
+    return j.select("entity", *[F.coalesce(f"_a{min(i, 3)}", f"_d{min(i, 3)}", f"Level_{i}").alias(f"Level_{i}") for i in range(1, 6)])
 
 
 def _split_ids(taxonomy: DataFrame, splits: DataFrame) -> DataFrame:

@@ -15,15 +15,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .validation import LEVELS, distances_to_mean
+from .validation import LEVELS, distances_to_mean, same_label_pairs
 
 RUN_PATTERN = r"(?:ratio_|sample_)(\d{2,3})_"
 
 
 def read_simulation_runs(spark, path: str) -> DataFrame:
-    """(run, ratio, entity, Level_1..Level_5) for every stored run."""
+    """(run, ratio, entity, Level_1..Level_5) for every stored run: folders ``run=<name>``,
+    or files (or folders of files) whose own name is the run's, with or without
+    ``.parquet`` (``path`` may be a pattern)."""
     df = spark.read.parquet(path).withColumn("_file", F.input_file_name())
-    run = F.regexp_extract("_file", r"run=([^/]+)", 1)
+    tagged = F.regexp_extract("_file", r"([^/=]*(?:ratio_|sample_)\d{2,3}_[^/]*?)(?:\.parquet)?(?:/[^/]*)?$", 1)
+    run = F.coalesce(F.nullif(F.regexp_extract("_file", r"run=([^/]+)", 1), F.lit("")), tagged)
     return df.select(run.alias("run"), F.regexp_extract(run, RUN_PATTERN, 1).alias("ratio"), "entity",
                      *[f"Level_{i}" for i in LEVELS])
 
@@ -70,13 +73,9 @@ def run_topic_names(runs: DataFrame, mentions: DataFrame, levels: Sequence[int]
 
 
 def pairwise_long(runs: DataFrame, groups: DataFrame, keys: Sequence[str] = ("area", "discipline")) -> DataFrame:
-    """Per run, group and level: share of the group's entity pairs in the same topic."""
-    keys = list(keys)
+    """Per run, group (``keys`` may go down to subtopics) and level: share of the
+    group's entity pairs in the same topic, from label counts."""
     g = groups.select(*keys, "entity").distinct()
-    lv = _unpivot(runs, LEVELS).join(g, "entity")
-    a = lv.select("run", "ratio", *keys, "level", F.col("entity").alias("e1"), F.col("topic").alias("t1"))
-    b = lv.select("run", *keys, "level", F.col("entity").alias("e2"), F.col("topic").alias("t2"))
-    # groups of known related entities are small curated lists (tens of entities)
-    p = a.join(b, ["run", *keys, "level"]).where(F.col("e1") < F.col("e2"))
-    return (p.groupBy("run", "ratio", *keys, "level")
-            .agg(F.avg((F.col("t1") == F.col("t2")).cast("int")).alias("prop")))
+    long = _unpivot(runs, LEVELS).join(g, "entity")
+    shares = same_label_pairs(long, ["run", "ratio", *keys, "level"], "topic").where("pairs > 0")
+    return shares.select("run", "ratio", *keys, "level", (F.col("same") / F.col("pairs")).alias("prop"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs import pairs_within
@@ -18,8 +18,8 @@ from ..functions.pairs import pairs_within
 LEVELS = (1, 2, 3, 4, 5)
 
 
-def unpivot_levels(taxonomy: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
-    return taxonomy.select("entity", F.inline(F.array(*[
+def unpivot_levels(taxonomy: DataFrame, levels: Sequence[int] = LEVELS, carry: Sequence[str] = ()) -> DataFrame:
+    return taxonomy.select(*carry, "entity", F.inline(F.array(*[
         F.struct(F.lit(i).alias("level"), F.col(f"Level_{i}").alias("topic")) for i in levels])))
 
 
@@ -59,31 +59,53 @@ def tax_split_fraction(taxonomy: DataFrame) -> DataFrame:
                                   .alias("split_fraction")))
 
 
-def _group_pairs(taxonomy: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    g = groups.select(*keys, "entity").distinct().join(taxonomy, "entity")  # entities outside the taxonomy drop
-    p = pairs_within(g, keys, "entity", "entity_1", "entity_2")
-    t1 = taxonomy.select(F.col("entity").alias("entity_1"),
-                         F.array(*[F.col(f"Level_{i}") for i in LEVELS]).alias("_l1"))
-    t2 = taxonomy.select(F.col("entity").alias("entity_2"),
-                         F.array(*[F.col(f"Level_{i}") for i in LEVELS]).alias("_l2"))
-    return p.join(t1, "entity_1").join(t2, "entity_2")
+def _grouped(taxonomy: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return groups.select(*keys, "entity").distinct().join(taxonomy, "entity")  # entities outside the taxonomy drop
+
+
+def pairs_of(n: str) -> Column:
+    """Unordered pairs of n things."""
+    return F.shiftright(F.col(n) * (F.col(n) - 1), 1)
+
+
+def same_label_pairs(long: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """(keys, same, pairs) of rows (keys, item, label), an item once per key: how many
+    pairs of items share the label, and how many there are. No pair is built: n
+    items of one label are n (n - 1) / 2 pairs. Null labels are left out."""
+    held = long.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("_n"))
+    return (held.groupBy(*keys).agg(F.sum(pairs_of("_n")).alias("same"), F.sum("_n").alias("_n"))
+            .select(*keys, "same", pairs_of("_n").alias("pairs")))
 
 
 def pairwise_depth(taxonomy: DataFrame, groups: DataFrame, keys: Sequence[str] = ("area", "discipline")) -> DataFrame:
-    """Per group of known related entities: mean over their pairs of the number
-    of distinct labels the two share across levels."""
-    p = _group_pairs(taxonomy, groups, list(keys))
-    return (p.withColumn("_d", F.size(F.array_intersect("_l1", "_l2")))
-            .groupBy(*keys).agg(F.avg("_d").alias("depth"), F.count("*").alias("n_pairs")))
+    """Per group of known related entities (``keys`` may go down to subtopics): mean
+    over their pairs of the number of distinct labels the two share across levels.
+    The sum over pairs is the sum over labels of the pairs that hold it."""
+    g = _grouped(taxonomy, groups, keys)
+    labels = g.select(*keys, "entity", F.explode(F.array_distinct(F.array(*[F.col(f"Level_{i}") for i in LEVELS]))).alias("label"))
+    shared = (labels.groupBy(*keys, "label").agg(F.count("*").alias("_n"))
+              .groupBy(*keys).agg(F.sum(pairs_of("_n")).alias("_sum")))
+    sizes = g.groupBy(*keys).agg(F.count("*").alias("_m")).where("_m > 1")
+    return sizes.join(shared, list(keys)).select(*keys, (F.col("_sum") / pairs_of("_m")).alias("depth"), pairs_of("_m").alias("n_pairs"))
 
 
 def pairwise_survival(taxonomy: DataFrame, groups: DataFrame, keys: Sequence[str] = ("area", "discipline")) -> DataFrame:
     """Per group and level: share of the group's pairs that sit in the same topic."""
-    p = _group_pairs(taxonomy, groups, list(keys))
-    same = p.select(*keys, F.posexplode(F.arrays_zip("_l1", "_l2")).alias("_i", "_z")).select(
-        *keys, (F.col("_i") + 1).alias("level"), (F.col("_z._l1") == F.col("_z._l2")).cast("int").alias("_s"))
-    return same.groupBy(*keys, "level").agg(F.avg("_s").alias("share_same_topic"),
-                                            F.sum("_s").alias("pairs_same_topic"))
+    long = unpivot_levels(_grouped(taxonomy, groups, keys), carry=keys)
+    return (same_label_pairs(long, [*keys, "level"], "topic").where("pairs > 0")
+            .select(*keys, "level", (F.col("same") / F.col("pairs")).alias("share_same_topic"), F.col("same").alias("pairs_same_topic")))
+
+
+def surviving_pairs(taxonomy: DataFrame, groups: DataFrame, keys: Sequence[str] = ("area", "discipline")) -> DataFrame:
+    """(keys, level, topic, entity_1, entity_2): the pairs that sit in the same topic;
+    no others are built."""
+    long = unpivot_levels(_grouped(taxonomy, groups, keys), carry=keys).where(F.col("topic").isNotNull())
+    return pairs_within(long, [*keys, "level", "topic"], "entity", "entity_1", "entity_2")
+
+
+def dropped_entities(taxonomy: DataFrame, groups: DataFrame, keys: Sequence[str] = ("area", "discipline")) -> DataFrame:
+    """Group members that the taxonomy does not hold; the pair statistics leave them out."""
+    return groups.select(*keys, "entity").distinct().join(taxonomy.select("entity"), "entity", "left_anti").select(*keys, "entity")
 
 
 def topic_sizes(taxonomy: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -130,8 +152,11 @@ def entity_level_vector(taxonomy: DataFrame, width: int = 5) -> DataFrame:
         F.coalesce(F.get(parts, i).cast("int"), F.lit(0)).alias(f"l{i + 1}") for i in range(width)])
 
 
-def metrics_long(taxonomies: dict[str, DataFrame]) -> DataFrame:
-    """(algorithm, level, metric, value) for several taxonomies side by side."""
+def metrics_long(taxonomies: dict[str, DataFrame], groups: DataFrame | None = None,
+                 keys: Sequence[str] = ("area", "discipline")) -> DataFrame:
+    """(algorithm, level, metric, value) for several taxonomies side by side. With
+    ``groups`` of related entities, also their pairs' depth (mean over all groups'
+    pairs, a metric of the whole taxonomy: level 0)."""
     out = None
     for name, tax in taxonomies.items():
         parts = [tax_topic_counts(tax).select("level", F.lit("counts").alias("metric"),
@@ -140,6 +165,9 @@ def metrics_long(taxonomies: dict[str, DataFrame]) -> DataFrame:
                                                 F.col("split_fraction").alias("value")),
                  tax_kl_uniform(tax).select("level", F.lit("kl").alias("metric"), F.col("kl").alias("value")),
                  tax_chisq(tax).select("level", F.lit("chisq").alias("metric"), F.col("chisq").alias("value"))]
+        if groups is not None:
+            depth = pairwise_depth(tax, groups, keys).agg(F.sum(F.col("depth") * F.col("n_pairs")) / F.sum("n_pairs")).toDF("value")
+            parts.append(depth.select(F.lit(0).alias("level"), F.lit("depth").alias("metric"), "value"))
         for p in parts:
             p = p.withColumn("algorithm", F.lit(name))
             out = p if out is None else out.unionByName(p)

@@ -180,6 +180,31 @@ def q_tax_merge_topics(spark, sf):
     return ED.tax_merge_topics(tables(spark, sf).taxonomy, m)
 
 
+#: a domain goes under another, its new area under an area, then the domain that holds them moves; targets gone come back
+CHAIN = [("2", "1", 0), ("0_0", "0_1", 1), ("0_1", "1_0", 2), ("0_2", "0_1", 3), ("1", "3", 4), ("4", "1", 5), ("3_0", "3_1", 6)]
+
+
+def _replay_sql(edits):
+    """One step after the other over the whole taxonomy."""
+    steps, last = [], "taxonomy"
+    for i, (topic, target, _) in enumerate(edits):
+        own, kid = ("Level_1", "Level_2") if "_" not in target else ("Level_2", "Level_3")
+        new = f"(SELECT '{target}_' || CAST(coalesce(max(CAST(split_part({kid}, '_', -1) AS INT)), -1) + 1 AS STRING) FROM {last} WHERE {own} = '{target}')"
+        hit = f"{'Level_1' if '_' not in topic else 'Level_2'} = '{topic}'"
+        cols = ([f"'{target}'", new] + [f"{new} || '_0'"] * 3) if own == "Level_1" else (
+            [f"'{target.split('_')[0]}'", f"'{target}'"] + [new] * 3)
+        steps.append(f"s{i} AS MATERIALIZED (SELECT entity, " + ", ".join(
+            f"CASE WHEN {hit} THEN {c} ELSE Level_{k} END AS Level_{k}" for k, c in enumerate(cols, start=1)) + f" FROM {last})")
+        last = f"s{i}"
+    return f"SELECT * FROM (WITH {', '.join(steps)} SELECT * FROM {last}) t"
+
+
+@query("tax_merge_topics_chained", oracle=with_views(_replay_sql(CHAIN), "taxonomy"))
+def q_tax_merge_topics_chained(spark, sf):
+    m = _lit(spark, CHAIN, "topic string, target string, seq int")
+    return ED.tax_merge_topics(tables(spark, sf).taxonomy, m)
+
+
 @query("tax_split_topics", oracle=with_views("""
 SELECT t.entity, t.Level_1, coalesce(s.a, t.Level_2) AS Level_2, coalesce(s.a || '_0', t.Level_3) AS Level_3,
   coalesce(s.a || '_0', t.Level_4) AS Level_4, coalesce(s.a || '_0', t.Level_5) AS Level_5

@@ -85,3 +85,13 @@ GROUP BY a.run, a.ratio, a.area, a.discipline, a.level""", "entity_groups", extr
     "g": "SELECT u.*, e.area, e.discipline FROM unp u JOIN entity_groups e ON e.entity = u.entity"}))
 def q_pairwise_long(spark, sf):
     return finish(S.pairwise_long(_runs(spark, sf), tables(spark, sf).entity_groups), floats=("prop",))
+
+
+@query("pairwise_long_subtopics", oracle=_o("""
+SELECT a.run, a.ratio, a.area, a.discipline, a.subtopic, a.level, round(avg(CASE WHEN a.topic = b.topic THEN 1.0E0 ELSE 0.0E0 END), 6) AS prop
+FROM g a JOIN g b ON a.run = b.run AND a.area = b.area AND a.discipline = b.discipline AND a.subtopic = b.subtopic AND a.level = b.level AND a.entity < b.entity
+GROUP BY ALL""", "entity_groups", extra={
+    "g": "SELECT u.*, e.area, e.discipline, CAST(substr(e.entity, 2) AS BIGINT) % 3 AS subtopic FROM unp u JOIN entity_groups e ON e.entity = u.entity"}))
+def q_pairwise_long_subtopics(spark, sf):
+    groups = tables(spark, sf).entity_groups.selectExpr("area", "discipline", "entity", "CAST(substr(entity, 2) AS BIGINT) % 3 AS subtopic")
+    return finish(S.pairwise_long(_runs(spark, sf), groups, ("area", "discipline", "subtopic")), floats=("prop",))

@@ -79,6 +79,56 @@ def q_pairwise_survival(spark, sf):
     return finish(V.pairwise_survival(t.taxonomy, t.entity_groups), floats=("share_same_topic",))
 
 
+SUB = "area, discipline, topic"
+#: the groups with a third key: subtopics of a discipline
+SUBGROUPS = "SELECT area, discipline, 't' || CAST(CAST(substr(entity, 2) AS BIGINT) % 3 AS STRING) AS topic, entity FROM entity_groups"
+SGP = {"sg": SUBGROUPS, "sgp": f"""
+SELECT a.area, a.discipline, a.topic, a.entity AS e1, b.entity AS e2 FROM sg a JOIN sg b USING (area, discipline, topic) WHERE a.entity < b.entity"""}
+
+
+def _subgroups(spark, sf):
+    number = F.expr("CAST(substr(entity, 2) AS BIGINT) % 3")
+    return tables(spark, sf).entity_groups.withColumn("topic", F.concat(F.lit("t"), number.cast("string")))
+
+
+@query("pairwise_depth_subtopics", oracle=_o(f"""
+SELECT {SUB}, round(avg(d), 6) AS depth, count(*) AS n_pairs FROM (
+  SELECT g.*, (SELECT count(*) FROM (SELECT topic FROM unp WHERE entity = g.e1 INTERSECT SELECT topic FROM unp WHERE entity = g.e2) i) AS d
+  FROM sgp g) x GROUP BY {SUB}""", "entity_groups", extra=SGP))
+def q_pairwise_depth_subtopics(spark, sf):
+    return finish(V.pairwise_depth(_tax(spark, sf), _subgroups(spark, sf), ("area", "discipline", "topic")), floats=("depth",))
+
+
+@query("pairwise_survival_subtopics", oracle=_o(f"""
+SELECT g.area, g.discipline, g.topic AS subtopic, u1.level, round(avg(CASE WHEN u1.topic = u2.topic THEN 1 ELSE 0 END), 6) AS share_same_topic,
+  CAST(sum(CASE WHEN u1.topic = u2.topic THEN 1 ELSE 0 END) AS BIGINT) AS pairs_same_topic
+FROM sgp g JOIN unp u1 ON u1.entity = g.e1 JOIN unp u2 ON u2.entity = g.e2 AND u2.level = u1.level GROUP BY 1, 2, 3, 4""", "entity_groups", extra=SGP))
+def q_pairwise_survival_subtopics(spark, sf):
+    groups = _subgroups(spark, sf).withColumnRenamed("topic", "subtopic")
+    return finish(V.pairwise_survival(_tax(spark, sf), groups, ("area", "discipline", "subtopic")), floats=("share_same_topic",))
+
+
+@query("surviving_pairs", oracle=_o("""
+SELECT area, discipline, level, t1 AS topic, e1 AS entity_1, e2 AS entity_2 FROM gpl WHERE t1 = t2""", "entity_groups", extra=GP))
+def q_surviving_pairs(spark, sf):
+    t = tables(spark, sf)
+    return V.surviving_pairs(t.taxonomy, t.entity_groups)
+
+
+ALL_GROUPS = """SELECT CASE WHEN label % 2 = 0 THEN 'natural' ELSE 'social' END AS area, 'd' || CAST(label AS STRING) AS discipline, entity
+FROM entity_embeddings WHERE CAST(substr(entity, 2) AS BIGINT) % 3 = 0"""
+
+
+@query("dropped_group_entities", oracle=_o(
+    f"SELECT * FROM ({ALL_GROUPS}) g WHERE entity NOT IN (SELECT entity FROM taxonomy)", "entity_embeddings"))
+def q_dropped_group_entities(spark, sf):
+    t = tables(spark, sf)
+    groups = t.entity_embeddings.where("CAST(substr(entity, 2) AS BIGINT) % 3 = 0").select(
+        F.when(F.col("label") % 2 == 0, "natural").otherwise("social").alias("area"),
+        F.concat(F.lit("d"), F.col("label").cast("string")).alias("discipline"), "entity")
+    return V.dropped_entities(t.taxonomy, groups)
+
+
 @query("topic_sizes", oracle=_o("""
 SELECT c.level, c.topic, c.n AS size, round(c.n / (SELECT count(*) FROM taxonomy), 5) AS share,
   split_part(c.topic, '_', 1) AS parent, n.name
@@ -142,6 +192,37 @@ def q_metrics_long(spark, sf):
     return finish(V.metrics_long({"fixture": _tax(spark, sf)}), floats=("value",))
 
 
+def _metrics_sql(name, tax):
+    """All metrics of one taxonomy, pairs one by one."""
+    unp = " UNION ALL ".join(f"SELECT entity, {i} AS level, Level_{i} AS topic FROM {tax}" for i in range(1, 6))
+    return f"""SELECT * FROM (
+WITH u AS ({unp}), c AS (SELECT level, topic, count(*) AS n FROM u GROUP BY level, topic)
+SELECT '{name}' AS algorithm, level, 'counts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM c GROUP BY level
+UNION ALL
+SELECT '{name}', a.level, 'split_fraction', round(avg(CASE WHEN b.topic IS NULL THEN 1.0E0 ELSE 0.0E0 END), 6)
+FROM (SELECT * FROM c WHERE level < 5) a LEFT JOIN (SELECT level - 1 AS level, topic FROM c) b ON a.level = b.level AND a.topic = b.topic GROUP BY a.level
+UNION ALL
+SELECT '{name}', level, 'kl', round(sum(p * ln(p / q)), 6) FROM (
+  SELECT level, 1.0E0 / count(*) OVER (PARTITION BY level) AS p, n / sum(n) OVER (PARTITION BY level) AS q FROM c) x GROUP BY level
+UNION ALL
+SELECT '{name}', level, 'chisq', round(sum((n - e) * (n - e) / e), 6) FROM (
+  SELECT level, n, sum(n) OVER (PARTITION BY level) / count(*) OVER (PARTITION BY level) AS e FROM c) x GROUP BY level
+UNION ALL
+SELECT '{name}', 0, 'depth', round(avg(d), 6) FROM (
+  SELECT g.area, g.discipline, g.e1, g.e2, count(DISTINCT a.topic) FILTER (WHERE a.topic IN (SELECT topic FROM u WHERE entity = g.e2)) AS d
+  FROM gp g JOIN u a ON a.entity = g.e1 WHERE g.e2 IN (SELECT entity FROM {tax}) GROUP BY ALL) y) z"""
+
+
+@query("metrics_long_taxonomies", oracle=_o(
+    _metrics_sql("whole", "taxonomy") + " UNION ALL " + _metrics_sql("pruned", "(SELECT * FROM taxonomy WHERE Level_1 <> '2')"),
+    "entity_groups", extra=GP))
+def q_metrics_long_taxonomies(spark, sf):
+    """Two taxonomies side by side, with the depth of known pairs."""
+    whole = _tax(spark, sf)
+    both = {"whole": whole, "pruned": whole.where("Level_1 <> '2'")}
+    return finish(V.metrics_long(both, tables(spark, sf).entity_groups), floats=("value",))
+
+
 @query("level_drilldown_counts", oracle=_o(
     "SELECT Level_2 AS topic, count(*) AS n_entities FROM taxonomy WHERE Level_1 = '2' GROUP BY Level_2"))
 def q_level_drilldown_counts(spark, sf):
