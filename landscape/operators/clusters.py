@@ -1,8 +1,8 @@
-"""Embedding clusters with MLlib (survey 2.I).
+"""Embedding clusters (survey 2.I).
 
 Entity embeddings arrive as ``array<float>``; ``array_to_vector`` turns them
-into ML vectors. All estimators are MLlib's distributed implementations with
-fixed seeds.
+into ML vectors. Mixtures, bisecting k-means and PCA are MLlib's distributed
+implementations with fixed seeds; k-means is ``lloyd``, all pairs are ``blocked``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,43 +19,45 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import unit_hash
 from .blocked import BLOCK, dendrogram_cuts, silhouettes
+from .lloyd import Config, kmeans_many
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("entity", array_to_vector("embedding").alias("features"))
 
 
-def kmeans_flat(embeddings: DataFrame, k: int, seed: int = 1, max_iter: int = 20) -> DataFrame:
-    v = vectors(embeddings)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(v)
-    return model.transform(v).select("entity", F.col("prediction").cast("string").alias("cluster"))
+def _points(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select("entity", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def fuzzy_multi_resolution(embeddings: DataFrame, ks: Sequence[int], seed: int = 1) -> DataFrame:
-    """Independent clusterings at several k, one level each (long form)."""
-    out = None
-    for lvl, k in enumerate(ks, start=1):
-        part = kmeans_flat(embeddings, k, seed).withColumn("level", F.lit(lvl))
-        out = part if out is None else out.unionByName(part)
-    return out
+def kmeans_flat(embeddings: DataFrame, k: int, seed: int = 1, report: list | None = None) -> DataFrame:
+    """(entity, cluster), to convergence (see ``lloyd``)."""
+    return kmeans_many(_points(embeddings), {"": Config(k, seed)}, report=report).drop("config")
+
+
+def kmeans_grid(embeddings: DataFrame, configs: dict[str, tuple[int, int]], report: list | None = None) -> DataFrame:
+    """(config, entity, cluster) for named (k, seed) configurations, in one loop."""
+    return kmeans_many(_points(embeddings), {name: Config(*c) for name, c in configs.items()}, report=report)
+
+
+def fuzzy_multi_resolution(embeddings: DataFrame, ks: Sequence[int], seed: int = 1, report: list | None = None) -> DataFrame:
+    """Independent clusterings at several k, one level each (long form), in one loop."""
+    out = kmeans_many(_points(embeddings), {str(i): Config(k, seed) for i, k in enumerate(ks, start=1)}, report=report)
+    return out.select("entity", "cluster", F.col("config").cast("int").alias("level"))
 
 
 def kmeans_centroid_hierarchy(embeddings: DataFrame, ks: Sequence[int], seed: int = 1) -> DataFrame:
     """Cluster entities at ks[0]; then cluster the cluster centroids at ks[1],
     and so on. Entities inherit the labels of their centroids. Levels are
     returned coarse -> fine (level 1 = last, coarsest clustering)."""
-    v = vectors(embeddings)
-    labels = KMeans(k=ks[0], seed=seed).fit(v).transform(v).select("entity", F.col("prediction").alias("c0"))
-    cur = labels.select("entity", F.col("c0").alias("node"))
-    emb = embeddings.select("entity", F.posexplode("embedding").alias("dim", "x"))
-    out = labels.select("entity", F.col("c0").cast("string").alias(f"l{len(ks)}"))
+    cur = kmeans_flat(embeddings, ks[0], seed).withColumnRenamed("cluster", "node").checkpoint()
+    out = cur.withColumnRenamed("node", f"l{len(ks)}")
     for i, k in enumerate(ks[1:], start=1):
-        cent = (cur.join(emb, "entity").groupBy("node", "dim").agg(F.avg("x").alias("x"))
-                .groupBy("node").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_v"))
-                .select("node", array_to_vector(F.transform("_v", lambda s: s["x"])).alias("features")))
-        up = KMeans(k=k, seed=seed).fit(cent).transform(cent).select("node", F.col("prediction").alias("parent"))
-        cur = cur.join(up, "node").select("entity", F.col("parent").alias("node"))
-        out = out.join(cur.select("entity", F.col("node").cast("string").alias(f"l{len(ks) - i}")), "entity")
+        cent = (cur.join(vectors(embeddings), "entity").groupBy("node").agg(Summarizer.mean(F.col("features")).alias("m"))
+                .select(F.col("node").alias("entity"), vector_to_array("m").alias("embedding")))
+        up = kmeans_flat(cent, k, seed).select(F.col("entity").alias("node"), F.col("cluster").alias("parent"))
+        cur = cur.join(up, "node").select("entity", F.col("parent").alias("node")).checkpoint()
+        out = out.join(cur.withColumnRenamed("node", f"l{len(ks) - i}"), "entity")
     return out.select("entity", *[F.col(f"l{j}").alias(f"Level_{j}") for j in range(1, len(ks) + 1)])
 
 

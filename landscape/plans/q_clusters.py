@@ -126,12 +126,8 @@ def q_kmeans_nested_sizes(spark, sf):
 
 @query("param_grid")
 def q_param_grid(spark, sf):
-    out = None
-    for cfg in C.param_grid({"k": [4, 8], "seed": [1, 2]}):
-        run = C.kmeans_flat(_emb(spark, sf), cfg["k"], cfg["seed"]).withColumn(
-            "config", F.lit(f"k={cfg['k']},seed={cfg['seed']}"))
-        out = run if out is None else out.unionByName(run)
-    return out
+    grid = C.param_grid({"k": [4, 8], "seed": [1, 2]})
+    return C.kmeans_grid(_emb(spark, sf), {f"k={c['k']},seed={c['seed']}": (c["k"], c["seed"]) for c in grid})
 
 
 @query("gmm_model_selection")

@@ -120,6 +120,31 @@ def test_dendrogram_equals_brute_force_single_linkage(spark):
     assert C.dendrogram_hierarchy(df.limit(0), [3]).count() == 0
 
 
+def test_joint_loop_converges_below_mllib(emb, blobs):
+    """All configurations together: the same clusters as alone, none moving any more,
+    inertia not above MLlib's."""
+    from pyspark.ml.clustering import KMeans
+    report = []
+    configs = {"a": (3, 1), "b": (6, 1), "c": (6, 2), "d": (200, 1)}
+    rows = C.kmeans_grid(emb, configs, report).collect()
+    assert {r["config"] for r in report} == set(configs) and all(r["converged"] for r in report)
+    v = {r.entity: np.array(r.embedding) for r in emb.collect()}
+    for name, (k, seed) in configs.items():
+        label = {r.entity: r.cluster for r in rows if r.config == name}
+        assert set(label) == set(v) and len(set(label.values())) == min(k, len(v))
+        centre = {c: np.mean([v[e] for e in v if label[e] == c], axis=0) for c in set(label.values())}
+        inertia = sum(((v[e] - centre[label[e]]) ** 2).sum() for e in v)
+        nearest = {e: min(centre, key=lambda c: ((x - centre[c]) ** 2).sum()) for e, x in v.items()}
+        assert all(((v[e] - centre[nearest[e]]) ** 2).sum() >= ((v[e] - centre[label[e]]) ** 2).sum() - 1e-9 for e in v)
+        own = next(r["inertia"] for r in report if r["config"] == name)
+        assert abs(own - inertia) <= 1e-6 * max(1, inertia)
+        if k < 100:
+            assert inertia <= KMeans(k=k, seed=seed, maxIter=100).fit(C.vectors(emb)).summary.trainingCost * (1 + 1e-6)
+    alone = {r.entity: r.cluster for r in C.kmeans_flat(emb, 6, 2).collect()}
+    assert alone == {r.entity: r.cluster for r in rows if r.config == "c"}
+    assert C.kmeans_flat(emb.limit(0), 3).count() == 0
+
+
 def test_model_selection_grid(emb):
     rows = C.gmm_model_selection(emb, [2, 3], [1, 2]).collect()
     assert {(r.dimensions, r.k) for r in rows} == {(1, 2), (1, 3), (2, 2), (2, 3)}
