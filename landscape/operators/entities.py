@@ -77,17 +77,31 @@ def entity_document_index(doc_entities: DataFrame, threshold: int = 80, min_freq
             .distinct())
 
 
-def tag_documents(doc_entities: DataFrame, taxonomy: DataFrame, threshold: int = 80) -> DataFrame:
-    """Long doc -> topic tags for all five levels in one pass.
+def tag_mentions(doc_entities: DataFrame, taxonomy: DataFrame, threshold: int = 80) -> DataFrame:
+    """One row per mention with its topics of all five levels as columns.
 
-    Mentions below the threshold or of entities outside the taxonomy carry
-    no topic; duplicate tags (two entities, same topic) are kept.
+    Mentions below the threshold or of entities outside the taxonomy carry no topic.
     """
+    return (entities_kept(doc_entities, threshold).select("doc_id", "source", "entity")
+            .join(taxonomy, "entity").select("doc_id", "source", *[f"Level_{i}" for i in LEVELS]))
+
+
+def long_tags(tags: DataFrame) -> DataFrame:
+    """``tag_mentions`` as doc -> topic rows: a selection per level, so that a reader
+    of one level reads one column of a stored table, and the others not at all."""
+    out = None
+    for i in LEVELS:
+        one = tags.select("doc_id", "source", F.lit(i).alias("level"), F.col(f"Level_{i}").alias("topic"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def tag_documents(doc_entities: DataFrame, taxonomy: DataFrame, threshold: int = 80) -> DataFrame:
+    """Long doc -> topic tags for all five levels in one pass; duplicate tags (two
+    entities, same topic) are kept."""
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"Level_{i}").alias("topic"))
                        for i in LEVELS])
-    return (entities_kept(doc_entities, threshold).select("doc_id", "source", "entity")
-            .join(taxonomy, "entity")
-            .select("doc_id", "source", F.inline(levels)))
+    return tag_mentions(doc_entities, taxonomy, threshold).select("doc_id", "source", F.inline(levels))
 
 
 def article_assignments(doc_entities: DataFrame, taxonomy: DataFrame, level: int = 1) -> DataFrame:

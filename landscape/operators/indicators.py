@@ -287,6 +287,16 @@ def org_quad(scores: DataFrame, org_rows: DataFrame, topic_names: DataFrame) ->
     return add_topic_names(expand_topic(agg), topic_names).drop("domain", "area", "topic")
 
 
+def dashboard_sample(ids: DataFrame, names: DataFrame, novelty: DataFrame, disruption: DataFrame,
+                     entity_index: DataFrame) -> dict[str, DataFrame]:
+    """The dashboard's document tables, each cut to the documents ``ids`` (work_id), so
+    that a sampled document is in all of them and another in none."""
+    def cut(df: DataFrame, key: str) -> DataFrame:
+        return df.join(ids.select(F.col("work_id").alias(key)), key, "left_semi")
+    return {"names": cut(names, "work_id"), "novelty": cut(novelty, "work_id"), "disruption": cut(disruption, "work_id"),
+            "entities": cut(entity_index, "document")}
+
+
 def topic_lookup(doc_topics: DataFrame, topic_names: DataFrame, source: str | None = None) -> DataFrame:
     t = docs_with_topics(doc_topics, 3, source).select("topic").distinct()
     return add_topic_names(expand_topic(t), topic_names)

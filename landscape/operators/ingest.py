@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,25 +136,44 @@ def reformat_entities(annotations: DataFrame, threshold: int = 70) -> DataFrame:
 
 def patent_dates(raw: DataFrame, cols=("publication_date", "filing_date", "grant_date", "priority_date")) -> DataFrame:
     """yyyymmdd integers -> dates; 0 and impossible dates -> NULL."""
-    return raw.select("publication_number", *[
-        F.try_to_timestamp(F.col(c).cast("string"), F.lit("yyyyMMdd")).cast("date").alias(c) for c in cols])
+    return raw.select("publication_number", *_dates(cols))
+
+
+def _dates(cols) -> list[Column]:
+    return [F.try_to_timestamp(F.col(c).cast("string"), F.lit("yyyyMMdd")).cast("date").alias(c) for c in cols]
 
 
 def english_text(raw: DataFrame) -> DataFrame:
+    return raw.select("publication_number", *_texts())
+
+
+def _texts() -> list[Column]:
     def en(c):
         return F.get(F.filter(c, lambda x: x["language"] == "en"), 0)["text"]
-    return raw.select("publication_number", en(F.col("title_localized")).alias("title"),
-                      en(F.col("abstract_localized")).alias("abstract"))
+    return [en(F.col("title_localized")).alias("title"), en(F.col("abstract_localized")).alias("abstract")]
 
 
 def unnest_parties(raw: DataFrame) -> DataFrame:
-    return raw.select("publication_number", *[  # a field of an array of structs is the array of the field
-        F.col(f"{p}_harmonized")[field].alias(f"{p}_harmonized_{out}")
-        for p in ("inventor", "assignee") for field, out in (("name", "names"), ("country_code", "country_codes"))])
+    return raw.select("publication_number", *_parties())
+
+
+def _parties() -> list[Column]:  # a field of an array of structs is the array of the field
+    return [F.col(f"{p}_harmonized")[field].alias(f"{p}_harmonized_{out}")
+            for p in ("inventor", "assignee") for field, out in (("name", "names"), ("country_code", "country_codes"))]
 
 
 def cpc_codes(raw: DataFrame) -> DataFrame:
-    return raw.select("publication_number", F.transform("cpc", lambda x: x["code"]).alias("cpc_codes"))
+    return raw.select("publication_number", _cpc())
+
+
+def _cpc() -> Column:
+    return F.transform("cpc", lambda x: x["code"]).alias("cpc_codes")
+
+
+def patent_records(raw: DataFrame) -> DataFrame:
+    """All columns of the normalised patents, read from the raw records once."""
+    dates = ("publication_date", "filing_date", "grant_date", "priority_date")
+    return raw.select("publication_number", "family_id", *_dates(dates), *_texts(), *_parties(), _cpc())
 
 
 def assignee_types(parties: DataFrame) -> DataFrame:
@@ -175,6 +194,7 @@ def patent_org_rows(parties_typed: DataFrame) -> DataFrame:
 
 
 def annotation_lookup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, abstract without line ends) of works or patents, as sent to annotation."""
     return df.select(F.col(id_col).alias("id"), F.regexp_replace(text_col, "\n", "").alias("abstract"))
 
 
@@ -196,11 +216,10 @@ def write_by_year(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def patent_family_extract(patents: DataFrame, parties: DataFrame, texts: DataFrame,
-                          start: str = "2007-01-01", end: str = "2022-12-31") -> DataFrame:
-    """Patents with a GB inventor and an English abstract filed in [start,
+def patent_family_extract(records: DataFrame, start: str = "2007-01-01", end: str = "2022-12-31") -> DataFrame:
+    """``patent_records`` with a GB inventor and an English abstract filed in [start,
     end], one publication per family (the smallest number), all columns."""
-    ok = (patents.join(parties, "publication_number").join(texts, "publication_number")
+    ok = (records
           .where(F.array_contains("inventor_harmonized_country_codes", "GB") & F.col("abstract").isNotNull()
                  & F.col("filing_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
     first = ok.groupBy("family_id").agg(F.min("publication_number").alias("publication_number"))

@@ -50,12 +50,13 @@ def cluster_journal_counts(je: DataFrame, taxonomy: DataFrame, level: int = 1) -
             .groupBy("topic", "journal").agg(F.sum("count").alias("count")))
 
 
-def _top_joined(df: DataFrame, key: str, item: str, score: str, n: int, label) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(item))
+def _top_joined(df: DataFrame, key: str | list[str], item: str, score: str, n: int, label) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(item))
     top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return (top.groupBy(key)
+    return (top.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("_rn", label.alias("_s")))).alias("_l"))
-            .select(key, F.array_join(F.transform("_l", lambda x: x["_s"]), ", ").alias("names")))
+            .select(*keys, F.array_join(F.transform("_l", lambda x: x["_s"]), ", ").alias("names")))
 
 
 def topic_entity_names(lec: DataFrame, num_entities: int = 10, show_count: bool = False) -> DataFrame:
@@ -71,15 +72,22 @@ def cluster_journal_ranks(je: DataFrame, taxonomy: DataFrame, level: int = 1,
     rank = sum over the topic's entities e in journal j of
            ln(2 + c_e / n)^2 * ln(1 + c_tj / n)^2 * share(j, e),
     n = total entity count of the topic (relative) or 1 (absolute)."""
-    lec = level_entity_counts(je, taxonomy, level)
-    n = (lec.groupBy("topic").agg(F.sum("count").alias("_n")) if output == "relative"
-         else lec.select("topic").distinct().withColumn("_n", F.lit(1)))
-    cjc = cluster_journal_counts(je, taxonomy, level).withColumnRenamed("count", "_cj")
-    share = journal_entity_counts(je).select("journal", "entity", "share")
-    terms = (lec.join(n, "topic").join(share, "entity").join(cjc, ["topic", "journal"])
+    tax = taxonomy.select("entity", F.col(f"Level_{level}").alias("topic"))
+    return _journal_ranks(je, tax, ["topic"], output)
+
+
+def _journal_ranks(je: DataFrame, topics: DataFrame, key: list[str], output: str) -> DataFrame:
+    """Ranks of journals for every topic (``key``) of (entity, key) rows. Counts per
+    entity and per (journal, entity) are made once, however many keys there are."""
+    shares = journal_entity_counts(je)
+    lec = entity_counts(je).join(topics, "entity").select(*key, "entity", "count")
+    n = (lec.groupBy(*key).agg(F.sum("count").alias("_n")) if output == "relative"
+         else lec.select(*key).distinct().withColumn("_n", F.lit(1)))
+    cjc = shares.join(topics, "entity").groupBy(*key, "journal").agg(F.sum("count").alias("_cj"))
+    terms = (lec.join(n, key).join(shares.select("journal", "entity", "share"), "entity").join(cjc, [*key, "journal"])
              .withColumn("_t", F.pow(F.log(F.lit(2.0) + F.col("count") / F.col("_n")), 2)
                          * F.pow(F.log(F.lit(1.0) + F.col("_cj") / F.col("_n")), 2) * F.col("share")))
-    return terms.groupBy("topic", "journal").agg(F.sum("_t").alias("rank"))
+    return terms.groupBy(*key, "journal").agg(F.sum("_t").alias("rank"))
 
 
 def topic_journal_names(ranks: DataFrame, num_names: int = 3) -> DataFrame:
@@ -96,14 +104,20 @@ def main_journal(je: DataFrame) -> DataFrame:
 
 
 def named_taxonomy(taxonomy: DataFrame, je: DataFrame, levels: int = 3) -> DataFrame:
+    """The taxonomy with entity and journal names of its topics, all levels in one
+    pass (level is a key), and its entities' counts."""
+    key = ["level", "topic"]
+    topics = taxonomy.select("entity", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("level"), F.col(f"Level_{i}").alias("topic")) for i in range(1, levels + 1)])))
+    lec = entity_counts(je).join(topics, "entity").select(*key, "entity", "count")
+    en = _top_joined(lec, key, "entity", "count", 2, F.col("entity")).withColumnRenamed("names", "en")
+    jn = _top_joined(_journal_ranks(je, topics, key, "relative"), key, "journal", "rank", 3, F.col("journal"))
+    names = en.join(jn.select(*key, F.concat(F.lit("Journals: "), F.col("names")).alias("jn")), key, "full")
     out = taxonomy
-    for lvl in range(1, levels + 1):
-        lec = level_entity_counts(je, taxonomy, lvl)
-        en = topic_entity_names(lec, 2).select(F.col("topic").alias(f"Level_{lvl}"),
-                                               F.col("names").alias(f"Level_{lvl}_Entity_Names"))
-        jn = topic_journal_names(cluster_journal_ranks(je, taxonomy, lvl)).select(
-            F.col("topic").alias(f"Level_{lvl}"), F.col("names").alias(f"Level_{lvl}_Journal_Names"))
-        out = out.join(en, f"Level_{lvl}", "left").join(jn, f"Level_{lvl}", "left")
+    for lvl in range(1, levels + 1):  # names of topics: as many rows as the level has topics
+        own = names.where(F.col("level") == lvl).select(F.col("topic").alias(f"Level_{lvl}"), F.col("en").alias(f"Level_{lvl}_Entity_Names"),
+                                                        F.col("jn").alias(f"Level_{lvl}_Journal_Names"))
+        out = out.join(own, f"Level_{lvl}", "left")
         for c in (f"Level_{lvl}_Entity_Names", f"Level_{lvl}_Journal_Names"):
             out = out.withColumn(c, F.when(F.col(c).isin("", "Journals: "), "Other").otherwise(F.col(c)))
     counts = entity_counts(je)

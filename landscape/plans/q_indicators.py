@@ -468,3 +468,45 @@ def q_dashboard_sample(spark, sf):
     names = t.works.select("work_id", "display_name").join(ids, "work_id", "left_semi")
     out = nov.join(names, "work_id", "left").join(dis.dropDuplicates(["work_id"]), "work_id", "left")
     return finish(out, floats=("novelty", "cd_score"))
+
+
+_SAMPLED = f"{unit_hash('{}', 7)} < 0.1E0"
+
+
+def _sample_tables(spark, sf):
+    """All four tables of the sample."""
+    from ..functions.sampling import hash_sample
+    from ..operators.entities import entity_document_index
+    t = tables(spark, sf)
+    nov = I.novelty_documents(_nov_long(spark, sf))
+    return I.dashboard_sample(hash_sample(t.works.select("work_id"), "work_id", 0.1, seed=7), I.document_names(t.works, nov), nov,
+                              _dis_docs(spark, sf), entity_document_index(t.doc_entities, 80, 10))
+
+
+@query("dashboard_sample_names", oracle=_nl_oracle(f"""
+SELECT DISTINCT w.work_id, w.display_name FROM works w JOIN nl ON nl.work_id = w.work_id
+WHERE nl.level = 3 AND {_SAMPLED.format('w.work_id')}""", "works"))
+def q_dashboard_sample_names(spark, sf):
+    return _sample_tables(spark, sf)["names"]
+
+
+@query("dashboard_sample_novelty", oracle=_nl_oracle(f"""
+SELECT work_id, year, round(novelty, 6) AS novelty, {EXP}, topic FROM nl WHERE level = 3
+  AND work_id IN (SELECT work_id FROM works) AND {_SAMPLED.format('work_id')}""", "works"))
+def q_dashboard_sample_novelty(spark, sf):
+    return finish(_sample_tables(spark, sf)["novelty"], floats=("novelty",))
+
+
+@query("dashboard_sample_disruption", oracle=_dis_oracle(f"""
+SELECT work_id, topic, round(cd_score, 6) AS cd_score, year, cited_by_count, domain, area FROM dd
+WHERE work_id IN (SELECT work_id FROM works) AND {_SAMPLED.format('work_id')}"""))
+def q_dashboard_sample_disruption(spark, sf):
+    return finish(_sample_tables(spark, sf)["disruption"], floats=("cd_score",))
+
+
+@query("dashboard_sample_entities", oracle=with_views(f"""
+SELECT DISTINCT k.entity, k.doc_id AS document FROM doc_entities k JOIN (
+  SELECT entity FROM doc_entities WHERE confidence >= 80 GROUP BY entity HAVING count(*) >= 10) f ON k.entity = f.entity
+WHERE k.confidence >= 80 AND k.doc_id IN (SELECT work_id FROM works) AND {_SAMPLED.format('k.doc_id')}""", "doc_entities", "works"))
+def q_dashboard_sample_entities(spark, sf):
+    return _sample_tables(spark, sf)["entities"]

@@ -90,6 +90,13 @@ def q_annotation_lookup(spark, sf):
     return IG.annotation_lookup(txt, "publication_number", "abstract")
 
 
+@query("annotation_lookup_works", oracle="SELECT doc_id AS id, replace(text, chr(10), '') AS abstract FROM documents")
+def q_annotation_lookup_works(spark, sf):
+    """Works: their abstracts, rebuilt from inverted indexes."""
+    inv = IG.invert_abstract(tables(spark, sf).documents, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    return IG.annotation_lookup(IG.deinvert_abstract(inv), "id", "abstract")
+
+
 @query("patent_dates", oracle="""
 SELECT 'P' || CAST(o_orderkey AS STRING) AS publication_number, CAST(CAST(o_orderdate AS DATE) AS STRING) AS publication_date,
   CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) - 200 AS STRING) END AS filing_date,
@@ -164,12 +171,21 @@ WITH ok AS (
   FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 0
     AND CAST(o_orderdate AS DATE) - 200 BETWEEN DATE '1990-01-01' AND DATE '2022-12-31'
     AND o_orderkey IN (SELECT o_orderkey FROM ({PL}) p WHERE l_suppkey % 5 = 0 AND cc = 'GB'))
-SELECT CAST(fam AS STRING) AS family_id, min(publication_number) AS publication_number FROM ok GROUP BY fam""")
+SELECT CAST(f.fam AS STRING) AS family_id, f.p AS publication_number, 'Patent ' || substr(f.p, 2) AS title,
+  'Abstract ' || substr(f.p, 2) || chr(10) || 'second line' AS abstract,
+  'A0' || CAST(o_orderkey % 10 AS STRING) || ',B' || CAST(o_orderkey % 7 AS STRING) AS cpc_codes,
+  (SELECT string_agg(DISTINCT cc, ',' ORDER BY cc) FROM ({PL}) p WHERE p.o_orderkey = o.o_orderkey AND l_suppkey % 5 = 0) AS inventor_countries,
+  (SELECT count(*) FROM ({PL}) p WHERE p.o_orderkey = o.o_orderkey) AS n_assignees,
+  CAST(CAST(o_orderdate AS DATE) AS STRING) AS publication_date, CAST(CAST(o_orderdate AS DATE) - 200 AS STRING) AS filing_date,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + 100 AS STRING) END AS grant_date,
+  CAST(NULL AS STRING) AS priority_date
+FROM (SELECT fam, min(publication_number) AS p FROM ok GROUP BY fam) f JOIN orders o ON 'P' || CAST(o.o_orderkey AS STRING) = f.p""")
 def q_patent_family_extract(spark, sf):
-    raw = _raw_patents(spark, sf)
-    base = IG.patent_dates(raw).join(raw.select("publication_number", "family_id"), "publication_number")
-    out = IG.patent_family_extract(base, IG.unnest_parties(raw), IG.english_text(raw), start="1990-01-01")
-    return out.select("family_id", "publication_number")
+    out = IG.patent_family_extract(IG.patent_records(_raw_patents(spark, sf)), start="1990-01-01")
+    codes = F.array_join(F.array_sort(F.array_distinct("inventor_harmonized_country_codes")), ",")
+    return out.select("family_id", "publication_number", "title", "abstract", F.array_join("cpc_codes", ",").alias("cpc_codes"),
+                      codes.alias("inventor_countries"), F.size("assignee_harmonized_names").cast("long").alias("n_assignees"),
+                      *[F.col(c).cast("string").alias(c) for c in ("publication_date", "filing_date", "grant_date", "priority_date")])
 
 
 @query("topics_long", oracle=with_views(

@@ -22,7 +22,7 @@ YEAR = 1997
 def _topics(spark, sf):
     """Document -> topic tags of all levels, staged once per session."""
     t = tables(spark, sf)
-    return t.stage("doc_topics", lambda: E.tag_documents(t.doc_entities, t.taxonomy), ("level", "source"))
+    return E.long_tags(t.stage("doc_tags", lambda: E.tag_mentions(t.doc_entities, t.taxonomy), ("source",)))
 
 
 def _novelty_in(spark, sf, level=LEVEL, source="openalex", id_column="work_id"):
