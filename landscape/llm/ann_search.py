@@ -198,7 +198,9 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
     Vectors that are null, zero, or hold null or non-finite components take no
     part on either side, nor do rows with a null id or with another number of
     components than most of the index. Of equal vectors, the k + 1 smallest ids
-    are enough for any answer, so a group of copies of any size stays small.
+    are enough for any answer, so a group of copies of any size stays small. An id
+    that repeats with several vectors counts once, with its largest score; a query
+    id that repeats asks with all its vectors, and an answer has its largest score.
     Scores are computed on the original components in double precision. Empty
     tables give no rows; other columns are ignored.
     """
@@ -317,7 +319,8 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, id_col: str = "vec_
 
     def best(found: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return (found.repartition("query_id").dropDuplicates(["query_id", "vec_id"])
+        single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return (single.repartition("query_id")
                 .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
 

@@ -53,6 +53,21 @@ NOTICES = (
     Template("bsd-notice", "redistribution and use in source and binary forms with or without modification are "
              "permitted provided that the following conditions are met"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+             "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy "
+             "modify publish use compile sell or distribute this software"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse "
+             "public license 2 0"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("cc0", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide "
+             "under copyright law"),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the "
+             "software and accompanying documentation covered by this license"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors "
+             "be held liable for any damages arising from the use of this software"),
 )
 
 
@@ -93,7 +108,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     merged span holds ``coverage`` of its k-grams within at most ``drift`` words
     per ten more than its length. Null text counts as empty: 0 words, no
     labels. A null id is kept as null; repeated rows give one row each; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. A notice that contains
+    another one but for a word or two carries the labels of both (BY-SA is BY, too).
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),

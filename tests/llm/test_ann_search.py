@@ -135,3 +135,10 @@ def test_outlier_norm_and_short_beam_are_compared_with_all_rows(spark):
     got = found(df, df.filter("vec_id % 20 = 0"), k=10, params=AnnParams(beam=4))
     want = brute(ids, x, queries, 10)
     assert all([v for _, v, _ in got[q]] == [v for v, _ in want[q]] for q in queries)
+
+
+def test_repeated_ids_count_with_their_largest_score(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, df.filter("vec_id = 1"), k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2.0), (3, 1.0)]

@@ -62,6 +62,27 @@ def test_windows_cover_the_text():
     assert window_classes(data, start, held, 96).shape == (len(row), 96)
 
 
+def test_pair_tables_equal_a_plain_convolution():
+    """Every filter slid over every window, weight by weight."""
+    from landscape.llm.language_id import N_CLASSES, ConvModel
+    rng = np.random.default_rng(5)
+    p = ConvParams(window=24, widths=(2, 3, 5), embed=4, filters=6)
+    many = p.filters * len(p.widths)
+    m = ConvModel(["a", "b", "c"], rng.normal(size=(N_CLASSES, p.embed)), [rng.normal(size=(k, p.embed, p.filters)) for k in p.widths],
+                  rng.normal(size=many), rng.normal(size=(many, 3)), rng.normal(size=3), p)
+    x = rng.integers(0, N_CLASSES, (40, p.window))
+    got = m.probabilities(x, m.tables())
+    for row, prob in zip(x, got):
+        pooled = []
+        for k, kernel in zip(p.widths, m.kernels):
+            for f in range(p.filters):
+                pooled.append(max(sum(m.embedding[row[i + j], e] * kernel[j, e, f] for j in range(k) for e in range(p.embed))
+                                  for i in range(p.window - k + 1)))
+        logit = np.maximum(np.array(pooled) + m.bias, 0) @ m.dense + m.dense_bias
+        want = np.exp(logit - logit.max())
+        assert np.allclose(prob, want / want.sum(), atol=1e-4)
+
+
 def test_ftrl_is_sparse_and_separates():
     rng = np.random.default_rng(0)
     rows = []

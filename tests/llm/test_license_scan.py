@@ -1,6 +1,9 @@
 import re
 
-from landscape.llm.license_scan import PHRASES, Template, scan_licenses
+import math
+import random
+
+from landscape.llm.license_scan import NOTICES, PHRASES, Template, scan_licenses
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -50,6 +53,53 @@ def test_notices_with_changes(spark):
     assert all(rows[i].n_base == 0 and rows[i].base_labels == "" for i in texts)
 
 
+def voted(text, template, drift=2, coverage=0.75):
+    """Accepted spans of a notice, vote by vote: (first word, last word, share)."""
+    w, t = WORD.findall((text or "").translate(LOWER)), template.text.split()
+    votes = sorted((i - j, j) for i in range(len(w) - 1) for j in range(len(t) - 1) if w[i:i + 2] == t[j:j + 2])
+    runs, last = [], None
+    for d, j in votes:
+        if last is None or d - last > drift:
+            runs.append([])
+        runs[-1].append((d, j))
+        last = d
+    grams, out = len(t) - 1, []
+    for r in runs:
+        lo, hi = min(j for _, j in r), max(j for _, j in r)
+        first = min(min(d + j for d, j in r if d == e) for e in {d for d, _ in r})
+        end = max(d + j for d, j in r)
+        share = min(len(r), hi - lo + 1) / grams
+        if share >= coverage and end - first < grams + math.ceil(grams * drift / 10):
+            out.append((template.label, first, end + 1, round(share, 9)))
+    return out
+
+
+def test_spans_equal_brute_force(spark):
+    """Notices whole, cut, with words lost, changed and inserted, twice, and one after the other."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        words = []
+        for t in rng.choices(NOTICES, k=rng.randint(1, 3)):
+            own = t.text.split()
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(own))
+                own[i:i + 1] = rng.choice([[], [own[i], "really"], ["other"], [own[i]] * 2])
+            words += [f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 8))] + own[:rng.choice([len(own), len(own) // 2])]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_licenses(df, templates=NOTICES).collect():
+        want = sorted(x for t in NOTICES for x in voted(texts[r.doc_id], t))
+        assert sorted((s.label, s.first_word, s.last_word, round(s.share, 9)) for s in r.spans) == want
+        assert r.labels == ",".join(sorted({x[0] for x in want})) and abs(r.score - max((x[3] for x in want), default=0)) < 1e-9
+
+
+def test_every_notice_is_found(spark):
+    df = spark.createDataFrame([(i, f"Some code. {t.text.title()}.") for i, t in enumerate(NOTICES)], "doc_id long, text string")
+    for r in scan_licenses(df).collect():
+        assert NOTICES[r.doc_id].label in r.labels.split(",") and r.score == 1.0
+
+
 def test_edges(edge_docs, no_docs):
     rows = scan_licenses(edge_docs).collect()
     assert len(rows) == edge_docs.count()
