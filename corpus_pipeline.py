@@ -28,8 +28,9 @@ SENT_IDS = 1_000_000  # ids that are sent to all tasks at most; more are joined
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the network, learned from the stage's own
     input, can name; those without a text or a letter go, and those it takes for
-    noise. What is labelled as a language and drawn into the training sample is
-    learned as such. Without any labelled document nothing can be learned, and
+    noise. A text in a language that is not learned is named after the one it looks
+    like most, or taken for noise: which, is not defined. What is labelled as a
+    language and drawn into the training sample is learned as such. Without any labelled document nothing can be learned, and
     the rule is the letter alone."""
     model = learn_languages(docs, params=NAMING)
     if model is None:
