@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, rows_of, stage
 
-CACHE_ENTRIES = 1_000_000  # words per Python worker; forgotten when full
+CACHE_ENTRIES = 400_000  # words per Python worker; forgotten when full
 JOINED = 64               # plain words encoded in one line
 GROUP_ROWS = 5_000        # pieces per numbering bucket, over all lengths
-SLICE = 8 << 20           # bytes of text tokenised at once
+SLICE = 4 << 20           # bytes of text tokenised at once
 #: closing marks after a Latin letter are a token run of their own
 MARKS = ".,;:!?%*#$&"
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
