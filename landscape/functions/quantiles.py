@@ -40,14 +40,15 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 def ranges(df: DataFrame, keys: Sequence[str], value: str, large: int = LARGE, pieces: int = RANGES) -> DataFrame:
     """(keys, value, _c, _n, _s, _r): counts per (group, value), the group's rows and
-    sum, and the value's range in its group (0 where the group isn't cut)."""
+    sum (null where the group isn't cut), and the value's range in its group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     at = [i / pieces for i in range(1, pieces)]
-    # summed as decimals, so that the order of rows doesn't move a mean over a rounding tie
+    # of groups that are cut, summed as decimals: the order of tasks doesn't move a mean
     total = (F.col(value) * F.col("_c")).cast("decimal(38,12)")
     group = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(total).alias("_s"),
                                       F.count("*").alias("_d"), F.percentile_approx(value, at, 1000).alias("_cuts"))
-    group = group.withColumn("_cuts", F.when(F.col("_d") > large, F.array_distinct("_cuts"))).drop("_d")
+    group = group.withColumn("_cuts", F.when(F.col("_d") > large, F.array_distinct("_cuts")))
+    group = group.withColumn("_s", F.when(F.col("_cuts").isNotNull(), F.col("_s").cast("double"))).drop("_d")
     below = F.size(F.filter("_cuts", lambda x: x < F.col(value)))
     return (_same(counts, group, keys)
             .withColumn("_r", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_cuts"))
@@ -87,10 +88,12 @@ def selected(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float
         return F.max(F.when(holds(r, "_lo", "_c"), F.col(value)))
 
     group = ordered.groupBy(*keys)
+    # a group that isn't cut is here whole, and summed in the order of its values
+    total = F.coalesce(F.max("_s"), F.sum(F.col(value) * F.col("_c")))
     if how == "nearest":
         return group.agg(*[at(*ends(q)).alias(n) for n, q in qs.items()],
-                         *([F.max(F.col("_s").cast("double") / F.col("_n")).alias(mean)] if mean else []))
-    parts = group.agg(F.max("_n").alias("_n"), F.max("_s").alias("_s"),
+                         *([(total / F.max("_n")).alias(mean)] if mean else []))
+    parts = group.agg(F.max("_n").alias("_n"), total.alias("_s"),
                       *[at(r).alias(f"{n}__{i}") for n, q in qs.items() for i, r in enumerate(ends(q))])
 
     def between(n: str, q: float) -> Column:
@@ -99,7 +102,7 @@ def selected(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float
         return F.when(lo == hi, low).otherwise((hi - pos) * low + (pos - lo) * high)
 
     return parts.select(*keys, *[between(n, q).alias(n) for n, q in qs.items()],
-                        *([(F.col("_s").cast("double") / F.col("_n")).alias(mean)] if mean else []))
+                        *([(F.col("_s") / F.col("_n")).alias(mean)] if mean else []))
 
 
 def nearest(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
