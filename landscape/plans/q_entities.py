@@ -80,7 +80,7 @@ def q_entity_document_index(spark, sf):
     "SELECT doc_id, source, level, topic FROM doc_topics", "doc_topics"))
 def q_tag_documents(spark, sf):
     # the tagging output is the shared document-topic table every indicator
-    # reads: produce it once per session (staged, partitioned by level/source)
+    # reads: produce it once per session (staged by source, a row a mention)
     from .q_novelty import _topics
     return _topics(spark, sf).select("doc_id", "source", "level", "topic")
 
