@@ -55,12 +55,14 @@ class WordIds:
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give the words' memory back."""
         self.number: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        pa.default_memory_pool().release_unused()
 
     def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         """Number ``words``, whose ids lie end to end."""
@@ -123,7 +125,7 @@ class WordIds:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and the offsets of the texts. Null texts have none."""
         if len(self.number) > CACHE_ENTRIES:
-            self._forget()
+            self.forget()
         words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         unique, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.number
@@ -176,6 +178,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int, closing_id: in
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        coder.forget()  # the worker goes on to other tasks
 
     schema = "id long, piece int, start long, length long, crc long" + (", ids array<int>" if with_ids else "")
     return docs.select("id", "text").mapInArrow(run, schema)
