@@ -8,18 +8,20 @@ implementations with fixed seeds; k-means is ``lloyd``, all pairs are ``blocked`
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.sampling import unit_hash
 from .blocked import BLOCK, dendrogram_cuts, silhouettes
-from .lloyd import Config, kmeans_many
+from .lloyd import Config, kmeans_many, packed, spread, staged, unpacked
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
@@ -162,39 +164,53 @@ def kmeans_nested(points: DataFrame, k: int, seed: int = 1, imbalanced: bool = F
     ``min_size`` members, or with no more members than clusters, passes through
     with an empty label (see ``nested_k``). The first centroids are the members
     with the smallest seeded hash; no parent needs more than the largest k, a
-    literal, so Spark limits each parent's ranking before the shuffle. A parent's
-    centroids travel as one array, so that a point stays one row and finds its
-    nearest centroid inside the row; ties go to the smaller index. Rounds run
-    until the squared movement of all centroids together is within
-    ``tolerance``; every round is written to the shared checkpoint folder.
+    literal, so Spark limits each parent's ranking before the shuffle. Members are
+    staged once, packed by parent (see ``lloyd``), and a parent's centroids travel as
+    one array to its packed rows, of which one sum per centroid leaves the task;
+    ties go to the smaller index. Rounds run until the squared movement of all
+    centroids together is within ``tolerance``; every round's centroids are written
+    to the shared checkpoint folder by one job.
     """
-    pts = points.select("entity", "parent", F.col("embedding").cast("array<double>").alias("v"))
+    pts = staged(spread(points.select("entity", "parent", F.col("embedding").cast("array<double>").alias("v"))), "nested")
     active = nested_k(pts, k, imbalanced, min_size).where("kp IS NOT NULL").select("parent", "kp")
     members = pts.join(active, "parent")
     most = max(k, 2)  # no kp is larger
     first = Window.partitionBy("parent").orderBy(F.xxhash64("entity", F.lit(seed)), "entity")
-    cents = (members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
-             .where(F.col("_r") <= F.col("kp")).groupBy("parent")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda s: s["v"]).alias("cs"))
-             ).checkpoint()
-
-    def assigned(centres: DataFrame) -> DataFrame:
-        d = F.transform("cs", lambda c, i: F.struct(_sqdist(F.col("v"), c).alias("d"), i.alias("i")))
-        return members.join(centres, "parent").select("entity", "parent", "v", F.array_min(d)["i"].alias("cid"))
-
+    cents = staged(members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+                   .where(F.col("_r") <= F.col("kp")).groupBy("parent")
+                   .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda s: s["v"]).alias("cs")), "nested-centres")
+    blocks = packed(members.select("parent", "v").sortWithinPartitions("parent"), "parent")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                v = unpacked(r["n"], r["v"])
+                d = np.array([((v - np.array(c)) ** 2).sum(1) for c in r["cs"]])
+                near = np.where(np.isnan(d), np.inf, d).argmin(0)
+                cids = np.unique(near)
+                yield pa.RecordBatch.from_pydict(
+                    {"parent": pa.array([r["parent"]] * len(cids), batch.schema.field("parent").type), "cid": pa.array(cids, pa.int32()),
+                     "n": pa.array(np.bincount(near)[cids], pa.int64()),
+                     "s": pa.array([v[near == c].sum(0) for c in cids], pa.list_(pa.float64()))})
+
+    parent = blocks.schema["parent"].dataType.simpleString()
     while True:
-        mean = (assigned(cents).groupBy("parent", "cid").agg(Summarizer.mean(array_to_vector("v")).alias("m"))
-                .groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("cid", vector_to_array("m")))).alias("ms")))
+        mean = (blocks.join(cents, "parent").select("parent", "n", "v", "cs")
+                .mapInArrow(sums, f"parent {parent}, cid int, n long, s array<double>")
+                .groupBy("parent", "cid").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"))
+                .select("parent", "cid", F.transform(vector_to_array("s"), lambda x: x / F.col("n")).alias("m"))
+                .groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("cid", "m"))).alias("ms")))
         # a centroid that lost all its points keeps its position
         moved = cents.join(mean, "parent").select(
             "parent", "cs", F.transform("cs", lambda c, i: F.coalesce(F.element_at("ms", i), c)).alias("new"))
-        moved = moved.checkpoint()
         step = F.aggregate(F.zip_with("cs", "new", _sqdist), F.lit(0.0), lambda s, x: s + x)
-        shift = moved.agg(F.sum(step)).first()[0]
-        cents = moved.select("parent", F.col("new").alias("cs"))
-        if (shift or 0.0) <= tolerance:
+        seen = Observation()
+        cents = staged(moved.withColumn("_step", step).observe(seen, F.sum("_step").alias("shift"))
+                       .select("parent", F.col("new").alias("cs")), "nested-centres")
+        if (seen.get.get("shift") or 0.0) <= tolerance:
             break
-    final = assigned(cents).select("entity", "parent", F.col("cid").cast("string").alias("cluster"))
+    d = F.transform("cs", lambda c, i: F.struct(_sqdist(F.col("v"), c).alias("d"), i.alias("i")))
+    final = members.join(cents, "parent").select("entity", "parent", F.array_min(d)["i"].cast("string").alias("cluster"))
     passing = pts.join(active.select("parent"), "parent", "left_anti").select("entity", "parent", F.lit("").alias("cluster"))
     return final.unionByName(passing)
 

@@ -1,9 +1,10 @@
 """K-means of several configurations in one joint Lloyd loop (survey 2.I).
 
 A configuration is a number of clusters and a seed. All of them read the points
-together: every round is one job, in which each task adds up its points per
-configuration and centre, and the sums - as many as all centres have components -
-come to the driver, which holds the centres. The first centres are drawn in
+together: every round is one job without a shuffle, in which each task adds up its
+points per configuration and centre, and the sums - of every task as many as all
+centres have components - come to the driver, which holds the centres. The points
+are staged once, packed ``ROWS`` to a row, so that a round reads bytes and no lists. The first centres are drawn in
 parallel (k-means||): in each of ``SEEDING`` rounds, as many points as there are
 clusters, with chances in proportion to their squared distance from the
 candidates so far, and then k of the candidates, weighted by the points nearest to
@@ -21,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 SEEDING = 5
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -75,32 +79,62 @@ def _drawn(points: DataFrame, centres: dict[str, np.ndarray], configs: dict[str,
         | {name: c for name, c in centres.items() if name not in found}
 
 
-def _sums(points: DataFrame, centres: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
-    """Per configuration: the sum of the points nearest to each centre, how many they
-    are, and the squared distances in all. One job."""
+def staged(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"kmeans-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(points: DataFrame, by: str | None = None) -> DataFrame:
+    """Points (v, and a key ``by``) as rows (n, v, the key) of up to ``ROWS`` points of
+    one key, their vectors one after the other as bytes; staged."""
+    key = [f"{by} {points.schema[by].dataType.simpleString()}"] if by else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(by).dictionary_encode(null_encoding="encode").indices.to_numpy() if by else np.zeros(batch.num_rows, int)
+            at = np.append(np.flatnonzero(np.diff(codes, prepend=-1)), batch.num_rows)
+            for i, end in zip(at[:-1], at[1:]):
+                for first in range(i, end, ROWS):
+                    rows = batch.slice(first, min(ROWS, end - first))
+                    v = pa.array([_matrix(rows.column("v")).tobytes()], pa.binary())
+                    own = [rows.column(by).slice(0, 1)] if by else []
+                    yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64()), v, *own], names=["n", "v", *([by] if by else [])])
+
+    return staged(points.mapInArrow(run, ", ".join(["n long", "v binary", *key])), "packed")
+
+
+def unpacked(n: int, v: bytes) -> np.ndarray:
+    return np.frombuffer(v, np.float64).reshape(n, -1)
+
+
+def spread(points: DataFrame) -> DataFrame:
+    """Dealt over all cores, however few files the points came from."""
+    return points.repartition(points.sparkSession.sparkContext.defaultParallelism, "entity")
+
+
+def _sums(blocks: DataFrame, centres: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+    """Per configuration: the sum of the packed points nearest to each centre, how many
+    they are, and the squared distances in all. One job, one row per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {name: np.zeros((len(c), c.shape[1] + 2)) for name, c in centres.items()}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column("v"))
-            for name, c in centres.items():
-                d = _squares(v, c)
-                near = d.argmin(1)
-                rows = np.concatenate([v, np.ones((len(v), 1)), d[np.arange(len(v)), near][:, None]], 1)
-                order = np.argsort(near, kind="stable")
-                first = np.flatnonzero(np.diff(near[order], prepend=-1))
-                total[name][near[order][first]] += np.add.reduceat(rows[order], first)
-        for name, t in total.items():
-            at, dim = np.nonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(dim), pa.array(t[at, dim])],
-                                             names=["config", "c", "dim", "s"])
-
-    rows = (points.select("v").mapInArrow(run, "config string, c long, dim long, s double")
-            .groupBy("config", "c", "dim").agg(F.sum("s").alias("s")).collect())  # as many as the centres have components
+            for r in batch.to_pylist():
+                v = unpacked(r["n"], r["v"])
+                for name, c in centres.items():
+                    d = _squares(v, c)
+                    near = d.argmin(1)
+                    rows = np.concatenate([v, np.ones((len(v), 1)), d[np.arange(len(v)), near][:, None]], 1)
+                    order = np.argsort(near, kind="stable")
+                    first = np.flatnonzero(np.diff(near[order], prepend=-1))
+                    total[name][near[order][first]] += np.add.reduceat(rows[order], first)
+        yield pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in total.values()], pa.binary()), pa.array(list(total), pa.string())],
+                                         names=["s", "config"])
+
+    few = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
     total = {name: np.zeros((len(c), c.shape[1] + 2)) for name, c in centres.items()}
-    for r in rows:
-        total[r.config][r.c, r.dim] = r.s
+    for r in few.mapInArrow(run, "s binary, config string").collect():
+        total[r.config] += np.frombuffer(r.s, np.float64).reshape(total[r.config].shape)
     return {name: (t[:, :-2], t[:, -2], float(t[:, -1].sum())) for name, t in total.items()}
 
 
@@ -140,7 +174,7 @@ def kmeans_many(points: DataFrame, configs: dict[str, Config], tolerance: float
     Null vectors take no part; fewer distinct points than clusters give as many
     clusters as points; no points give no rows.
     """
-    points = points.where("v IS NOT NULL")
+    points = staged(spread(points.where("v IS NOT NULL").select(F.col("entity").cast("string").alias("entity"), "v")), "points")
     scale = points.agg(F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     schema = "config string, entity string, cluster string"
     if scale is None:
@@ -148,12 +182,13 @@ def kmeans_many(points: DataFrame, configs: dict[str, Config], tolerance: float
     centres: dict[str, np.ndarray] = {}
     for turn in range(SEEDING + 1):
         centres = _drawn(points, centres, configs, turn)
-    weights = _sums(points, centres)
+    blocks = packed(points.select("v"))
+    weights = _sums(blocks, centres)
     centres = {name: _chosen(c, weights[name][1], configs[name]) for name, c in centres.items()}
     moving, rounds = dict(centres), 0
     while moving:
         rounds += 1
-        for name, (total, n, inertia) in _sums(points, moving).items():
+        for name, (total, n, inertia) in _sums(blocks, moving).items():
             old = moving[name]
             new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
             centres[name] = new
@@ -174,4 +209,4 @@ def kmeans_many(points: DataFrame, configs: dict[str, Config], tolerance: float
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), batch.column("entity"),
                                                   pa.array(near.astype(str).tolist(), pa.string())], names=["config", "entity", "cluster"])
 
-    return points.select(F.col("entity").cast("string").alias("entity"), "v").mapInArrow(run, schema)
+    return points.mapInArrow(run, schema)

@@ -198,3 +198,39 @@ def test_normalise_centroid_ids(spark):
     got = {r["entity"]: (r["L1"], r["L2"]) for r in C.normalise_centroid_ids(df, ["L1", "L2"]).collect()}
     # parent 3 has children 10, 17 -> 0, 1; parent 9 has a single child -> empty label
     assert got == {"a": ("0", "0_0"), "b": ("0", "0_1"), "c": ("1", "1")}
+
+
+def _counted(spark, df):
+    """The rows, and how many have been made of them so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    return df.mapInArrow(one, df.schema), made
+
+
+def test_loops_read_their_points_once(spark, emb):
+    """However many rounds: what lies before the points is not computed again."""
+    report = []
+    df, made = _counted(spark, emb)
+    assert C.kmeans_grid(df, {"a": (3, 1), "b": (6, 2)}, report).count() == 240
+    assert made.value == 120 and max(r["rounds"] for r in report) > 1
+
+
+def test_nested_loop_reads_its_points_once(spark, emb):
+    pts = emb.withColumn("parent", F.when(F.substring("entity", 2, 3).cast("int") < 60, "a").otherwise("b"))
+    df, made = _counted(spark, pts)
+    assert C.kmeans_nested(df, 3).count() == 120
+    assert made.value == 120
+
+
+def test_packed_points(spark):
+    """Every point under its own key, a null key too, in rows of bounded length."""
+    from landscape.operators import lloyd as L
+    rows = [("a", [float(i), 1.0]) for i in range(L.ROWS + 3)] + [(None, [-1.0, 0.5]), ("b", [2.0, 3.0])]
+    df = spark.createDataFrame(rows, "parent string, v array<double>").coalesce(1).sortWithinPartitions("parent")
+    got = [(r.parent, L.unpacked(r.n, r.v).tolist()) for r in L.packed(df, "parent").collect()]
+    assert sorted((str(p), v) for p, vs in got for v in vs) == sorted((str(p), v) for p, v in rows)
+    assert max(len(vs) for _, vs in got) <= L.ROWS and {p for p, _ in got} == {"a", "b", None}
