@@ -86,3 +86,28 @@ def test_cluster_without_a_shared_folder_fails():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_index_of_repeated_ids_needs_one_shuffle(spark):
+    df = spark.createDataFrame([("a", "x y  x"), ("b", ""), (None, "q q"), ("a", "y z"), ("c", None)], "doc_id string, text string")
+    out = IG.invert_abstract(df)
+    got = {r.doc_id: dict(r.abstract_inverted_index) for r in out.collect()}
+    assert got == {"a": {"": [2], "x": [0, 3], "y": [0, 1], "z": [1]}, "b": {"": [0]}, None: {"q": [0, 1]}}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Generate" not in plan
+
+
+def test_arrays_are_bounded(spark, tmp_path, monkeypatch):
+    """A year of many records is several files, each one array; all records come back."""
+    import glob
+    import json
+
+    from landscape.sources import nested
+    monkeypatch.setattr(nested, "ARRAY_RECORDS", 40)
+    df = spark.range(500).selectExpr("concat('w', id) AS id", "if(id % 7 = 0, null, cast(2000 + id % 2 AS int)) AS publication_year",
+                                     "concat('a{\"', id) AS display_name").repartition(2)
+    nested.write_json_arrays(df, f"{tmp_path}/arrays", "publication_year")
+    sizes = [len(json.load(open(f))) for f in glob.glob(f"{tmp_path}/arrays/*/*.txt")]
+    assert sum(sizes) == 500 and max(sizes) <= 40
+    back = IG.read_works_json(spark, f"{tmp_path}/arrays").select(*df.columns)
+    assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
