@@ -234,3 +234,27 @@ def test_packed_points(spark):
     got = [(r.parent, L.unpacked(r.n, r.v).tolist()) for r in L.packed(df, "parent").collect()]
     assert sorted((str(p), v) for p, vs in got for v in vs) == sorted((str(p), v) for p, v in rows)
     assert max(len(vs) for _, vs in got) <= L.ROWS and {p for p, _ in got} == {"a", "b", None}
+
+
+def test_spanning_tree_meets_all_points_once(spark, monkeypatch):
+    """Lists of neighbours serve all rounds: points that look at all others again are
+    few. With copies and ties, the lengths are those of Prim's tree."""
+    from landscape.operators import blocked as B
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(150, 3)), rng.integers(0, 2, (30, 3)) * 1.0, rng.normal(size=(60, 3)) + 9])
+    df = spark.createDataFrame([(f"e{i:03d}", x.tolist()) for i, x in enumerate(v)], "entity string, v array<double>")
+    asked, lists = [], B._nearest_lists
+
+    def counted(points, *rest):
+        asked.append(points.count())
+        return lists(points, *rest)
+
+    monkeypatch.setattr(B, "_nearest_lists", counted)
+    got = sorted(r.distance for r in B.spanning_tree(df, 8)[1].collect())
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    near, inside, want = d[0].copy(), np.arange(len(v)) == 0, []
+    while not inside.all():
+        i = np.where(inside, np.inf, near).argmin()
+        want.append(near[i])
+        inside[i], near = True, np.minimum(near, d[i])
+    assert np.allclose(got, sorted(want)) and asked[0] < len(v) and sum(asked[1:]) <= len(v) / 2
