@@ -6,9 +6,9 @@ commonness is low.
 Plan shape. Topics are deduplicated per document with a partial-aggregated
 ``collect_set`` (a document holds at most as many distinct topics as its
 taxonomy level has, so the set is bounded by the taxonomy, not the data).
-Pairs are generated inside each row with higher-order functions, so no
-shuffle is spent on building them; pair counts are partial-aggregated
-before their shuffle. Per-topic pair activity ``N_i(t)`` and the yearly
+Documents of the same year and topics are one class; pairs are generated
+inside each class's row with higher-order functions, and pair counts are
+partial-aggregated before their shuffle. Per-topic pair activity ``N_i(t)`` and the yearly
 total ``N_t`` are computed algebraically from the per-document topic counts
 (a topic in a document with n topics is in n - 1 of its pairs), with no
 second pass over the pairs. The pair-commonness table is bounded by
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import percentile as exact_percentile, with_quantiles
+from ..session import scratch_path
 
 
 def novelty_input(doc_topics: DataFrame, docs: DataFrame, level: int | Sequence[int] = 3,
@@ -82,14 +83,24 @@ def yearly_pair_totals(novelty_in: DataFrame, by: Sequence[str] = ()) -> DataFra
     return novelty_in.groupBy(*by, "year").agg(F.sum(n * (n - 1) / 2).cast("bigint").alias("N_t"))
 
 
-def topic_pair_commonness(novelty_in: DataFrame, id_column: str = "work_id", by: Sequence[str] = ()) -> DataFrame:
+def _classes(novelty_in: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, year, topics, _n): documents of the same year and topics are one class, as
+    all that novelty knows of a document is these; ``_n`` is their number."""
+    return novelty_in.groupBy(*by, "year", "topics").agg(F.count("*").alias("_n"))
+
+
+def topic_pair_commonness(novelty_in: DataFrame, id_column: str = "work_id", by: Sequence[str] = (),
+                          classes: DataFrame | None = None) -> DataFrame:
     """One row per (pair, year): N_ij_t * N_t / (N_i_t * N_j_t)."""
     by = list(by)
-    counts = topic_pair_counts(document_topic_pairs(novelty_in, id_column, by), by)
+    classes = _classes(novelty_in, by) if classes is None else classes
+    pairs = classes.select(*by, "year", "_n", F.inline(_pairs_of(F.col("topics"))))
+    counts = (pairs.groupBy(*by, "topic_1", "topic_2", "year").agg(F.sum("_n").alias("N_ij_t"))
+              .withColumn("topic_pair", F.concat_ws("_x_", "topic_1", "topic_2")))
     member = topic_pair_membership(novelty_in, by)
     n_i = member.select(*by, F.col("topic").alias("topic_1"), "year", F.col("counts").alias("N_i_t"))
     n_j = member.select(*by, F.col("topic").alias("topic_2"), "year", F.col("counts").alias("N_j_t"))
-    return (counts.withColumnRenamed("counts", "N_ij_t")
+    return (counts
             .join(n_i, by + ["topic_1", "year"])
             .join(n_j, by + ["topic_2", "year"])
             .join(yearly_pair_totals(novelty_in, by), by + ["year"])
@@ -103,17 +114,23 @@ def document_novelty(novelty_in: DataFrame, id_column: str = "work_id",
                      percentile: float = 10.0, commonness: DataFrame | None = None,
                      by: Sequence[str] = ()) -> DataFrame:
     """Per document: the given linear percentile of its pairs' commonness and
-    novelty = -ln(commonness), with n_topics and topics."""
+    novelty = -ln(commonness), with n_topics and topics. Computed once for each class
+    of documents of the same year and topics, and joined to the documents: pairs are
+    made of classes, so no row is moved for a document's pair."""
     by = list(by)
+    path = scratch_path(novelty_in.sparkSession, "novelty-classes")  # read for the counts and for the percentiles
+    _classes(novelty_in, by).write.parquet(path)
+    classes = novelty_in.sparkSession.read.parquet(path)
     if commonness is None:
-        commonness = topic_pair_commonness(novelty_in, id_column, by)
-    pairs = novelty_in.select(*by, id_column, "year", F.inline(_pairs_of(F.col("topics"))))
+        commonness = topic_pair_commonness(novelty_in, id_column, by, classes)
+    pairs = classes.select(*by, "year", "topics", F.inline(_pairs_of(F.col("topics"))))
     c = commonness.select(*by, "topic_1", "topic_2", "year", "commonness")
-    return (pairs.join(c, by + ["topic_1", "topic_2", "year"])
-            .groupBy(*by, id_column, "year")
-            .agg(exact_percentile("commonness", percentile / 100.0).alias("commonness"))
-            .join(novelty_in.select(*by, id_column, "n_topics", "topics"), by + [id_column])
-            .withColumn("novelty", -F.log(F.col("commonness")))
+    scores = (pairs.join(c, by + ["topic_1", "topic_2", "year"])
+              .groupBy(*by, "year", "topics")
+              .agg(exact_percentile("commonness", percentile / 100.0).alias("commonness"))
+              .withColumn("novelty", -F.log(F.col("commonness"))))
+    return (novelty_in.where(F.col(id_column).isNotNull()).select(*by, id_column, "year", "n_topics", "topics")
+            .join(scores, by + ["year", "topics"])
             .select(*by, id_column, "year", "commonness", "novelty", "n_topics", "topics"))
 
 
