@@ -23,32 +23,42 @@ def _yyyymmdd(c) -> F.Column:
 
 
 def work_lines(t: Tables) -> DataFrame:
+    """The lines of works; orders come last, so that what is grouped by order stays where it was joined."""
     li, o = t.lineitem, t.orders.where(F.col("o_orderstatus") != "F").select("o_orderkey")
     s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     n = t.nation.select("n_nationkey", "n_name")
-    return (li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
-            .join(n, s.s_nationkey == n.n_nationkey))
+    li = li.join(s.join(n, s.s_nationkey == n.n_nationkey), li.l_suppkey == s.s_suppkey)
+    return li.join(o, li.l_orderkey == o.o_orderkey)
 
 
 def raw_works(t: Tables) -> DataFrame:
+    """Nested work records. What a record is made of is grouped as short keys; the
+    structs with their texts are built inside the grouped row."""
     k = F.col("l_orderkey")
-    wid = F.concat(F.lit("W"), k.cast("string"))
-    lines = work_lines(t)
-    inst = F.struct(F.concat(F.lit("I"), F.col("s_suppkey").cast("string")).alias("id"),
-                    F.col("s_name").alias("display_name"), F.lit(None).cast("string").alias("ror"),
-                    F.col("n_name").alias("country_code"), F.lit("education").alias("type"))
-    auth = F.struct(F.lit("middle").alias("author_position"),
-                    F.struct(F.concat(F.lit("A"), k.cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("id"),
-                             F.col("s_name").alias("display_name"), F.lit(None).cast("string").alias("orcid")).alias("author"),
-                    F.when((k + F.col("l_linenumber")) % 7 == 0, F.array().cast("array<struct<id:string,display_name:string,ror:string,country_code:string,type:string>>"))
-                    .otherwise(F.array(inst)).alias("institutions"),
-                    F.col("s_name").alias("raw_affiliation_string"))
-    authorships = lines.groupBy(wid.alias("id")).agg(F.collect_list(auth).alias("authorships"))
-    de = t.doc_entities.where(F.col("source") == "openalex")
-    concept = F.struct(F.col("entity").alias("id"), F.lit(None).cast("string").alias("wikidata"),
-                       F.col("entity").alias("display_name"), F.lit("0").alias("level"),
-                       (F.col("confidence") / F.lit(100.0)).cast("string").alias("score"))
-    concepts = de.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(concept).alias("concepts"))
+
+    def inst(x):
+        return F.struct(F.concat(F.lit("I"), x["l_suppkey"].cast("string")).alias("id"),
+                        x["s_name"].alias("display_name"), F.lit(None).cast("string").alias("ror"),
+                        x["n_name"].alias("country_code"), F.lit("education").alias("type"))
+
+    def auth(x):
+        return F.struct(F.lit("middle").alias("author_position"),
+                        F.struct(F.concat(F.lit("A"), k.cast("string"), F.lit("_"), x["l_linenumber"].cast("string")).alias("id"),
+                                 x["s_name"].alias("display_name"), F.lit(None).cast("string").alias("orcid")).alias("author"),
+                        F.when((k + x["l_linenumber"]) % 7 == 0, F.array().cast("array<struct<id:string,display_name:string,ror:string,country_code:string,type:string>>"))
+                        .otherwise(F.array(inst(x))).alias("institutions"),
+                        x["s_name"].alias("raw_affiliation_string"))
+
+    def concept(x):
+        return F.struct(x["entity"].alias("id"), F.lit(None).cast("string").alias("wikidata"),
+                        x["entity"].alias("display_name"), F.lit("0").alias("level"),
+                        (x["confidence"] / F.lit(100.0)).cast("string").alias("score"))
+
+    authorships = work_lines(t).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_suppkey", "s_name", "n_name")).alias("_a"))
+    # doc_entities of works, grouped by the order's key before it becomes a text
+    mentions = t.line_entities().where(F.col("source") == "openalex")
+    mentions = mentions.groupBy("l_orderkey").agg(F.collect_list(F.struct("entity", "confidence")).alias("_c"))
+    parts = authorships.join(mentions, "l_orderkey", "full").select(F.concat(F.lit("W"), k.cast("string")).alias("id"), "l_orderkey", "_a", "_c")
     refs = t.citations.groupBy(F.col("citing").alias("id")).agg(F.collect_list("cited").alias("referenced_works"))
     w = t.works
     wk = F.substring("work_id", 2, 1 << 30).cast("bigint")
@@ -60,7 +70,9 @@ def raw_works(t: Tables) -> DataFrame:
                              F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("publisher"))
                     .alias("host_venue"),
                     "cited_by_count", (wk % 101 == 0).alias("is_retracted"), F.lit(False).alias("is_paratext"))
-    return (base.join(authorships, "id", "left").join(concepts, "id", "left").join(refs, "id", "left")
+    own = [c for c in base.columns if c != "id"]
+    return (base.join(parts, "id", "left").join(refs, "id", "left")
+            .select("id", *own, F.transform("_a", auth).alias("authorships"), F.transform("_c", concept).alias("concepts"), "referenced_works")
             .withColumn("abstract_inverted_index",
                         F.lit(None).cast("map<string,array<int>>")))
 
