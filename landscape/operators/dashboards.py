@@ -160,13 +160,16 @@ def quad_by_org(quad: DataFrame, score: str) -> DataFrame:
             .agg(F.sum("volume").alias("volume"), F.avg(score).alias(score)))
 
 
-def network_by_topic(org_rows: DataFrame, nodes: DataFrame, edges_by: DataFrame, by: str,
-                     value: str) -> tuple[DataFrame, DataFrame]:
+def network_by_topic(org_rows: DataFrame, nodes: DataFrame, edges_by: DataFrame | None, by: str,
+                     value: str) -> tuple[DataFrame, DataFrame | None]:
     """Subgraph of organisations active in one domain/area/topic: node size
-    ln(documents), edge weight = documents shared in that selection."""
+    ln(documents), edge weight = documents shared in that selection (of the
+    edges of that value, or of all; none where only nodes are wanted)."""
     active = org_rows.where(F.col(by) == value).select("org").distinct()
     n = (nodes.join(active, "org", "left_semi")
          .withColumn("size", F.log("n_docs")))
+    if edges_by is None:
+        return n, None
     e = (edges_by.where(F.col(by) == value)
          .join(active.withColumnRenamed("org", "org_1"), "org_1", "left_semi")
          .join(active.withColumnRenamed("org", "org_2"), "org_2", "left_semi")

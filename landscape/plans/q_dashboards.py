@@ -331,10 +331,10 @@ def q_quad_by_org(spark, sf):
     return finish(D.quad_by_org(quad, "average_cd_score"), floats=("average_cd_score",))
 
 
-def _network(spark, sf):
+def _network(spark, sf, edges=True):
     rows = I.expand_topic(QI._org_rows(spark, sf))
     nodes = I.docs_per_org(rows)
-    edges = I.collaboration_edges(rows, by="area")
+    edges = I.collaboration_edges(rows.where(F.col("area") == AREA_ID), by="area") if edges else None
     return D.network_by_topic(rows, nodes, edges, "area", AREA_ID)
 
 
@@ -355,4 +355,4 @@ def q_network_by_topic(spark, sf):
 SELECT org, count(*) AS n_docs, round(ln(count(*)), 6) AS size FROM (SELECT DISTINCT id, org FROM orgrows) u
 WHERE org IN ({_NET}) GROUP BY org"""))
 def q_network_by_topic_nodes(spark, sf):
-    return finish(_network(spark, sf)[0], floats=("size",))
+    return finish(_network(spark, sf, edges=False)[0], floats=("size",))
