@@ -14,3 +14,14 @@ def test_every_organisation_and_level(spark):
     assert {r.level for r in q["collaboration_edges_by_level"](spark, SF).select("level").distinct().collect()} == levels
     works, patents, both = (q[k](spark, SF) for k in ("topic_lookup_works", "topic_lookup", "topic_lookup_both"))
     assert {r.topic for r in both.collect()} == {r.topic for r in works.collect()} | {r.topic for r in patents.collect()}
+
+
+def test_edges_by_topic_are_of_all_levels(spark):
+    """Domains, areas and topics; an edge of a topic is one of its area and its domain, too."""
+    rows = ent.queries()["collaboration_edges_by_topic"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["level"] for r in rows} == {"domain", "area", "topic"} and {r["present"] for r in rows} == {1}
+    held = {(r["level"], r["name"], r["org_1"], r["org_2"]): r["n_docs"] for r in rows}
+    assert len(held) == len(rows)
+    for (level, name, a, b), n in held.items():
+        if level == "topic":
+            assert held["area", name.rsplit("_", 1)[0], a, b] >= n and held["domain", name.split("_")[0], a, b] >= n
