@@ -12,20 +12,35 @@ partial-aggregated before their shuffle. Per-topic pair activity ``N_i(t)`` and
 total ``N_t`` are computed algebraically from the per-document topic counts
 (a topic in a document with n topics is in n - 1 of its pairs), with no
 second pass over the pairs. The pair-commonness table is bounded by
-(topics at the level)^2 x years; the planner decides at run time whether
-to broadcast it.
+(topics at the level)^2 x years. What is joined to classes and documents is staged
+and counted before: it is sent to all tasks if it has few rows, and merged otherwise
+(``_joined``), as the planner's estimate of rows made of a compact file is far too small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import percentile as exact_percentile, with_quantiles
 from ..session import scratch_path
 
+SENT_ROWS = 100_000  # rows that are sent to all tasks at most
+
+
+def _staged(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written once and read back, and its number of rows."""
+    path, seen = scratch_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("rows") or 0
+
+
+def _joined(df: DataFrame, side: DataFrame, rows: int, on: Sequence[str]) -> DataFrame:
+    """``df`` joined to a ``side`` of ``rows`` rows; ``df`` never passes the driver."""
+    return df.join(F.broadcast(side), on) if rows <= SENT_ROWS else df.hint("merge").join(side, on)
+
 
 def novelty_input(doc_topics: DataFrame, docs: DataFrame, level: int | Sequence[int] = 3,
                   source: str = "openalex", id_column: str = "work_id") -> DataFrame:
@@ -118,19 +133,19 @@ def document_novelty(novelty_in: DataFrame, id_column: str = "work_id",
     of documents of the same year and topics, and joined to the documents: pairs are
     made of classes, so no row is moved for a document's pair."""
     by = list(by)
-    path = scratch_path(novelty_in.sparkSession, "novelty-classes")  # read for the counts and for the percentiles
-    _classes(novelty_in, by).write.parquet(path)
-    classes = novelty_in.sparkSession.read.parquet(path)
+    # read for the counts, for the percentiles and for the scores; numbers are written, so a class keeps its own
+    classes, some = _staged(_classes(novelty_in, by).withColumn("_id", F.monotonically_increasing_id()), "novelty-classes")
     if commonness is None:
         commonness = topic_pair_commonness(novelty_in, id_column, by, classes)
-    pairs = classes.select(*by, "year", "topics", F.inline(_pairs_of(F.col("topics"))))
-    c = commonness.select(*by, "topic_1", "topic_2", "year", "commonness")
-    scores = (pairs.join(c, by + ["topic_1", "topic_2", "year"])
-              .groupBy(*by, "year", "topics")
+    keys = by + ["topic_1", "topic_2", "year"]
+    common, rows = _staged(commonness.select(*keys, "commonness"), "novelty-commonness")
+    pairs = classes.select(*by, "year", "_id", F.inline(_pairs_of(F.col("topics"))))
+    scores = (_joined(pairs, common, rows, keys).groupBy("_id")
               .agg(exact_percentile("commonness", percentile / 100.0).alias("commonness"))
               .withColumn("novelty", -F.log(F.col("commonness"))))
-    return (novelty_in.where(F.col(id_column).isNotNull()).select(*by, id_column, "year", "n_topics", "topics")
-            .join(scores, by + ["year", "topics"])
+    scores, _ = _staged(classes.select(*by, "year", "topics", "_id").hint("merge").join(scores, "_id").drop("_id"), "novelty-scores")
+    docs = novelty_in.where(F.col(id_column).isNotNull()).select(*by, id_column, "year", "n_topics", "topics")
+    return (_joined(docs, scores, some, by + ["year", "topics"])
             .select(*by, id_column, "year", "commonness", "novelty", "n_topics", "topics"))
 
 
