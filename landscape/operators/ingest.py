@@ -1,19 +1,22 @@
 """Sources, sinks and document normalisation (survey 2.A / 2.B).
 
 Nested records are flattened with ``explode`` / higher-order functions
-against explicit schemas; no UDFs. Abstracts travel as inverted indexes
+against explicit schemas; texts are inverted in an Arrow pass. Abstracts travel as inverted indexes
 ``{word: [positions]}`` and are rebuilt with map and array functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import global_row_number
+from ..session import scratch_path
 from ..sources.json_arrays import read_json_arrays
 
 # Schema of the raw work records this engine reads (a subset of the source
@@ -57,12 +60,57 @@ def read_works_json(spark, path: str, multi_line: bool = True) -> DataFrame:
     return spark.read.schema(WORK_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
+INVERTED_BYTES = 1 << 20  # of texts whose indexes leave a task at once
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words, positions) of (id, text as bytes): the distinct words of each text and where they are."""
+    for batch in batches:
+        ids, texts = batch.columns
+        rows, held, size = [], [], 0
+        for i in range(batch.num_rows + 1):
+            if rows and (i == batch.num_rows or size >= INVERTED_BYTES):
+                words = [w for at in held for w in at]
+                positions = [p for at in held for p in at.values()]
+                ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                inner = np.cumsum([0, *map(len, positions)]).astype(np.int32)
+                where = pa.ListArray.from_arrays(pa.array(inner), pa.array([x for p in positions for x in p], pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.binary())),
+                                                  pa.ListArray.from_arrays(pa.array(ends), where)], names=["id", "words", "positions"])
+                rows, held, size = [], [], 0
+            if i < batch.num_rows and texts[i].is_valid:
+                text, at = texts[i].as_py(), {}
+                for pos, word in enumerate(text.split(b" ")):
+                    at.setdefault(word, []).append(pos)
+                rows.append(i)
+                held.append(at)
+                size += len(text)
+
+
 def invert_abstract(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, {word: [positions]}) from text split on single spaces."""
-    words = df.select(id_col, F.posexplode(F.split(text, " ")).alias("pos", "word"))
-    per_word = words.groupBy(id_col, "word").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return per_word.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("abstract_inverted_index"))
+    """(id, {word: [positions]}) from text split on single spaces. A text is inverted
+    where it is read, inside its row; only the indexes of ids that come more than once
+    (or of no id) are moved, to be merged into one."""
+    kind = df.schema[id_col].dataType.simpleString()
+    inv = (df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
+           .mapInArrow(_inverted, f"id {kind}, words array<binary>, positions array<array<int>>")
+           .select(F.col("id").alias(id_col), F.col("words").cast("array<string>").alias("words"), "positions"))
+    ids = df.where(F.col(text).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    path = scratch_path(df.sparkSession, "repeated-ids")
+    ids.where("_n > 1").select("_id").write.parquet(path)  # few where ids are keys, and never more than half of the rows
+    repeated = df.sparkSession.read.parquet(path)
+
+    def index(words: Column, positions: Column) -> Column:
+        return F.map_from_arrays(words, positions).alias("abstract_inverted_index")
+
+    if repeated.isEmpty():
+        return inv.select(id_col, index(F.col("words"), F.col("positions")))
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    words = (inv.join(repeated, same, "left_semi").select(id_col, F.inline(F.arrays_zip("words", "positions"))))
+    merged = (words.groupBy(id_col, "words").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+              .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("words", "positions"))).alias("abstract_inverted_index")))
+    return (inv.join(repeated, same, "left_anti").select(id_col, index(F.col("words"), F.col("positions")))
+            .unionByName(merged))
 
 
 def deinvert_abstract(df: DataFrame, id_col: str = "id", inv: str = "abstract_inverted_index") -> DataFrame:

@@ -102,3 +102,23 @@ def test_arrays_are_bounded(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 500 and max(sizes) <= 40
     back = IG.read_works_json(spark, f"{tmp_path}/arrays").select(*df.columns)
     assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_texts_are_inverted_where_they_are_read(spark, monkeypatch, repeats):
+    """Empty and missing texts, empty words, ids that repeat and no id: words are only moved for the last two."""
+    from collections import defaultdict
+    monkeypatch.setattr(IG, "INVERTED_BYTES", 30)
+    rows = [(i, t) for i, t in enumerate(["a b a", "", None, " a  b ", "é漢🙂 a", "x " * 50, "\n\t a"] * 3)]
+    if repeats:
+        rows += [(0, "b a"), (None, "n a"), (None, "n"), (2, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    inv = IG.invert_abstract(df)
+    plan = inv._jdf.queryExecution().optimizedPlan().toString()
+    assert repeats or not any(x in plan for x in ("Aggregate", "Join"))
+    want = defaultdict(lambda: defaultdict(list))
+    for i, t in rows:
+        for pos, word in enumerate(t.split(" ") if t is not None else []):
+            want[i][word].append(pos)
+    got = {r.doc_id: r.abstract_inverted_index for r in inv.collect()}
+    assert got == {i: {w: sorted(p) for w, p in at.items()} for i, at in want.items()} and inv.count() == len(want)
