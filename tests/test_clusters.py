@@ -98,6 +98,22 @@ def test_silhouettes_equal_brute_force(spark):
             assert abs(got[level] - np.mean(score)) < 1e-9
 
 
+@pytest.mark.parametrize("spans", [1, 2, 5])
+def test_silhouettes_over_spans(spark, monkeypatch, spans):
+    """Several blocks in a span, with clusters of all lengths: the same values, and what leaves the
+    tasks grows with the spans, not with the blocks."""
+    from landscape.operators import blocked as B
+    rng = np.random.default_rng(3)
+    rows = [(f"e{i:03d}", rng.normal(size=4).tolist(), str(i % 2), f"{i % 2}_{i % 7}", f"{i % 2}_{i % 7}_{rng.integers(0, 12)}") for i in range(150)]
+    points = spark.createDataFrame(rows, "entity string, v array<double>, a string, b string, c string")
+    want = {r.level: r.silhouette for r in B.silhouettes(points, ["a", "b", "c"], 1000).collect()}
+    monkeypatch.setattr(B, "SPANS", spans)
+    together, made = B._together, []
+    monkeypatch.setattr(B, "_together", lambda blocks, pairs: made.append(blocks.count()) or together(blocks, pairs))
+    got = {r.level: r.silhouette for r in B.silhouettes(points, ["a", "b", "c"], 6).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in (1, 2, 3)) and made == [25 * spans]
+
+
 def test_dendrogram_equals_brute_force_single_linkage(spark):
     """Closest clusters merged one after the other, ties as the tree orders them; cuts nested; more clusters than points."""
     rng = np.random.default_rng(11)
