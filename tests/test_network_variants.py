@@ -19,9 +19,11 @@ def test_every_organisation_and_level(spark):
 def test_edges_by_topic_are_of_all_levels(spark):
     """Domains, areas and topics; an edge of a topic is one of its area and its domain, too."""
     rows = ent.queries()["collaboration_edges_by_topic"](spark, "/root/testdata/sf0.001").collect()
-    assert {r["level"] for r in rows} == {"domain", "area", "topic"} and {r["present"] for r in rows} == {1}
-    held = {(r["level"], r["name"], r["org_1"], r["org_2"]): r["n_docs"] for r in rows}
-    assert len(held) == len(rows)
-    for (level, name, a, b), n in held.items():
+    assert {(r.level, r.area is None, r.topic is None) for r in rows} == {
+        ("domain", True, True), ("area", False, True), ("topic", False, False)}
+    held = {(r.level, r.domain, r.area, r.topic, r.org_1, r.org_2): r.n_docs for r in rows}
+    assert len(held) == len(rows) and {r.present for r in rows} == {1}
+    for (level, domain, area, topic, a, b), n in held.items():
         if level == "topic":
-            assert held["area", name.rsplit("_", 1)[0], a, b] >= n and held["domain", name.split("_")[0], a, b] >= n
+            assert topic.startswith(f"{area}_") and area.startswith(f"{domain}_")
+            assert held["area", domain, area, None, a, b] >= n and held["domain", domain, None, None, a, b] >= n
